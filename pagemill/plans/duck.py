@@ -154,3 +154,88 @@ def breadcrumbs_markdown(expr: str) -> str:
 
 def tag_block(tag: str, expr: str) -> str:
     return f"('<{tag}>' || chr(10) || {expr} || chr(10) || '</{tag}>' || chr(10) || chr(10))"
+
+
+# ------------------------------------------------------------------ URLs
+
+from pagemill.functions import urls as U  # noqa: E402
+from pagemill.operators import links as L  # noqa: E402
+
+
+def host(expr: str) -> str:
+    return f"nullif(lower(regexp_extract({expr}, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^@/?#]*@)?([^:/?#]*)', 1)), '')"
+
+
+def path(expr: str) -> str:
+    p = f"regexp_extract({expr}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+    return f"(CASE WHEN {p} = '' THEN '/' ELSE {p} END)"
+
+
+def sanitize_path(expr: str) -> str:
+    return f"translate({expr}, {q(chr(60) + '>:\"|?*' + chr(92))}, '________')"
+
+
+def percent_encode(expr: str) -> str:
+    enc = (
+        f"array_to_string(list_transform(string_split({expr}, ''), lambda ch: CASE WHEN regexp_matches(ch, {q('^' + U.URL_SAFE_CHAR + '$')}) "
+        f"THEN ch ELSE regexp_replace(hex(encode(ch)), '(..)', '%\\1', 'g') END), '')"
+    )
+    return f"(CASE WHEN regexp_matches({expr}, {q('[^' + U.URL_SAFE_CHAR[1:])}) THEN {enc} ELSE {expr} END)"
+
+
+def origin(expr: str) -> str:
+    return f"lower(regexp_extract({expr}, {q(U.ORIGIN_RE)}, 1))"
+
+
+def normalize_absolute(expr: str) -> str:
+    head = f"lower(regexp_extract({expr}, {q(chr(92) + 'A([a-zA-Z][a-zA-Z0-9+.' + chr(92) + '-]*://[^/?#]*)')}, 1))"
+    rest0 = f"regexp_extract({expr}, {q(chr(92) + 'A[a-zA-Z][a-zA-Z0-9+.' + chr(92) + '-]*://[^/?#]*(.*)' + chr(92) + 'z')}, 1)"
+    rest = f"(CASE WHEN starts_with({rest0}, '/') THEN {rest0} ELSE '/' || {rest0} END)"
+    return f"(CASE WHEN {head} <> '' THEN {head} || {percent_encode(rest)} ELSE {expr} END)"
+
+
+def resolve_against_origin(h: str, o: str) -> str:
+    """`h` resolved against the origin column `o` (both plain column names)."""
+    scheme = f"regexp_extract({o}, '^([a-z][a-z0-9+.-]*:)', 1)"
+    return (
+        f"(CASE WHEN starts_with({h}, '//') THEN {normalize_absolute('(' + scheme + ' || ' + h + ')')} "
+        f"WHEN regexp_matches({h}, {q(U.SCHEME_RE)}) THEN (CASE WHEN regexp_matches({h}, '(?i)^https?://') THEN {normalize_absolute(h)} ELSE {h} END) "
+        f"WHEN starts_with({h}, '/') THEN {o} || {percent_encode(h)} "
+        f"ELSE {o} || '/' || {percent_encode(h)} END)"
+    )
+
+
+def path_key(url: str, base_dir: str = "tmp", filename: str | None = None) -> str:
+    p0 = rr(path(url), "\\A/+|/+\\z", "")
+    p = f"(CASE WHEN {p0} = '' THEN 'index' ELSE {p0} END)"
+    base = f"regexp_extract({p}, '[^/]*$', 0)"
+    d = f"regexp_extract({p}, '^(.*)/[^/]*$', 1)"
+    ext = f"regexp_extract({base}, '^.+(\\.[^.]*)$', 1)"
+    stem = f"left({base}, length({base}) - length({ext}))"
+    fname = q(filename) if filename else base
+    key = f"concat_ws('/', {q(base_dir)}, {host(url)}, nullif({d}, ''), {stem}, {fname})"
+    return f"(CASE WHEN {host(url)} IS NOT NULL THEN regexp_replace({key}, '/+', '/', 'g') END)"
+
+
+def keep_link(u: str) -> str:
+    cond = f"NOT starts_with({u}, 'data:') AND NOT contains({u}, '#') AND (starts_with({u}, 'http://') OR starts_with({u}, 'https://'))"
+    for h in L.NAMESPACE_HOSTS:
+        cond += f" AND NOT contains({u}, {q(h)})"
+    return cond
+
+
+def links_cte(src: str, k: int | None = None) -> str:
+    """SQL producing (page_id, pos, link) for the pages in `src`."""
+    lim = f"WHERE pos < {k}" if k else ""
+    return f"""WITH p AS (SELECT page_id, html, {origin('url')} AS o FROM {src}),
+t AS (SELECT page_id, o,
+        list_filter(regexp_extract_all(html, {q(L.A_HREF)}, 1), lambda x: NOT regexp_matches(x, {q(L.SKIP_HREF)})) AS t1,
+        list_filter(regexp_extract_all(html, {q(L.ANY_HREF)}, 1), lambda x: NOT regexp_matches(x, {q(L.SKIP_HREF)})) AS t2,
+        regexp_extract_all(html, {q(L.BARE_URL)}, 1) AS t3 FROM p),
+c AS (SELECT page_id, o, CASE WHEN len(t1) > 0 THEN t1 WHEN len(t2) > 0 THEN t2 ELSE t3 END AS hrefs,
+        (len(t1) > 0 OR len(t2) > 0) AS resolve FROM t),
+u AS (SELECT page_id, o, resolve, unnest(hrefs) AS h, generate_subscripts(hrefs, 1) AS i FROM c),
+r AS (SELECT page_id, i, CASE WHEN resolve THEN {resolve_against_origin('h', 'o')} ELSE h END AS link FROM u),
+f AS (SELECT page_id, i, link FROM r WHERE {keep_link('link')}),
+n AS (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::BIGINT AS pos, link FROM f)
+SELECT page_id, pos, link FROM n {lim}"""

@@ -27,3 +27,58 @@ def date_pages(t: Tables) -> DataFrame:
         .otherwise(F.lit(""))
     )
     return t.pages.select("page_id", "url", F.replace(F.col("html"), F.lit("<body>"), F.concat(F.lit("<body>"), div)).alias("html"))
+
+
+def media_occurrences(t: Tables) -> DataFrame:
+    """one media occurrence per lineitem row. hash = sha2(l_partkey), type =
+    audio when l_partkey % 5 = 0 else image, page = the order, ts = ship date;
+    ties broken by (l_linenumber, l_suppkey, l_orderkey). `api_cost` is the
+    cost (F7 formulas) of describing/transcribing this item."""
+    li = t.lineitem
+    is_audio = F.col("l_partkey") % 5 == 0
+    mtype = F.when(is_audio, F.lit("audio")).otherwise(F.lit("image"))
+    prompt = F.round(F.col("l_quantity") * 100).cast("bigint")
+    completion = (F.col("l_linenumber") * 50).cast("bigint")
+    seconds = F.col("l_quantity") * 6
+    # Fixed values (USD): gpt-4o-mini 0.00015 in / 0.0006 out per 1K tokens,
+    # whisper-1 0.006 per minute; here as exact nano-USD per token / second.
+    nano = F.when(is_audio, F.round(seconds * 100000).cast("bigint")).otherwise(prompt * 150 + completion * 600)
+    return li.select(
+        F.sha2(F.col("l_partkey").cast("string"), 256).alias("hash"),
+        mtype.alias("type"),
+        F.concat(F.lit("orders/"), F.col("l_orderkey").cast("string")).alias("page_path"),
+        F.concat(F.lit("https://media.example.com/"), mtype, F.lit("/"), F.col("l_partkey").cast("string"),
+                 F.when(is_audio, F.lit(".mp3")).otherwise(F.lit(".png"))).alias("original_url"),
+        F.col("l_shipdate").alias("ts"),
+        F.col("l_linenumber").cast("bigint").alias("tie1"),
+        F.col("l_suppkey").alias("tie2"),
+        F.col("l_orderkey").alias("tie3"),
+        F.concat(mtype, F.lit(" of part "), F.col("l_partkey").cast("string")).alias("content"),
+        (nano / F.lit(1e9)).alias("api_cost"),
+        F.col("l_orderkey").alias("page_id"),
+        F.when(is_audio, F.lit("whisper-1")).otherwise(F.lit("gpt-4o-mini")).alias("model"),
+        F.when(is_audio, F.lit(0)).otherwise(prompt).cast("bigint").alias("prompt_tokens"),
+        F.when(is_audio, F.lit(0)).otherwise(completion).cast("bigint").alias("completion_tokens"),
+        F.when(is_audio, seconds).otherwise(F.lit(0.0)).alias("seconds"),
+    )
+
+
+def api_usage(t: Tables) -> DataFrame:
+    """one API call per distinct content hash, made at its first occurrence
+    (the registry makes every later occurrence free)."""
+    occ = media_occurrences(t)
+    first = occ.groupBy("hash").agg(
+        F.min_by(
+            F.struct("page_id", "model", "prompt_tokens", "completion_tokens", "seconds", "ts"),
+            F.struct("ts", "tie1", "tie2", "tie3"),
+        ).alias("f")
+    )
+    return first.select(
+        F.col("f.page_id").alias("page_id"),
+        F.col("hash").alias("media_hash"),
+        F.col("f.model").alias("model"),
+        F.col("f.prompt_tokens").alias("prompt_tokens"),
+        F.col("f.completion_tokens").alias("completion_tokens"),
+        F.col("f.seconds").alias("seconds"),
+        F.col("f.ts").alias("ts"),
+    )

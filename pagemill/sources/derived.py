@@ -82,3 +82,38 @@ def api_usage(t: Tables) -> DataFrame:
         F.col("f.seconds").alias("seconds"),
         F.col("f.ts").alias("ts"),
     )
+
+
+# Challenge-page literals and the status each event type stands for.
+CHALLENGE_LITERALS = ["Just a moment", "cf-browser-verification", "cf_chl_prog", "challenge-platform"]
+EVENT_STATUS = [("view", 200), ("click", 200), ("signup", 404), ("purchase", 429), ("error", 503)]
+
+
+def captures(t: Tables) -> DataFrame:
+    """F8: capture attempts from `events`. url from user_id (and event_id % 16, so
+    that a URL sees a handful of attempts and some never succeed), attempt order = ts
+    (then event_id), status by event type; every 10th view (event_id % 10 = 0)
+    is a challenge page."""
+    ev = t.events
+    status = F.lit(None).cast("int")
+    for et, st in reversed(EVENT_STATUS):
+        status = F.when(F.col("event_type") == et, F.lit(st)).otherwise(status)
+    url = F.concat(F.lit("https://site"), (F.col("user_id") % 12).cast("string"), F.lit(".example.com/user/"),
+                   F.col("user_id").cast("string"), F.lit("/p"), (F.col("event_id") % 16).cast("string"))
+    challenge = (F.col("event_type") == "view") & (F.col("event_id") % 10 == 0)
+    html = (
+        F.when(challenge, F.concat(F.lit("<html><head><title>Just a moment...</title></head><body>"
+                                          "<div id=\"challenge-platform\"></div></body></html>")))
+        .when(status < 300, F.concat(F.lit("<!DOCTYPE html><html><head><title>User "), F.col("user_id").cast("string"),
+                                     F.lit("</title></head><body><article><h1>Event "), F.col("event_id").cast("string"),
+                                     F.lit("</h1><p>"), F.col("props"), F.lit("</p></article></body></html>")))
+        .otherwise(F.concat(F.lit("<html><body>Error "), status.cast("string"), F.lit("</body></html>")))
+    )
+    return ev.select(
+        url.alias("url"),
+        F.col("ts").alias("fetched_at"),
+        F.col("event_id").alias("attempt"),
+        status.alias("status"),
+        F.when(F.col("user_id") % 2 == 0, F.lit("cloudflare")).otherwise(F.lit("nginx")).alias("server"),
+        html.alias("html"),
+    )

@@ -117,3 +117,53 @@ def captures(t: Tables) -> DataFrame:
         F.when(F.col("user_id") % 2 == 0, F.lit("cloudflare")).otherwise(F.lit("nginx")).alias("server"),
         html.alias("html"),
     )
+
+
+def _hx(c, m: int):
+    return F.lpad(F.lower(F.hex(c % m)), 2, "0")
+
+
+def media_pages(t: Tables) -> DataFrame:
+    """Markdown pages with media: `documents.text` plus an image
+    `/img/uuid-<hex(doc_id % 97)>.png` always, the same reference again when
+    doc_id % 5 = 0, an audio link `./audio/clip<doc_id % 13>.MP3` when
+    doc_id % 4 = 0, and a wrapped image `/_next/image?url=<encoded>` when
+    doc_id % 9 = 0. Page URL `https://docs.example.com/<lang>/doc-<doc_id>`."""
+    d = F.col("doc_id")
+    img = F.concat(F.lit("![figure "), d.cast("string"), F.lit("](/img/uuid-"), _hx(d, 97), F.lit(".png)\n\n"))
+    wrapped_src = F.concat(F.lit("https%3A%2F%2Fcdn.example.com%2Fassets%2Fuuid-"), _hx(d, 89), F.lit("%2Fphoto.png"))
+    md = F.concat(
+        F.col("text"), F.lit("\n\n"), img,
+        F.when(d % 5 == 0, img).otherwise(F.lit("")),
+        F.when(d % 4 == 0, F.concat(F.lit("[listen to clip](./audio/clip"), (d % 13).cast("string"), F.lit(".MP3)\n\n")))
+        .otherwise(F.lit("")),
+        F.when(d % 9 == 0, F.concat(F.lit("![wrapped](/_next/image?url="), wrapped_src, F.lit("&w=640)\n\n")))
+        .otherwise(F.lit("")),
+    )
+    return t.documents.select(
+        F.col("doc_id").alias("page_id"),
+        F.concat(F.lit("https://docs.example.com/"), F.col("lang"), F.lit("/doc-"), d.cast("string")).alias("url"),
+        F.col("lang").alias("site"),
+        md.alias("markdown"),
+    )
+
+
+def known_contents(t: Tables) -> DataFrame:
+    """F5 registry: media whose key number k has k % 3 <> 0 were described
+    before. Some descriptions hold a literal `$1` and a backslash."""
+    k = F.col("doc_id") % 97
+    imgs = t.documents.select(k.alias("k")).distinct().filter(F.col("k") % 3 != 0).select(
+        F.concat(F.lit("uuid-"), _hx(F.col("k"), 1000)).alias("media_key"),
+        F.lit("image").alias("type"),
+        F.concat(F.lit("A figure labelled uuid-"), _hx(F.col("k"), 1000),
+                 F.when(F.col("k") % 2 == 0, F.lit(" (costs $1, path C:\\tmp)")).otherwise(F.lit(""))).alias("content"),
+    )
+    n = F.col("doc_id") % 13
+    clips = t.documents.select(n.alias("n")).distinct().filter(F.col("n") % 3 != 0).select(
+        F.concat(F.lit("clip"), F.col("n").cast("string"), F.lit(".MP3")).alias("media_key"),
+        F.lit("audio").alias("type"),
+        F.concat(F.lit("Transcript of clip "), F.col("n").cast("string")).alias("content"),
+    )
+    return imgs.unionByName(clips).select(
+        F.sha2(F.concat(F.lit("media:"), F.lower(F.col("media_key"))), 256).alias("hash"), "type", "content"
+    )

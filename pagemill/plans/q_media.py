@@ -236,7 +236,7 @@ def _enrich_sql() -> str:
             f"{NL2} || '<{tagname} src=\"' || v.resolved_url || '\">' || v.content || '</{tagname}>' || {NL2}"
         )
 
-    return f"""WITH {RESOLVED},
+    return f"""{RESOLVED},
 iv AS (SELECT page_id, raw_url, arg_min(resolved_url, pos) AS resolved_url, arg_min(content, pos) AS content
        FROM res WHERE kind = 'image' AND content IS NOT NULL GROUP BY page_id, raw_url),
 av AS (SELECT page_id, raw_url, arg_min(resolved_url, pos) AS resolved_url, arg_min(content, pos) AS content
@@ -252,11 +252,14 @@ e2 AS (SELECT page_id, url, unnest(segs) AS seg, generate_subscripts(segs, 1) AS
 j2 AS (SELECT e2.page_id, e2.url, e2.i,
               CASE WHEN e2.i % 2 = 0 AND v.content IS NOT NULL AND regexp_matches(regexp_extract(e2.seg, {link}, 2), {Q(M.AUDIO_EXT)})
                    THEN e2.seg || {tag('audio', M.AUDIO_TAG)} ELSE e2.seg END AS seg
-       FROM e2 LEFT JOIN av v ON v.page_id = e2.page_id AND e2.i % 2 = 0 AND v.raw_url = regexp_extract(e2.seg, {link}, 2))
-SELECT page_id, url, string_agg(seg, '' ORDER BY i) AS processed FROM j2 GROUP BY page_id, url"""
+       FROM e2 LEFT JOIN av v ON v.page_id = e2.page_id AND e2.i % 2 = 0 AND v.raw_url = regexp_extract(e2.seg, {link}, 2)),
+enr AS (SELECT page_id, url, string_agg(seg, '' ORDER BY i) AS processed FROM j2 GROUP BY page_id, url)"""
 
 
-@register("enrich_markdown", _enrich_sql(), "MED4 MED6 MED8 X9")
+ENRICHED = _enrich_sql()
+
+
+@register("enrich_markdown", f"WITH {ENRICHED} SELECT page_id, url, processed FROM enr", "MED4 MED6 MED8 X9")
 def enrich_markdown(t):
     return MO.enrich_markdown(media_pages(t), _resolved(t))
 

@@ -167,3 +167,91 @@ def known_contents(t: Tables) -> DataFrame:
     return imgs.unionByName(clips).select(
         F.sha2(F.concat(F.lit("media:"), F.lower(F.col("media_key"))), 256).alias("hash"), "type", "content"
     )
+
+
+SITEMAP_CHUNK = 50000  # URLs per urlset and sitemaps per index (protocol limits)
+INDEX_HOST = "https://index.example.com"
+
+
+def _xml_escape(c):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def sitemap_rows(t: Tables) -> DataFrame:
+    """F4 rows: (host, page_id, url, sitemap, lastmod) — the relational truth the
+    XML documents are rendered from."""
+    from pagemill.functions.urls import host
+
+    p = t.pages.select("page_id", "url", host("url").alias("host"))
+    chunk = F.floor(F.col("page_id") / SITEMAP_CHUNK).cast("bigint")
+    sm = F.concat(F.lit("https://"), F.col("host"), F.lit("/sitemap"),
+                  F.when(chunk > 0, F.concat(F.lit("-"), chunk.cast("string"))).otherwise(F.lit("")), F.lit(".xml"))
+    lastmod = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 90).cast("int")), "yyyy-MM-dd")
+    return p.select("host", "page_id", "url", sm.alias("sitemap"), lastmod.alias("lastmod"))
+
+
+def sitemap_docs(t: Tables) -> DataFrame:
+    """one urlset per host (≤ SITEMAP_CHUNK URLs each, ordered by page_id),
+    index documents listing the urlsets (≤ SITEMAP_CHUNK each), and one top
+    index above them (depth 2). Every aggregate is bounded by the chunk size."""
+    rows = sitemap_rows(t)
+    entry = F.concat(F.lit("<url><loc>"), _xml_escape(F.col("url")), F.lit("</loc><lastmod>"), F.col("lastmod"),
+                     F.lit("</lastmod></url>"))
+    urlsets = rows.groupBy("sitemap").agg(
+        F.min("page_id").alias("first_page"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("x")))), lambda s: s["x"]), "")
+        .alias("body"),
+    )
+    ns = ' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    urlset_docs = urlsets.select(
+        F.col("sitemap").alias("loc"),
+        F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?><urlset{ns}>'), F.col("body"), F.lit("</urlset>")).alias("xml"),
+    )
+    bucket = F.floor(F.col("first_page") / SITEMAP_CHUNK).cast("bigint")
+    idx = urlsets.withColumn("bucket", bucket).groupBy("bucket").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_page", "sitemap"))),
+                                 lambda s: F.concat(F.lit("<sitemap><loc>"), s["sitemap"], F.lit("</loc></sitemap>"))), "")
+        .alias("body")
+    )
+    idx_loc = F.concat(F.lit(f"{INDEX_HOST}/sitemap-index-"), F.col("bucket").cast("string"), F.lit(".xml"))
+    index_docs = idx.select(
+        idx_loc.alias("loc"), F.col("bucket"),
+        F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?><sitemapindex{ns}>'), F.col("body"), F.lit("</sitemapindex>")).alias("xml"),
+    )
+    top = index_docs.agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "loc"))),
+                                 lambda s: F.concat(F.lit("<sitemap><loc>"), s["loc"], F.lit("</loc></sitemap>"))), "")
+        .alias("body")
+    ).select(
+        F.lit(f"{INDEX_HOST}/sitemap.xml").alias("loc"),
+        F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?><sitemapindex{ns}>'), F.col("body"), F.lit("</sitemapindex>")).alias("xml"),
+    )
+    return urlset_docs.unionByName(index_docs.select("loc", "xml")).unionByName(top)
+
+
+def robots_docs(t: Tables) -> DataFrame:
+    """one robots.txt per host with a `Sitemap:` line per urlset of the host."""
+    rows = sitemap_rows(t).select("host", "sitemap").distinct()
+    return rows.groupBy("host").agg(
+        F.concat(
+            F.lit("User-agent: *\nDisallow: /private\n"),
+            F.array_join(F.transform(F.array_sort(F.collect_list("sitemap")), lambda s: F.concat(F.lit("Sitemap: "), s)), "\n"),
+            F.lit("\n"),
+        ).alias("robots_txt")
+    )
+
+
+def discovery_pages(t: Tables) -> DataFrame:
+    """F4b: pages carrying sitemap hints: `<link rel="sitemap">` in the head when
+    page_id % 4 = 0, a footer link to robots.txt when page_id % 4 = 1."""
+    from pagemill.functions.urls import host
+
+    link = F.concat(F.lit('<head><link rel="sitemap" type="application/xml" href="https://'), host("url"), F.lit('/sitemap.xml">'))
+    html = (
+        F.when(F.col("page_id") % 4 == 0, F.replace(F.col("html"), F.lit("<head>"), link))
+        .when(F.col("page_id") % 4 == 1, F.replace(F.col("html"), F.lit("<footer>"), F.lit('<footer><a href="/robots.txt">robots</a> ')))
+        .otherwise(F.col("html"))
+    )
+    return t.pages.select("page_id", "url", html.alias("html"))

@@ -1 +1,49 @@
-"""(filled in as the operators land)"""
+"""Structure group: HTML tables (F1) and breadcrumbs (F2). Oracles build the
+expected Markdown from the relational rows — no HTML parsing on that side."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pagemill.functions import html as H
+from pagemill.plans.catalog import register
+from pagemill.sources.derived import breadcrumb_pages, region_table_pages
+
+NL = "chr(10)"
+
+
+@register(
+    "html_tables",
+    f"""WITH r AS (
+  SELECT n_regionkey, string_agg('| ' || n_name || ' | Key ' || n_nationkey::VARCHAR ||
+           CASE WHEN n_nationkey % 2 = 0 THEN ' (Example: a\\|b)' ELSE '' END || ' |', {NL} ORDER BY n_nationkey) AS body
+  FROM nation GROUP BY n_regionkey)
+SELECT r_regionkey AS region_key, r_name,
+       {NL} || {NL} || '| Nation | Note |' || {NL} || '| --- | --- |' || {NL} || body || {NL} || {NL} AS table_md,
+       'Nations of region ' || r_name || {NL} || {NL} || '| Nation | Note |' || {NL} || '| --- | --- |' || {NL} || body AS page_md
+FROM r JOIN region ON r.n_regionkey = region.r_regionkey""",
+    "HTM8 HTM9 UDF1",
+)
+def html_tables(t):
+    p = region_table_pages(t)
+    table = F.regexp_extract("html", "(?is)(<table.*</table>)", 1)
+    return p.select("region_key", "r_name", H.html_table_markdown(table).alias("table_md"),
+                    H.html_to_markdown(F.col("html")).alias("page_md"))
+
+
+@register(
+    "breadcrumbs",
+    f"""SELECT s_suppkey AS page_id,
+       CASE WHEN s_suppkey % 11 = 0 THEN 0 ELSE 3 END::BIGINT AS n_items,
+       CASE WHEN s_suppkey % 11 = 0 THEN ''
+            ELSE '<md_breadcrumb>' || {NL} || '> [' || r_name || '](/region/' || r_regionkey::VARCHAR || ') > [' || n_name ||
+                 '](/nation/' || n_nationkey::VARCHAR || ') > ' || s_name || {NL} || '</md_breadcrumb>' || {NL} || {NL} END AS breadcrumb_md
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+    "HTM5 HTM6 WIN2 D4",
+)
+def breadcrumbs(t):
+    items = H.breadcrumb_items(F.col("html"))
+    return breadcrumb_pages(t).select(
+        "page_id", F.coalesce(F.size(items), F.lit(0)).cast("bigint").alias("n_items"),
+        H.breadcrumbs_markdown(items).alias("breadcrumb_md"),
+    )

@@ -255,3 +255,45 @@ def discovery_pages(t: Tables) -> DataFrame:
         .otherwise(F.col("html"))
     )
     return t.pages.select("page_id", "url", html.alias("html"))
+
+
+def region_table_pages(t: Tables) -> DataFrame:
+    """one page per region holding one `<table>`: header Nation | Note, a
+    row per nation ordered by key; the note is `Key <k>`, and for even keys
+    `Key <k> Example: a|b`."""
+    n = t.nation
+    note = F.concat(F.lit("Key "), F.col("n_nationkey").cast("string"),
+                    F.when(F.col("n_nationkey") % 2 == 0, F.lit(" Example: a|b")).otherwise(F.lit("")))
+    row = F.concat(F.lit("<tr><td>"), F.col("n_name"), F.lit("</td><td>"), note, F.lit("</td></tr>"))
+    rows = n.groupBy("n_regionkey").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r")))), lambda s: s["r"]), "\n")
+        .alias("rows")
+    )
+    html = F.concat(F.lit("<p>Nations of region "), F.col("r_name"), F.lit("</p>\n<table class=\"nations\">\n"
+                    "<tr><th>Nation</th><th>Note</th></tr>\n"), F.col("rows"), F.lit("\n</table>"))
+    return rows.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("r_regionkey").alias("region_key"), "r_name", html.alias("html")
+    )
+
+
+def breadcrumb_pages(t: Tables) -> DataFrame:
+    """one page per supplier with a breadcrumb list region (link) › nation
+    (link) › supplier (text); `id="breadcrumbs"` on every 7th supplier, no
+    breadcrumb on every 11th."""
+    s = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(
+        t.region, F.col("n_regionkey") == F.col("r_regionkey")
+    )
+    k = F.col("s_suppkey")
+    items = F.concat(
+        F.lit('<li><a href="/region/'), F.col("r_regionkey").cast("string"), F.lit('">'), F.col("r_name"), F.lit("</a></li>"),
+        F.lit('<li><a href="/nation/'), F.col("n_nationkey").cast("string"), F.lit('">'), F.col("n_name"), F.lit("</a></li>"),
+        F.lit("<li>"), F.col("s_name"), F.lit("</li>"),
+    )
+    crumb = (
+        F.when(k % 11 == 0, F.lit(""))
+        .when(k % 7 == 0, F.concat(F.lit('<ul id="breadcrumbs">'), items, F.lit("</ul>")))
+        .otherwise(F.concat(F.lit('<ul class="breadcrumb">'), items, F.lit("</ul>")))
+    )
+    html = F.concat(F.lit("<html><body><nav>"), crumb, F.lit("</nav><article><h1>"), F.col("s_name"),
+                    F.lit("</h1><p>Account balance "), F.col("s_acctbal").cast("string"), F.lit("</p></article></body></html>"))
+    return s.select(k.alias("page_id"), html.alias("html"))

@@ -154,12 +154,16 @@ def enrich_markdown(pages: DataFrame, resolved: DataFrame, md_col: str = "markdo
     """Images first, then audio links on the image-enriched text. A reference
     without content keeps the original text (failure isolation)."""
 
-    def content_map(kind: str) -> DataFrame:
-        r = resolved.filter((F.col("kind") == kind) & F.col("content").isNotNull())
-        per_url = r.groupBy("page_id", "raw_url").agg(F.min_by(F.struct("resolved_url", "content"), F.col("pos")).alias("v"))
-        return per_url.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("raw_url", "v"))).alias(f"{kind}_map"))
-
-    p = pages.join(content_map("image"), "page_id", "left").join(content_map("audio"), "page_id", "left")
+    r = resolved.filter(F.col("content").isNotNull())
+    per_url = r.groupBy("page_id", "kind", "raw_url").agg(
+        F.min_by(F.struct("resolved_url", "content"), F.col("pos")).alias("v")
+    )
+    entry = F.struct("raw_url", "v")
+    maps = per_url.groupBy("page_id").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("kind") == "image", entry))).alias("image_map"),
+        F.map_from_entries(F.collect_list(F.when(F.col("kind") == "audio", entry))).alias("audio_map"),
+    )
+    p = pages.join(maps, "page_id", "left")
     img = _annotate(F.col(md_col), M.IMAGE_REF, "image", F.col("image_map"))
     both = _annotate(img, M.LINK_REF, "audio", F.col("audio_map"))
     return p.select("page_id", "url", both.alias("processed"))

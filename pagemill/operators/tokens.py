@@ -76,81 +76,93 @@ def html_tokens(pages: DataFrame) -> DataFrame:
 
 
 def with_parents(tokens: DataFrame) -> DataFrame:
-    """Adds `parent`: the position of the enclosing container (NULL at top level).
-    Containers register at their own level and look up their parent one level
-    up; text looks up at its depth. One window per (page, level)."""
-    reg = tokens.select("page_id", "pos", F.col("depth").alias("lvl"), F.when(F.col("is_container"), F.col("pos")).alias("reg"),
-                        F.lit(False).alias("lookup"))
-    look = tokens.filter(F.col("is_container") | (F.col("kind") == "text")).select(
-        "page_id", "pos",
+    """Text and container tokens with `parent` (position of the enclosing
+    container, NULL at top level) and `gparent` (the parent's parent).
+
+    One pass, two windows, no self-join: containers register at their own
+    level and look up their parent one level up, text looks up at its depth
+    (window per page and level, `last(…, ignorenulls)`); the grandparent is
+    then spread from each container to its direct text with a window per
+    (page, container)."""
+    t = tokens.filter(F.col("is_container") | (F.col("kind") == "text"))
+    fields = [F.col(c) for c in ("pos", "kind", "tag", "depth", "in_link", "text", "is_container")]
+    reg = F.when(F.col("is_container"), F.struct(F.col("depth").alias("lvl"), F.col("pos").alias("reg"),
+                                                 F.lit(False).alias("lookup"), *fields))
+    look = F.struct(
         F.when(F.col("is_container"), F.col("depth") - 1).otherwise(F.col("depth")).alias("lvl"),
-        F.lit(None).cast("bigint").alias("reg"), F.lit(True).alias("lookup"),
+        F.lit(None).cast("bigint").alias("reg"), F.lit(True).alias("lookup"), *fields,
     )
+    rows = t.select("page_id", F.explode(F.filter(F.array(reg, look), lambda x: x.isNotNull())).alias("r")).select("page_id", "r.*")
     w = Window.partitionBy("page_id", "lvl").orderBy("pos", "lookup").rowsBetween(Window.unboundedPreceding, 0)
-    both = reg.unionByName(look).withColumn("parent", F.last("reg", ignorenulls=True).over(w))
-    parents = both.filter("lookup").select("page_id", "pos", "parent")
-    return tokens.join(parents, ["page_id", "pos"], "left")
+    withp = rows.withColumn("parent", F.last("reg", ignorenulls=True).over(w)).filter("lookup").drop("lvl", "reg", "lookup")
+    key = F.when(F.col("is_container"), F.col("pos")).otherwise(F.col("parent"))
+    w2 = Window.partitionBy("page_id", "key")
+    return withp.withColumn("key", key).withColumn(
+        "gparent", F.max(F.when(F.col("is_container"), F.col("parent"))).over(w2)
+    ).drop("key")
 
 
 def container_scores(tokens: DataFrame) -> DataFrame:
     """Per container: tag, level, direct text and link characters, link
-    density and the reader score."""
+    density and the reader score — one aggregation over per-token
+    contributions (own row, credit to parent, half credit to grandparent)."""
     tp = with_parents(tokens)
-    containers = tp.filter("is_container").select(
-        "page_id", F.col("pos").alias("cid"), "tag", F.col("depth").alias("level"), F.col("parent").alias("gparent_of")
-    )
-    text = tp.filter((F.col("kind") == "text") & F.col("parent").isNotNull())
-    chars = text.groupBy("page_id", F.col("parent").alias("cid")).agg(
-        F.sum(F.length("text")).cast("bigint").alias("text_chars"),
-        F.sum(F.when(F.col("in_link"), F.length("text")).otherwise(0)).cast("bigint").alias("link_chars"),
-    )
-    blocks = text.filter(~F.col("in_link") & (F.length("text") >= MIN_BLOCK_CHARS)).select(
-        "page_id", "parent",
-        (1 + (F.length("text") - F.length(F.replace("text", F.lit(","), F.lit(""))))
-         + F.least(F.floor(F.length("text") / 100), F.lit(3))).cast("double").alias("s"),
-    )
-    gp = containers.select("page_id", F.col("cid").alias("parent"), F.col("gparent_of").alias("gparent"))
-    credited = blocks.join(gp, ["page_id", "parent"], "left")
-    credits = credited.select("page_id", F.col("parent").alias("cid"), F.col("s").alias("c")).unionByName(
-        credited.filter(F.col("gparent").isNotNull()).select("page_id", F.col("gparent").alias("cid"), (F.col("s") / 2).alias("c"))
-    ).groupBy("page_id", "cid").agg(F.sum("c").alias("raw_score"))
-    df = containers.join(chars, ["page_id", "cid"], "left").join(credits, ["page_id", "cid"], "left").fillna(
-        {"text_chars": 0, "link_chars": 0, "raw_score": 0.0}
+    n = F.length("text")
+    is_text = F.col("kind") == "text"
+    block = is_text & ~F.col("in_link") & (n >= MIN_BLOCK_CHARS)
+    s = (1 + (n - F.length(F.replace("text", F.lit(","), F.lit("")))) + F.least(F.floor(n / 100), F.lit(3))).cast("double")
+
+    def contrib(cid, is_c, credit, tchars, lchars):
+        return F.struct(cid.cast("bigint").alias("cid"), F.lit(is_c).alias("is_c"), credit.cast("double").alias("credit"),
+                        tchars.cast("bigint").alias("tchars"), lchars.cast("bigint").alias("lchars"))
+
+    own = F.when(F.col("is_container"), contrib(F.col("pos"), True, F.lit(0.0), F.lit(0), F.lit(0)))
+    to_parent = F.when(is_text & F.col("parent").isNotNull(),
+                       contrib(F.col("parent"), False, F.when(block, s).otherwise(F.lit(0.0)), n,
+                               F.when(F.col("in_link"), n).otherwise(F.lit(0))))
+    to_gparent = F.when(block & F.col("gparent").isNotNull(), contrib(F.col("gparent"), False, s / 2, F.lit(0), F.lit(0)))
+    rows = tp.select(
+        "page_id", F.when(F.col("is_container"), F.col("tag")).alias("ctag"),
+        F.when(F.col("is_container"), F.col("depth")).alias("clevel"),
+        F.explode(F.filter(F.array(own, to_parent, to_gparent), lambda x: x.isNotNull())).alias("c"),
     )
+    agg = rows.groupBy("page_id", F.col("c.cid").alias("container_pos")).agg(
+        F.max(F.col("c.is_c")).alias("is_c"),
+        F.max(F.when(F.col("c.is_c"), F.col("ctag"))).alias("tag"),
+        F.max(F.when(F.col("c.is_c"), F.col("clevel"))).alias("level"),
+        F.sum("c.credit").alias("raw_score"),
+        F.sum("c.tchars").cast("bigint").alias("text_chars"),
+        F.sum("c.lchars").cast("bigint").alias("link_chars"),
+    ).filter("is_c")
     ld = F.when(F.col("text_chars") > 0, F.col("link_chars") / F.col("text_chars")).otherwise(F.lit(0.0))
-    return df.select(
-        "page_id", F.col("cid").alias("container_pos"), "tag", "level", "text_chars", "link_chars",
+    return agg.select(
+        "page_id", "container_pos", "tag", "level", "text_chars", "link_chars",
         F.round(ld, 6).alias("link_density"), F.round(F.col("raw_score") * (F.lit(1.0) - ld), 6).alias("score"),
     )
 
 
 def main_content(tokens: DataFrame) -> DataFrame:
-    """Best container per page and its text (tokens of its range joined)."""
+    """Best container per page and its text (the text tokens of its range)."""
     sc = container_scores(tokens)
-    short = sc.filter(F.col("tag").isin(*SHORTCUT_TAGS)).groupBy("page_id").agg(
-        F.count(F.lit(1)).alias("n_short"), F.min("container_pos").alias("short_pos")
-    )
-    best = sc.groupBy("page_id").agg(
-        F.max_by(F.struct("container_pos", "tag", "level", "score", "link_density"),
-                 F.struct("score", (-F.col("container_pos")).alias("neg_pos"))).alias("b")
-    )
-    chosen = best.join(short, "page_id", "left").select(
-        "page_id",
-        F.when(F.col("n_short") == 1, F.col("short_pos")).otherwise(F.col("b.container_pos")).alias("container_pos"),
-    ).join(sc.select("page_id", "container_pos", "tag", "level", "score", "link_density"), ["page_id", "container_pos"])
-    # Range of the chosen container: up to the first later token outside it.
-    t = tokens.select("page_id", "pos", "depth", "kind", "text")
-    j = t.join(chosen.select("page_id", "container_pos", "level"), "page_id")
-    end = j.filter((F.col("pos") > F.col("container_pos")) & (F.col("depth") < F.col("level"))).groupBy("page_id").agg(
-        F.min("pos").alias("end_pos")
+    attrs = F.struct("container_pos", "tag", "level", "score", "link_density")
+    short = F.col("tag").isin(*SHORTCUT_TAGS)
+    per_page = sc.groupBy("page_id").agg(
+        F.count_if(short).alias("n_short"),
+        F.min(F.when(short, attrs)).alias("short"),
+        F.max_by(attrs, F.struct("score", (-F.col("container_pos")).alias("neg_pos"))).alias("best"),
     )
-    inside = j.join(end, "page_id", "left").filter(
-        (F.col("pos") > F.col("container_pos")) & (F.col("end_pos").isNull() | (F.col("pos") < F.col("end_pos")))
-        & (F.col("kind") == "text") & (F.col("text") != "")
+    chosen = per_page.select("page_id", F.when(F.col("n_short") == 1, F.col("short")).otherwise(F.col("best")).alias("c")).select(
+        "page_id", "c.*"
     )
-    text = inside.groupBy("page_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), " ").alias("text")
+    # The container's range runs up to the first later token outside it.
+    t = tokens.select("page_id", "pos", "depth", "kind", "text").join(chosen.select("page_id", "container_pos", "level"), "page_id")
+    after = F.col("pos") > F.col("container_pos")
+    rng = t.groupBy("page_id").agg(
+        F.min(F.when(after & (F.col("depth") < F.col("level")), F.col("pos"))).alias("end_pos"),
+        F.collect_list(F.when(after & (F.col("kind") == "text") & (F.col("text") != ""), F.struct("pos", "text"))).alias("texts"),
     )
+    inside = F.filter(F.array_sort("texts"), lambda x: F.col("end_pos").isNull() | (x["pos"] < F.col("end_pos")))
+    text = rng.select("page_id", F.array_join(F.transform(inside, lambda x: x["text"]), " ").alias("text"))
     return chosen.join(text, "page_id", "left").select(
         "page_id", "container_pos", "tag", "score", "link_density", F.coalesce("text", F.lit("")).alias("text")
     )

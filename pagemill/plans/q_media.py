@@ -8,7 +8,7 @@ from pagemill.functions import media as M
 from pagemill.operators import media as MO
 from pagemill.plans import duck as D
 from pagemill.plans.catalog import register
-from pagemill.sources.derived import known_contents, media_pages
+from pagemill.sources.derived import content_cache, known_contents, media_pages
 
 Q = D.q
 NL2 = "chr(10) || chr(10)"
@@ -96,10 +96,16 @@ refs AS (SELECT *, CASE WHEN kind = 'image'
                    CASE WHEN kind = 'image' THEN '{M.IMAGE_MODEL}' ELSE '{M.AUDIO_MODEL}' END AS model
          FROM rn)"""
 
-CACHE = """cache AS (
-  SELECT DISTINCT page_dir, cache_key, kind AS media_type, 'Cached ' || kind || ' for doc ' || page_id::VARCHAR AS content,
-         CASE WHEN page_id % 14 = 0 THEN model ELSE 'older-model' END AS model
-  FROM refs WHERE page_id % 7 = 0)"""
+CACHE = f"""cd AS (SELECT doc_id, regexp_replace({D.path_key("'https://docs.example.com/' || lang || '/doc-' || doc_id::VARCHAR")}, '/[^/]+$', '') AS pd
+       FROM documents WHERE doc_id % 7 = 0),
+cache AS (
+  SELECT page_dir, cache_key, media_type, 'Cached ' || media_type || ' for doc ' || doc_id::VARCHAR AS content,
+         CASE WHEN doc_id % 14 <> 0 THEN 'older-model' WHEN media_type = 'image' THEN '{M.IMAGE_MODEL}' ELSE '{M.AUDIO_MODEL}' END AS model
+  FROM (
+    SELECT doc_id, pd AS page_dir, 'uuid-' || {_hx('doc_id', 97)} || '.png.json' AS cache_key, 'image' AS media_type FROM cd
+    UNION ALL SELECT doc_id, pd, 'uuid-' || {_hx('doc_id', 89)} || '.json', 'image' FROM cd WHERE doc_id % 9 = 0
+    UNION ALL SELECT doc_id, pd, 'audio-' || substr(sha256('media:clip' || (doc_id % 13)::VARCHAR || '.mp3'), 1, 12) || '.MP3.json', 'audio'
+      FROM cd WHERE doc_id % 4 = 0))"""
 
 RESOLVED = f"""{REFS}, {KNOWN}, {CACHE},
 res AS (SELECT refs.*, cache.content AS cache_content, known.content AS registry_content,
@@ -112,18 +118,8 @@ def _refs(t):
     return MO.resolve_refs(MO.media_refs(media_pages(t)))
 
 
-def _cache(refs):
-    r = refs.filter(F.col("page_id") % 7 == 0)
-    return r.select(
-        "page_dir", "cache_key", F.col("kind").alias("media_type"),
-        F.concat(F.lit("Cached "), F.col("kind"), F.lit(" for doc "), F.col("page_id").cast("string")).alias("content"),
-        F.when(F.col("page_id") % 14 == 0, MO.model_for(F.col("kind"))).otherwise(F.lit("older-model")).alias("model"),
-    ).distinct()
-
-
 def _resolved(t):
-    refs = _refs(t)
-    return MO.resolve_contents(refs, _cache(refs), known_contents(t))
+    return MO.resolve_contents(_refs(t), content_cache(t), known_contents(t))
 
 
 @register("media_refs", f"WITH {REFS} SELECT page_id, kind, pos, alt, raw_url, ref FROM refs", "MED1 MED2 SRT2")
@@ -184,7 +180,7 @@ FROM refs LEFT JOIN cache USING (page_dir, cache_key, model)""",
 )
 def cache_lookup(t):
     refs = _refs(t)
-    c = _cache(refs).select("page_dir", "cache_key", "model", F.col("content").alias("cache_content"))
+    c = content_cache(t).select("page_dir", "cache_key", "model", F.col("content").alias("cache_content"))
     df = refs.withColumn("model", MO.model_for(F.col("kind")))
     return df.join(c, ["page_dir", "cache_key", "model"], "left").select("page_id", "kind", "pos", "cache_key", "model", "cache_content")
 

@@ -297,3 +297,32 @@ def breadcrumb_pages(t: Tables) -> DataFrame:
     html = F.concat(F.lit("<html><body><nav>"), crumb, F.lit("</nav><article><h1>"), F.col("s_name"),
                     F.lit("</h1><p>Account balance "), F.col("s_acctbal").cast("string"), F.lit("</p></article></body></html>"))
     return s.select(k.alias("page_id"), html.alias("html"))
+
+
+def content_cache(t: Tables) -> DataFrame:
+    """F5 per-page cache: documents with doc_id % 7 = 0 have cache entries for
+    their image, wrapped image and audio references; only those with
+    doc_id % 14 = 0 were made by the configured model (others are stale)."""
+    from pagemill.functions.media import AUDIO_MODEL, IMAGE_MODEL
+    from pagemill.functions.urls import dir_key
+
+    d = F.col("doc_id")
+    docs = t.documents.filter(d % 7 == 0).select(
+        "doc_id",
+        dir_key(F.concat(F.lit("https://docs.example.com/"), F.col("lang"), F.lit("/doc-"), d.cast("string"))).alias("page_dir"),
+    )
+    audio_hash = F.sha2(F.concat(F.lit("media:clip"), (d % 13).cast("string"), F.lit(".mp3")), 256)
+    entries = F.array(
+        F.struct(F.concat(F.lit("uuid-"), _hx(d, 97), F.lit(".png.json")).alias("cache_key"), F.lit("image").alias("media_type")),
+        F.when(d % 9 == 0, F.struct(F.concat(F.lit("uuid-"), _hx(d, 89), F.lit(".json")).alias("cache_key"),
+                                    F.lit("image").alias("media_type"))),
+        F.when(d % 4 == 0, F.struct(F.concat(F.lit("audio-"), F.substring(audio_hash, 1, 12), F.lit(".MP3.json")).alias("cache_key"),
+                                    F.lit("audio").alias("media_type"))),
+    )
+    e = docs.select("doc_id", "page_dir", F.explode(F.filter(entries, lambda x: x.isNotNull())).alias("e"))
+    model = F.when(F.col("e.media_type") == "image", F.lit(IMAGE_MODEL)).otherwise(F.lit(AUDIO_MODEL))
+    return e.select(
+        "page_dir", F.col("e.cache_key").alias("cache_key"), F.col("e.media_type").alias("media_type"),
+        F.concat(F.lit("Cached "), F.col("e.media_type"), F.lit(" for doc "), F.col("doc_id").cast("string")).alias("content"),
+        F.when(F.col("doc_id") % 14 == 0, model).otherwise(F.lit("older-model")).alias("model"),
+    )

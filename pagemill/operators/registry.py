@@ -63,10 +63,20 @@ def registry_stats(contents: DataFrame) -> DataFrame:
         F.round(F.sum(F.coalesce("api_cost", F.lit(0.0))), 9).alias("total_api_cost"),
         F.grouping("type").alias("g"),
     )
-    return out.select(
+    out = out.select(
         F.when(F.col("g") == 1, F.lit("all")).otherwise(F.col("type")).alias("type"),
         "total_files", "unique_files", "duplicate_count", "total_api_cost",
     )
+    # An empty registry still reports its zero totals (the roll-up of no rows
+    # has no grand-total row); the roll-up has at most three rows, so this
+    # final union + group is tiny.
+    zero = contents.sparkSession.createDataFrame([("all", 0, 0, 0, 0.0)], out.schema)
+    return out.unionByName(zero).groupBy("type").agg(
+        F.sum("total_files").cast("bigint").alias("total_files"),
+        F.sum("unique_files").cast("bigint").alias("unique_files"),
+        F.sum("duplicate_count").cast("bigint").alias("duplicate_count"),
+        F.round(F.sum("total_api_cost"), 9).alias("total_api_cost"),
+    )
 
 
 def media_duplicates(occ: DataFrame, order: list[str] = ORDER) -> DataFrame:

@@ -33,7 +33,7 @@ SUPPLIED = {
 }
 
 # Tables of the web-corpus model (see README). Typed columns first.
-CAPTURES = "url STRING, fetched_at TIMESTAMP_NTZ, attempt INT, status INT, server STRING, html STRING"
+CAPTURES = "url STRING, fetched_at TIMESTAMP_NTZ, attempt BIGINT, status INT, server STRING, html STRING"
 SITEMAP_DOCS = "loc STRING, xml STRING"
 SITEMAP_ENTRY = "array<struct<loc:string,lastmod:string,changefreq:string,priority:string>>"
 MEDIA_OCCURRENCES = (

@@ -62,7 +62,9 @@ def start_registry_stream(spark: SparkSession, occ_dir: str, schema: str, log_ou
     src = spark.readStream.schema(schema).parquet(occ_dir)
     t = (lambda w: w.trigger(availableNow=True)) if available_now else (lambda w: w.trigger(processingTime="30 seconds"))
     log_q = t(src.writeStream.foreachBatch(_batch_writer(log_out)).option("checkpointLocation", f"{checkpoint}/log")).start()
-    first = src.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["hash"])
+    # Watermarks need a TIMESTAMP (with time zone) event time; `ts` is UTC wall time.
+    first = (src.withColumn("event_ts", F.col("ts").cast("timestamp")).withWatermark("event_ts", watermark)
+             .dropDuplicatesWithinWatermark(["hash"]).drop("event_ts"))
     new_q = t(first.writeStream.format("parquet").option("path", new_out)
               .option("checkpointLocation", f"{checkpoint}/new").outputMode("append")).start()
     return log_q, new_q

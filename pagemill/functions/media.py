@@ -122,3 +122,9 @@ def enrichment_tag(kind, resolved, content) -> Column:
     tag = F.when(col_(kind) == "image", F.lit(IMAGE_TAG)).otherwise(F.lit(AUDIO_TAG))
     return F.concat(F.lit("\n\n<"), tag, F.lit(' src="'), col_(resolved), F.lit('">'), col_(content),
                     F.lit("</"), tag, F.lit(">\n\n"))
+
+
+def transcript_text(text, payload) -> Column:
+    """A transcription answer as text: the string when the model returned one,
+    else the JSON of the structured answer."""
+    return F.coalesce(col_(text), F.to_json(col_(payload)))

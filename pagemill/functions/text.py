@@ -73,3 +73,8 @@ def word_count(c) -> Column:
 def line_count(c) -> Column:
     """`s.split('\\n').length` (always ≥ 1)."""
     return (F.length(col_(c)) - F.length(F.replace(col_(c), F.lit("\n"), F.lit(""))) + 1).cast("bigint")
+
+
+def preview(c, n: int = 1000) -> Column:
+    """First `n` characters (log / error previews of bodies)."""
+    return F.substring(col_(c), 1, n)

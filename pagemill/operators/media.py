@@ -102,27 +102,37 @@ def _content_type(kind: Column, url: Column) -> Column:
     )
 
 
-def enrichment_requests(resolved: DataFrame, media_bytes: Column | None = None) -> DataFrame:
+def enrichment_requests(
+    resolved: DataFrame,
+    media_bytes: Column | None = None,
+    prompt: str = IMAGE_PROMPT,
+    max_tokens: int = IMAGE_MAX_TOKENS,
+    image_model: str = M.IMAGE_MODEL,
+    audio_model: str = M.AUDIO_MODEL,
+    language: str = AUDIO_LANGUAGE,
+    response_format: str = AUDIO_FORMAT,
+) -> DataFrame:
     """One model request per distinct unknown content hash (each item is paid for
-    once). `media_bytes` gives the bytes for the data URL; by default the
-    content key stands in for bytes that were never downloaded."""
+    once). `prompt` is a template whose `{altText}` takes the alt text of the
+    item's first reference. `media_bytes` gives the bytes for the data URL; by
+    default the content key stands in for bytes that were never downloaded."""
     new = resolved.filter(F.col("content_source") == "new")
     first = new.groupBy("hash").agg(
         F.min_by(F.struct("kind", "alt", "source_url", "page_id", "media_key"), F.struct("page_id", "kind", "pos")).alias("f"),
         F.count(F.lit(1)).cast("bigint").alias("n_refs"),
     )
-    pre, post = IMAGE_PROMPT.split("{altText}", 1)
+    pre, _, post = prompt.partition("{altText}")
     kind = F.col("f.kind")
     data = media_bytes if media_bytes is not None else F.encode(F.concat(F.lit("media:"), F.col("f.media_key")), "UTF-8")
     b64 = F.replace(F.replace(F.base64(data), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(""))
     return first.select(
         "hash",
         kind.alias("media_type"),
-        model_for(kind).alias("model"),
+        F.when(kind == "image", F.lit(image_model)).otherwise(F.lit(audio_model)).alias("model"),
         F.when(kind == "image", F.concat(F.lit(pre), F.col("f.alt"), F.lit(post))).alias("prompt"),
-        F.when(kind == "image", F.lit(IMAGE_MAX_TOKENS)).cast("int").alias("max_tokens"),
-        F.when(kind == "audio", F.lit(AUDIO_LANGUAGE)).alias("language"),
-        F.when(kind == "audio", F.lit(AUDIO_FORMAT)).alias("response_format"),
+        F.when(kind == "image", F.lit(max_tokens)).cast("int").alias("max_tokens"),
+        F.when(kind == "audio", F.lit(language)).alias("language"),
+        F.when(kind == "audio", F.lit(response_format)).alias("response_format"),
         F.concat(F.lit("data:"), _content_type(kind, F.col("f.source_url")), F.lit(";base64,"), b64).alias("data_url"),
         F.col("f.page_id").alias("first_page_id"),
         F.col("f.source_url").alias("source_url"),

@@ -46,8 +46,10 @@ def section_name(url) -> Column:
 
 
 def with_parts(df: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
-    """Adds `part` and the global 1-based page number `i` within the site."""
-    d = df.withColumn("part", F.floor(F.col("pos") / part_pages).cast("bigint"))
+    """Adds `part` (unless the input brings its own orderable `part`, e.g. the
+    sitemap document a URL came from) and the global 1-based page number `i`
+    within the site."""
+    d = df if "part" in df.columns else df.withColumn("part", F.floor(F.col("pos") / part_pages).cast("bigint"))
     counts = d.groupBy("site", "part").agg(F.count(F.lit(1)).alias("cnt"))
     offsets = counts.withColumn(
         "offset",

@@ -104,3 +104,53 @@ def test_writers(spark, tables, tmp_path):
     parts = spark.createDataFrame([("en", 0, "a"), ("en", 1, "b")], "site string, part bigint, body string")
     W.write_merged(parts, str(tmp_path / "merged"))
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "merged")).collect()) == ["a", "b"]
+
+
+def test_site_run_end_to_end(spark):
+    from pagemill.plans.site_run import site_run
+
+    docs = spark.createDataFrame(
+        [("root", "<sitemapindex><sitemap><loc>s1</loc></sitemap></sitemapindex>"),
+         ("s1", "<urlset><url><loc>https://a.org/one</loc></url><url><loc>https://a.org/two</loc></url>"
+                "<url><loc>https://a.org/three</loc></url></urlset>")],
+        "loc string, xml string",
+    )
+    ok_html = '<html><head><title>One</title></head><body><article><p>Hi <img src="/img/uuid-9.png" alt="x"></p></article></body></html>'
+    cap = spark.createDataFrame(
+        [("https://a.org/one", 1, 200, "nginx", ok_html), ("https://a.org/two", 2, 503, "nginx", "down"),
+         ("https://a.org/three", 3, 200, "nginx", "<html><body><article><p>Three</p></article></body></html>")],
+        "url string, attempt bigint, status int, server string, html string",
+    ).withColumn("fetched_at", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    reg = spark.createDataFrame([], "hash string, type string, content string")
+    cache = spark.createDataFrame([], "page_dir string, cache_key string, media_type string, content string, model string")
+    run = site_run(docs, "root", cap, reg, cache)
+    assert run.pages.count() == 2
+    assert [r.url for r in run.failures.collect()] == ["https://a.org/two"]
+    s = run.summary.first()
+    assert (s.succeeded, s.failed, s.total) == (2, 1, 3)
+    body = run.merged.first().body
+    assert body.index("## one") < body.index("## three")
+    req = run.requests.collect()
+    assert len(req) == 1 and req[0].source_url == "https://a.org/img/uuid-9.png" and req[0].prompt.endswith("Alt text: x")
+
+
+def test_sinks_append(spark, tables, tmp_path):
+    W.append_captures(captures(tables).limit(5), str(tmp_path / "cap"))
+    W.append_captures(captures(tables).limit(5), str(tmp_path / "cap"))
+    assert spark.read.parquet(str(tmp_path / "cap")).count() == 10
+    cache = spark.createDataFrame([("d", "k.json", "image", "c", "m")], "page_dir string, cache_key string, media_type string, content string, model string")
+    W.append_content_cache(cache, str(tmp_path / "cache"))
+    assert spark.read.parquet(str(tmp_path / "cache")).count() == 1
+
+
+def test_rule_hook_preview_and_transcript(spark):
+    from pagemill.functions import html as H
+    from pagemill.functions import media as M
+    from pagemill.functions.text import preview
+
+    rules = H.MARKDOWN_RULES[:5] + [("mark", "(?i)</?mark>", "==")] + H.MARKDOWN_RULES[5:]
+    df = spark.createDataFrame([("<p>a <mark>b</mark></p>", None)], "h string, t string")
+    assert df.select(H.html_to_markdown(F.col("h"), rules).alias("m")).first().m == "a ==b=="
+    assert df.select(preview(F.col("h"), 5).alias("p")).first().p == "<p>a "
+    got = df.select(M.transcript_text(F.col("t"), F.struct(F.lit("w").alias("text"))).alias("x")).first().x
+    assert got == '{"text":"w"}'

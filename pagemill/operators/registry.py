@@ -23,10 +23,14 @@ def _order_key(df: DataFrame, order: list[str]):
     return F.struct(*[c for c in order if c in df.columns])
 
 
-def distinct_occurrences(occ: DataFrame, order: list[str] = ORDER) -> DataFrame:
+PAYLOAD = ["type", "original_url", "content", "api_cost"]
+
+
+def distinct_occurrences(occ: DataFrame, order: list[str] = ORDER, payload: list[str] = PAYLOAD) -> DataFrame:
     """One occurrence per (hash, page_path): the first by `order`; `last_ts` keeps
-    the latest use of that pair (registering again bumps `lastUsed`)."""
-    payload = [c for c in occ.columns if c not in ("hash", "page_path")]
+    the latest use of that pair (registering again bumps `lastUsed`). Only the
+    registry's own columns travel through the aggregation."""
+    payload = [c for c in order if c in occ.columns] + [c for c in payload if c in occ.columns]
     return occ.groupBy("hash", "page_path").agg(
         F.min_by(F.struct(*payload), _order_key(occ, order)).alias("first"),
         F.max("ts").alias("last_ts"),

@@ -13,20 +13,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SUPPLIED[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-# Text tables whose rows carry whole pages / documents: the per-row work on
-# them (regex chains over HTML, reference scans) is CPU-heavy.
-TEXT_TABLES = ("pages", "documents", "lineitem", "events", "orders")
+# Fact tables whose per-row work is CPU-heavy (regex chains over whole pages
+# and documents, hashing) and their key columns.
+SPREAD_KEYS = {"pages": "page_id", "documents": "doc_id", "lineitem": "l_orderkey", "events": "event_id",
+               "orders": "o_orderkey"}
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
     """Spread a scan over the cluster when it has fewer partitions than the
     default parallelism (e.g. a few large single-row-group files). At scale the
     scan already has thousands of splits and this adds nothing; a small input
-    gets one round-robin shuffle so that CPU-heavy per-row work uses every core."""
+    gets one hash shuffle on its key so CPU-heavy per-row work uses every core
+    (and later per-key groupings can reuse that partitioning)."""
     try:
         target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < target:
-            return df.repartition(target)
+            return df.repartition(target, key)
     except Exception:  # no RDD access (e.g. Spark Connect): leave the plan as it is
         pass
     return df
@@ -42,5 +44,5 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name in SUPPLIED:
             df = read_table(self.spark, self.sf_dir, name)
-            return spread(df) if name in TEXT_TABLES else df
+            return spread(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
         raise AttributeError(name)

@@ -66,19 +66,20 @@ def crawl_split(requested: DataFrame, cached: DataFrame, key: str = "url"):
     return requested.join(c, key, "left_semi"), requested.join(c, key, "left_anti")
 
 
-def last_attempt(captures: DataFrame) -> DataFrame:
-    ch = is_challenge("html")
-    return captures.groupBy("url").agg(
-        F.max_by(F.struct("status", "server", ch.alias("challenge")), F.struct("fetched_at", "attempt")).alias("l")
-    ).select("url", "l.status", "l.server", "l.challenge")
-
-
 def crawl_status(captures: DataFrame) -> DataFrame:
     """One row per requested URL: site, ok flag and, for failures, the error of
-    the last attempt (successes ∪ failures of the run)."""
-    ok = latest_capture(captures).select("url", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
-    req = captures.select("url").distinct()
-    failed = req.join(ok.select("url"), "url", "left_anti").join(last_attempt(captures), "url")
+    the last attempt (successes ∪ failures of the run). One aggregation per URL
+    yields both the newest usable attempt and the last attempt."""
+    ch = is_challenge("html")
+    usable = F.col("status").between(200, 299) & ~ch
+    per_url = captures.groupBy("url").agg(
+        F.max(F.when(usable, F.struct("fetched_at", "attempt"))).alias("ok_at"),
+        F.max(F.struct("fetched_at", "attempt", "status", "server", ch.alias("challenge"))).alias("last"),
+    )
+    ok = per_url.filter(F.col("ok_at").isNotNull()).select(
+        "url", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error")
+    )
+    failed = per_url.filter(F.col("ok_at").isNull()).select("url", "last.*")
     oc = outcome(F.col("status"), F.col("server"), F.col("challenge"))
     err = (
         F.when(oc == "challenge", F.lit("Challenge page detected"))

@@ -33,26 +33,22 @@ AUDIO_FORMAT = "text"
 
 def media_refs(pages: DataFrame, md_col: str = "markdown") -> DataFrame:
     """(page_id, url, kind, pos, alt, raw_url, ref): image refs and audio links,
-    left to right; `pos` counts within the kind's scan."""
+    left to right; `pos` counts within the kind's scan. One pass over the text:
+    both scans become one array that is exploded once."""
     md = F.col(md_col)
-    imgs = F.arrays_zip(
-        F.regexp_extract_all(md, F.lit(M.IMAGE_REF), 0).alias("ref"),
-        F.regexp_extract_all(md, F.lit(M.IMAGE_REF), 1).alias("alt"),
-        F.regexp_extract_all(md, F.lit(M.IMAGE_REF), 2).alias("raw_url"),
-    )
-    links = F.arrays_zip(
-        F.regexp_extract_all(md, F.lit(M.LINK_REF), 0).alias("ref"),
-        F.regexp_extract_all(md, F.lit(M.LINK_REF), 1).alias("alt"),
-        F.regexp_extract_all(md, F.lit(M.LINK_REF), 2).alias("raw_url"),
-    )
-    i = pages.select("page_id", "url", F.lit("image").alias("kind"), F.posexplode(imgs).alias("pos", "r"))
-    a = pages.select("page_id", "url", F.lit("audio").alias("kind"), F.posexplode(links).alias("pos", "r")).filter(
-        M.is_audio(F.col("r.raw_url"))
-    )
-    return i.unionByName(a).select(
-        "page_id", "url", "kind", F.col("pos").cast("bigint").alias("pos"),
-        F.col("r.alt").alias("alt"), F.col("r.raw_url").alias("raw_url"), F.col("r.ref").alias("ref"),
-    )
+
+    def scan(pattern: str, kind: str) -> Column:
+        z = F.arrays_zip(
+            F.regexp_extract_all(md, F.lit(pattern), 0).alias("ref"),
+            F.regexp_extract_all(md, F.lit(pattern), 1).alias("alt"),
+            F.regexp_extract_all(md, F.lit(pattern), 2).alias("raw_url"),
+        )
+        return F.transform(z, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.cast("bigint").alias("pos"),
+                                                    x["alt"].alias("alt"), x["raw_url"].alias("raw_url"), x["ref"].alias("ref")))
+
+    audio = F.filter(scan(M.LINK_REF, "audio"), lambda x: M.is_audio(x["raw_url"]))
+    refs = F.concat(scan(M.IMAGE_REF, "image"), audio)
+    return pages.select("page_id", "url", F.explode(refs).alias("r")).select("page_id", "url", "r.*")
 
 
 def resolve_refs(refs: DataFrame) -> DataFrame:

@@ -60,14 +60,14 @@ def sitemap_expand(t):
 @register(
     "changed_since",
     f"""WITH {F4}, {_F3},
-prev AS (SELECT url AS prev_url, {D.last_modified('html', RUN_DATE)} AS last_modified FROM f3 WHERE page_id % 10 <> 9)
+prev AS (SELECT url AS prev_url, {D.last_modified('html', RUN_DATE)} AS last_modified FROM f3)
 SELECT url AS loc, lastmod, last_modified, CASE WHEN prev_url IS NULL THEN 'new' ELSE 'changed' END AS reason
 FROM u LEFT JOIN prev ON u.url = prev.prev_url
 WHERE prev_url IS NULL OR try_cast(lastmod AS DATE) > try_cast(last_modified AS DATE)""",
     "INC2",
 )
 def changed_since(t):
-    prev = date_pages(t).filter(F.col("page_id") % 10 != 9).select("url", H.last_modified("html", RUN_DATE).alias("last_modified"))
+    prev = date_pages(t).select("url", H.last_modified("html", RUN_DATE).alias("last_modified"))
     return I.changed_since(S.urlset_entries(sitemap_docs(t)), prev)
 
 

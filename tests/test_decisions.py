@@ -170,3 +170,20 @@ def test_merge_parts_and_numbering(spark):
 
 def test_strip_source_line(spark):
     assert one(spark, G.strip_source_line(F.col("m")), m="[source: https://x]\n\nbody [source: y]\n\n") == "body [source: y]\n\n"
+
+
+def test_changed_since_new_and_changed(spark):
+    from pagemill.operators import incremental as I
+
+    urls = spark.createDataFrame([("a", "2024-02-01"), ("b", "2024-01-01"), ("c", "2024-01-05")], "loc string, lastmod string")
+    prev = spark.createDataFrame([("a", "2024-01-15"), ("b", "2024-01-15")], "url string, last_modified string")
+    got = {(r.loc, r.reason) for r in I.changed_since(urls, prev).collect()}
+    assert got == {("a", "changed"), ("c", "new")}
+
+
+def test_prefer_processed_falls_back_to_raw(spark):
+    raw = spark.createDataFrame([(1, "s", 1, "u1", "raw1"), (2, "s", 2, "u2", "raw2")],
+                                "page_id bigint, site string, pos bigint, url string, markdown string")
+    proc = spark.createDataFrame([(1, "[source: u1]\n\nproc1")], "page_id bigint, processed string")
+    got = {r.page_id: (r.content, r.used_processed) for r in G.prefer_processed(raw, proc).collect()}
+    assert got == {1: ("proc1", True), 2: ("raw2", False)}

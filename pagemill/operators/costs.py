@@ -6,9 +6,11 @@ end, so the totals do not depend on the order in which partitions are summed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.operators.ordering import running_total
+
 # Price list (USD) of the configured models.
 PRICES = [
     # model, input per 1K tokens, output per 1K tokens, per audio minute
@@ -113,22 +115,11 @@ def cost_rollup(priced: DataFrame) -> DataFrame:
 
 def cost_guard(priced: DataFrame, order: list[str] = ("ts", "media_hash"), warn_usd=WARN_USD, stop_usd=STOP_USD) -> DataFrame:
     """Running spend over the calls in `order`, with the guard level reached.
-
-    Distributed prefix sum: per-day totals (a small table, one row per day)
-    give each day's offset; inside a day a window partitioned by the day adds
-    the running part. No single task ever holds more than one day of calls."""
+    A distributed prefix sum (`ordering.running_total`): no task ever holds
+    more than one range partition of the calls."""
     order = list(order)
-    day = F.to_date(F.col(order[0]))
-    calls = priced.withColumn("day", day)
-    offsets = (
-        calls.groupBy("day").agg(F.sum("cost_nano").alias("day_nano"))
-        .withColumn("offset_nano", F.coalesce(F.sum("day_nano").over(
-            Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .select("day", "offset_nano")
-    )
-    w = Window.partitionBy("day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    running = calls.withColumn("in_day", F.sum("cost_nano").over(w)).join(offsets, "day")
-    cum = F.col("offset_nano") + F.col("in_day")
+    running = running_total(priced, order, "cost_nano", "cum_nano")
+    cum = F.col("cum_nano")
     return running.select(
         *order, "page_id", "model", usd(F.col("cost_nano")).alias("cost"), usd(cum).alias("cumulative_cost"),
         F.when(cum >= F.lit(int(round(stop_usd * 1e9))), "stop")

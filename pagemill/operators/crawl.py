@@ -7,10 +7,11 @@ the fetcher's cache; fetching itself stays outside Spark.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import host
+from pagemill.operators.ordering import position_within
 from pagemill.sources.derived import CHALLENGE_LITERALS
 
 # Fixed values (ms): challenge wait and page timeout from the configuration.
@@ -103,23 +104,19 @@ def failure_report(status: DataFrame, timeout_ms: int | None = None) -> DataFram
     """Failed URLs numbered per site, with the retry suggestion: twice the
     timeout in force (the configured page timeout when none was given)."""
     retry = 2 * (timeout_ms if timeout_ms is not None else TIMEOUT_MS)
-    w = Window.partitionBy("site").orderBy("url")
-    f = status.filter(~F.col("ok"))
+    f = position_within(status.filter(~F.col("ok")), ["site"], ["url"], out="n")
     return f.select(
-        "site", F.row_number().over(w).cast("bigint").alias("n"), "url", "error",
+        "site", "n", "url", "error",
         F.lit(retry).cast("bigint").alias("retry_timeout_ms"),
         F.concat(F.lit("retry \""), F.col("url"), F.lit(f"\" --timeout={retry}")).alias("retry_command"),
     )
 
 
 def crawl_progress(urls: DataFrame, site_col: str = "site", order_col: str = "url") -> DataFrame:
-    """`i/n (p%)` per URL within its site. The window sorts one site's URL list
-    (keys only, no page bodies)."""
-    w = Window.partitionBy(site_col).orderBy(order_col)
-    i = F.row_number().over(w).cast("bigint")
-    n = F.count(F.lit(1)).over(Window.partitionBy(site_col)).cast("bigint")
-    df = urls.select(site_col, order_col, i.alias("i"), n.alias("n"))
+    """`i/n (p%)` per URL within its site (skew-safe numbering, see `ordering`)."""
+    df = position_within(urls.select(site_col, order_col), [site_col], [order_col], out="i", total="n")
     p10 = F.floor((F.col("i") * 2000 + F.col("n")) / (F.col("n") * 2)).cast("bigint")
     pct = F.concat(F.floor(p10 / 10).cast("bigint").cast("string"), F.lit("."), (p10 % 10).cast("string"))
-    return df.withColumn("progress", F.concat(F.col("i").cast("string"), F.lit("/"), F.col("n").cast("string"),
-                                             F.lit(" ("), pct, F.lit("%)")))
+    return df.select(site_col, order_col, "i", "n").withColumn(
+        "progress", F.concat(F.col("i").cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit(" ("), pct, F.lit("%)"))
+    )

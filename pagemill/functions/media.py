@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import col_
+from pagemill.functions.urls import fold_dot_segments
 
 DOT = "[^\\n\\r\\x{2028}\\x{2029}]"
 # Reference patterns (image refs, links) and media extensions.
@@ -39,26 +40,6 @@ def page_base_dir(page_url) -> Column:
     return F.regexp_extract(u, "\\A(.*/)", 1)
 
 
-def fold_dot_segments(path) -> Column:
-    """Remove `.` and `..` segments from a '/'-separated path (RFC 3986 5.2.4)."""
-    segs = F.split(col_(path), "/")
-    folded = F.aggregate(
-        segs,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(
-            s == "..",
-            F.when((F.size(acc) == 1) & (F.get(acc, 0) == ""), acc).otherwise(
-                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-            ),
-        )
-        .when(s == ".", acc)
-        .otherwise(F.array_append(acc, s)),
-    )
-    last = F.element_at(segs, -1)
-    tail = F.when((last == ".") | (last == ".."), F.lit("/")).otherwise(F.lit(""))
-    return F.concat(F.array_join(folded, "/"), tail)
-
-
 def resolve_media(url, page_url) -> Column:
     """Resolve a media URL against the page only when it starts with `/`, `./`
     or `../`; anything else is left as written (bare relatives stay relative)."""

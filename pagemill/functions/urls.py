@@ -25,9 +25,31 @@ def host(url) -> Column:
     return F.lower(F.try_parse_url(col_(url), F.lit("HOST")))
 
 
+def fold_dot_segments(path) -> Column:
+    """Remove `.` and `..` segments from a '/'-separated path (RFC 3986 5.2.4)."""
+    segs = F.split(col_(path), "/")
+    folded = F.aggregate(
+        segs,
+        F.array().cast("array<string>"),
+        lambda acc, s: F.when(
+            s == "..",
+            F.when((F.size(acc) == 1) & (F.get(acc, 0) == ""), acc).otherwise(
+                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+            ),
+        )
+        .when(s == ".", acc)
+        .otherwise(F.array_append(acc, s)),
+    )
+    last = F.element_at(segs, -1)
+    tail = F.when((last == ".") | (last == ".."), F.lit("/")).otherwise(F.lit(""))
+    return F.concat(F.array_join(folded, "/"), tail)
+
+
 def path(url) -> Column:
-    """`new URL(u).pathname`: '' becomes '/'; NULL when unparsable."""
+    """`new URL(u).pathname`: '' becomes '/', `.` / `..` segments folded; NULL
+    when unparsable."""
     p = F.try_parse_url(col_(url), F.lit("PATH"))
+    p = F.when(p.contains("/."), fold_dot_segments(p)).otherwise(p)
     return F.when(p == "", F.lit("/")).otherwise(p)
 
 
@@ -95,8 +117,9 @@ def path_key(url, base_dir: str = "tmp", filename: str | None = None) -> Column:
     p = F.when(p == "", F.lit("index")).otherwise(p)
     d, base, stem, _ext = _split_path(p)
     fname = F.lit(filename) if filename else base
-    key = F.concat_ws("/", F.lit(base_dir), host(url), F.nullif(d, F.lit("")), stem, fname)
-    return F.when(host(url).isNotNull(), F.regexp_replace(key, "/+", "/"))
+    key = F.regexp_replace(F.concat_ws("/", F.lit(base_dir), host(url), F.nullif(d, F.lit("")), stem, fname), "/+", "/")
+    key = F.when(key.contains("/."), fold_dot_segments(key)).otherwise(key)  # path.join normalises `.`/`..`
+    return F.when(host(url).isNotNull(), key)
 
 
 def dir_key(url, base_dir: str = "tmp") -> Column:

@@ -35,14 +35,7 @@ KNOWN = f"""known AS (
   FROM (SELECT DISTINCT doc_id % 13 AS n FROM documents) WHERE n % 3 <> 0)"""
 
 
-def _fold(p: str) -> str:
-    red = (
-        f"list_reduce(string_split({p}, '/'), lambda acc, s: CASE WHEN s = '..' THEN "
-        f"(CASE WHEN len(acc) = 1 AND acc[1] = '' THEN acc ELSE acc[1:len(acc) - 1] END) "
-        f"WHEN s = '.' THEN acc ELSE list_append(acc, s) END, []::VARCHAR[])"
-    )
-    last = f"string_split({p}, '/')[-1]"
-    return f"(array_to_string({red}, '/') || CASE WHEN {last} IN ('.', '..') THEN '/' ELSE '' END)"
+_fold = D.fold_dot_segments
 
 
 def _resolve(u: str, origin: str, base_path: str) -> str:

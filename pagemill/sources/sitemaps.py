@@ -43,17 +43,19 @@ def index_edges(docs: DataFrame) -> DataFrame:
     )
 
 
-def expand(docs: DataFrame, roots: DataFrame) -> DataFrame:
+def expand(docs: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Every URL reachable from each root (`roots(root)`), child lists
     concatenated in index order without dedup. `order_key` orders the result
     the way the reference's depth-first concatenation does. Cycles are cut
     (a document already on the path is not entered again); depth is bounded
-    by `spark.sql.cteRecursionLevelLimit`."""
+    by `max_depth` when given, else by `spark.sql.cteRecursionLevelLimit`
+    (exceeding that raises instead of returning a partial list)."""
     spark = docs.sparkSession
     n = next(_ids)
     edges_v, roots_v = f"pm_sitemap_edges_{n}", f"pm_sitemap_roots_{n}"
     index_edges(docs).createOrReplaceTempView(edges_v)
     roots.select("root").createOrReplaceTempView(roots_v)
+    depth_guard = f" AND r.depth < {int(max_depth)}" if max_depth is not None else ""
     reach = spark.sql(
         f"""
         WITH RECURSIVE r(root, doc, depth, order_key, path) AS (
@@ -63,7 +65,7 @@ def expand(docs: DataFrame, roots: DataFrame) -> DataFrame:
                  concat(r.order_key, lpad(CAST(e.pos AS STRING), {ORDER_DIGITS}, '0'), '.'),
                  array_append(r.path, e.child)
           FROM r JOIN {edges_v} e ON e.parent = r.doc
-          WHERE NOT array_contains(r.path, e.child)
+          WHERE NOT array_contains(r.path, e.child){depth_guard}
         )
         SELECT root, doc, depth, order_key FROM r
         """

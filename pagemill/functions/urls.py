@@ -25,32 +25,33 @@ def host(url) -> Column:
     return F.lower(F.try_parse_url(col_(url), F.lit("HOST")))
 
 
+# Dot-segment folding (RFC 3986 5.2.4) with plain regex passes, so it stays in
+# whole-stage codegen (a higher-order fold halved the speed of whole plans).
+# `..` chains deeper than DOT_DOT_PASSES levels are left partly unfolded.
+DOT_DOT_PASSES = 4
+_SEG = "(?:[^/.][^/]*|\\.[^/.][^/]*|\\.\\.[^/]+)"  # a segment that is neither `.` nor `..`
+DOT_RULES = (
+    [("(/\\.|/\\.\\.)\\z", "$1/")]  # trailing `/.`, `/..` behave like `/./`, `/../`
+    + [("/\\./", "/")] * 2
+    + [(f"/{_SEG}/\\.\\./", "/")] * DOT_DOT_PASSES
+    + [("\\A/\\.\\./", "/")] * DOT_DOT_PASSES
+)
+
+
 def fold_dot_segments(path) -> Column:
-    """Remove `.` and `..` segments from a '/'-separated path (RFC 3986 5.2.4)."""
-    segs = F.split(col_(path), "/")
-    folded = F.aggregate(
-        segs,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(
-            s == "..",
-            F.when((F.size(acc) == 1) & (F.get(acc, 0) == ""), acc).otherwise(
-                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-            ),
-        )
-        .when(s == ".", acc)
-        .otherwise(F.array_append(acc, s)),
-    )
-    last = F.element_at(segs, -1)
-    tail = F.when((last == ".") | (last == ".."), F.lit("/")).otherwise(F.lit(""))
-    return F.concat(F.array_join(folded, "/"), tail)
+    """Remove `.` and `..` segments from a '/'-rooted path."""
+    out = col_(path)
+    for pattern, repl in DOT_RULES:
+        out = F.regexp_replace(out, pattern, repl)
+    return out
 
 
 def path(url) -> Column:
-    """`new URL(u).pathname`: '' becomes '/', `.` / `..` segments folded; NULL
-    when unparsable."""
-    p = F.try_parse_url(col_(url), F.lit("PATH"))
-    p = F.when(p.contains("/."), fold_dot_segments(p)).otherwise(p)
-    return F.when(p == "", F.lit("/")).otherwise(p)
+    """`new URL(u).pathname`: dot segments folded, '' becomes '/'; NULL when
+    unparsable. (Every helper below uses each intermediate value once, so the
+    generated code stays small and inside whole-stage codegen.)"""
+    p = fold_dot_segments(F.try_parse_url(col_(url), F.lit("PATH")))
+    return F.regexp_replace(p, "\\A\\z", "/")
 
 
 def sanitize_path(p) -> Column:
@@ -101,25 +102,17 @@ def resolve_against_origin(href, page_url) -> Column:
     )
 
 
-def _split_path(p: Column):
-    """(dir, base, stem) of a slash-trimmed path, Node `path` semantics."""
-    base = F.regexp_extract(p, "[^/]*\\z", 0)
-    d = F.regexp_extract(p, "\\A(.*)/[^/]*\\z", 1)
-    ext = F.regexp_extract(base, "\\A.+(\\.[^.]*)\\z", 1)
-    stem = F.left(base, F.length(base) - F.length(ext))
-    return d, base, stem, ext
+# dir (with its trailing '/'), stem, extension of a slash-trimmed path, with
+# Node's `path.extname` rule (the last dot, not leading the name).
+KEY_RE = "\\A((?:.*/)?)([^/]+?)((?:\\.[^./]*)?)\\z"
 
 
 def path_key(url, base_dir: str = "tmp", filename: str | None = None) -> Column:
     """URL → `base/host/dirname(path)/stem/filename` (query and fragment dropped;
     empty path → `index`)."""
-    p = F.regexp_replace(path(url), "\\A/+|/+\\z", "")
-    p = F.when(p == "", F.lit("index")).otherwise(p)
-    d, base, stem, _ext = _split_path(p)
-    fname = F.lit(filename) if filename else base
-    key = F.regexp_replace(F.concat_ws("/", F.lit(base_dir), host(url), F.nullif(d, F.lit("")), stem, fname), "/+", "/")
-    key = F.when(key.contains("/."), fold_dot_segments(key)).otherwise(key)  # path.join normalises `.`/`..`
-    return F.when(host(url).isNotNull(), key)
+    p = F.regexp_replace(F.regexp_replace(path(url), "\\A/+|/+\\z", ""), "\\A\\z", "index")
+    tail = F.regexp_replace(p, KEY_RE, "$1$2/" + (filename.replace("\\", "\\\\").replace("$", "\\$") if filename else "$2$3"))
+    return F.regexp_replace(F.concat(F.lit(base_dir + "/"), host(url), F.lit("/"), tail), "/+", "/")
 
 
 def dir_key(url, base_dir: str = "tmp") -> Column:
@@ -131,6 +124,4 @@ def markdown_paths(url, output_base: str = "output", processed: str = "pages"):
     """(tmp Markdown path, processed output path) of a page URL:
     `.html` → `.md`, processed = `output/pages/<last dir>/<file>`."""
     tmp_md = F.regexp_replace(path_key(url), "\\.html\\z", ".md")
-    last_dir = F.regexp_extract(tmp_md, "([^/]+)/[^/]+\\z", 1)
-    fname = F.regexp_extract(tmp_md, "[^/]+\\z", 0)
-    return tmp_md, F.concat_ws("/", F.lit(output_base), F.lit(processed), last_dir, fname)
+    return tmp_md, F.regexp_replace(tmp_md, "\\A.*/([^/]+/[^/]+)\\z", f"{output_base}/{processed}/$1")

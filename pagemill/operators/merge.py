@@ -42,7 +42,7 @@ def prefer_processed(raw: DataFrame, processed: DataFrame) -> DataFrame:
 def section_name(url) -> Column:
     """`path.basename(markdownPath, '.md')` of the page's Markdown path."""
     tmp_md, _ = markdown_paths(url)
-    return F.regexp_replace(F.regexp_extract(tmp_md, "[^/]+\\z", 0), "\\.md\\z", "")
+    return F.regexp_replace(tmp_md, "\\A.*/([^/]+?)(?:\\.md)?\\z", "$1")
 
 
 def with_parts(df: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:

@@ -167,18 +167,13 @@ def host(expr: str) -> str:
 
 
 def fold_dot_segments(p: str) -> str:
-    red = (
-        f"list_reduce(string_split({p}, '/'), lambda acc, s: CASE WHEN s = '..' THEN "
-        f"(CASE WHEN len(acc) = 1 AND acc[1] = '' THEN acc ELSE acc[1:len(acc) - 1] END) "
-        f"WHEN s = '.' THEN acc ELSE list_append(acc, s) END, []::VARCHAR[])"
-    )
-    last = f"string_split({p}, '/')[-1]"
-    return f"(array_to_string({red}, '/') || CASE WHEN {last} IN ('.', '..') THEN '/' ELSE '' END)"
+    for pattern, r in U.DOT_RULES:
+        p = rr(p, pattern, r)
+    return p
 
 
 def path(expr: str) -> str:
-    p0 = f"regexp_extract({expr}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
-    p = f"(CASE WHEN contains({p0}, '/.') THEN {fold_dot_segments(p0)} ELSE {p0} END)"
+    p = fold_dot_segments(f"regexp_extract({expr}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)")
     return f"(CASE WHEN {p} = '' THEN '/' ELSE {p} END)"
 
 
@@ -224,9 +219,8 @@ def path_key(url: str, base_dir: str = "tmp", filename: str | None = None) -> st
     ext = f"regexp_extract({base}, '^.+(\\.[^.]*)$', 1)"
     stem = f"left({base}, length({base}) - length({ext}))"
     fname = q(filename) if filename else base
-    key0 = f"regexp_replace(concat_ws('/', {q(base_dir)}, {host(url)}, nullif({d}, ''), {stem}, {fname}), '/+', '/', 'g')"
-    key = f"(CASE WHEN contains({key0}, '/.') THEN {fold_dot_segments(key0)} ELSE {key0} END)"
-    return f"(CASE WHEN {host(url)} IS NOT NULL THEN {key} END)"
+    key = f"concat_ws('/', {q(base_dir)}, {host(url)}, nullif({d}, ''), {stem}, {fname})"
+    return f"(CASE WHEN {host(url)} IS NOT NULL THEN regexp_replace({key}, '/+', '/', 'g') END)"
 
 
 def keep_link(u: str) -> str:

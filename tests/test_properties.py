@@ -53,7 +53,7 @@ def test_usd_text_is_half_up_of_exact_value(spark, values):
 
 
 @settings(max_examples=5, deadline=None)
-@given(st.lists(st.from_regex(r"[a-z]{1,8}(/[a-z0-9.]{0,6}){0,4}/?", fullmatch=True), min_size=1, max_size=30))
+@given(st.lists(st.from_regex(r"[a-z]{1,8}(/[a-z0-9][a-z0-9.]{0,5}|/\.|/\.\.){0,4}/?", fullmatch=True), min_size=1, max_size=30))
 def test_path_key_shape(spark, paths):
     import posixpath
 

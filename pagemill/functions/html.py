@@ -6,11 +6,11 @@ Java/RE2 common subset (see `text.py`), so the DuckDB oracle runs the very
 same rules.
 
 Contract of the Markdown renderer (`MARKDOWN_RULES`, applied in order):
-ATX headings, fenced code, `**` for b/strong, `_` for i/em, inline links and
-images, `*   ` bullets, `> ` quotes, `  \\n` for <br>, `* * *` for <hr>, one
-blank line between blocks, unknown tags dropped with their text kept,
-entities decoded last (`&amp;` after the others). Nested lists are flattened;
-whitespace inside <pre> collapses like any other text.
+ATX headings, fenced code (whitespace inside <pre> kept), `**` for b/strong,
+`_` for i/em, inline links and images, `*   ` bullets and `1.  ` items of
+ordered lists, `> ` quotes, `  \\n` for <br>, `* * *` for <hr>, one blank line
+between blocks, unknown tags dropped with their text kept, entities decoded
+last (`&amp;` after the others). Nested lists are flattened.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ MARKDOWN_RULES: list[tuple[str, str, str]] = [
     ("br", f"(?i)<br{HTML_WS}*/?>", "  \n"),
     ("hr", f"(?i)<hr{_OPEN}", "\n\n* * *\n\n"),
     ("li_open", f"(?i)<li{_OPEN}", "\n*   "),
-    ("li_close", f"(?i)</li{_CLOSE}", "\n"),
+    ("li_close", f"(?i)</li{_CLOSE}", ""),
     ("quote", f"(?i)<blockquote{_OPEN}", "\n\n> "),
     ("quote_close", f"(?i)</blockquote{_CLOSE}", "\n\n"),
     ("blocks", f"(?i)</?(?:{BLOCK_TAGS}){_OPEN}", "\n\n"),
@@ -98,15 +98,54 @@ def tables_to_markdown(html) -> Column:
     return F.when(h.contains("<table"), F.array_join(conv, "")).otherwise(h)
 
 
+# Whitespace inside <pre> is kept: before whitespace collapsing, the text of
+# every <pre> block (tags stripped, as its textContent) has its spaces, newlines
+# and tabs swapped for private-use placeholders, swapped back at the very end.
+PRE_WS_FROM = " \n\t\r"
+PRE_WS_TO = "\ue001\ue000\ue002"  # '\r' is dropped
+PRE_BLOCK = f"(?is)(<pre{_OPEN})(.*?)(</pre{_CLOSE})"
+OL_BLOCK = f"(?is)(<ol{_OPEN})(.*?)(</ol{_CLOSE})"
+OL_ITEM = f"(?i)<li{_OPEN}"
+
+
+def _inner_segments(out: Column, block: str, fn) -> Column:
+    """Apply `fn` to the inner text of every `block` match (open tag, inner, close
+    tag captured as groups 1-3): cut out with a sentinel split, odd segments are
+    the inner parts."""
+    marked = F.regexp_replace(out, block, f"$1{TABLE_MARK}$2{TABLE_MARK}$3")
+    segs = F.split(marked, TABLE_MARK)
+    return F.array_join(F.transform(segs, lambda s, i: F.when(i % 2 == 1, fn(s)).otherwise(s)), "")
+
+
+def protect_pre(out: Column) -> Column:
+    return F.when(out.rlike("(?i)<pre"), _inner_segments(
+        out, PRE_BLOCK, lambda s: F.translate(strip_tags(s), PRE_WS_FROM, PRE_WS_TO)
+    )).otherwise(out)
+
+
+def restore_pre(out: Column) -> Column:
+    return F.translate(out, PRE_WS_TO, PRE_WS_FROM[:3])
+
+
+def ordered_lists(out: Column) -> Column:
+    """Items of `<ol>` lists become `1.  ` items (Markdown renumbers them)."""
+    return F.when(out.rlike("(?i)<ol"), _inner_segments(
+        out, OL_BLOCK, lambda s: F.regexp_replace(s, OL_ITEM, "\n1.  ")
+    )).otherwise(out)
+
+
 def html_to_markdown(html, rules: list[tuple[str, str, str]] | None = None) -> Column:
     rules = rules or MARKDOWN_RULES
     out = col_(html)
-    for _name, pattern, repl in rules[:PRE_CLEAN]:
+    for _name, pattern, repl in rules[: PRE_CLEAN - 1]:
+        out = _apply(out, pattern, repl)
+    out = protect_pre(out)
+    for _name, pattern, repl in rules[PRE_CLEAN - 1 : PRE_CLEAN]:
         out = _apply(out, pattern, repl)
-    out = tables_to_markdown(out)
+    out = ordered_lists(tables_to_markdown(out))
     for _name, pattern, repl in rules[PRE_CLEAN:]:
         out = _apply(out, pattern, repl)
-    return out
+    return restore_pre(out)
 
 
 # ---------------------------------------------------------------- fields

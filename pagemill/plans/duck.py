@@ -90,14 +90,32 @@ def tables_to_markdown(expr: str) -> str:
     return f"(CASE WHEN contains({expr}, '<table') THEN array_to_string({conv}, '') ELSE {expr} END)"
 
 
+def _inner_segments(expr: str, block: str, fn) -> str:
+    marked = f"regexp_replace({expr}, {q(block)}, '\\1' || chr(1) || '\\2' || chr(1) || '\\3', 'g')"
+    return f"array_to_string(list_transform(string_split({marked}, chr(1)), lambda s, i: CASE WHEN i % 2 = 0 THEN {fn('s')} ELSE s END), '')"
+
+
+def protect_pre(expr: str) -> str:
+    inner = _inner_segments(expr, H.PRE_BLOCK, lambda s: f"translate(regexp_replace({s}, '<[^>]*>', '', 'g'), {q(H.PRE_WS_FROM)}, {q(H.PRE_WS_TO)})")
+    return f"(CASE WHEN regexp_matches({expr}, '(?i)<pre') THEN {inner} ELSE {expr} END)"
+
+
+def ordered_lists(expr: str) -> str:
+    inner = _inner_segments(expr, H.OL_BLOCK, lambda s: rr(s, H.OL_ITEM, chr(10) + "1.  "))
+    return f"(CASE WHEN regexp_matches({expr}, '(?i)<ol') THEN {inner} ELSE {expr} END)"
+
+
 def html_to_markdown(expr: str) -> str:
     rules = H.MARKDOWN_RULES
-    for _n, p, r in rules[: H.PRE_CLEAN]:
+    for _n, p, r in rules[: H.PRE_CLEAN - 1]:
         expr = apply_rule(expr, p, r)
-    expr = tables_to_markdown(expr)
+    expr = protect_pre(expr)
+    for _n, p, r in rules[H.PRE_CLEAN - 1 : H.PRE_CLEAN]:
+        expr = apply_rule(expr, p, r)
+    expr = ordered_lists(tables_to_markdown(expr))
     for _n, p, r in rules[H.PRE_CLEAN :]:
         expr = apply_rule(expr, p, r)
-    return expr
+    return f"translate({expr}, {q(H.PRE_WS_TO)}, {q(H.PRE_WS_FROM[:3])})"
 
 
 def page_title(expr: str) -> str:

@@ -21,6 +21,7 @@ SAMPLE = """<!DOCTYPE html>
   <p><a href="media/clip.mp3">Clip one</a> and <a href="media/clip.wav">Clip two</a></p>
   <h2>Lists</h2>
   <ul><li>alpha</li><li>beta</li><li>gamma</li></ul>
+  <ol><li>first</li><li>second</li></ol>
   <blockquote>Quoted words</blockquote>
   <pre><code>x = 1
 y = 2</code></pre>
@@ -74,9 +75,10 @@ def test_markdown_rules(spark):
     assert "![First picture](images/one.png)" in body
     assert "![Second](images/two.png)" in body
     assert "[Clip one](media/clip.mp3) and [Clip two](media/clip.wav)" in body
-    assert "*   alpha\n" in body and "*   gamma" in body
+    assert "*   alpha\n*   beta\n*   gamma\n\n" in body
+    assert "1.  first\n1.  second" in body
     assert "> Quoted words" in body
-    assert "```\nx = 1 y = 2\n```" in body  # whitespace in <pre> collapses (documented)
+    assert "```\nx = 1\ny = 2\n```" in body  # whitespace inside <pre> is kept
     assert "Line one  \nLine two & more…" in body
     assert "Home" not in body and "Sample</" not in body  # nav and footer are not main content
     assert "color:red" not in body and "var x" not in body

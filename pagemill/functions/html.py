@@ -62,8 +62,8 @@ MARKDOWN_RULES: list[tuple[str, str, str]] = [
     ("hr", f"(?i)<hr{_OPEN}", "\n\n* * *\n\n"),
     ("li_open", f"(?i)<li{_OPEN}", "\n*   "),
     ("li_close", f"(?i)</li{_CLOSE}", ""),
-    ("quote", f"(?i)<blockquote{_OPEN}", "\n\n> "),
-    ("quote_close", f"(?i)</blockquote{_CLOSE}", "\n\n"),
+    ("quote", f"(?i)<blockquote{_OPEN}", "\n\n\ue010"),
+    ("quote_close", f"(?i)</blockquote{_CLOSE}", "\ue011\n\n"),
     ("blocks", f"(?i)</?(?:{BLOCK_TAGS}){_OPEN}", "\n\n"),
     ("tags", "<[^>]*>", ""),
 ] + [
@@ -134,6 +134,25 @@ def ordered_lists(out: Column) -> Column:
     )).otherwise(out)
 
 
+QUOTE_OPEN, QUOTE_CLOSE = "\ue010", "\ue011"
+QUOTE_BLOCK = f"{QUOTE_OPEN}([^{QUOTE_CLOSE}]*){QUOTE_CLOSE}"
+
+
+def quote_lines(out: Column) -> Column:
+    """Prefix every line of a quote with `> ` (quotes are marked by the quote
+    rules and rendered last, when their content is final Markdown)."""
+    marked = F.regexp_replace(out, QUOTE_BLOCK, f"{TABLE_MARK}$1{TABLE_MARK}")
+    segs = F.split(marked, TABLE_MARK)
+    conv = F.transform(
+        segs,
+        lambda s, i: F.when(
+            i % 2 == 1, F.concat(F.lit("> "), F.regexp_replace(F.regexp_replace(s, "\\A[ \n]+|[ \n]+\\z", ""), "\n", "\n> "))
+        ).otherwise(s),
+    )
+    done = F.when(out.contains(QUOTE_OPEN), F.array_join(conv, "")).otherwise(out)
+    return F.regexp_replace(F.translate(done, QUOTE_OPEN + QUOTE_CLOSE, ""), "\\A[ \n]+|[ \n]+\\z", "")
+
+
 def html_to_markdown(html, rules: list[tuple[str, str, str]] | None = None) -> Column:
     rules = rules or MARKDOWN_RULES
     out = col_(html)
@@ -145,7 +164,7 @@ def html_to_markdown(html, rules: list[tuple[str, str, str]] | None = None) -> C
     out = ordered_lists(tables_to_markdown(out))
     for _name, pattern, repl in rules[PRE_CLEAN:]:
         out = _apply(out, pattern, repl)
-    return restore_pre(out)
+    return restore_pre(quote_lines(out))
 
 
 # ---------------------------------------------------------------- fields

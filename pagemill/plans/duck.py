@@ -115,7 +115,14 @@ def html_to_markdown(expr: str) -> str:
     expr = ordered_lists(tables_to_markdown(expr))
     for _n, p, r in rules[H.PRE_CLEAN :]:
         expr = apply_rule(expr, p, r)
-    return f"translate({expr}, {q(H.PRE_WS_TO)}, {q(H.PRE_WS_FROM[:3])})"
+    marked = f"regexp_replace({expr}, {q(H.QUOTE_BLOCK)}, chr(1) || '\\1' || chr(1), 'g')"
+    conv = (
+        f"array_to_string(list_transform(string_split({marked}, chr(1)), lambda s, i: CASE WHEN i % 2 = 0 THEN "
+        f"'> ' || replace(regexp_replace(s, '^[ \n]+|[ \n]+$', '', 'g'), chr(10), chr(10) || '> ') ELSE s END), '')"
+    )
+    quoted = f"translate(CASE WHEN contains({expr}, {q(H.QUOTE_OPEN)}) THEN {conv} ELSE {expr} END, {q(H.QUOTE_OPEN + H.QUOTE_CLOSE)}, '')"
+    quoted = rr(quoted, "\\A[ \n]+|[ \n]+\\z", "")
+    return f"translate({quoted}, {q(H.PRE_WS_TO)}, {q(H.PRE_WS_FROM[:3])})"
 
 
 def page_title(expr: str) -> str:

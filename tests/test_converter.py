@@ -22,7 +22,7 @@ SAMPLE = """<!DOCTYPE html>
   <h2>Lists</h2>
   <ul><li>alpha</li><li>beta</li><li>gamma</li></ul>
   <ol><li>first</li><li>second</li></ol>
-  <blockquote>Quoted words</blockquote>
+  <blockquote><p>Quoted words</p><p>second line</p></blockquote>
   <pre><code>x = 1
 y = 2</code></pre>
   <p>Line one<br>Line two &amp; more&hellip;</p>
@@ -77,7 +77,7 @@ def test_markdown_rules(spark):
     assert "[Clip one](media/clip.mp3) and [Clip two](media/clip.wav)" in body
     assert "*   alpha\n*   beta\n*   gamma\n\n" in body
     assert "1.  first\n1.  second" in body
-    assert "> Quoted words" in body
+    assert "> Quoted words\n> \n> second line\n\n" in body
     assert "```\nx = 1\ny = 2\n```" in body  # whitespace inside <pre> is kept
     assert "Line one  \nLine two & more…" in body
     assert "Home" not in body and "Sample</" not in body  # nav and footer are not main content

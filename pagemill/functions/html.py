@@ -153,7 +153,30 @@ def quote_lines(out: Column) -> Column:
     return F.regexp_replace(F.translate(done, QUOTE_OPEN + QUOTE_CLOSE, ""), "\\A[ \n]+|[ \n]+\\z", "")
 
 
+def add_markdown(df, html, out: str, rules: list[tuple[str, str, str]] | None = None):
+    """DataFrame form of `html_to_markdown`: adds column `out`. The steps that
+    look at their input more than once (guards around segment splits) get
+    their own projection, so they read a column instead of re-deriving the rule
+    chain (and the higher-order segment functions never pull the regex chain
+    out of whole-stage codegen)."""
+    rules = rules or MARKDOWN_RULES
+    e = col_(html)
+    for _name, pattern, repl in rules[: PRE_CLEAN - 1]:
+        e = _apply(e, pattern, repl)
+    df = df.withColumn(out, e).withColumn(out, protect_pre(F.col(out)))
+    e = F.col(out)
+    for _name, pattern, repl in rules[PRE_CLEAN - 1 : PRE_CLEAN]:
+        e = _apply(e, pattern, repl)
+    df = df.withColumn(out, e).withColumn(out, tables_to_markdown(F.col(out))).withColumn(out, ordered_lists(F.col(out)))
+    e = F.col(out)
+    for _name, pattern, repl in rules[PRE_CLEAN:]:
+        e = _apply(e, pattern, repl)
+    return df.withColumn(out, e).withColumn(out, restore_pre(quote_lines(F.col(out))))
+
+
 def html_to_markdown(html, rules: list[tuple[str, str, str]] | None = None) -> Column:
+    """Column form (ad-hoc use); operators use `add_markdown`, which evaluates
+    the same steps with one projection per guarded step."""
     rules = rules or MARKDOWN_RULES
     out = col_(html)
     for _name, pattern, repl in rules[: PRE_CLEAN - 1]:

@@ -22,8 +22,8 @@ def tag_block(tag: str, value) -> "F.Column":
 
 def page_markdown(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Body Markdown of the main content (reader-mode shortcut + renderer)."""
-    return pages.select(
-        "page_id", "url", H.html_to_markdown(H.main_content_html(F.col(html_col))).alias("body_md")
+    return H.add_markdown(pages.select("page_id", "url", html_col), H.main_content_html(F.col(html_col)), "body_md").select(
+        "page_id", "url", "body_md"
     )
 
 
@@ -33,13 +33,14 @@ def page_document(pages: DataFrame, run_date: str = DEFAULT_RUN_DATE) -> DataFra
     df = pages.select(
         "page_id",
         "url",
+        "html",
         H.page_title("html").alias("title"),
         H.last_modified("html", run_date).alias("last_modified"),
         F.when(F.col("html").rlike("(?i)breadcrumb|navigation-path|class=\"[^\"]*path"), H.breadcrumbs_markdown(crumbs))
         .otherwise(F.lit(""))
         .alias("breadcrumb_md"),
-        H.html_to_markdown(H.main_content_html(F.col("html"))).alias("body_md"),
     )
+    df = H.add_markdown(df, H.main_content_html(F.col("html")), "body_md").drop("html")
     return df.withColumn(
         "markdown",
         F.concat(

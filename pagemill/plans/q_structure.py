@@ -27,8 +27,8 @@ FROM r JOIN region ON r.n_regionkey = region.r_regionkey""",
 def html_tables(t):
     p = region_table_pages(t)
     table = F.regexp_extract("html", "(?is)(<table.*</table>)", 1)
-    return p.select("region_key", "r_name", H.html_table_markdown(table).alias("table_md"),
-                    H.html_to_markdown(F.col("html")).alias("page_md"))
+    t2 = p.select("region_key", "r_name", "html", H.html_table_markdown(table).alias("table_md"))
+    return H.add_markdown(t2, F.col("html"), "page_md").select("region_key", "r_name", "table_md", "page_md")
 
 
 @register(

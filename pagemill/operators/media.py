@@ -170,9 +170,9 @@ def enrich_markdown(pages: DataFrame, resolved: DataFrame, md_col: str = "markdo
         F.map_from_entries(F.collect_list(F.when(F.col("kind") == "audio", entry))).alias("audio_map"),
     )
     p = pages.join(maps, "page_id", "left")
-    img = _annotate(F.col(md_col), M.IMAGE_REF, "image", F.col("image_map"))
-    both = _annotate(img, M.LINK_REF, "audio", F.col("audio_map"))
-    return p.select("page_id", "url", both.alias("processed"))
+    # Two projections: the audio pass reads the image pass as a column.
+    p = p.withColumn("_img", _annotate(F.col(md_col), M.IMAGE_REF, "image", F.col("image_map")))
+    return p.select("page_id", "url", _annotate(F.col("_img"), M.LINK_REF, "audio", F.col("audio_map")).alias("processed"))
 
 
 def sidecar_notes(resolved: DataFrame) -> DataFrame:

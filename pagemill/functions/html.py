@@ -153,6 +153,52 @@ def quote_lines(out: Column) -> Column:
     return F.regexp_replace(F.translate(done, QUOTE_OPEN + QUOTE_CLOSE, ""), "\\A[ \n]+|[ \n]+\\z", "")
 
 
+# Markdown escapes applied to text nodes (the converter's
+# defaults): backslash, `*`, `` ` ``, `[`, `]`, `_` everywhere; a leading `-`,
+# `+ `, `=`, `#`…`###### `, `~~~`, `>` or `1. ` at the start of a text node.
+# (A single leading space is allowed before the anchored ones: the text is
+# whitespace-collapsed but, unlike a DOM, not trimmed at block starts.)
+TEXT_ESCAPES = [
+    (r"\\", r"\\\\"),
+    (r"\*", r"\\*"),
+    (r"\A( ?)-", r"$1\\-"),
+    (r"\A( ?)\+ ", r"$1\\+ "),
+    (r"\A( ?)(=+)", r"$1\\$2"),
+    (r"\A( ?)(#{1,6}) ", r"$1\\$2 "),
+    (r"`", r"\\`"),
+    (r"\A( ?)~~~", r"$1\\~~~"),
+    (r"\[", r"\\["),
+    (r"\]", r"\\]"),
+    (r"\A( ?)>", r"$1\\>"),
+    (r"_", r"\\_"),
+    (r"\A( ?)(\d+)\. ", r"$1$2\\. "),
+]
+# Regions whose text is not escaped: code (inline and blocks) and tables
+# (cells are rendered from their raw text).
+UNESCAPED_BLOCK = (
+    f"(?is)(<table{_OPEN}.*?</table{_CLOSE}|<code{_OPEN}.*?</code{_CLOSE}|<pre{_OPEN}.*?</pre{_CLOSE})"
+)
+TAG_MARK = "\u0002"
+
+
+def escape_text(t: Column) -> Column:
+    for pattern, repl in TEXT_ESCAPES:
+        t = F.regexp_replace(t, pattern, repl)
+    return t
+
+
+def escape_text_nodes(out: Column) -> Column:
+    """Escape Markdown punctuation in the text between tags, outside code and
+    tables: regions, then tags, are cut out with sentinel splits."""
+
+    def region(s: Column) -> Column:
+        parts = F.split(F.regexp_replace(s, "(<[^>]*>)", f"{TAG_MARK}$1{TAG_MARK}"), TAG_MARK)
+        return F.array_join(F.transform(parts, lambda t, j: F.when(j % 2 == 0, escape_text(t)).otherwise(t)), "")
+
+    segs = F.split(F.regexp_replace(out, UNESCAPED_BLOCK, f"{TABLE_MARK}$1{TABLE_MARK}"), TABLE_MARK)
+    return F.array_join(F.transform(segs, lambda s, i: F.when(i % 2 == 0, region(s)).otherwise(s)), "")
+
+
 def add_markdown(df, html, out: str, rules: list[tuple[str, str, str]] | None = None):
     """DataFrame form of `html_to_markdown`: adds column `out`. The steps that
     look at their input more than once (guards around segment splits) get
@@ -167,7 +213,8 @@ def add_markdown(df, html, out: str, rules: list[tuple[str, str, str]] | None =
     e = F.col(out)
     for _name, pattern, repl in rules[PRE_CLEAN - 1 : PRE_CLEAN]:
         e = _apply(e, pattern, repl)
-    df = df.withColumn(out, e).withColumn(out, tables_to_markdown(F.col(out))).withColumn(out, ordered_lists(F.col(out)))
+    df = df.withColumn(out, e).withColumn(out, escape_text_nodes(F.col(out)))
+    df = df.withColumn(out, tables_to_markdown(F.col(out))).withColumn(out, ordered_lists(F.col(out)))
     e = F.col(out)
     for _name, pattern, repl in rules[PRE_CLEAN:]:
         e = _apply(e, pattern, repl)
@@ -184,7 +231,7 @@ def html_to_markdown(html, rules: list[tuple[str, str, str]] | None = None) -> C
     out = protect_pre(out)
     for _name, pattern, repl in rules[PRE_CLEAN - 1 : PRE_CLEAN]:
         out = _apply(out, pattern, repl)
-    out = ordered_lists(tables_to_markdown(out))
+    out = ordered_lists(tables_to_markdown(escape_text_nodes(out)))
     for _name, pattern, repl in rules[PRE_CLEAN:]:
         out = _apply(out, pattern, repl)
     return restore_pre(quote_lines(out))

@@ -105,6 +105,20 @@ def ordered_lists(expr: str) -> str:
     return f"(CASE WHEN regexp_matches({expr}, '(?i)<ol') THEN {inner} ELSE {expr} END)"
 
 
+def escape_text_nodes(expr: str) -> str:
+    def esc(t: str) -> str:
+        for pattern, r in H.TEXT_ESCAPES:
+            t = rr(t, pattern, r)
+        return t
+
+    region = (
+        f"array_to_string(list_transform(string_split(regexp_replace(s, '(<[^>]*>)', chr(2) || '\\1' || chr(2), 'g'), chr(2)), "
+        f"lambda t, j: CASE WHEN j % 2 = 1 THEN {esc('t')} ELSE t END), '')"
+    )
+    segs = f"string_split(regexp_replace({expr}, {q(H.UNESCAPED_BLOCK)}, chr(1) || '\\1' || chr(1), 'g'), chr(1))"
+    return f"array_to_string(list_transform({segs}, lambda s, i: CASE WHEN i % 2 = 1 THEN {region} ELSE s END), '')"
+
+
 def html_to_markdown(expr: str) -> str:
     rules = H.MARKDOWN_RULES
     for _n, p, r in rules[: H.PRE_CLEAN - 1]:
@@ -112,7 +126,7 @@ def html_to_markdown(expr: str) -> str:
     expr = protect_pre(expr)
     for _n, p, r in rules[H.PRE_CLEAN - 1 : H.PRE_CLEAN]:
         expr = apply_rule(expr, p, r)
-    expr = ordered_lists(tables_to_markdown(expr))
+    expr = ordered_lists(tables_to_markdown(escape_text_nodes(expr)))
     for _n, p, r in rules[H.PRE_CLEAN :]:
         expr = apply_rule(expr, p, r)
     marked = f"regexp_replace({expr}, {q(H.QUOTE_BLOCK)}, chr(1) || '\\1' || chr(1), 'g')"

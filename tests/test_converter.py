@@ -124,3 +124,16 @@ def test_page_stats(spark):
     assert st.word_count == len(doc.split())
     assert st.token_count == -(-len(doc) // 4)
     assert st.title == ""  # the title is the page title, not the first line (which is a tag)
+
+
+def test_text_is_escaped_but_code_and_tables_are_not(spark):
+    html = (
+        "<article><h1>De%%% êeux*** ouier### x_y</h1><p>- item [a] `t` 1. one</p>"
+        "<p><code>a_b*c</code></p><pre>keep *this* _as_ is</pre>"
+        "<table><tr><th>k_1</th></tr><tr><td>v*2</td></tr></table></article>"
+    )
+    body = _doc(spark, html).body_md
+    assert body.startswith("# De%%% êeux\\*\\*\\* ouier### x\\_y\n\n")
+    assert "\\- item \\[a\\] \\`t\\` 1. one" in body
+    assert "`a_b*c`" in body and "keep *this* _as_ is" in body
+    assert "| k_1 |" in body and "| v*2 |" in body

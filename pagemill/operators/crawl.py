@@ -27,11 +27,15 @@ def is_challenge(html) -> Column:
     return cond
 
 
+# Fixed value: the `server` header value that marks a blocking proxy on a 403.
+BLOCKING_SERVER = "cloudflare"
+
+
 def outcome(status: Column, server: Column, challenge: Column) -> Column:
     return (
         F.when(challenge, "challenge")
         .when(status.between(200, 299), "ok")
-        .when((status == 403) & (F.lower(server) == "cloudflare"), "blocked")
+        .when((status == 403) & (F.lower(server) == BLOCKING_SERVER), "blocked")
         .when(status == 429, "rate_limited")
         .when(status >= 500, "server_error")
         .otherwise("client_error")

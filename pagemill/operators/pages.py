@@ -41,6 +41,8 @@ def page_document(pages: DataFrame, run_date: str = DEFAULT_RUN_DATE) -> DataFra
         .alias("breadcrumb_md"),
     )
     df = H.add_markdown(df, H.main_content_html(F.col("html")), "body_md").drop("html")
+    # A page without main content is a failed row, not a failed task.
+    df = df.withColumn("status", F.when(F.col("body_md") == "", F.lit("no_content")).otherwise(F.lit("ok")))
     return df.withColumn(
         "markdown",
         F.concat(

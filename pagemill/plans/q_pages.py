@@ -49,6 +49,7 @@ WITH d AS (
          {D.html_to_markdown(D.main_content_html('html'))} AS body_md
   FROM {{src}})
 SELECT page_id, url, title, last_modified, breadcrumb_md, body_md,
+       CASE WHEN body_md = '' THEN 'no_content' ELSE 'ok' END AS status,
        {D.tag_block('md_html-source', 'url')} || {D.tag_block('md_html-title', 'title')} ||
        {D.tag_block('md_last-modified', 'last_modified')} || breadcrumb_md || body_md AS markdown
 FROM d"""

@@ -137,3 +137,8 @@ def test_text_is_escaped_but_code_and_tables_are_not(spark):
     assert "\\- item \\[a\\] \\`t\\` 1. one" in body
     assert "`a_b*c`" in body and "keep *this* _as_ is" in body
     assert "| k_1 |" in body and "| v*2 |" in body
+
+
+def test_page_without_content_is_a_failed_row(spark):
+    assert _doc(spark, "<html><body><nav>only nav</nav></body></html>").status == "no_content"
+    assert _doc(spark, SAMPLE).status == "ok"

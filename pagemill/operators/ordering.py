@@ -6,7 +6,7 @@ range-partitioned on (group, order) first — range partitioning samples the
 keys, so even a group holding a third of all rows is cut across many
 partitions — and each partition is numbered locally. The offset of a partition
 is a prefix sum over a table with one row per (group, partition), which is
-tiny. The result equals the global window.
+tiny. The result equals the global window (tests/test_skew.py).
 """
 
 from __future__ import annotations
@@ -16,8 +16,18 @@ from pyspark.sql import functions as F
 
 
 def _ranged(df: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
+    """Range-partition on `keys` and record each row's partition as `_part`.
+
+    The result is checkpointed (to the session's shared checkpoint folder):
+    `_part` is a physical fact of one execution (AQE may coalesce partitions
+    differently for two consumers of the same shuffle), so both the per-part
+    counts and the rows must read the same materialised numbering. This also
+    cuts the lineage, so a lost executor never re-derives different parts."""
+    from pagemill.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id())
+    return df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
 
 
 def position_within(df: DataFrame, group: list[str], order: list[str], out: str = "i", total: str | None = None,

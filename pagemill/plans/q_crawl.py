@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from pagemill.functions.urls import host
 from pagemill.operators import crawl as C

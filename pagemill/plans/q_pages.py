@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
 from pagemill.operators import pages as P

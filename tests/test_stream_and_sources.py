@@ -154,3 +154,25 @@ def test_rule_hook_preview_and_transcript(spark):
     assert df.select(preview(F.col("h"), 5).alias("p")).first().p == "<p>a "
     got = df.select(M.transcript_text(F.col("t"), F.struct(F.lit("w").alias("text"))).alias("x")).first().x
     assert got == '{"text":"w"}'
+
+
+def test_sitemap_files_and_registry_export(spark, tmp_path):
+    from pagemill.sources import sitemaps as SM
+
+    d = tmp_path / "maps"
+    d.mkdir()
+    (d / "a.xml").write_text('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
+                             "<url><loc>https://a.org/1?x=1&amp;y=2</loc><lastmod>2024-01-02</lastmod></url>"
+                             "<url><loc>https://a.org/2</loc></url></urlset>")
+    (d / "idx.xml").write_text("<sitemapindex><sitemap><loc>https://a.org/a.xml</loc></sitemap></sitemapindex>")
+    docs = SM.read_sitemap_files(spark, str(d))
+    got = sorted((r.pos, r.loc, r.lastmod) for r in SM.urlset_entries(docs).collect())
+    assert got == [(0, "https://a.org/1?x=1&y=2", "2024-01-02"), (1, "https://a.org/2", None)]
+    assert [r.child for r in SM.index_edges(docs).collect()] == ["https://a.org/a.xml"]
+
+    occ = spark.createDataFrame([("h1", "p1", "u1")], "hash string, page_path string, original_url string")
+    contents = spark.createDataFrame([("h1", "image", "d")], "hash string, type string, content string")
+    W.export_registry_json(contents, occ, str(tmp_path / "export"))
+    back = spark.read.json(str(tmp_path / "export" / "entries")).first()
+    assert back.hash == "h1" and back.content == "d"
+    assert spark.read.json(str(tmp_path / "export" / "occurrences")).first().page_path == "p1"

@@ -263,6 +263,15 @@ def last_modified(html, run_date) -> Column:
     )
 
 
+def shortcut_html(html) -> Column:
+    """Reader-mode shortcut: inner HTML of the first `<article>`, else of the
+    first `<main>`, else '' (then the scored container decides)."""
+    h = col_(html)
+    article = F.regexp_extract(h, f"(?is)<article{_OPEN}(.*?)</article{_CLOSE}", 1)
+    main = F.regexp_extract(h, f"(?is)<main{_OPEN}(.*?)</main{_CLOSE}", 1)
+    return F.when(article != "", article).otherwise(main)
+
+
 def main_content_html(html) -> Column:
     """Reader-mode shortcut: the first `<article>`, else `<main>`, else the
     `<body>` (or whole page) without nav/header/footer/aside blocks.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
 from pagemill.functions.text import line_count, word_count
+from pagemill.operators import tokens as T
 
 DEFAULT_RUN_DATE = "2024-06-01"
 
@@ -21,26 +22,35 @@ def tag_block(tag: str, value) -> "F.Column":
 
 
 def page_markdown(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """Body Markdown of the main content (reader-mode shortcut + renderer)."""
-    return H.add_markdown(pages.select("page_id", "url", html_col), H.main_content_html(F.col(html_col)), "body_md").select(
+    """Body Markdown of the main content (same main-content choice as the document)."""
+    return page_document(pages.withColumnRenamed(html_col, "html") if html_col != "html" else pages).select(
         "page_id", "url", "body_md"
     )
 
 
 def page_document(pages: DataFrame, run_date: str = DEFAULT_RUN_DATE) -> DataFrame:
-    """The converter: source tag, title tag, last-modified tag, breadcrumb line, body."""
+    """The converter: source tag, title tag, last-modified tag, breadcrumb line, body.
+
+    Main content: the `<article>` / `<main>` shortcut where a page has one (a
+    narrow projection); otherwise the scored container of the token table
+    (`operators.tokens.scored_main_html`), computed only for those pages, which
+    are read a second time instead of shuffling every page. A page where
+    nothing scores gets an empty body and status `no_content`."""
     crumbs = H.breadcrumb_items(F.col("html"))
-    df = pages.select(
-        "page_id",
-        "url",
-        "html",
+    meta = [
         H.page_title("html").alias("title"),
         H.last_modified("html", run_date).alias("last_modified"),
         F.when(F.col("html").rlike("(?i)breadcrumb|navigation-path|class=\"[^\"]*path"), H.breadcrumbs_markdown(crumbs))
         .otherwise(F.lit(""))
         .alias("breadcrumb_md"),
-    )
-    df = H.add_markdown(df, H.main_content_html(F.col("html")), "body_md").drop("html")
+    ]
+    short = H.shortcut_html(F.col("html"))
+    with_short = pages.select("page_id", "url", "html", *meta, short.alias("main_html")).filter(F.col("main_html") != "")
+    rest = pages.filter(short == "").select("page_id", "url", "html", *meta)
+    scored = T.scored_main_html(rest.select("page_id", "html"))
+    rest = rest.join(scored, "page_id", "left").withColumn("main_html", F.coalesce("main_html", F.lit("")))
+    base = with_short.unionByName(rest.select(*with_short.columns))
+    df = H.add_markdown(base, F.col("main_html"), "body_md").drop("html", "main_html")
     # A page without main content is a failed row, not a failed task.
     df = df.withColumn("status", F.when(F.col("body_md") == "", F.lit("no_content")).otherwise(F.lit("ok")))
     return df.withColumn(

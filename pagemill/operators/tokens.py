@@ -43,8 +43,8 @@ def _clean(html):
     return out
 
 
-def html_tokens(pages: DataFrame) -> DataFrame:
-    """html_tokens(page_id, pos, kind, tag, depth, in_link, text)."""
+def html_tokens(pages: DataFrame, keep_raw: bool = False) -> DataFrame:
+    """html_tokens(page_id, pos, kind, tag, depth, in_link, text, is_container[, raw])."""
     toks = pages.select("page_id", F.posexplode(F.regexp_extract_all(_clean("html"), F.lit(TOKEN_RE), 0)).alias("pos", "tok"))
     tok = F.col("tok")
     kind = (
@@ -72,6 +72,7 @@ def html_tokens(pages: DataFrame) -> DataFrame:
         (F.sum("ld").over(w) > 0).alias("in_link"),
         F.when(F.col("kind") == "text", js_trim(decode_entities(collapse_ws(tok)))).alias("text"),
         (F.col("delta") == 1).alias("is_container"),
+        *([tok.alias("raw")] if keep_raw else []),
     )
 
 
@@ -141,9 +142,9 @@ def container_scores(tokens: DataFrame) -> DataFrame:
     )
 
 
-def main_content(tokens: DataFrame) -> DataFrame:
-    """Best container per page and its text (the text tokens of its range)."""
-    sc = container_scores(tokens)
+def choose_container(sc: DataFrame) -> DataFrame:
+    """Per page: the only `<article>`/`<main>` if there is exactly one, else the
+    best-scoring container (ties: first in the page)."""
     attrs = F.struct("container_pos", "tag", "level", "score", "link_density")
     short = F.col("tag").isin(*SHORTCUT_TAGS)
     per_page = sc.groupBy("page_id").agg(
@@ -151,18 +152,44 @@ def main_content(tokens: DataFrame) -> DataFrame:
         F.min(F.when(short, attrs)).alias("short"),
         F.max_by(attrs, F.struct("score", (-F.col("container_pos")).alias("neg_pos"))).alias("best"),
     )
-    chosen = per_page.select("page_id", F.when(F.col("n_short") == 1, F.col("short")).otherwise(F.col("best")).alias("c")).select(
+    return per_page.select("page_id", F.when(F.col("n_short") == 1, F.col("short")).otherwise(F.col("best")).alias("c")).select(
         "page_id", "c.*"
     )
-    # The container's range runs up to the first later token outside it.
-    t = tokens.select("page_id", "pos", "depth", "kind", "text").join(chosen.select("page_id", "container_pos", "level"), "page_id")
+
+
+def _range(tokens: DataFrame, chosen: DataFrame, payload: str, keep) -> DataFrame:
+    """(page_id, end_pos, items): tokens after the chosen container's open tag,
+    up to the first later token outside it (its close tag)."""
+    t = tokens.join(chosen.select("page_id", "container_pos", "level"), "page_id")
     after = F.col("pos") > F.col("container_pos")
     rng = t.groupBy("page_id").agg(
         F.min(F.when(after & (F.col("depth") < F.col("level")), F.col("pos"))).alias("end_pos"),
-        F.collect_list(F.when(after & (F.col("kind") == "text") & (F.col("text") != ""), F.struct("pos", "text"))).alias("texts"),
+        F.collect_list(F.when(after & keep, F.struct("pos", F.col(payload).alias("v")))).alias("items"),
     )
-    inside = F.filter(F.array_sort("texts"), lambda x: F.col("end_pos").isNull() | (x["pos"] < F.col("end_pos")))
-    text = rng.select("page_id", F.array_join(F.transform(inside, lambda x: x["text"]), " ").alias("text"))
+    inside = F.filter(F.array_sort("items"), lambda x: F.col("end_pos").isNull() | (x["pos"] < F.col("end_pos")))
+    return rng.select("page_id", F.transform(inside, lambda x: x["v"]).alias("items"))
+
+
+def main_content(tokens: DataFrame) -> DataFrame:
+    """Best container per page and its text (the text tokens of its range)."""
+    chosen = choose_container(container_scores(tokens))
+    rng = _range(tokens, chosen, "text", (F.col("kind") == "text") & (F.col("text") != ""))
+    text = rng.select("page_id", F.array_join("items", " ").alias("text"))
     return chosen.join(text, "page_id", "left").select(
         "page_id", "container_pos", "tag", "score", "link_density", F.coalesce("text", F.lit("")).alias("text")
     )
+
+
+def scored_main_html(pages: DataFrame) -> DataFrame:
+    """(page_id, main_html): inner HTML of the chosen container, '' when no
+    text block scored at all (reader mode found nothing)."""
+    tokens = html_tokens(pages, keep_raw=True)
+    chosen = choose_container(container_scores(tokens))
+    rng = _range(tokens, chosen, "raw", F.lit(True))
+    html = chosen.join(rng, "page_id", "left").select(
+        "page_id",
+        F.when(F.col("score") > 0, F.array_join(F.coalesce("items", F.array()), "")).otherwise(F.lit("")).alias("main_html"),
+    )
+    return pages.select("page_id").join(html, "page_id", "left").select(
+        "page_id", F.coalesce("main_html", F.lit("")).alias("main_html")
+    )

@@ -157,6 +157,12 @@ def last_modified(expr: str, run_date: str) -> str:
     )
 
 
+def shortcut_html(expr: str) -> str:
+    article = f"regexp_extract({expr}, {q(f'(?is)<article{_OPEN}(.*?)</article{_CLOSE}')}, 1)"
+    main = f"regexp_extract({expr}, {q(f'(?is)<main{_OPEN}(.*?)</main{_CLOSE}')}, 1)"
+    return f"(CASE WHEN {article} <> '' THEN {article} ELSE {main} END)"
+
+
 def main_content_html(expr: str) -> str:
     article = f"regexp_extract({expr}, {q(f'(?is)<article{_OPEN}(.*?)</article{_CLOSE}')}, 1)"
     main = f"regexp_extract({expr}, {q(f'(?is)<main{_OPEN}(.*?)</main{_CLOSE}')}, 1)"

@@ -32,46 +32,6 @@ def last_modified(t):
     return date_pages(t).select("page_id", H.last_modified("html", RUN_DATE).alias("last_modified"))
 
 
-@register(
-    "page_markdown",
-    f"SELECT page_id, url, {D.html_to_markdown(D.main_content_html('html'))} AS body_md FROM pages",
-    "HTM7 HTM4(shortcut)",
-)
-def page_markdown(t):
-    return P.page_markdown(t.pages)
-
-
-_DOC_SQL = f"""
-WITH d AS (
-  SELECT page_id, url, {D.page_title('html')} AS title, {D.last_modified('html', RUN_DATE)} AS last_modified,
-         {D.breadcrumbs_markdown('html')} AS breadcrumb_md,
-         {D.html_to_markdown(D.main_content_html('html'))} AS body_md
-  FROM {{src}})
-SELECT page_id, url, title, last_modified, breadcrumb_md, body_md,
-       CASE WHEN body_md = '' THEN 'no_content' ELSE 'ok' END AS status,
-       {D.tag_block('md_html-source', 'url')} || {D.tag_block('md_html-title', 'title')} ||
-       {D.tag_block('md_last-modified', 'last_modified')} || breadcrumb_md || body_md AS markdown
-FROM d"""
-
-
-@register("page_document", _DOC_SQL.replace("{src}", "pages"), "HTM11 HTM3 HTM2 HTM4 HTM6 HTM7")
-def page_document(t):
-    return P.page_document(t.pages, RUN_DATE)
-
-
-@register(
-    "page_stats",
-    f"""WITH doc AS ({_DOC_SQL.replace("{src}", "pages")})
-SELECT page_id, url, title, {D.word_count('markdown')} AS word_count, length(markdown)::BIGINT AS char_count,
-       {D.line_count('markdown')} AS line_count, ceil(length(markdown) / 4)::BIGINT AS token_count,
-       '{RUN_DATE}' AS generated_at
-FROM doc""",
-    "HTM12 X2",
-)
-def page_stats(t):
-    return P.page_stats(P.page_document(t.pages, RUN_DATE), RUN_DATE)
-
-
 # ------------------------------------------------------------ token table
 
 from pagemill.functions.html import MARKDOWN_RULES  # noqa: E402
@@ -86,7 +46,7 @@ def _clean_sql(expr: str) -> str:
 
 
 _NC = ", ".join(D.q(x) for x in T.NON_COUNTING)
-_TOKS = f"""c AS (SELECT page_id, {_clean_sql('html')} AS h FROM pages),
+_TOKS = f"""c AS (SELECT page_id, {_clean_sql('html')} AS h FROM {{tok_src}}),
 t0 AS (SELECT page_id, unnest(regexp_extract_all(h, {D.q(T.TOKEN_RE)})) AS tok,
               (generate_subscripts(regexp_extract_all(h, {D.q(T.TOKEN_RE)}), 1) - 1)::BIGINT AS pos FROM c),
 t1 AS (SELECT *, CASE WHEN starts_with(tok, '</') THEN 'close' WHEN starts_with(tok, '<!') OR starts_with(tok, '<?') THEN 'decl'
@@ -98,7 +58,7 @@ t2 AS (SELECT *, CASE WHEN kind = 'open' AND tag0 NOT IN ({_NC}) AND NOT regexp_
 tok AS (SELECT page_id, pos, kind, CASE WHEN kind = 'text' THEN NULL ELSE tag0 END AS tag,
                (sum(delta) OVER w)::BIGINT AS depth, sum(ld) OVER w > 0 AS in_link,
                CASE WHEN kind = 'text' THEN {D.js_trim(D.decode_entities(D.rr('tok', HTML_WS + '+', ' ')))} END AS text,
-               delta = 1 AS is_container
+               delta = 1 AS is_container, tok AS raw
         FROM t2 WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
 _SCORES = f"""{_TOKS},
@@ -127,19 +87,19 @@ sc AS (SELECT page_id, cid AS container_pos, tag, level, text_chars::BIGINT AS t
        FROM sc0)"""
 
 
-@register("html_tokens", f"WITH {_TOKS} SELECT page_id, pos, kind, tag, depth, in_link, text, is_container FROM tok", "HTM10")
+@register("html_tokens", f"WITH {_TOKS.replace('{tok_src}', 'pages')} SELECT page_id, pos, kind, tag, depth, in_link, text, is_container FROM tok", "HTM10")
 def html_tokens(t):
     return T.html_tokens(t.pages)
 
 
-@register("link_density", f"WITH {_SCORES} SELECT * FROM sc", "HTM4")
+@register("link_density", f"WITH {_SCORES.replace('{tok_src}', 'pages')} SELECT * FROM sc", "HTM4")
 def link_density(t):
     return T.container_scores(T.html_tokens(t.pages))
 
 
 @register(
     "main_content",
-    f"""WITH {_SCORES},
+    f"""WITH {_SCORES.replace('{tok_src}', 'pages')},
 short AS (SELECT page_id, count(*) AS n_short, min(container_pos) AS short_pos FROM sc
           WHERE tag IN ({', '.join(D.q(x) for x in T.SHORTCUT_TAGS)}) GROUP BY page_id),
 best AS (SELECT page_id, arg_max(container_pos, (score, -container_pos)) AS best_pos FROM sc GROUP BY page_id),
@@ -158,3 +118,64 @@ FROM ch LEFT JOIN ins USING (page_id)""",
 )
 def main_content(t):
     return T.main_content(T.html_tokens(t.pages))
+
+
+# ------------------------------------------------------- page documents
+
+def _doc_sql() -> str:
+    """Shortcut pages are converted directly; the others take the scored
+    container of the token table (same contract as `operators.tokens`)."""
+    shortcut_tags = ", ".join(D.q(x) for x in T.SHORTCUT_TAGS)
+    return f"""WITH s0 AS (SELECT page_id, url, html, {D.shortcut_html('html')} AS main_html FROM pages),
+rest AS (SELECT page_id, html FROM s0 WHERE main_html = ''),
+{_SCORES.replace('{tok_src}', 'rest')},
+dshort AS (SELECT page_id, count(*) AS n_short, min(container_pos) AS short_pos FROM sc WHERE tag IN ({shortcut_tags}) GROUP BY page_id),
+dbest AS (SELECT page_id, arg_max(container_pos, (score, -container_pos)) AS best_pos FROM sc GROUP BY page_id),
+dch AS (SELECT sc.page_id, sc.container_pos, sc.level, sc.score FROM dbest LEFT JOIN dshort USING (page_id)
+        JOIN sc ON sc.page_id = dbest.page_id AND sc.container_pos = CASE WHEN n_short = 1 THEN short_pos ELSE best_pos END),
+den AS (SELECT tok.page_id, min(tok.pos) AS end_pos FROM tok JOIN dch USING (page_id)
+        WHERE tok.pos > dch.container_pos AND tok.depth < dch.level GROUP BY tok.page_id),
+drng AS (SELECT tok.page_id, string_agg(tok.raw, '' ORDER BY tok.pos) AS inner_html
+         FROM tok JOIN dch USING (page_id) LEFT JOIN den USING (page_id)
+         WHERE tok.pos > dch.container_pos AND (den.end_pos IS NULL OR tok.pos < den.end_pos) GROUP BY tok.page_id),
+dscored AS (SELECT dch.page_id, CASE WHEN dch.score > 0 THEN coalesce(drng.inner_html, '') ELSE '' END AS main_html
+            FROM dch LEFT JOIN drng USING (page_id)),
+base AS (SELECT s0.page_id, s0.url, s0.html,
+                CASE WHEN s0.main_html <> '' THEN s0.main_html ELSE coalesce(dscored.main_html, '') END AS main_html
+         FROM s0 LEFT JOIN dscored USING (page_id)),
+d AS (
+  SELECT page_id, url, {D.page_title('html')} AS title, {D.last_modified('html', RUN_DATE)} AS last_modified,
+         {D.breadcrumbs_markdown('html')} AS breadcrumb_md,
+         {D.html_to_markdown('main_html')} AS body_md
+  FROM base)
+SELECT page_id, url, title, last_modified, breadcrumb_md, body_md,
+       CASE WHEN body_md = '' THEN 'no_content' ELSE 'ok' END AS status,
+       {D.tag_block('md_html-source', 'url')} || {D.tag_block('md_html-title', 'title')} ||
+       {D.tag_block('md_last-modified', 'last_modified')} || breadcrumb_md || body_md AS markdown
+FROM d"""
+
+
+_DOC_SQL = _doc_sql()
+
+
+@register("page_document", _DOC_SQL, "HTM11 HTM3 HTM2 HTM4 HTM6 HTM7")
+def page_document(t):
+    return P.page_document(t.pages, RUN_DATE)
+
+
+@register("page_markdown", f"SELECT page_id, url, body_md FROM ({_DOC_SQL})", "HTM7 HTM4")
+def page_markdown(t):
+    return P.page_markdown(t.pages)
+
+
+@register(
+    "page_stats",
+    f"""WITH doc AS ({_DOC_SQL})
+SELECT page_id, url, title, {D.word_count('markdown')} AS word_count, length(markdown)::BIGINT AS char_count,
+       {D.line_count('markdown')} AS line_count, ceil(length(markdown) / 4)::BIGINT AS token_count,
+       '{RUN_DATE}' AS generated_at
+FROM doc""",
+    "HTM12 X2",
+)
+def page_stats(t):
+    return P.page_stats(P.page_document(t.pages, RUN_DATE), RUN_DATE)

@@ -32,7 +32,7 @@ DOT_DOT_PASSES = 4
 _SEG = "(?:[^/.][^/]*|\\.[^/.][^/]*|\\.\\.[^/]+)"  # a segment that is neither `.` nor `..`
 DOT_RULES = (
     [("(/\\.|/\\.\\.)\\z", "$1/")]  # trailing `/.`, `/..` behave like `/./`, `/../`
-    + [("/\\./", "/")] * 2
+    + [("/(?:\\./)+", "/")]
     + [(f"/{_SEG}/\\.\\./", "/")] * DOT_DOT_PASSES
     + [("\\A/\\.\\./", "/")] * DOT_DOT_PASSES
 )

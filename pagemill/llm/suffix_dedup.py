@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import mixed, powers, run_hashes, shuffle_partitions, slices, texts, utf8
+from pagemill.llm.common import guarded, mixed, powers, run_hashes, shuffle_partitions, slices, texts, utf8
 from pagemill.llm.gsaca import suffix_array
 
 WIDTH = 100
@@ -119,68 +119,100 @@ def _merge(doc: np.ndarray, rid: np.ndarray, start: np.ndarray, end: np.ndarray)
     return doc[head], rid[head], start[head], (reach - lift)[last]
 
 
-SEGMENTS = "route bigint, key bigint, doc bigint, rid bigint, start bigint, windows int, anchor int, block int, body binary"
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+#: Segments, or covered ranges where body is null. `meta` packs windows (for a range: its length), the
+#: anchor's offset and the block; segments meet by anchor, ranges travel to their block's task.
+SEGMENTS = "key bigint, doc bigint, rid int, start bigint, windows bigint, meta bigint, body binary"
 _NAMES = [x.split()[0] for x in SEGMENTS.split(", ")]
+_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+RANGES = "block int, doc bigint, rid int, start bigint, length bigint"
 
 
-def _rows(cols: list) -> dict[str, pa.Array]:
-    return {n: c if isinstance(c, pa.Array) else pa.array(c).cast(t) for n, c, t in zip(_NAMES, cols, _TYPES)}
+def _row_numbers(doc: np.ndarray, text_hash: np.ndarray) -> np.ndarray:
+    """0, 1, ... for the different texts that share a doc_id (0 nearly always)."""
+    order = np.lexsort((text_hash, doc))
+    d, h = doc[order], text_hash[order]
+    same = np.concatenate(([False], d[1:] == d[:-1]))
+    step = (same & np.concatenate(([False], h[1:] != h[:-1]))).astype(np.int64)
+    run = np.cumsum(step)
+    head = np.flatnonzero(~same)[np.cumsum(~same) - 1]
+    out = np.empty(len(doc), np.int64)
+    out[order] = run - run[head]
+    return out
 
 
-def _covers(doc, rid, start, end, block: int | np.ndarray) -> dict[str, pa.Array]:
-    """Covered ranges: windows holds their length, body is null; they go by block."""
+def _rows(key, doc, rid, start, windows, meta, body) -> pa.RecordBatch:
+    cols = [pa.array(np.asarray(c).astype(k.to_pandas_dtype())) for c, k in zip((key, doc, rid, start, windows, meta), _KINDS)]
+    return pa.record_batch([*cols, body], names=_NAMES)
+
+
+def _covers(block: int, doc, rid, start, end) -> pa.RecordBatch:
     n = len(doc)
-    block = np.broadcast_to(np.asarray(block, np.int32), n)
-    return _rows([block.astype(np.int64), np.zeros(n, np.int64), doc, rid, start, (end - start).astype(np.int32), np.zeros(n, np.int32), block, pa.nulls(n, pa.binary())])
+    return _rows(np.full(n, block), doc, rid, start, end - start, np.full(n, block), pa.nulls(n, pa.binary()))
+
+
+def _parts(first: np.ndarray, last: np.ndarray, anchor: np.ndarray, prefix: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows cut by where the anchor lies in the window. All windows of a part hold
+    [anchor - low, anchor - high + width), whose hash is the part's key."""
+    n = last - first
+    i = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    a = np.repeat(anchor, n)
+    part = (a - i) // PART
+    cut = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (part[1:] != part[:-1]))))
+    low, high = part[cut] * PART, np.minimum(part[cut] * PART + PART - 1, width - gram)
+    key = _ranges(prefix, a[cut] - low, a[cut] - high + width) + part[cut].astype(np.uint64)
+    return key, i[cut], i[np.append(cut[1:], len(i)) - 1] + 1, a[cut]
 
 
 def _segments(block: int, docs: pa.Table, flagged: pa.Table, width: int, gram: int, hot: int) -> pa.Table:
-    empty = pa.Table.from_pydict({n: pa.array([], t) for n, t in zip(_NAMES, _TYPES)})
-    if not flagged.num_rows or not docs.num_rows:
-        return empty
-    known = flagged.column("hash").to_numpy().view(np.uint64)
-    count = flagged.column("n").to_numpy()
+    """What a block sends: the segments of its repeated anchors, and ranges that it knows to be covered."""
+    n = flagged.column("n").to_numpy()
+    known = flagged.column("hash").to_numpy()
+    copies = set(zip(known[n < 0].tolist(), flagged.column("h").to_numpy(zero_copy_only=False)[n < 0].tolist()))
+    known, count = known[n > 0].view(np.uint64), n[n > 0]
     order = np.argsort(known)
     known, count = known[order], count[order]
-    ids = docs.column("doc").to_numpy()
-    rids = docs.column("rid").to_numpy()
-    got: list[list[np.ndarray]] = [[] for _ in range(7)]  # key, doc, rid, start, windows, anchor, position in bytes
+    ids, hashes = docs.column("doc").to_numpy(), docs.column("h").to_numpy()
+    rids = _row_numbers(ids, hashes)
+    got: list[list[np.ndarray]] = [[] for _ in range(8)]  # key, digest, doc, rid, start, windows, anchor, place in buf
+    whole: list[tuple[int, int, int, int]] = []
     text = docs.column("text").combine_chunks()
     buf, off = utf8(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text)
     for r in range(docs.num_rows):
         b = buf[off[r] : off[r + 1]]
-        for prefix, lo, h, first, last, p in anchors(b, width, gram):
+        if len(b) >= width and (int(ids[r]), int(hashes[r])) in copies:
+            whole.append((int(ids[r]), int(rids[r]), 0, len(b)))
+            continue
+        if not len(known):
+            continue
+        for prefix, lo, h, first, last, a in anchors(b, width, gram):
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
             hit = known[at] == h
             if not hit.any():
                 continue
-            h, first, last, p, many = h[hit], first[hit], last[hit], p[hit], count[at[hit]] > hot
-            if many.any():
-                # windows by where the anchor lies in them; a part's windows all hold [p - low, p - high + width)
-                n = (last - first)[many]
-                i = np.repeat(first[many], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                a = np.repeat(p[many], n)
-                part = (a - i) // PART
-                cut = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (part[1:] != part[:-1]))))
-                low, high = part[cut] * PART, np.minimum(part[cut] * PART + PART - 1, width - gram)
-                k = _ranges(prefix, a[cut] - low, a[cut] - high + width) + part[cut].astype(np.uint64)
-                h = np.concatenate((h[~many], k))
-                first = np.concatenate((first[~many], i[cut]))
-                last, p = np.concatenate((last[~many], i[np.append(cut[1:], len(i)) - 1] + 1)), np.concatenate((p[~many], a[cut]))
-            n = len(h)
-            for out, v in zip(got, (h.view(np.int64), np.full(n, ids[r]), np.full(n, rids[r]), first + lo, last - first, p - first, first + (off[r] + lo))):
+            many = count[at] > hot
+            if (hit & many).any():
+                m = hit & many
+                refined = _parts(first[m], last[m], a[m], prefix, width, gram)
+                hit &= ~many
+                h, first, last, a = (np.concatenate((x[hit], y)) for x, y in zip((h, first, last, a), refined))
+            else:
+                h, first, last, a = h[hit], first[hit], last[hit], a[hit]
+            k = len(h)
+            digest = _ranges(prefix, first, last + width - 1)
+            for out, v in zip(got, (h.view(np.int64), digest, np.full(k, ids[r]), np.full(k, rids[r]), first + lo, last - first, a - first, first + (off[r] + lo))):
                 out.append(v)
-    if not got[0]:
-        return empty
-    key, doc, rid, start, windows, anchor, at = (np.concatenate(x) for x in got)
-    end = at + windows + width - 1
-    d1, d2 = run_hashes(buf, at, end), run_hashes(buf, at, end, BASE2)
-    order, _, least = _earliest([key, d1, d2], doc, start)
-    keep, rest = order[least], order[~least]
-    cover = _merge(doc[rest], rid[rest], start[rest], start[rest] + windows[rest] + width - 1)
-    send = _rows([key[keep], key[keep], doc[keep], rid[keep], start[keep], windows[keep], anchor[keep], np.full(len(keep), block), texts(buf, at[keep], end[keep])])
-    return pa.concat_tables([pa.Table.from_pydict(send), pa.Table.from_pydict(_covers(*cover, block))])
+    out = []
+    if whole:
+        out.append(_covers(block, *np.array(whole).T))
+    if got[0]:
+        key, digest, doc, rid, start, windows, anchor, at = (np.concatenate(x) for x in got)
+        order, _, least = _earliest([key, digest], doc, start)
+        keep, rest = order[least], order[~least]
+        out.append(_covers(block, *_merge(doc[rest], rid[rest], start[rest], start[rest] + windows[rest] + width - 1)))
+        for lo in range(0, len(keep), 1 << 16):
+            k = keep[lo : lo + (1 << 16)]
+            out.append(_rows(key[k], doc[k], rid[k], start[k], windows[k], anchor[k] << 32 | block, texts(buf, at[k], at[k] + windows[k] + width - 1)))
+    return pa.Table.from_batches(out, pa.schema(list(zip(_NAMES, _KINDS))))
 
 
 def equal_windows(bodies: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,82 +279,81 @@ def equal_windows(bodies: list[bytes], width: int) -> tuple[np.ndarray, np.ndarr
     return string, offset, cls
 
 
-def _resolve(t: pa.Table, width: int, gram: int) -> Iterator[dict[str, pa.Array]]:
-    """Covered ranges among all segments of some anchors."""
-    key, doc, rid, start = (t.column(n).to_numpy() for n in ("key", "doc", "rid", "start"))
-    windows, anchor, block = (t.column(n).to_numpy().astype(np.int64) for n in ("windows", "anchor", "block"))
-    bodies = t.column("body").combine_chunks().cast(pa.large_binary())
-    bodies = bodies.chunk(0) if isinstance(bodies, pa.ChunkedArray) else bodies
+def _resolve(t: pa.Table, width: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Covered ranges (block, doc, rid, start, end) among all segments of some anchors."""
+    key, doc, rid, start, windows, meta = (t.column(n).to_numpy() for n in _NAMES[:-1])
+    anchor, block = meta >> 32, meta & ((1 << 32) - 1)
+    bodies = t.column("body").combine_chunks()
+    bodies = (bodies.chunk(0) if isinstance(bodies, pa.ChunkedArray) else bodies).cast(pa.large_binary())
     off = np.frombuffer(bodies.buffers()[1], np.int64, len(bodies) + 1, bodies.offset * 8)
     buf = np.frombuffer(bodies.buffers()[2], np.uint8)
     lo, hi = off[:-1], off[1:]
-    d1, d2 = run_hashes(buf, lo, hi), run_hashes(buf, lo, hi, BASE2)
-    order, new, least = _earliest([key, d1, d2], doc, start)
+    half = (width - gram) // 2
+    # content hashes: of the whole segment, and of the longer pieces around its anchor that windows with
+    # much before the anchor, and those with little, hold
+    a = lo + anchor
+    cuts = [(lo, hi), (a - half, a + gram), (a, a + width - half + 1)]
+    has = [np.ones(len(lo), bool), anchor >= half, anchor - windows + 1 < half]
+    digest = [np.zeros(len(lo), np.uint64) for _ in cuts]
+    inside = [(s >= lo) & (e <= hi) for s, e in cuts]
+    for i in range(0, len(lo), 1 << 13):
+        prefix = _prefix(buf[lo[i] : hi[min(i + (1 << 13), len(lo)) - 1]])
+        for out, (s, e), ok in zip(digest, cuts, inside):
+            m = i + np.flatnonzero(ok[i : i + (1 << 13)])
+            if len(m):
+                out[m] = _ranges(prefix, s[m] - lo[i], e[m] - lo[i])
+    order, new, least = _earliest([key, digest[0]], doc, start)
     rest = order[~least]
-    yield _covers(doc[rest], rid[rest], start[rest], start[rest] + windows[rest] + width - 1, block[rest])
-    # rows at the least (doc, start) of equal segments: twins of repeated rows follow the first
+    yield block[rest], doc[rest], rid[rest], start[rest], start[rest] + windows[rest] + width - 1
+    # rows at the least (doc, start) of equal segments: twins from repeated rows follow the first
     twin = order[least]
-    head = np.flatnonzero(new)
-    reps = order[head]
-    of_rep = (np.cumsum(new) - 1)[least]
-    # a window can only recur if the longer piece around its anchor recurs in another segment of the anchor
-    half = (width - gram) // 2
-    prefix = _prefix(buf)
-    a = lo[reps] + anchor[reps]
-    far = anchor[reps] >= half  # has windows with at least `half` bytes before the anchor
-    near = anchor[reps] - windows[reps] + 1 < half
+    reps = order[np.flatnonzero(new)]
+    twins_of = np.searchsorted((np.cumsum(new) - 1)[least], np.arange(len(reps) + 1))
+    # a window can only recur if such a piece recurs in another segment of the anchor
     live = np.zeros(len(reps), bool)
-    for has, s, e in ((far, -half, gram), (near, 0, width - half + 1)):
-        i = np.flatnonzero(has & (a + s >= lo[reps]) & (a + e <= hi[reps]))
-        h = _ranges(prefix, a[i] + s, a[i] + e)
-        o = np.lexsort((h, key[reps[i]]))
-        kk, hh = key[reps[i]][o], h[o]
-        same = (kk[1:] == kk[:-1]) & (hh[1:] == hh[:-1])
-        live[i[o[1:][same]]] = live[i[o[:-1][same]]] = True
-        live[has & ((a + s < lo[reps]) | (a + e > hi[reps]))] = True
-    reps_live = np.flatnonzero(live)
-    if not len(reps_live):
+    for out, ok, h in list(zip(digest, inside, has))[1:]:
+        i = np.flatnonzero((h & ok)[reps])
+        o = i[np.lexsort((out[reps[i]], key[reps[i]]))]
+        same = (key[reps[o[1:]]] == key[reps[o[:-1]]]) & (out[reps[o[1:]]] == out[reps[o[:-1]]])
+        live[o[1:][same]] = live[o[:-1][same]] = True
+        live |= (h & ~ok)[reps]
+    chosen = np.flatnonzero(live)
+    if not len(chosen):
         return
-    k = key[reps[reps_live]]
-    size = (hi - lo)[reps[reps_live]]
-    edge = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))  # groups of one anchor
-    total = np.concatenate(([0], np.cumsum(size)))
-    raw = bodies
+    k = key[reps[chosen]]
+    bounds = np.append(np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))), len(k))  # groups of one anchor
+    total = np.concatenate(([0], np.cumsum((hi - lo)[reps[chosen]])))
     g = 0
-    bounds = np.append(edge, len(k))
-    by_rep = np.searchsorted(of_rep, np.arange(len(reps) + 1))
-    while g < len(edge):
-        stop = int(np.searchsorted(total[bounds], total[bounds[g]] + CHUNK, "right")) - 1
-        stop = max(stop, g + 1)
-        mine = reps_live[bounds[g] : bounds[stop]]
+    while g < len(bounds) - 1:
+        stop = max(int(np.searchsorted(total[bounds], total[bounds[g]] + CHUNK, "right")) - 1, g + 1)
+        mine = chosen[bounds[g] : bounds[stop]]
         g = stop
         rows = reps[mine]
-        string, offset, cls = equal_windows([raw[int(i)].as_py() for i in rows], width)
+        string, offset, cls = equal_windows([bodies[int(i)].as_py() for i in rows], width)
         row = rows[string]
         where = start[row] + offset
-        order2 = np.lexsort((where, doc[row], cls))
-        c = cls[order2]
-        first = np.concatenate(([True], c[1:] != c[:-1]))
-        head2 = np.flatnonzero(first)[np.cumsum(first) - 1]
-        later = (doc[row][order2] != doc[row][order2][head2]) | (where[order2] != where[order2][head2])
-        hit = order2[later]
-        # to every twin of the segment
+        by = np.lexsort((where, doc[row], cls))
+        first = np.concatenate(([True], cls[by][1:] != cls[by][:-1]))
+        head = by[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        hit = by[(doc[row][by] != doc[row][head]) | (where[by] != where[head])]
         rep = mine[string[hit]]
-        n = by_rep[rep + 1] - by_rep[rep]
-        who = twin[np.repeat(by_rep[rep], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        n = twins_of[rep + 1] - twins_of[rep]
+        who = twin[np.repeat(twins_of[rep], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         s = np.repeat(where[hit], n)
-        for b in np.unique(block[who]).tolist():
-            m = block[who] == b
-            yield _covers(*_merge(doc[who][m], rid[who][m], s[m], s[m] + width), b)
+        d, r, s, e = _merge(doc[who], rid[who] << 32 | block[who], s, s + width)
+        yield r & ((1 << 32) - 1), d, r >> 32, s, e
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, blocks: int | None = None) -> DataFrame:
-    """The rows of `docs` (doc_id, text, any others but text) with n_bytes, n_removed, n_spans and `kept`,
-    the remaining bytes."""
+    """The rows of `docs` with n_bytes, n_removed, n_spans and `kept`, the remaining bytes, instead of text."""
+    return guarded(docs, ("doc_id", "text"), lambda d: _dedup(d, width, gram, hot, blocks))
+
+
+def _dedup(docs: DataFrame, width: int, gram: int, hot: int, blocks: int | None) -> DataFrame:
     parts = shuffle_partitions(docs.sparkSession)
     blocks = blocks or 4 * parts
     d = docs.select(
-        *docs.columns, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("rid"),
+        *docs.columns, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("h"),
         F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(blocks)).cast("int").alias("block"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,40 +374,46 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT,
                 yield pa.record_batch([pa.array(h[head].view(np.int64)), pa.array(b[head], pa.int32()), pa.array(np.diff(np.append(head, len(h))).astype(np.int32))],
                                       names=["hash", "block", "n"])
 
+    # anchors that occur twice, per block
     found = d.select("block", "text").mapInArrow(find, "hash bigint, block int, n int")
     total = F.sum("n").over(Window.partitionBy("hash"))
-    flagged = found.withColumn("n", total).where("n > 1")
+    flagged = found.withColumn("n", total).where("n > 1").withColumn("h", F.lit(0).cast("bigint"))
+    # whole copies of a text with a smaller doc_id need no segments (n = -1; hash and h name the row)
+    same = d.where(F.octet_length("text") >= width).select("doc", "h", F.xxhash64(F.lit(1), "text").alias("h2"), "block")
+    least = same.groupBy("h", "h2").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    copies = same.join(least, ["h", "h2"]).where("doc > least").select(F.col("doc").alias("hash"), "block", F.lit(-1).cast("bigint").alias("n"), "h")
+    flagged = flagged.select("hash", "block", "n", "h").unionByName(copies)
 
     def send(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        block = (left if left.num_rows else right).column("block")[0].as_py()
-        return _segments(block, left, right, width, gram, hot)
+        return _segments(key[0].as_py(), left, right, width, gram, hot)
 
-    segments = d.select("block", "doc", "rid", "text").groupBy("block").cogroup(flagged.groupBy("block")).applyInArrow(send, SEGMENTS)
+    segments = d.groupBy("block").cogroup(flagged.groupBy("block")).applyInArrow(send, SEGMENTS)
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = []
         for b in batches:
             done = b.filter(pc.is_null(b.column("body")))
             if done.num_rows:
-                yield done.select(["block", "doc", "rid", "start", "windows"])
+                yield pa.record_batch([done.column("meta").cast(pa.int32()), *(done.column(n) for n in ("doc", "rid", "start", "windows"))], names=["block", "doc", "rid", "start", "length"])
             rest = b.filter(pc.is_valid(b.column("body")))
             if rest.num_rows:
                 own.append(rest)
         if own:
-            for out in _resolve(pa.Table.from_batches(own), width, gram):
-                yield pa.record_batch([out[n] for n in ("block", "doc", "rid", "start", "windows")], names=["block", "doc", "rid", "start", "windows"])
+            for block, doc, rid, s, e in _resolve(pa.Table.from_batches(own), width, gram):
+                yield pa.record_batch([pa.array(block.astype(np.int32)), pa.array(doc), pa.array(rid.astype(np.int32)), pa.array(s), pa.array(e - s)], names=["block", "doc", "rid", "start", "length"])
 
-    covered = segments.repartition(parts, "route").mapInArrow(resolve, "block int, doc bigint, rid bigint, start bigint, windows int")
-    keep = [c for c in d.columns if c not in ("block", "text")]
+    covered = segments.repartition(parts, "key").mapInArrow(resolve, RANGES)
+    keep = [c for c in docs.columns if c != "text"]
     kinds = dict(d.dtypes)
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in keep) + ", n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 
     def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        doc, rid = left.column("doc").to_numpy(), left.column("rid").to_numpy()
+        doc = left.column("doc").to_numpy()
+        rid = _row_numbers(doc, left.column("h").to_numpy())
         s = right.column("start").to_numpy()
-        cd, cr, cs, ce = _merge(right.column("doc").to_numpy(), right.column("rid").to_numpy(), s, s + right.column("windows").to_numpy())
+        merged = _merge(right.column("doc").to_numpy(), right.column("rid").to_numpy().astype(np.int64), s, s + right.column("length").to_numpy())
         ranges: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for x in zip(cd.tolist(), cr.tolist(), cs.tolist(), ce.tolist()):
+        for x in zip(*(c.tolist() for c in merged)):
             ranges.setdefault(x[:2], []).append(x[2:])
         n_bytes, removed, spans_, kept = [], [], [], []
         for k, text in zip(zip(doc.tolist(), rid.tolist()), left.column("text")):
@@ -394,5 +431,5 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT,
         more = {"n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans_, pa.int64()), "kept": pa.array(kept, pa.binary())}
         return pa.Table.from_pydict({n: left.column(n) for n in keep} | more)
 
-    out = d.groupBy("block").cogroup(covered.groupBy("block")).applyInArrow(cut, schema)
-    return out.drop("doc", "rid")
+    # the same rows, dealt the same way as above, so that Spark shuffles the texts once
+    return d.groupBy("block").cogroup(covered.groupBy("block")).applyInArrow(cut, schema)

@@ -77,7 +77,7 @@ def test_made_up_repeats(spark, make_docs, hot):
         rows.append((i * 3 % 121, prose(rng.randrange(0, 30)).join(["", *cut, "", prose(10)])))
     rows += [(200 + i, rows[5][1]) for i in range(30)] + [(300, None), (301, ""), (302, "short"), (None, rows[5][1] + "!"), (303, "a" * 5000), (304, "a" * 5000 + "b")]
     rows += [(400, rows[7][1] + prose(40))] * 2 + [(401, rows[8][1]), (401, rows[9][1] + rows[8][1])]
-    docs = make_docs(rows).withColumnRenamed("lang", "block2")
+    docs = make_docs(rows).withColumnRenamed("lang", "block").withColumnRenamed("source", "doc")
     assert result(suffix_dedup.dedup(docs, hot=hot, blocks=5)) == sorted(brute(rows), key=key)
 
 

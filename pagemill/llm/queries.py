@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import ctw, license_scan, mixing, packing, simhash, suffix_dedup, toxicity
+from pagemill.llm import ctw, license_scan, mixing, mtree, near_vectors, packing, simhash, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,14 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = mtree.quantized(table(spark, sf_dir, "embeddings"))
+    return mtree.top_k(v, v.where(F.col("vec_id") % 20 == 0))
+
+
+@query
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))

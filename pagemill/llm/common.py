@@ -155,7 +155,8 @@ def texts(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
 def guarded(docs: DataFrame, known: tuple[str, ...], run) -> DataFrame:
     """run(docs) with every column but `known` under a neutral name, so that none can clash with
     columns that an operator adds; the names are put back on what comes out."""
-    other = [c for c in docs.columns if c not in known]
-    to = {c: f"carried{i}" for i, c in enumerate(other)}
-    out = run(docs.withColumnsRenamed(to))
-    return out.withColumnsRenamed({v: k for k, v in to.items() if v in out.columns})
+    names = docs.columns
+    to = [c if c in known else f"carried {i}" for i, c in enumerate(names)]
+    back = dict(zip(to, names))
+    out = run(docs.toDF(*to))
+    return out.toDF(*(back.get(c, c) for c in out.columns))

@@ -13,7 +13,8 @@ All that a byte's probability depends on is its gram: the `depth` bytes before i
    context bottom-up and leaves, per gram, the mixture from depth 2 on; depths 0 and 1 (at
    most 256 * 255 nodes) are aggregated and finished on the driver.
 3. Documents are dealt into blocks. A block asks for its distinct grams and distinct words
-   once each, by number; two shuffles bring back the values, and the block sums them up.
+   once each, by number; one shuffle takes the questions to the values and one brings the
+   answers back, which the block sums up.
    Word counts come back only where they differ from what the block counted itself.
 
 Nothing is broadcast but the two top levels. Counts cover all training texts.
@@ -34,11 +35,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import LOWER, NOT_SPACE, checkpointed, run_hashes, shuffle_partitions, slices, spans, texts
+from pagemill.llm.common import LOWER, NOT_SPACE, checkpointed, shuffle_partitions, slices, spans, texts
 
 DEPTH = 5
 END = 0x0A
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Distinct grams held by a task before they are sent on.
 FLUSH = 1 << 22
 
@@ -47,59 +48,72 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 7 == 2, F.lit(True))
 
 
-def grams(buf: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Grams of all bytes of the slice's token streams, bytes per row, and (lowered bytes, starts, ends,
-    words per row) of the words."""
-    low = LOWER[buf]
-    starts, ends, words = spans(low, off, NOT_SPACE)
-    size = ends - starts + 1
-    total = np.concatenate(([0], np.cumsum(size)))
-    first = np.cumsum(words) - words
-    per_row = np.where(words > 0, total[first + words] - total[first], 1)
-    row0 = np.cumsum(per_row + depth) - per_row  # first content byte of each row, after `depth` ends
-    out = np.full(int((per_row + depth).sum()), END, np.uint8)
-    row = np.repeat(np.arange(len(words)), words)
-    at = row0[row] + total[:-1] - total[first[row]]  # where each word goes
-    n = size - 1
-    local = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    out[np.repeat(at, n) + local] = low[np.repeat(starts, n) + local]
-    inner = np.ones(len(at), bool)
-    inner[(first + words)[words > 0] - 1] = False
-    out[(at + n)[inner]] = 0x20
-    key = np.zeros(len(out), np.uint64)
-    for k in range(depth + 1):
-        key[k:] |= out[: len(out) - k].astype(np.uint64) << np.uint64(8 * k)
-    content = np.ones(len(out), bool)
-    content[(row0[:, None] - 1 - np.arange(depth)).ravel()] = False
-    return key[content], per_row, (low, starts, ends, words)
+def grams(buf: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grams that end at each byte of the slice's token streams (rows one after the other, each after
+    `depth` bytes to skip), bytes per row, and where each row's stream begins among the grams."""
+    rows, pad = len(off) - 1, depth + 1
+    padded = np.full(len(buf) + rows * pad, END, np.uint8)  # each text: `depth` ends, text, end
+    begin = off[:-1] + np.arange(rows) * pad
+    bounds = off.tolist()
+    for at, lo, hi in zip((begin + depth).tolist(), bounds, bounds[1:]):
+        padded[at : at + hi - lo] = buf[lo:hi]
+    padded = LOWER[padded]
+    word = NOT_SPACE[padded]
+    keep = word.copy()
+    keep[1:] |= word[:-1]  # one byte of white space after each word
+    for k in range(depth):
+        keep[begin + k] = True
+    size = np.add.reduceat(keep, begin, dtype=np.int64) - depth if rows else np.zeros(0, np.int64)
+    empty = size == 0
+    keep[(off[1:] + np.arange(1, rows + 1) * pad - 1)[empty]] = True
+    size[empty] = 1
+    stream = np.where(word, padded, np.uint8(0x20))[keep]
+    stop = np.cumsum(size + depth)
+    first = stop - size
+    stream[stop - 1] = END
+    for k in range(depth):
+        stream[first - 1 - k] = END
+    whole = np.concatenate((np.zeros(7, np.uint8), stream))
+    key = np.ndarray((len(stream),), ">u8", whole, 0, (1,)).astype(np.uint64) & np.uint64((1 << (8 * pad)) - 1)
+    return key, size, first
+
+
+def _skip(key: np.ndarray, first: np.ndarray, depth: int) -> np.ndarray:
+    """The grams without those that end before a row's stream."""
+    content = np.ones(len(key), bool)
+    for k in range(depth):
+        content[first - 1 - k] = False
+    return key[content]
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
+    return pa.record_batch([pa.array(key.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
 
 def _gram_counts(docs: DataFrame, depth: int) -> DataFrame:
     """(gram, n): every distinct gram of all texts with its count in the training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        keys, counts, held = [], [], 0
         for batch in batches:
             for rows, buf, off in slices(batch, "text", SLICE):
-                g, size, _ = grams(buf, off, depth)
+                key, size, first = grams(buf, off, depth)
                 learn = np.repeat(~rows.column("held").to_numpy(zero_copy_only=False), size)
-                u, c = np.unique(g << np.uint64(1) | learn, return_counts=True)
-                k = np.concatenate((key, u >> np.uint64(1)))
-                v = np.concatenate((n, c * (u & np.uint64(1)).astype(np.int64)))
-                order = np.argsort(k, kind="stable")
-                k, v = k[order], v[order]
-                head = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-                key, n = k[head], np.add.reduceat(v, head)
-                if len(key) > FLUSH:
-                    yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(n)], names=["gram", "n"])
-                    key, n = key[:0], n[:0]
-        if len(key):
-            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(n)], names=["gram", "n"])
+                u, c = np.unique(_skip(key, first, depth) << np.uint64(1) | learn, return_counts=True)
+                keys.append(u >> np.uint64(1))
+                counts.append(c * (u & np.uint64(1)).astype(np.int64))
+                held += len(u)
+                if held > FLUSH:
+                    yield _summed(keys, counts)
+                    keys, counts, held = [], [], 0
+        if keys:
+            yield _summed(keys, counts)
 
     return docs.select("held", "text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """log Gamma of positive x: Stirling's series after shifting small x up."""
     x = np.asarray(x, float)
@@ -212,102 +226,128 @@ def model(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     return built.where("p is not null").select("k", "p").mapInArrow(finish, "gram bigint, lp double")
 
 
-def _block_grams(t: pa.Table, depth: int) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
-    """Per slice of the block (distinct grams, where each byte's is, bytes per row), and all distinct grams."""
-    parts = []
-    for batch in t.combine_chunks().to_batches():
-        for _, buf, off in slices(batch, "text", SLICE):
-            g, size, _ = grams(buf, off, depth)
-            u, at = np.unique(g, return_inverse=True)
-            parts.append((u, at, size))
-    return parts, np.unique(np.concatenate([u for u, _, _ in parts]))
-
-
-def _block_words(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """(tokens per row, token number of each token, distinct tokens' training counts, ..., their bytes).
-    Number 0 is the end token; tokens of a row are its words, then the end."""
-    hashes, count, raw, seen = [], [], [], np.zeros(0, np.uint64)
-    for batch in t.combine_chunks().to_batches():
-        for rows, buf, off in slices(batch, "text", SLICE):
-            low = LOWER[buf]
-            starts, ends, words = spans(low, off, NOT_SPACE)
-            h = run_hashes(low, starts, ends)
-            u, at = np.unique(h, return_index=True)
-            new = ~np.isin(u, seen)
-            seen = np.concatenate((seen, u[new]))
-            raw.append(texts(low, starts[at[new]], ends[at[new]]))
-            hashes.append(h)
-            count.append(words)
-    h, words = np.concatenate(hashes), np.concatenate(count)
-    order = np.argsort(seen)
-    number = np.searchsorted(seen[order], h)
-    learn = ~t.column("held").to_numpy()
-    n = np.bincount(number, np.repeat(learn, words), len(seen)).astype(np.int64) if len(seen) else np.zeros(0, np.int64)
-    spelled = pa.concat_arrays(raw).take(pa.array(order))
-    spelled = pa.concat_arrays([pa.array([bytes([END])], pa.binary()), spelled])
-    return words, number + 1, np.concatenate(([int(learn.sum())], n)), learn, spelled
+def _in_order(t: pa.Table) -> pa.RecordBatch:
+    """A block's rows in an order that does not depend on how they arrived."""
+    t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+    return t.to_batches()[0]
+
+
+def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Words per row, token number of each word, training count of each token, and the tokens. Number 0
+    is the end token, the others are numbered as they first occur."""
+    spelled, count = [], []
+    for _, buf, off in slices(batch, "text", SLICE):
+        low = LOWER[buf]
+        starts, ends, n = spans(low, off, NOT_SPACE)
+        spelled.append(texts(low, starts, ends))
+        count.append(n)
+    words = np.concatenate(count)
+    coded = pa.chunked_array(spelled).dictionary_encode().unify_dictionaries()
+    number = np.concatenate([c.indices.to_numpy() for c in coded.chunks]) if len(coded) else np.zeros(0, np.int64)
+    tokens = coded.chunk(coded.num_chunks - 1).dictionary if len(coded) else pa.array([], pa.binary())
+    learn = ~batch.column("held").to_numpy(zero_copy_only=False)
+    n = np.bincount(number, np.repeat(learn, words), len(tokens)).astype(np.int64)
+    return words, number + 1, np.concatenate(([int(learn.sum())], n)), pa.concat_arrays([pa.array([bytes([END])], pa.binary()), tokens])
+
+
+#: Rows that meet by `route`. kind 0: a block asks for a gram (the route); 1: for a word that it counted
+#: v times (the route is its hash); 2: a gram's value v. place packs block and number.
+ASK = "route bigint, kind int, place bigint, word binary, v double"
+ANSWER = "block int, kind int, number int, v double, tokens bigint, distinct bigint"
 
 
 def score(docs: DataFrame, depth: int = DEPTH, blocks: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row."""
-    blocks = blocks or shuffle_partitions(docs.sparkSession)
     parts = shuffle_partitions(docs.sparkSession)
+    blocks = blocks or parts
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out("doc_id").alias("held"), "text")
     table = model(d, depth)
     d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)).cast("int"))
 
-    def ask_grams(key: tuple, t: pa.Table) -> pa.Table:
-        _, u = _block_grams(t, depth)
-        return pa.table({"block": pa.array(np.full(len(u), key[0].as_py()), pa.int32()), "number": pa.array(np.arange(len(u)), pa.int32()), "gram": pa.array(u.view(np.int64))})
-
-    def ask_words(key: tuple, t: pa.Table) -> pa.Table:
-        _, _, n, _, spelled = _block_words(t)
-        return pa.table({"block": pa.array(np.full(len(n), key[0].as_py()), pa.int32()), "number": pa.array(np.arange(len(n)), pa.int32()), "word": spelled, "n": pa.array(n)})
-
-    asked = d.groupBy("block").applyInArrow(ask_grams, "block int, number int, gram bigint")
-    values = asked.join(table, "gram").select("block", F.lit(0).alias("kind"), "number", F.col("lp").alias("v"))
-
-    words = d.groupBy("block").applyInArrow(ask_words, "block int, number int, word binary, n bigint").repartition(parts, "word")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
+    def ask(key: tuple, t: pa.Table) -> pa.Table:
+        block = key[0].as_py()
+        batch = _in_order(t)
+        u = []
+        for _, buf, off in slices(batch, "text", SLICE):
+            g, _, first = grams(buf, off, depth)
+            u.append(np.unique(_skip(g, first, depth)))
+        u = np.unique(np.concatenate(u))
+        _, _, n, tokens = _words(batch)
+        out = []
+        for kind, size in ((0, len(u)), (1, len(n))):
+            out.append(pa.table({
+                "route": pa.array(u.view(np.int64)) if kind == 0 else pa.array(np.zeros(size, np.int64)), "kind": pa.array(np.full(size, kind, np.int32)), "place": pa.array(block << 32 | np.arange(size)),
+                "word": pa.nulls(size, pa.binary()) if kind == 0 else tokens, "v": pa.array(np.zeros(size) if kind == 0 else n.astype(float))}))
+        return pa.concat_tables(out)
+
+    asked = d.groupBy("block").applyInArrow(ask, ASK).withColumn("route", F.when(F.col("kind") == 1, F.xxhash64("word")).otherwise(F.col("route")))
+    known = table.select(F.col("gram").alias("route"), F.lit(2).alias("kind"), F.lit(0).cast("bigint").alias("place"), F.lit(None).cast("binary").alias("word"), F.col("lp").alias("v"))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a word stands in at most one row per block, a gram too: a task's share is even
+        grams_, places, values, lps, words, word_places, counts = [], [], [], [], [], [], []
+        for b in batches:
+            kind = b.column("kind").to_numpy()
+            route, place, v = (b.column(c).to_numpy() for c in ("route", "place", "v"))
+            grams_.append(route[kind == 0])
+            places.append(place[kind == 0])
+            lps.append(route[kind == 2])
+            values.append(v[kind == 2])
+            mine = np.flatnonzero(kind == 1)
+            words.append(b.column("word").take(pa.array(mine)))
+            word_places.append(place[mine])
+            counts.append(v[mine])
+        if not grams_:
             return
-        t = pa.Table.from_batches(got).combine_chunks()
-        code = pc.dictionary_encode(t.column("word")).combine_chunks()
-        code = code.chunk(0) if isinstance(code, pa.ChunkedArray) else code
-        at, n = code.indices.to_numpy(), t.column("n").to_numpy()
-        c = np.bincount(at, n).astype(np.int64)
-        differs = c[at] != n
-        yield pa.record_batch([pa.array(t.column("block").to_numpy()[differs]), pa.array(np.ones(differs.sum()), pa.int32()), pa.array(t.column("number").to_numpy()[differs]), pa.array(c[at][differs].astype(float)), pa.nulls(int(differs.sum()), pa.int64()), pa.nulls(int(differs.sum()), pa.int64())],
-                              names=["block", "kind", "number", "v", "tokens", "distinct"])
-        yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([2], pa.int32()), pa.array([0], pa.int32()), pa.array([0.0]), pa.array([int(c.sum())]), pa.array([int((c > 0).sum())])],
+
+        def rows(place: np.ndarray, kind: int, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(place), 1 << 17):
+                p = place[lo : lo + (1 << 17)]
+                none = pa.nulls(len(p), pa.int64())
+                yield pa.record_batch([pa.array((p >> 32).astype(np.int32)), pa.array(np.full(len(p), kind, np.int32)), pa.array((p & ((1 << 32) - 1)).astype(np.int32)), pa.array(v[lo : lo + (1 << 17)]), none, none],
+                                      names=["block", "kind", "number", "v", "tokens", "distinct"])
+
+        lp, value = np.concatenate(lps), np.concatenate(values)
+        order = np.argsort(lp)
+        lp, value = lp[order], value[order]
+        asked_ = np.concatenate(grams_)
+        if len(asked_):
+            yield from rows(np.concatenate(places), 0, value[np.searchsorted(lp, asked_)].astype(np.float32).astype(float))
+        coded = pa.chunked_array(words).combine_chunks()
+        coded = pc.dictionary_encode(coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded)
+        at, n = coded.indices.to_numpy(), np.concatenate(counts)
+        c = np.bincount(at, n, len(coded.dictionary))
+        differs = np.flatnonzero(c[at] != n)
+        yield from rows(np.concatenate(word_places)[differs], 1, c[at][differs])
+        yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([3], pa.int32()), pa.array([0], pa.int32()), pa.array([0.0]), pa.array([int(c.sum())]), pa.array([int((c > 0).sum())])],
                               names=["block", "kind", "number", "v", "tokens", "distinct"])
 
-    counted = words.mapInArrow(count, "block int, kind int, number int, v double, tokens bigint, distinct bigint")
-    totals = counted.where("kind = 2").agg(F.sum("tokens").alias("train_tokens"), F.sum("distinct").alias("_distinct"), F.first(F.lit(1)).alias("_one"))
-    values = values.unionByName(counted.where("kind = 1").select("block", "kind", "number", "v"))
+    answered = asked.unionByName(known).repartition(parts, "route").mapInArrow(answer, ANSWER)
+    totals = answered.where("kind = 3").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("_distinct")).withColumn("_one", F.lit(1))
 
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         kind, number, v = (right.column(c).to_numpy() for c in ("kind", "number", "v"))
-        parts, u = _block_grams(left, depth)
+        batch = _in_order(left)
+        found = []
+        for _, buf, off in slices(batch, "text", SLICE):
+            g, size, first = grams(buf, off, depth)
+            coded = pc.dictionary_encode(pa.array(_skip(g, first, depth).view(np.int64)))
+            found.append((coded.indices.to_numpy(), coded.dictionary.to_numpy(), size))
+        u = np.unique(np.concatenate([own for _, own, _ in found]))
         lp = np.zeros(len(u))
         lp[number[kind == 0]] = v[kind == 0]
-        total, size = [], []
-        for own, at, n in parts:
-            total.append(np.add.reduceat(lp[np.searchsorted(u, own)][at], np.cumsum(n) - n))
-            size.append(n)
-        total, size = np.concatenate(total), np.concatenate(size)
-        words, token, c, learn, _ = _block_words(left)
+        total = np.concatenate([np.add.reduceat(lp[np.searchsorted(u, own)][at], np.cumsum(size) - size) for at, own, size in found])
+        size = np.concatenate([size for *_, size in found])
+        words, token, c, _ = _words(batch)
         c[number[kind == 1]] = v[kind == 1].astype(np.int64)
-        cum = np.concatenate(([0.0], np.cumsum(np.log10(c[token] + 1.0))))
-        known = np.concatenate(([0], np.cumsum(c[token] > 0)))
+        cum = np.concatenate(([0.0], np.cumsum(np.log10(c + 1.0)[token])))
+        seen = np.concatenate(([0], np.cumsum((c > 0)[token])))
         end = np.cumsum(words)
         return pa.table({
-            "doc_id": left.column("doc_id"), "held_out": pa.array(~learn), "n_tokens": pa.array(words + 1), "n_known": pa.array(known[end] - known[end - words] + int(c[0] > 0)),
+            "doc_id": batch.column("doc_id"), "held_out": batch.column("held"), "n_tokens": pa.array(words + 1), "n_known": pa.array(seen[end] - seen[end - words] + int(c[0] > 0)),
             "_log": pa.array(cum[end] - cum[end - words] + np.log10(c[0] + 1.0)), "score": pa.array(total), "bits_per_byte": pa.array(-total * np.log2(10.0) / size)})
 
-    done = d.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(
+    done = d.groupBy("block").cogroup(answered.where("kind < 2").select("block", "kind", "number", "v").groupBy("block")).applyInArrow(
         finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, _log double, score double, bits_per_byte double")
     done = done.withColumn("_one", F.lit(1)).join(F.broadcast(totals), "_one")  # one row
     base = F.col("_log") - F.col("n_tokens") * F.log10((F.col("train_tokens") + F.col("_distinct") + 1).cast("double"))

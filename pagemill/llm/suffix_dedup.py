@@ -344,12 +344,13 @@ def _resolve(t: pa.Table, width: int, gram: int) -> Iterator[tuple[np.ndarray, .
         yield r & ((1 << 32) - 1), d, r >> 32, s, e
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, blocks: int | None = None) -> DataFrame:
-    """The rows of `docs` with n_bytes, n_removed, n_spans and `kept`, the remaining bytes, instead of text."""
-    return guarded(docs, ("doc_id", "text"), lambda d: _dedup(d, width, gram, hot, blocks))
+def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, blocks: int | None = None, as_text: bool = False) -> DataFrame:
+    """The rows of `docs` with n_bytes, n_removed, n_spans and `kept`, the remaining bytes, instead of text;
+    as_text: `kept` as a string, without what is left of characters that were cut in two."""
+    return guarded(docs, ("doc_id", "text"), lambda d: _dedup(d, width, gram, hot, blocks, as_text))
 
 
-def _dedup(docs: DataFrame, width: int, gram: int, hot: int, blocks: int | None) -> DataFrame:
+def _dedup(docs: DataFrame, width: int, gram: int, hot: int, blocks: int | None, as_text: bool) -> DataFrame:
     parts = shuffle_partitions(docs.sparkSession)
     blocks = blocks or 4 * parts
     d = docs.select(
@@ -405,7 +406,7 @@ def _dedup(docs: DataFrame, width: int, gram: int, hot: int, blocks: int | None)
     covered = segments.repartition(parts, "key").mapInArrow(resolve, RANGES)
     keep = [c for c in docs.columns if c != "text"]
     kinds = dict(d.dtypes)
-    schema = ", ".join(f"`{n}` {kinds[n]}" for n in keep) + ", n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
+    schema = ", ".join(f"`{n}` {kinds[n]}" for n in keep) + f", n_bytes bigint, n_removed bigint, n_spans bigint, kept {'string' if as_text else 'binary'}"
 
     def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         doc = left.column("doc").to_numpy()
@@ -428,7 +429,7 @@ def _dedup(docs: DataFrame, width: int, gram: int, hot: int, blocks: int | None)
             n_bytes.append(len(raw))
             removed.append(len(raw) - len(kept[-1]))
             spans_.append(len(mine))
-        more = {"n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans_, pa.int64()), "kept": pa.array(kept, pa.binary())}
+        more = {"n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans_, pa.int64()), "kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())}
         return pa.Table.from_pydict({n: left.column(n) for n in keep} | more)
 
     # the same rows, dealt the same way as above, so that Spark shuffles the texts once

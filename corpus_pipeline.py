@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import mixing, packing, simhash, toxicity
+from pagemill.llm import mixing, packing, simhash, suffix_dedup, toxicity
 from pagemill.llm.common import guarded, shared_folder
 from pagemill.llm.queries import table, vocabulary, weighted
 
@@ -25,6 +25,20 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return simhash.keep_one(docs)
 
 
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes that a 100-byte string of an earlier document, or earlier in the same
+    one, covers. A character that is cut in two goes whole; documents of which nothing is left go;
+    n_chars, where there is one, is that of the new text."""
+
+    def cut(d: DataFrame) -> DataFrame:
+        out = suffix_dedup.dedup(d, as_text=True).where((F.col("n_removed") == 0) | (F.octet_length("kept") > 0)).withColumn("text", F.col("kept"))
+        if "n_chars" in d.columns:
+            out = out.withColumn("n_chars", F.length("text").cast(d.schema["n_chars"].dataType))
+        return out.select(*d.columns)
+
+    return guarded(docs, (*KNOWN, "n_chars"), cut)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (none to three times)."""
 
@@ -43,6 +57,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("toxicity", toxicity_stage),
     ("simhash", simhash_stage),
+    ("suffix_dedup", suffix_stage),
     ("mixing", mixing_stage),
     ("packing", packing_stage),
 ]

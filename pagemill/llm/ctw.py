@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import LOWER, NOT_SPACE, checkpointed, shuffle_partitions, slices, spans, texts
 
-DEPTH = 5
+DEPTH = 4
 END = 0x0A
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Distinct grams held by a task before they are sent on.
-FLUSH = 1 << 22
+FLUSH = 1 << 20
 
 
 def held_out(doc_id) -> F.Column:

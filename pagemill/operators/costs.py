@@ -1,12 +1,14 @@
 """Model cost accounting: usage × price list, roll-ups, spend guard.
 
-Money is summed as exact integer nano-USD and turned into USD only at the
-end, so the totals do not depend on the order in which partitions are summed.
+Money is summed as exact decimal nano-USD and turned into USD only at the end,
+so the totals do not depend on the order in which partitions are summed. A call
+whose model is not in the price list has no cost: its `cost_nano` is NULL and its
+`price_status` is `unknown_model`, and reports count such calls.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.operators.ordering import running_total
@@ -29,33 +31,48 @@ def prices_df(spark: SparkSession, prices=PRICES) -> DataFrame:
     return spark.createDataFrame(prices, PRICES_DDL)
 
 
+#: Nano-USD with six more digits.
+NANO = "decimal(28,6)"
+
+
 def usd(nano: Column) -> Column:
     return nano.cast("double") / F.lit(1e9)
 
 
 def usd4_text(nano: Column) -> Column:
-    """`cost.toFixed(4)` computed on integers (half-up), no float formatting."""
+    """`cost.toFixed(4)` computed exactly (half-up) from integer or decimal nano-USD, no float formatting."""
     c4 = F.floor((nano + F.lit(50000)) / F.lit(100000)).cast("bigint")
     return F.concat(
         F.floor(c4 / 10000).cast("bigint").cast("string"), F.lit("."), F.lpad((c4 % 10000).cast("string"), 4, "0")
     )
 
 
+#: Price lists are configuration: one row per model. More rows than this are an error, not a broadcast.
+MAX_MODELS = 10_000
+
+
 def priced_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """usage ⋈ prices on model; cost_nano per call. The price list is a
-    config-sized table (one row per model), so broadcasting it is bounded."""
+    """usage ⋈ prices on model; cost_nano per call (DECIMAL), NULL for a model
+    without a price. The price list is checked to be config-sized before it is
+    broadcast."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    exact = lambda c, factor: F.coalesce(F.col(c), F.lit(0.0)).cast("decimal(20,12)") * F.lit(factor).cast("decimal(12,0)")
     p = prices.select(
         "model",
-        F.round(F.coalesce("input_per_1k", F.lit(0.0)) * 1e6).cast("bigint").alias("in_nano"),
-        F.round(F.coalesce("output_per_1k", F.lit(0.0)) * 1e6).cast("bigint").alias("out_nano"),
-        F.round(F.coalesce("per_minute", F.lit(0.0)) * 1e9 / 60).cast("bigint").alias("sec_nano"),
+        exact("input_per_1k", 10**6).cast("decimal(28,9)").alias("in_nano"),
+        exact("output_per_1k", 10**6).cast("decimal(28,9)").alias("out_nano"),
+        (exact("per_minute", 10**9) / F.lit(60).cast("decimal(2,0)")).cast("decimal(28,9)").alias("sec_nano"),
+        F.assert_true(n <= MAX_MODELS, F.lit("the price list is not config-sized")).alias("_checked"),
     )
+    p = p.filter(F.col("_checked").isNull()).drop("_checked")
     u = usage.join(F.broadcast(p), "model", "left")
-    image_nano = F.col("prompt_tokens") * F.col("in_nano") + F.col("completion_tokens") * F.col("out_nano")
-    audio_nano = F.round(F.col("seconds") * F.col("sec_nano")).cast("bigint")
-    return u.withColumn("media_type", F.when(F.col("seconds") > 0, F.lit("audio")).otherwise(F.lit("image"))).withColumn(
-        "cost_nano", F.coalesce(image_nano, F.lit(0)) + F.coalesce(audio_nano, F.lit(0))
-    )
+    tokens = F.col("prompt_tokens").cast("decimal(19,0)") * F.col("in_nano") + F.col("completion_tokens").cast("decimal(19,0)") * F.col("out_nano")
+    audio = F.col("seconds").cast("decimal(18,6)") * F.col("sec_nano")
+    return u.withColumns({
+        "media_type": F.when(F.col("seconds") > 0, F.lit("audio")).otherwise(F.lit("image")),
+        "price_status": F.when(F.col("in_nano").isNull(), F.lit("unknown_model")).otherwise(F.lit("priced")),
+        "cost_nano": (tokens + audio).cast(NANO),
+    })
 
 
 def cost_by_page(priced: DataFrame) -> DataFrame:
@@ -64,9 +81,10 @@ def cost_by_page(priced: DataFrame) -> DataFrame:
         F.sum("prompt_tokens").cast("bigint").alias("prompt_tokens"),
         F.sum("completion_tokens").cast("bigint").alias("completion_tokens"),
         F.sum("seconds").alias("audio_seconds"),
-        usd(F.sum(F.when(is_img, F.col("cost_nano")).otherwise(0))).alias("image_cost"),
-        usd(F.sum(F.when(~is_img, F.col("cost_nano")).otherwise(0))).alias("audio_cost"),
-        usd(F.sum("cost_nano")).alias("total_cost"),
+        usd(F.coalesce(F.sum(F.when(is_img, F.col("cost_nano"))), F.lit(0))).alias("image_cost"),
+        usd(F.coalesce(F.sum(F.when(~is_img, F.col("cost_nano"))), F.lit(0))).alias("audio_cost"),
+        usd(F.coalesce(F.sum("cost_nano"), F.lit(0))).alias("total_cost"),
+        F.count_if(F.col("price_status") == "unknown_model").cast("bigint").alias("unpriced_calls"),
     )
 
 
@@ -76,13 +94,14 @@ def _js_number(x: Column) -> Column:
 
 def cost_rollup(priced: DataFrame) -> DataFrame:
     """ROLLUP(page_id, media_type) with the reference's summary text per row."""
+    # Fixed values below: the lines of the usage summary.
     r = priced.rollup("page_id", "media_type").agg(
         F.sum("prompt_tokens").cast("bigint").alias("prompt_tokens"),
         F.sum("completion_tokens").cast("bigint").alias("completion_tokens"),
         F.sum("seconds").alias("audio_seconds"),
-        F.sum(F.when(F.col("media_type") == "image", F.col("cost_nano")).otherwise(0)).alias("img_nano"),
-        F.sum(F.when(F.col("media_type") == "audio", F.col("cost_nano")).otherwise(0)).alias("aud_nano"),
-        F.sum("cost_nano").alias("cost_nano"),
+        F.coalesce(F.sum(F.when(F.col("media_type") == "image", F.col("cost_nano"))), F.lit(0)).alias("img_nano"),
+        F.coalesce(F.sum(F.when(F.col("media_type") == "audio", F.col("cost_nano"))), F.lit(0)).alias("aud_nano"),
+        F.coalesce(F.sum("cost_nano"), F.lit(0)).alias("cost_nano"),
         F.grouping_id().alias("level"),
     )
     tokens = F.col("prompt_tokens") + F.col("completion_tokens")
@@ -115,10 +134,14 @@ def cost_rollup(priced: DataFrame) -> DataFrame:
 
 def cost_guard(priced: DataFrame, order: list[str] = ("ts", "media_hash"), warn_usd=WARN_USD, stop_usd=STOP_USD) -> DataFrame:
     """Running spend over the calls in `order`, with the guard level reached.
-    A distributed prefix sum (`ordering.running_total`): no task ever holds
-    more than one range partition of the calls."""
+    A distributed prefix sum (`ordering.running_total`): days, then times, then
+    two characters of the hash; a task orders the calls of one such slice. A call
+    without a price adds nothing and keeps its NULL cost."""
     order = list(order)
-    running = running_total(priced, order, "cost_nano", "cum_nano")
+    spent = priced.withColumn("_spent", F.coalesce("cost_nano", F.lit(0).cast(NANO)))
+    ts, key = order
+    levels = [F.to_date(ts), F.col(ts), F.struct(F.col(ts).alias("t"), F.substring(key, 1, 2).alias("k"))]
+    running = running_total(spent, order, "_spent", "cum_nano", levels)
     cum = F.col("cum_nano")
     return running.select(
         *order, "page_id", "model", usd(F.col("cost_nano")).alias("cost"), usd(cum).alias("cumulative_cost"),

@@ -38,7 +38,9 @@ def outcome(status: Column, server: Column, challenge: Column) -> Column:
         .when((status == 403) & (F.lower(server) == BLOCKING_SERVER), "blocked")
         .when(status == 429, "rate_limited")
         .when(status >= 500, "server_error")
-        .otherwise("client_error")
+        .when(status >= 400, "client_error")
+        .when(status >= 300, "redirect")
+        .otherwise("informational")
     )
 
 
@@ -55,14 +57,20 @@ def fetch_outcome(captures: DataFrame, wait_ms: int = WAIT_MS) -> DataFrame:
     )
 
 
+def usable_captures(captures: DataFrame) -> DataFrame:
+    return captures.filter(F.col("status").between(200, 299) & ~is_challenge("html"))
+
+
 def latest_capture(captures: DataFrame) -> DataFrame:
-    """Newest usable (2xx, not a challenge) capture per URL. `max_by` is a
-    partially-aggregated group-by, so a URL with very many attempts is combined
-    in every map task before the shuffle."""
-    usable = captures.filter(F.col("status").between(200, 299) & ~is_challenge("html"))
-    return usable.groupBy("url").agg(
-        F.max_by(F.struct("fetched_at", "attempt", "status", "html"), F.struct("fetched_at", "attempt")).alias("c")
-    ).select("url", "c.fetched_at", "c.attempt", "c.status", F.length("c.html").cast("bigint").alias("html_chars"))
+    """Newest usable (2xx, not a challenge) capture per URL, with its HTML. The winner
+    is picked from its time and attempt number alone (a partially aggregated
+    group-by, so a URL with very many attempts is combined in every map task);
+    only the winners' HTML is fetched afterwards. `attempt` is unique per URL."""
+    usable = usable_captures(captures)
+    best = usable.groupBy("url").agg(F.max(F.struct("fetched_at", "attempt")).alias("b")).select("url", "b.*")
+    return usable.join(best, ["url", "fetched_at", "attempt"]).select(
+        "url", "fetched_at", "attempt", "status", F.length("html").cast("bigint").alias("html_chars"), "html"
+    )
 
 
 def crawl_split(requested: DataFrame, cached: DataFrame, key: str = "url"):
@@ -71,29 +79,29 @@ def crawl_split(requested: DataFrame, cached: DataFrame, key: str = "url"):
     return requested.join(c, key, "left_semi"), requested.join(c, key, "left_anti")
 
 
-def crawl_status(captures: DataFrame) -> DataFrame:
-    """One row per requested URL: site, ok flag and, for failures, the error of
-    the last attempt (successes ∪ failures of the run). One aggregation per URL
-    yields both the newest usable attempt and the last attempt."""
+def crawl_status(captures: DataFrame, requested: DataFrame | None = None) -> DataFrame:
+    """One row per URL: site, ok flag and, for failures, the error of the last
+    attempt. One aggregation per URL yields both whether any attempt is usable and
+    the last attempt. With `requested(url)` there is a row for every requested
+    URL, also for those that were never captured."""
     ch = is_challenge("html")
     usable = F.col("status").between(200, 299) & ~ch
     per_url = captures.groupBy("url").agg(
-        F.max(F.when(usable, F.struct("fetched_at", "attempt"))).alias("ok_at"),
+        F.bool_or(F.coalesce(usable, F.lit(False))).alias("ok"),
         F.max(F.struct("fetched_at", "attempt", "status", "server", ch.alias("challenge"))).alias("last"),
     )
-    ok = per_url.filter(F.col("ok_at").isNotNull()).select(
-        "url", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error")
-    )
-    failed = per_url.filter(F.col("ok_at").isNull()).select("url", "last.*")
-    oc = outcome(F.col("status"), F.col("server"), F.col("challenge"))
+    if requested is not None:
+        per_url = requested.select("url").distinct().join(per_url, "url", "left")
+    oc = outcome(F.col("last.status"), F.col("last.server"), F.col("last.challenge"))
     err = (
-        F.when(oc == "challenge", F.lit("Challenge page detected"))
+        F.when(F.col("last").isNull(), F.lit("Not captured"))
+        .when(oc == "challenge", F.lit("Challenge page detected"))
         .when(oc == "blocked", F.lit("Error 403: Access blocked"))
         .when(oc == "rate_limited", F.lit("Error 429: Rate limited"))
-        .otherwise(F.concat(F.lit("Error "), F.col("status").cast("string")))
+        .otherwise(F.concat(F.lit("Error "), F.col("last.status").cast("string")))
     )
-    failures = failed.select("url", F.lit(False).alias("ok"), err.alias("error"))
-    return ok.unionByName(failures).withColumn("site", host("url"))
+    ok = F.coalesce("ok", F.lit(False))
+    return per_url.select("url", ok.alias("ok"), F.when(~ok, err).alias("error"), host("url").alias("site"))
 
 
 def site_summary(status: DataFrame) -> DataFrame:
@@ -104,11 +112,12 @@ def site_summary(status: DataFrame) -> DataFrame:
     )
 
 
-def failure_report(status: DataFrame, timeout_ms: int | None = None) -> DataFrame:
-    """Failed URLs numbered per site, with the retry suggestion: twice the
-    timeout in force (the configured page timeout when none was given)."""
+def failure_report(status: DataFrame, timeout_ms: int | None = None, order: list[str] = ("url",)) -> DataFrame:
+    """Failed URLs numbered per site in `order` (by URL, or by the position that the run gave
+    them), with the retry suggestion: twice the timeout in force (the configured
+    page timeout when none was given)."""
     retry = 2 * (timeout_ms if timeout_ms is not None else TIMEOUT_MS)
-    f = position_within(status.filter(~F.col("ok")), ["site"], ["url"], out="n")
+    f = position_within(status.filter(~F.col("ok")), ["site"], list(order), out="n")
     return f.select(
         "site", "n", "url", "error",
         F.lit(retry).cast("bigint").alias("retry_timeout_ms"),

@@ -1,66 +1,73 @@
 """Order-dependent numbering without putting a whole group into one task.
 
 A plain `row_number()` / running `sum()` window moves every row of a group (or,
-without PARTITION BY, of the whole table) into a single task. Here the rows are
-range-partitioned on (group, order) first — range partitioning samples the
-keys, so even a group holding a third of all rows is cut across many
-partitions — and each partition is numbered locally. The offset of a partition
-is a prefix sum over a table with one row per (group, partition), which is
-tiny. The result equals the global window (tests/test_skew.py).
+without PARTITION BY, of the whole table) into a single task. Here the caller
+names `levels`: columns, coarse to fine, that are monotone in the order (a date
+and then the timestamp, ever longer prefixes of a URL). Rows are counted per
+level with a map-side phase, prefix sums over those counts give where each
+finest slice begins, and only the rows of one slice are ordered in one task.
+
+Slices are functions of the key alone, so nothing is sampled, collected or
+checkpointed: the plan is lazy, and a recomputed task numbers its rows alike.
+The result equals the global window (tests/test_skew.py).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _ranged(df: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
-    """Range-partition on `keys` and record each row's partition as `_part`.
+def prefix_levels(col: str, lengths: tuple[int, ...] = (12, 20, 28, 36)) -> list[Column]:
+    """Ever longer prefixes of a string; string order is monotone in each."""
+    return [F.substring(col, 1, n) for n in lengths]
+
+
+def _offsets(df: DataFrame, group: list[str], names: list[str], value: Column, out: str) -> DataFrame:
+    """(group, levels) → `out`: sum of `value` over all earlier slices of the group."""
+    table = df.groupBy(*group, *names).agg(F.sum(value).alias("_sum"))
+    total = None
+    for k in range(len(names), 0, -1):
+        keys = group + names[:k]
+        at = table if k == len(names) else table.groupBy(*keys).agg(F.sum("_sum").alias("_sum"))
+        w = Window.partitionBy(*group, *names[: k - 1]).orderBy(names[k - 1]).rowsBetween(Window.unboundedPreceding, -1)
+        at = at.select(*keys, F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias(f"_before{k}"))
+        total = at if total is None else _join(total, at, keys)
+    return total.select(*group, *names, sum(F.col(f"_before{k}") for k in range(1, len(names) + 1)).alias(out))
+
 
-    The result is checkpointed (to the session's shared checkpoint folder):
-    `_part` is a physical fact of one execution (AQE may coalesce partitions
-    differently for two consumers of the same shuffle), so both the per-part
-    counts and the rows must read the same materialised numbering. This also
-    cuts the lineage, so a lost executor never re-derives different parts."""
-    from pagemill.session import ensure_checkpoint_dir
+def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on `keys` that also matches nulls."""
+    r = right.select(*(F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns))
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        cond = c if cond is None else cond & c
+    return left.join(r, cond).drop(*(f"_r_{k}" for k in keys))
 
-    ensure_checkpoint_dir(df.sparkSession)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
+
+def _sliced(df: DataFrame, levels: list[Column]) -> tuple[DataFrame, list[str]]:
+    names = [f"_l{k}" for k in range(len(levels))]
+    return df.withColumns(dict(zip(names, levels))), names
 
 
 def position_within(df: DataFrame, group: list[str], order: list[str], out: str = "i", total: str | None = None,
-                    partitions: int | None = None) -> DataFrame:
+                    levels: list[Column] | None = None) -> DataFrame:
     """Adds `out` = 1-based position of the row within `group` by `order`
-    (and the group size as `total` when asked)."""
-    r = _ranged(df, group + order, partitions)
-    counts = r.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_cnt"))
-    wg = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(wg), F.lit(0)))
+    (and the group size as `total` when asked). Without `levels` the first
+    order column, a string, is cut by its prefixes."""
+    d, names = _sliced(df, levels or prefix_levels(order[0]))
+    d = _join(d, _offsets(d, group, names, F.lit(1), "_off"), group + names)
+    w = Window.partitionBy(*group, *names).orderBy(*order)
+    d = d.withColumn(out, (F.col("_off") + F.row_number().over(w)).cast("bigint"))
     if total:
-        offsets = offsets.withColumn(total, F.sum("_cnt").over(Window.partitionBy(*group)).cast("bigint"))
-    w = Window.partitionBy(*group, "_part").orderBy(*order)
-    keep = [c for c in offsets.columns if c not in ("_cnt",)]
-    return (
-        r.join(offsets.select(*keep), group + ["_part"])
-        .withColumn(out, (F.col("_off") + F.row_number().over(w)).cast("bigint"))
-        .drop("_part", "_off")
-    )
-
-
-def running_total(df: DataFrame, order: list[str], value: str, out: str, partitions: int | None = None) -> DataFrame:
-    """Adds `out` = running sum of `value` over the whole table in `order`.
-    The per-partition offsets table has exactly one row per range partition,
-    so broadcasting it is bounded by the partition count."""
-    r = _ranged(df, order, partitions)
-    sums = r.groupBy("_part").agg(F.sum(value).alias("_psum"))
-    offsets = sums.withColumn(
-        "_off", F.coalesce(F.sum("_psum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).select("_part", "_off")
-    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        r.join(F.broadcast(offsets), "_part")
-        .withColumn(out, F.col("_off") + F.sum(value).over(w))
-        .drop("_part", "_off")
-    )
+        d = _join(d, df.groupBy(*group).agg(F.count(F.lit(1)).alias(total)), group)
+    return d.drop("_off", *names)
+
+
+def running_total(df: DataFrame, order: list[str], value: str, out: str, levels: list[Column]) -> DataFrame:
+    """Adds `out` = running sum of `value` over the whole table in `order`."""
+    d, names = _sliced(df, levels)
+    d = _join(d, _offsets(d, [], names, F.col(value), "_off"), names)
+    w = Window.partitionBy(*names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return d.withColumn(out, F.col("_off") + F.sum(value).over(w)).drop("_off", *names)

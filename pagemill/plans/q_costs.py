@@ -22,12 +22,11 @@ PRICED = f"""{f6()},
 u AS (SELECT page_id, hash AS media_hash, model, prompt_tokens, completion_tokens, seconds, ts FROM (
         SELECT *, row_number() OVER (PARTITION BY hash ORDER BY ts, tie1, tie2, tie3) AS rn FROM f6) WHERE rn = 1),
 {_prices_values()},
-pp AS (SELECT model, round(coalesce(input_per_1k, 0.0) * 1e6::DOUBLE)::BIGINT AS in_nano,
-              round(coalesce(output_per_1k, 0.0) * 1e6::DOUBLE)::BIGINT AS out_nano,
-              round(coalesce(per_minute, 0.0) * 1e9::DOUBLE / 60)::BIGINT AS sec_nano FROM prices_cfg),
-pr AS (SELECT u.*, CASE WHEN seconds > 0 THEN 'audio' ELSE 'image' END AS media_type,
-              coalesce(prompt_tokens * in_nano + completion_tokens * out_nano, 0)
-              + coalesce(round(seconds * sec_nano)::BIGINT, 0) AS cost_nano
+pp AS (SELECT model, coalesce(input_per_1k, 0.0)::DECIMAL(20,12) * 1000000 AS in_nano,
+              coalesce(output_per_1k, 0.0)::DECIMAL(20,12) * 1000000 AS out_nano,
+              round(coalesce(per_minute, 0.0) * 1e9::DOUBLE / 60, 9)::DECIMAL(28,9) AS sec_nano FROM prices_cfg),
+pr AS (SELECT u.*, CASE WHEN seconds > 0 THEN 'audio' ELSE 'image' END AS media_type, in_nano IS NULL AS unpriced,
+              (prompt_tokens * in_nano + completion_tokens * out_nano + seconds::DECIMAL(12,4) * sec_nano::DECIMAL(18,4))::DECIMAL(28,6) AS cost_nano
        FROM u LEFT JOIN pp USING (model))"""
 
 
@@ -51,7 +50,7 @@ SELECT page_id, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_toke
        sum(seconds) AS audio_seconds,
        {usd("sum(CASE WHEN media_type = 'image' THEN cost_nano ELSE 0 END)")} AS image_cost,
        {usd("sum(CASE WHEN media_type <> 'image' THEN cost_nano ELSE 0 END)")} AS audio_cost,
-       {usd("sum(cost_nano)")} AS total_cost
+       {usd("sum(cost_nano)")} AS total_cost, count(*) FILTER (WHERE unpriced)::BIGINT AS unpriced_calls
 FROM pr GROUP BY page_id""",
     "AGG4 AGG5 JN5 SRC13",
 )

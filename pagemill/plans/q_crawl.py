@@ -27,12 +27,12 @@ F8 = """f8 AS (
 CHALLENGE = " OR ".join(f"contains(html, {D.q(x)})" for x in CHALLENGE_LITERALS)
 OUTCOME = """CASE WHEN {ch} THEN 'challenge' WHEN status BETWEEN 200 AND 299 THEN 'ok'
      WHEN status = 403 AND lower(server) = 'cloudflare' THEN 'blocked' WHEN status = 429 THEN 'rate_limited'
-     WHEN status >= 500 THEN 'server_error' ELSE 'client_error' END"""
+     WHEN status >= 500 THEN 'server_error' WHEN status >= 400 THEN 'client_error' WHEN status >= 300 THEN 'redirect' ELSE 'informational' END"""
 
 LATEST = f"""latest AS (
   SELECT url, arg_max(fetched_at, (fetched_at, attempt)) AS fetched_at,
          arg_max(attempt, (fetched_at, attempt)) AS attempt, arg_max(status, (fetched_at, attempt)) AS status,
-         arg_max(length(html), (fetched_at, attempt))::BIGINT AS html_chars
+         arg_max(length(html), (fetched_at, attempt))::BIGINT AS html_chars, arg_max(html, (fetched_at, attempt)) AS html
   FROM f8 WHERE status BETWEEN 200 AND 299 AND NOT ({CHALLENGE}) GROUP BY url)"""
 
 STATUS = f"""{LATEST},
@@ -74,7 +74,7 @@ def fetch_outcome(t):
 
 @register(
     "latest_capture",
-    f"WITH {F8}, {LATEST} SELECT url, fetched_at, attempt, status, html_chars FROM latest",
+    f"WITH {F8}, {LATEST} SELECT url, fetched_at, attempt, status, html_chars, html FROM latest",
     "SRC1 WIN4",
 )
 def latest_capture(t):
@@ -88,7 +88,7 @@ def latest_capture(t):
 )
 def crawl_hits(t):
     c = captures(t)
-    hits, _todo = C.crawl_split(c.select("url").distinct(), C.latest_capture(c))
+    hits, _todo = C.crawl_split(c.select("url").distinct(), C.usable_captures(c).select("url"))
     return hits
 
 
@@ -99,7 +99,7 @@ def crawl_hits(t):
 )
 def crawl_todo(t):
     c = captures(t)
-    _hits, todo = C.crawl_split(c.select("url").distinct(), C.latest_capture(c))
+    _hits, todo = C.crawl_split(c.select("url").distinct(), C.usable_captures(c).select("url"))
     return todo
 
 

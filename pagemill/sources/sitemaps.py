@@ -30,7 +30,7 @@ def urlset_entries(docs: DataFrame) -> DataFrame:
     """(sitemap, pos, loc, lastmod, changefreq, priority) in document order;
     a one-entry urlset gives one row; non-XML gives none."""
     u = F.from_xml(F.col("xml"), URLSET_SCHEMA)["url"]
-    return docs.select(F.col("loc").alias("sitemap"), F.posexplode(u).alias("pos", "e")).select(
+    return docs.where(F.col("xml").contains("<urlset")).select(F.col("loc").alias("sitemap"), F.posexplode(u).alias("pos", "e")).select(
         "sitemap", F.col("pos").cast("bigint").alias("pos"), "e.loc", "e.lastmod", "e.changefreq", "e.priority"
     )
 
@@ -38,34 +38,37 @@ def urlset_entries(docs: DataFrame) -> DataFrame:
 def index_edges(docs: DataFrame) -> DataFrame:
     """(parent, pos, child): entries of sitemap index documents."""
     s = F.from_xml(F.col("xml"), INDEX_SCHEMA)["sitemap"]
-    return docs.select(F.col("loc").alias("parent"), F.posexplode(s).alias("pos", "e")).select(
+    return docs.where(F.col("xml").contains("<sitemapindex")).select(F.col("loc").alias("parent"), F.posexplode(s).alias("pos", "e")).select(
         "parent", F.col("pos").cast("bigint").alias("pos"), F.col("e.loc").alias("child")
     )
 
 
-def expand(docs: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+def expand(docs: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
     """Every URL reachable from each root (`roots(root)`), child lists
     concatenated in index order without dedup. `order_key` orders the result
     the way the reference's depth-first concatenation does. Cycles are cut
-    (a document already on the path is not entered again); depth is bounded
-    by `max_depth` when given, else by `spark.sql.cteRecursionLevelLimit`
-    (exceeding that raises instead of returning a partial list)."""
+    (a document already on the path is not entered again). Nesting beyond
+    `max_depth` index levels raises: a partial list is never returned. The
+    recursion runs over index documents only (a URL set is never parsed for it),
+    and the session's cap on recursive rows is lifted for it."""
     spark = docs.sparkSession
     n = next(_ids)
     edges_v, roots_v = f"pm_sitemap_edges_{n}", f"pm_sitemap_roots_{n}"
     index_edges(docs).createOrReplaceTempView(edges_v)
     roots.select("root").createOrReplaceTempView(roots_v)
-    depth_guard = f" AND r.depth < {int(max_depth)}" if max_depth is not None else ""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max(max_depth + 2, int(spark.conf.get("spark.sql.cteRecursionLevelLimit", "100")))))
     reach = spark.sql(
         f"""
         WITH RECURSIVE r(root, doc, depth, order_key, path) AS (
           SELECT root, root, 0, '', array(root) FROM {roots_v}
           UNION ALL
-          SELECT r.root, e.child, r.depth + 1,
+          SELECT r.root, e.child,
+                 IF(r.depth >= {int(max_depth)}, CAST(raise_error('sitemap indexes are nested deeper than {int(max_depth)} levels') AS INT), r.depth + 1),
                  concat(r.order_key, lpad(CAST(e.pos AS STRING), {ORDER_DIGITS}, '0'), '.'),
                  array_append(r.path, e.child)
           FROM r JOIN {edges_v} e ON e.parent = r.doc
-          WHERE NOT array_contains(r.path, e.child){depth_guard}
+          WHERE NOT array_contains(r.path, e.child)
         )
         SELECT root, doc, depth, order_key FROM r
         """

@@ -12,10 +12,11 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pagemill.session import local_session
 
     s = local_session(cores="*", shuffle_partitions=8, app="pagemill-tests")
+    s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
     yield s
     s.stop()
 

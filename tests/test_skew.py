@@ -22,10 +22,11 @@ def _hot(spark, n=6000):
 
 def test_position_within_splits_a_hot_group(spark):
     df = _hot(spark)
-    ranged = O._ranged(df, ["site", "url"], partitions=8)
-    parts = ranged.filter("site = 'hot'").select("_part").distinct().count()
-    assert parts > 1  # the hot site is spread over several range partitions
-    got = O.position_within(df, ["site"], ["url"], out="i", total="n", partitions=8)
+    levels = O.prefix_levels("url", (4, 6))
+    slices = df.filter("site = 'hot'").select(levels[-1].alias("s")).groupBy("s").count().collect()
+    assert len(slices) > 10 and max(r["count"] for r in slices) < 400  # the hot site is ordered in many tasks
+    got = O.position_within(df, ["site"], ["url"], out="i", total="n", levels=levels)
+    assert "LocalTableScan" not in got._jdf.queryExecution().executedPlan().toString()  # lazy: still reads its input
     want = df.withColumn("i", F.row_number().over(Window.partitionBy("site").orderBy("url")).cast("bigint"))
     a = sorted((r.site, r.url, r.i) for r in got.collect())
     b = sorted((r.site, r.url, r.i) for r in want.collect())
@@ -33,9 +34,15 @@ def test_position_within_splits_a_hot_group(spark):
     assert got.filter("site = 'hot'").select("n").distinct().first().n == 4000
 
 
+def test_position_within_null_group_and_ties(spark):
+    df = spark.createDataFrame([(None, "a", 1), (None, "b", 2), ("x", "a", 3), ("x", None, 4)], "site string, url string, v int")
+    got = {(r.site, r.url): r.i for r in O.position_within(df, ["site"], ["url"]).collect()}
+    assert got == {(None, "a"): 1, (None, "b"): 2, ("x", None): 1, ("x", "a"): 2}
+
+
 def test_running_total_equals_global_window(spark):
     df = _hot(spark)
-    got = O.running_total(df, ["v"], "v", "cum", partitions=8)
+    got = O.running_total(df, ["v"], "v", "cum", [F.floor(F.col("v") / 1000), F.floor(F.col("v") / 50)])
     want = df.withColumn("cum", F.sum("v").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
     assert sorted((r.v, r.cum) for r in got.collect()) == sorted((r.v, r.cum) for r in want.collect())
 

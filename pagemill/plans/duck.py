@@ -212,13 +212,18 @@ def host(expr: str) -> str:
 
 
 def fold_dot_segments(p: str) -> str:
-    for pattern, r in U.DOT_RULES:
-        p = rr(p, pattern, r)
-    return p
+    seg = "replace(lower(s), '%2e', '.')"
+    segs = f"string_split({p}, '/')"
+    fold = (
+        f"list_reduce(list_slice({segs}, 2, len({segs})), lambda acc, s: CASE WHEN {seg} = '..' THEN regexp_replace(acc, '/[^/]*$', '') "
+        f"WHEN {seg} = '.' THEN acc ELSE acc || '/' || s END, '')"
+    )
+    slash = f"CASE WHEN regexp_matches({p}, '(?i)/(?:\\.|%2e){{1,2}}$') THEN '/' ELSE '' END"
+    return f"(CASE WHEN regexp_matches({p}, '(?i)/(?:\\.|%2e){{1,2}}(/|$)') THEN {fold} || {slash} ELSE {p} END)"
 
 
 def path(expr: str) -> str:
-    p = fold_dot_segments(f"regexp_extract({expr}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)")
+    p = fold_dot_segments(percent_encode(f"regexp_extract({expr}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)", U.PATH_SAFE_CHAR))
     return f"(CASE WHEN {p} = '' THEN '/' ELSE {p} END)"
 
 
@@ -226,33 +231,45 @@ def sanitize_path(expr: str) -> str:
     return f"translate({expr}, {q(chr(60) + '>:\"|?*' + chr(92))}, '________')"
 
 
-def percent_encode(expr: str) -> str:
+def percent_encode(expr: str, safe: str = U.URL_SAFE_CHAR) -> str:
     enc = (
-        f"array_to_string(list_transform(string_split({expr}, ''), lambda ch: CASE WHEN regexp_matches(ch, {q('^' + U.URL_SAFE_CHAR + '$')}) "
+        f"array_to_string(list_transform(string_split({expr}, ''), lambda ch: CASE WHEN regexp_matches(ch, {q('^' + safe + '$')}) "
         f"THEN ch ELSE regexp_replace(hex(encode(ch)), '(..)', '%\\1', 'g') END), '')"
     )
-    return f"(CASE WHEN regexp_matches({expr}, {q('[^' + U.URL_SAFE_CHAR[1:])}) THEN {enc} ELSE {expr} END)"
+    return f"(CASE WHEN regexp_matches({expr}, {q('[^' + safe[1:])}) THEN {enc} ELSE {expr} END)"
 
 
 def origin(expr: str) -> str:
-    return f"lower(regexp_extract({expr}, {q(U.ORIGIN_RE)}, 1))"
+    head = f"lower(regexp_extract({expr}, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1))"
+    return _no_default_port(f"regexp_replace({head}, '://[^@]*@', '://')")
+
+
+def _no_default_port(head: str) -> str:
+    return f"regexp_replace(regexp_replace({head}, '^(http://[^/?#]*):80$', '\\1'), '^(https://[^/?#]*):443$', '\\1')"
+
+
+def _tail(rest: str) -> str:
+    """Rooted path encoded and folded, then query and fragment encoded."""
+    p = percent_encode(f"regexp_extract({rest}, '^[^?#]*', 0)", U.PATH_SAFE_CHAR)
+    behind = f"regexp_extract({rest}, '^[^?#]*(.*)$', 1)"
+    return f"({fold_dot_segments(p)} || {percent_encode(behind)})"
 
 
 def normalize_absolute(expr: str) -> str:
-    head = f"lower(regexp_extract({expr}, {q(chr(92) + 'A([a-zA-Z][a-zA-Z0-9+.' + chr(92) + '-]*://[^/?#]*)')}, 1))"
-    rest0 = f"regexp_extract({expr}, {q(chr(92) + 'A[a-zA-Z][a-zA-Z0-9+.' + chr(92) + '-]*://[^/?#]*(.*)' + chr(92) + 'z')}, 1)"
+    head = f"lower(regexp_extract({expr}, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1))"
+    rest0 = f"regexp_extract({expr}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(.*)$', 1)"
     rest = f"(CASE WHEN starts_with({rest0}, '/') THEN {rest0} ELSE '/' || {rest0} END)"
-    return f"(CASE WHEN {head} <> '' THEN {head} || {percent_encode(rest)} ELSE {expr} END)"
+    return f"(CASE WHEN {head} <> '' THEN {_no_default_port(head)} || {_tail(rest)} ELSE {expr} END)"
 
 
 def resolve_against_origin(h: str, o: str) -> str:
     """`h` resolved against the origin column `o` (both plain column names)."""
     scheme = f"regexp_extract({o}, '^([a-z][a-z0-9+.-]*:)', 1)"
+    rooted = f"(CASE WHEN starts_with({h}, '/') THEN {h} ELSE '/' || {h} END)"
     return (
         f"(CASE WHEN starts_with({h}, '//') THEN {normalize_absolute('(' + scheme + ' || ' + h + ')')} "
         f"WHEN regexp_matches({h}, {q(U.SCHEME_RE)}) THEN (CASE WHEN regexp_matches({h}, '(?i)^https?://') THEN {normalize_absolute(h)} ELSE {h} END) "
-        f"WHEN starts_with({h}, '/') THEN {o} || {percent_encode(h)} "
-        f"ELSE {o} || '/' || {percent_encode(h)} END)"
+        f"ELSE {o} || {_tail(rooted)} END)"
     )
 
 

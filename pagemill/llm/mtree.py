@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import checkpointed, shuffle_partitions
+from pagemill.llm.common import checkpointed
 
 SCALE = 64
-PAGE = 256
+PAGE = 512
 FANOUT = 24
+#: Vectors of a tree, about.
+TREE_ROWS = 16384
 
 
 def quantized(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -44,31 +46,38 @@ def quantized(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
 
 
 class MTree:
-    """Inner pages: (routing vectors, radii, distances to the page's own routing vector, children).
-    Leaves: (vectors, their distances to the page's routing vector, row numbers)."""
+    """Rows are kept in leaf order, so that a leaf is a slice. Inner pages: (routing vectors, distances to the
+    page's own routing vector, radii, greatest norms, squared lengths, children). Leaves: (None, first
+    row, last row + 1, distances to the page's routing vector)."""
 
     def __init__(self, rows: np.ndarray, seed: int = 0):
         self.x = rows.astype(np.float64)
-        self.norm = np.sqrt((self.x**2).sum(axis=1))
+        self.norm2 = (self.x**2).sum(axis=1)
         self.rng = np.random.default_rng(seed)
         self.root = None
         if len(rows):
             route = self.x[0]
             d = self._far(np.arange(len(rows)), route)
-            self.root = self._page(np.arange(len(rows)), route, d)
-            self.route, self.radius, self.top = route, float(d.max()), float(self.norm.max())
+            leaves: list[np.ndarray] = []
+            self.root = self._page(np.arange(len(rows)), route, d, leaves)
+            self.route, self.top = route, float(self.norm2.max()) ** 0.5
+            self.rows = np.concatenate(leaves)
+            self.x, self.norm2 = self.x[self.rows], self.norm2[self.rows]
 
     def _far(self, at: np.ndarray, route: np.ndarray) -> np.ndarray:
         return np.sqrt(((self.x[at] - route) ** 2).sum(axis=1))
 
-    def _page(self, at: np.ndarray, route: np.ndarray, d: np.ndarray):
+    def _page(self, at: np.ndarray, route: np.ndarray, d: np.ndarray, leaves: list[np.ndarray]):
         if len(at) <= PAGE:
-            return (None, at, d)
+            lo = sum(map(len, leaves))
+            leaves.append(at)
+            return (None, lo, lo + len(at), d)
         # promote well-spread entries and give each row to the nearest
         pick = [int(self.rng.integers(len(at)))]
         near = self._far(at, self.x[at[pick[0]]])
         owner = np.zeros(len(at), np.int64)
-        for k in range(1, FANOUT):
+        fan = min(FANOUT, max(2, -(-2 * len(at) // PAGE)))  # pages come out about half full
+        for k in range(1, fan):
             far = int(near.argmax())
             if near[far] == 0:
                 break
@@ -78,9 +87,9 @@ class MTree:
             owner[closer] = k
             near = np.minimum(near, to)
         if len(pick) == 1:  # equal rows: split by number
-            owner = np.arange(len(at)) * FANOUT // len(at)
-            pick = [int(np.flatnonzero(owner == k)[0]) for k in range(FANOUT)]
-        routes, radii, tops, kids = [], [], [], []
+            owner = np.arange(len(at)) * fan // len(at)
+            pick = [int(np.flatnonzero(owner == k)[0]) for k in range(fan)]
+        routes, radii, tops, pages = [], [], [], []
         for k, p in enumerate(pick):
             mine = owner == k
             if mine.any():
@@ -88,11 +97,10 @@ class MTree:
                 to = self._far(at[mine], r)
                 routes.append(r)
                 radii.append(to.max())
-                tops.append(self.norm[at[mine]].max())
-                kids.append((at[mine], r, to))
+                tops.append(self.norm2[at[mine]].max())
+                pages.append(self._page(at[mine], r, to, leaves))
         routes = np.array(routes)
-        pages = [self._page(*k) for k in kids]
-        return (routes, np.sqrt(((routes - route) ** 2).sum(axis=1)), np.array(radii), np.array(tops), pages)
+        return (routes, np.sqrt(((routes - route) ** 2).sum(axis=1)), np.array(radii), np.array(tops), (routes**2).sum(axis=1), pages)
 
     def search(self, q: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """Rows that may be among the k best, and their scores: all whose score is not below the k-th best
@@ -101,48 +109,51 @@ class MTree:
             return np.zeros(0, np.int64), np.zeros(0)
         qq = float(q @ q)
         size = qq**0.5
-        dist = float(np.sqrt(((q - self.route) ** 2).sum()))
-        heap = [(-np.inf, 0, self.root, dist, self.top)]
-        rows, scores, best = [], [], []
-        tick = 0
+        heap = [(-np.inf, 0, self.root, float(np.sqrt(((q - self.route) ** 2).sum())))]
+        rows, scores, tick = [], [], 0
+        best = np.zeros(0)
         while heap:
-            bound, _, page, to_route, top = heapq.heappop(heap)
+            bound, _, page, to_route = heapq.heappop(heap)
             if -bound < floor:
                 break
+            slack = floor - 1e-6 * (1 + abs(floor))  # rounding never excludes
             if page[0] is None:
-                at, d = page[1], page[2]
+                _, lo, hi, d = page
                 # the least distance that the triangle inequality allows, against the greatest that can score
-                least = np.abs(to_route - d)
-                at = at[(qq + self.norm[at] ** 2 - least * least) / 2 >= floor - 1e-6 * (1 + abs(floor))]
-                if not len(at):
+                least = to_route - d
+                live = np.flatnonzero(qq + self.norm2[lo:hi] - least * least >= 2 * slack)
+                if not len(live):
                     continue
-                s = self.x[at] @ q
-                keep = s >= floor
-                rows.append(at[keep])
-                scores.append(s[keep])
-                best = sorted([*best, *s[keep].tolist()], reverse=True)[:k]
-                if len(best) == k:
-                    floor = max(floor, best[-1])
+                few = 4 * len(live) < hi - lo
+                s = self.x[lo + live] @ q if few else self.x[lo:hi] @ q
+                keep = np.flatnonzero(s >= floor)
+                if len(keep):
+                    rows.append(lo + (live[keep] if few else keep))
+                    scores.append(s[keep])
+                    best = np.concatenate((best, s[keep]))
+                    if len(best) >= k:
+                        best = np.partition(best, len(best) - k)[len(best) - k :]
+                        floor = max(floor, float(best[0]))
                 continue
-            routes, to_parent, radii, tops, kids = page
+            routes, to_parent, radii, tops, length2, kids = page
             least = np.maximum(np.abs(to_route - to_parent) - radii, 0)
-            live = np.flatnonzero((qq + tops * tops - least * least) / 2 >= floor - 1e-6 * (1 + abs(floor)))
+            live = np.flatnonzero(qq + tops - least * least >= 2 * slack)
             if not len(live):
                 continue
-            inner = routes[live] @ q
-            d = np.sqrt(np.maximum(qq + (routes[live] ** 2).sum(axis=1) - 2 * inner, 0))
+            inner = (routes @ q)[live]
+            d = np.sqrt(np.maximum(qq + length2[live] - 2 * inner, 0))
             least = np.maximum(d - radii[live], 0)
-            upper = np.minimum((qq + tops[live] ** 2 - least * least) / 2, inner + size * radii[live])
-            upper += 1e-6 * (1 + np.abs(upper))  # rounding never excludes
+            upper = np.minimum((qq + tops[live] - least * least) / 2, inner + size * radii[live])
+            upper += 1e-6 * (1 + np.abs(upper))
             for i, u, far in zip(live.tolist(), upper.tolist(), d.tolist()):
                 if u >= floor:
                     tick += 1
-                    heapq.heappush(heap, (-u, tick, kids[i], far, float(tops[i])))
+                    heapq.heappush(heap, (-u, tick, kids[i], far))
         if not rows:
             return np.zeros(0, np.int64), np.zeros(0)
         rows, scores = np.concatenate(rows), np.concatenate(scores)
         keep = scores >= floor
-        return rows[keep], scores[keep]
+        return self.rows[rows[keep]], scores[keep]
 
 
 def _matrix(column: pa.Array) -> list[np.ndarray]:
@@ -185,11 +196,9 @@ def _thin(rows: DataFrame, keep: int) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """vectors, queries: (vec_id, v) as from `quantized`. query_id, rank, vec_id, score of each query's k
     greatest inner products with other rows' vectors, ties to the smaller vec_id."""
-    spark = vectors.sparkSession
-    parts = shuffle_partitions(spark)
     data = checkpointed(_thin(vectors, k + 1))
     asked = queries.groupBy("v").agg(F.min("vec_id").alias("q"))  # equal queries once
-    trees = max(1, parts // 2)
+    trees = -(-data.count() // TREE_ROWS) or 1
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(trees)).cast("int")
     data = data.withColumn("tree", shard)
     asked = checkpointed(asked.withColumn("home", F.pmod(F.xxhash64("q"), F.lit(trees)).cast("int")))

@@ -132,6 +132,15 @@ def cost_rollup(priced: DataFrame) -> DataFrame:
     )
 
 
+def run_report(run: DataFrame, priced: DataFrame) -> DataFrame:
+    """The run's usage text in run order: run(site, i, url, page_id) → (site, i, url, text), one
+    `=== URL i: url ===` block for every page that used a model."""
+    per_page = cost_rollup(priced).filter((F.col("level") == 1) & F.col("page_id").isNotNull()).select("page_id", "summary")
+    # The block's lines.
+    text = F.concat(F.lit("\n=== URL "), F.col("i").cast("string"), F.lit(": "), F.col("url"), F.lit(" ===\n"), F.col("summary"), F.lit("\n"))
+    return run.join(per_page, "page_id").select("site", "i", "url", text.alias("text"))
+
+
 def cost_guard(priced: DataFrame, order: list[str] = ("ts", "media_hash"), warn_usd=WARN_USD, stop_usd=STOP_USD) -> DataFrame:
     """Running spend over the calls in `order`, with the guard level reached.
     A distributed prefix sum (`ordering.running_total`): days, then times, then

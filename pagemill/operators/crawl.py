@@ -112,12 +112,12 @@ def site_summary(status: DataFrame) -> DataFrame:
     )
 
 
-def failure_report(status: DataFrame, timeout_ms: int | None = None, order: list[str] = ("url",)) -> DataFrame:
+def failure_report(status: DataFrame, timeout_ms: int | None = None, order: list[str] = ("url",), levels: list[Column] | None = None) -> DataFrame:
     """Failed URLs numbered per site in `order` (by URL, or by the position that the run gave
     them), with the retry suggestion: twice the timeout in force (the configured
     page timeout when none was given)."""
     retry = 2 * (timeout_ms if timeout_ms is not None else TIMEOUT_MS)
-    f = position_within(status.filter(~F.col("ok")), ["site"], list(order), out="n")
+    f = position_within(status.filter(~F.col("ok")), ["site"], list(order), out="n", levels=levels)
     return f.select(
         "site", "n", "url", "error",
         F.lit(retry).cast("bigint").alias("retry_timeout_ms"),

@@ -2,7 +2,8 @@
 request table for unknown content → annotated Markdown.
 
 Plan shape at scale:
-* refs are generated per page (narrow);
+* refs are generated per page (narrow); an item is identified by the SHA-256 of its
+  bytes, joined to the reference by URL (hashes only);
 * cache lookup = shuffle join on (page_dir, cache_key); registry lookup =
   shuffle join on hash (AQE splits a hot hash such as a site logo);
 * the request table groups by hash with partial aggregation (pay once per
@@ -31,10 +32,13 @@ AUDIO_LANGUAGE = "en"
 AUDIO_FORMAT = "text"
 
 
-def media_refs(pages: DataFrame, md_col: str = "markdown") -> DataFrame:
+KINDS = ("image", "audio")
+
+
+def media_refs(pages: DataFrame, md_col: str = "markdown", kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """(page_id, url, kind, pos, alt, raw_url, ref): image refs and audio links,
     left to right; `pos` counts within the kind's scan. One pass over the text:
-    both scans become one array that is exploded once."""
+    the scans become one array that is exploded once."""
     md = F.col(md_col)
 
     def scan(pattern: str, kind: str) -> Column:
@@ -46,13 +50,22 @@ def media_refs(pages: DataFrame, md_col: str = "markdown") -> DataFrame:
         return F.transform(z, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.cast("bigint").alias("pos"),
                                                     x["alt"].alias("alt"), x["raw_url"].alias("raw_url"), x["ref"].alias("ref")))
 
-    audio = F.filter(scan(M.LINK_REF, "audio"), lambda x: M.is_audio(x["raw_url"]))
-    refs = F.concat(scan(M.IMAGE_REF, "image"), audio)
+    by_kind = {"image": scan(M.IMAGE_REF, "image"), "audio": F.filter(scan(M.LINK_REF, "audio"), lambda x: M.is_audio(x["raw_url"]))}
+    refs = F.concat(*(by_kind[k] for k in kinds))
     return pages.select("page_id", "url", F.explode(refs).alias("r")).select("page_id", "url", "r.*")
 
 
-def resolve_refs(refs: DataFrame) -> DataFrame:
-    """Adds resolved / unwrapped URL, content key and hash, cache key, stored name, page dir."""
+def content_hashes(media_bytes: DataFrame) -> DataFrame:
+    """media_bytes(url, content, content_type) → (source_url, hash, content_type), one row per URL. An item
+    is its bytes: equal names with different bytes are different items, and the same bytes under
+    two names are one."""
+    h = media_bytes.filter(F.col("content").isNotNull()).select("url", F.struct(F.sha2("content", 256).alias("hash"), "content_type").alias("b"))
+    return h.groupBy(F.col("url").alias("source_url")).agg(F.min("b").alias("b")).select("source_url", "b.*")
+
+
+def resolve_refs(refs: DataFrame, media_bytes: DataFrame) -> DataFrame:
+    """Adds resolved / unwrapped URL, content hash (NULL where no bytes were fetched), cache key, stored
+    name, page dir. Only hashes travel through the join, never bytes."""
     resolved = M.resolve_media(F.col("raw_url"), F.col("url"))
     df = refs.withColumn("resolved_url", resolved).withColumn(
         "source_url",
@@ -62,7 +75,7 @@ def resolve_refs(refs: DataFrame) -> DataFrame:
     )
     uid = F.regexp_extract(F.col("source_url"), M.UUID_RE, 0)
     key = F.lower(F.when(uid != "", uid).otherwise(M.basename_no_query(F.col("source_url"))))
-    df = df.withColumn("media_key", key).withColumn("hash", F.sha2(F.concat(F.lit("media:"), F.col("media_key")), 256))
+    df = df.withColumn("media_key", key).join(content_hashes(media_bytes), "source_url", "left")
     df = df.withColumn("stored_name", M.stored_name(F.col("kind"), F.col("source_url"), F.col("raw_url"), F.col("hash")))
     cache_key = F.when(F.col("kind") == "image", M.image_cache_key(F.col("source_url"))).otherwise(
         F.concat(F.col("stored_name"), F.lit(".json"))
@@ -76,7 +89,8 @@ def model_for(kind: Column) -> Column:
 
 def resolve_contents(refs: DataFrame, cache: DataFrame, registry: DataFrame) -> DataFrame:
     """Per reference: content from the per-page cache (same model only), else
-    from the registry by content hash, else none (→ a model request)."""
+    from the registry by content hash, else none: `new` (a model request) where
+    there are bytes, `failed` where there are none."""
     c = cache.select("page_dir", "cache_key", "model", F.col("content").alias("cache_content"))
     r = registry.select("hash", F.col("content").alias("registry_content"))
     df = refs.withColumn("model", model_for(F.col("kind")))
@@ -84,6 +98,7 @@ def resolve_contents(refs: DataFrame, cache: DataFrame, registry: DataFrame) ->
     src = (
         F.when(F.col("cache_content").isNotNull(), F.lit("cache"))
         .when(F.col("registry_content").isNotNull(), F.lit("registry"))
+        .when(F.col("hash").isNull(), F.lit("failed"))
         .otherwise(F.lit("new"))
     )
     return df.withColumn("content_source", src).withColumn("content", F.coalesce("cache_content", "registry_content"))
@@ -100,7 +115,7 @@ def _content_type(kind: Column, url: Column) -> Column:
 
 def enrichment_requests(
     resolved: DataFrame,
-    media_bytes: Column | None = None,
+    media_bytes: DataFrame,
     prompt: str = IMAGE_PROMPT,
     max_tokens: int = IMAGE_MAX_TOKENS,
     image_model: str = M.IMAGE_MODEL,
@@ -110,17 +125,21 @@ def enrichment_requests(
 ) -> DataFrame:
     """One model request per distinct unknown content hash (each item is paid for
     once). `prompt` is a template whose `{altText}` takes the alt text of the
-    item's first reference. `media_bytes` gives the bytes for the data URL; by
-    default the content key stands in for bytes that were never downloaded."""
+    item's first reference. The data URL holds the item's bytes, which are joined
+    by URL after the references are grouped."""
     new = resolved.filter(F.col("content_source") == "new")
     first = new.groupBy("hash").agg(
-        F.min_by(F.struct("kind", "alt", "source_url", "page_id", "media_key"), F.struct("page_id", "kind", "pos")).alias("f"),
+        F.min_by(F.struct("kind", "alt", "source_url", "page_id"), F.struct("page_id", "kind", "pos")).alias("f"),
         F.count(F.lit(1)).cast("bigint").alias("n_refs"),
     )
+    data = media_bytes.filter(F.col("content").isNotNull()).select(
+        F.col("url").alias("_url"), F.sha2("content", 256).alias("_hash"), "content", "content_type"
+    )
+    first = first.join(data, (F.col("f.source_url") == F.col("_url")) & (F.col("hash") == F.col("_hash"))).dropDuplicates(["hash"])
     pre, _, post = prompt.partition("{altText}")
     kind = F.col("f.kind")
-    data = media_bytes if media_bytes is not None else F.encode(F.concat(F.lit("media:"), F.col("f.media_key")), "UTF-8")
-    b64 = F.replace(F.replace(F.base64(data), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(""))
+    b64 = F.replace(F.replace(F.base64("content"), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(""))
+    ctype = F.coalesce("content_type", _content_type(kind, F.col("f.source_url")))
     return first.select(
         "hash",
         kind.alias("media_type"),
@@ -129,7 +148,7 @@ def enrichment_requests(
         F.when(kind == "image", F.lit(max_tokens)).cast("int").alias("max_tokens"),
         F.when(kind == "audio", F.lit(language)).alias("language"),
         F.when(kind == "audio", F.lit(response_format)).alias("response_format"),
-        F.concat(F.lit("data:"), _content_type(kind, F.col("f.source_url")), F.lit(";base64,"), b64).alias("data_url"),
+        F.concat(F.lit("data:"), ctype, F.lit(";base64,"), b64).alias("data_url"),
         F.col("f.page_id").alias("first_page_id"),
         F.col("f.source_url").alias("source_url"),
         "n_refs",
@@ -139,10 +158,11 @@ def enrichment_requests(
 def _annotate(text: Column, pattern: str, kind: str, contents: Column) -> Column:
     """Append the tag after every reference (matched by `pattern`) whose raw URL
     has a content in the map `contents` (raw_url → struct(resolved, content)).
-    References are cut out with a sentinel split: odd segments are references;
+    References are cut out with a split at a Unicode noncharacter (which no text may
+    hold, and which is dropped from one that does): odd segments are references;
     content is appended with concat, so `$` and `\\` stay literal."""
-    mark = "\u0001"
-    marked = F.regexp_replace(text, f"({pattern})", f"{mark}$1{mark}")
+    mark = "\ufdd0"
+    marked = F.regexp_replace(F.translate(text, mark, ""), f"({pattern})", f"{mark}$1{mark}")
     segs = F.split(marked, mark)
 
     def one(s, i):
@@ -156,27 +176,30 @@ def _annotate(text: Column, pattern: str, kind: str, contents: Column) -> Column
     )
 
 
-def enrich_markdown(pages: DataFrame, resolved: DataFrame, md_col: str = "markdown") -> DataFrame:
-    """Images first, then audio links on the image-enriched text. A reference
+def annotate(pages: DataFrame, resolved: DataFrame, kind: str, md_col: str = "markdown", out: str = "processed") -> DataFrame:
+    """`pages` with `out`: the text with the content of each reference of `kind` behind it. A reference
     without content keeps the original text (failure isolation)."""
+    r = resolved.filter(F.col("content").isNotNull() & (F.col("kind") == kind))
+    per_url = r.groupBy("page_id", "raw_url").agg(F.min_by(F.struct("resolved_url", "content"), F.col("pos")).alias("v"))
+    contents = per_url.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("raw_url", "v"))).alias("_contents"))
+    pattern = M.IMAGE_REF if kind == "image" else M.LINK_REF
+    p = pages.join(contents, "page_id", "left")
+    return p.withColumn(out, _annotate(F.col(md_col), pattern, kind, F.col("_contents"))).drop("_contents")
 
-    r = resolved.filter(F.col("content").isNotNull())
-    per_url = r.groupBy("page_id", "kind", "raw_url").agg(
-        F.min_by(F.struct("resolved_url", "content"), F.col("pos")).alias("v")
-    )
-    entry = F.struct("raw_url", "v")
-    maps = per_url.groupBy("page_id").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("kind") == "image", entry))).alias("image_map"),
-        F.map_from_entries(F.collect_list(F.when(F.col("kind") == "audio", entry))).alias("audio_map"),
-    )
-    p = pages.join(maps, "page_id", "left")
-    # Two projections: the audio pass reads the image pass as a column.
-    p = p.withColumn("_img", _annotate(F.col(md_col), M.IMAGE_REF, "image", F.col("image_map")))
-    return p.select("page_id", "url", _annotate(F.col("_img"), M.LINK_REF, "audio", F.col("audio_map")).alias("processed"))
+
+def enrich_markdown(pages: DataFrame, media_bytes: DataFrame, cache: DataFrame, registry: DataFrame, md_col: str = "markdown") -> DataFrame:
+    """(page_id, url, <md_col>, processed): images first, then the audio links of the image-enriched
+    text, so that a link inside a description is transcribed as well. The raw text stays beside the
+    processed one, so consumers need not read the pages again."""
+    images = resolve_contents(resolve_refs(media_refs(pages, md_col, ("image",)), media_bytes), cache, registry)
+    p = annotate(pages, images, "image", md_col, "_img")
+    audio = resolve_contents(resolve_refs(media_refs(p, "_img", ("audio",)), media_bytes), cache, registry)
+    return annotate(p, audio, "audio", "_img", "processed").drop("_img")
 
 
 def sidecar_notes(resolved: DataFrame) -> DataFrame:
     """The Markdown note written next to each described item."""
+    # The notes' headings.
     img = F.concat(F.lit("# Image Description\n\n## Original Alt Text\n"), F.col("alt"),
                    F.lit("\n\n## Generated Description\n"), F.col("content"), F.lit("\n"))
     aud = F.concat(F.lit("# Audio Transcription\n\n## Original Link Text\n"), F.col("alt"),

@@ -27,11 +27,11 @@ def strip_source_line(md) -> Column:
     return F.regexp_replace(c, SOURCE_LINE, "")
 
 
-def prefer_processed(raw: DataFrame, processed: DataFrame) -> DataFrame:
-    """raw(page_id, site, pos, url, markdown) ⟕ processed(page_id, processed):
-    use the processed page (without its source line) when there is one."""
-    p = processed.select("page_id", "processed")
-    df = raw.join(p, "page_id", "left")
+def prefer_processed(raw: DataFrame, processed: DataFrame | None = None) -> DataFrame:
+    """raw(page_id, site, pos, url, markdown[, processed]): the processed page (without its source
+    line) where there is one, else the raw page. `processed(page_id, processed)` as a table of its
+    own is joined; a column beside the raw text (as `enrich_markdown` leaves it) needs no join."""
+    df = raw if processed is None else raw.join(processed.select("page_id", "processed"), "page_id", "left")
     return df.select(
         "page_id", "site", "pos", "url",
         F.coalesce(strip_source_line("processed"), F.col("markdown")).alias("content"),
@@ -46,11 +46,12 @@ def section_name(url) -> Column:
 
 
 def with_parts(df: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
-    """Adds `part` (unless the input brings its own orderable `part`, e.g. the
-    sitemap document a URL came from) and the global 1-based page number `i`
-    within the site."""
-    d = df if "part" in df.columns else df.withColumn("part", F.floor(F.col("pos") / part_pages).cast("bigint"))
-    counts = d.groupBy("site", "part").agg(F.count(F.lit(1)).alias("cnt"))
+    """Adds `part` = pos div part_pages and the global 1-based page number `i` within the site. `pos` is
+    the page's place in the site (0-based; gaps are fine). Offsets come from (site, part) counts
+    alone, so page texts are not read for them."""
+    part = F.floor(F.col("pos") / part_pages).cast("bigint")
+    d = df.withColumn("part", part)
+    counts = df.select("site", part.alias("part")).groupBy("site", "part").agg(F.count(F.lit(1)).alias("cnt"))
     offsets = counts.withColumn(
         "offset",
         F.coalesce(F.sum("cnt").over(Window.partitionBy("site").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
@@ -60,12 +61,17 @@ def with_parts(df: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
 
 
 def merge_header(site_source: Column, generated_on: str) -> Column:
+    # The merged document's heading lines.
     return F.concat(
         F.lit("# Merged Documentation from Sitemap\n\nSource: "), site_source,
         F.lit(f"\n\nGenerated on: {generated_on}\n\n## Included Pages\n\n"),
     )
 
 
+#: Between the page list and the first section.
+RULE = "\n---\n\n"
+
+
 def merge_toc(pages: DataFrame, sitemap_url: Column, generated_on: str, part_pages: int = PART_PAGES) -> DataFrame:
     """Per (site, part): the numbered list `i. url` lines, and the header."""
     d = with_parts(pages, part_pages)
@@ -95,6 +101,26 @@ def merge_site(content: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
     )
 
 
+def merged_document(content: DataFrame, sitemap_url: Column, generated_on: str, part_pages: int = PART_PAGES) -> DataFrame:
+    """(site, block, part, text): the whole merged document of each site as pieces; concatenated in (block,
+    part) order they are the file: 0 heading, 1 page list, 2 rule, 3 sections with the separator
+    between them. No piece holds more than `part_pages` pages."""
+    d = with_parts(content, part_pages)
+    toc = F.concat(F.col("i").cast("string"), F.lit(". "), F.col("url"), F.lit("\n"))
+    # the separator goes before every section but the site's first
+    section = F.concat(F.when(F.col("i") > 1, F.lit(SEPARATOR)).otherwise(F.lit("")), F.lit("## "), section_name(F.col("url")), F.lit("\n\n"), F.col("content"))
+    parts = d.withColumns({"_toc": toc, "_section": section}).groupBy("site", "part").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "_toc", "_section"))).alias("p"),  # at most part_pages pages
+        (F.min("i") == 1).alias("_first"))
+    pieces = parts.withColumn("x", F.explode(F.filter(F.array(
+        F.when(F.col("_first"), F.struct(F.lit(0).alias("block"), merge_header(sitemap_url, generated_on).alias("text"))),
+        F.struct(F.lit(1).alias("block"), F.array_join(F.transform("p", lambda s: s["_toc"]), "").alias("text")),
+        F.when(F.col("_first"), F.struct(F.lit(2).alias("block"), F.lit(RULE).alias("text"))),
+        F.struct(F.lit(3).alias("block"), F.array_join(F.transform("p", lambda s: s["_section"]), "").alias("text")),
+    ), lambda s: s.isNotNull())))
+    return pieces.select("site", "x.block", "part", "x.text")
+
+
 def tag_counts(processed: DataFrame, text_col: str = "processed") -> DataFrame:
     """Description tags per page (counting tags that carry attributes) and in total."""
     t = F.col(text_col)

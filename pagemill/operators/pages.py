@@ -13,9 +13,6 @@ from pagemill.functions import html as H
 from pagemill.functions.text import line_count, word_count
 from pagemill.operators import tokens as T
 
-DEFAULT_RUN_DATE = "2024-06-01"
-
-
 def tag_block(tag: str, value) -> "F.Column":
     """`<tag>\\nvalue\\n</tag>\\n\\n`"""
     return F.concat(F.lit(f"<{tag}>\n"), value, F.lit(f"\n</{tag}>\n\n"))
@@ -23,13 +20,14 @@ def tag_block(tag: str, value) -> "F.Column":
 
 def page_markdown(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Body Markdown of the main content (same main-content choice as the document)."""
-    return page_document(pages.withColumnRenamed(html_col, "html") if html_col != "html" else pages).select(
+    return page_document(pages.withColumnRenamed(html_col, "html") if html_col != "html" else pages, "").select(
         "page_id", "url", "body_md"
     )
 
 
-def page_document(pages: DataFrame, run_date: str = DEFAULT_RUN_DATE) -> DataFrame:
-    """The converter: source tag, title tag, last-modified tag, breadcrumb line, body.
+def page_document(pages: DataFrame, run_date: str) -> DataFrame:
+    """The converter: source tag, title tag, last-modified tag, breadcrumb line, body. `run_date` dates
+    the pages that carry no date.
 
     Main content: the `<article>` / `<main>` shortcut where a page has one (a
     narrow projection); otherwise the scored container of the token table
@@ -65,7 +63,7 @@ def page_document(pages: DataFrame, run_date: str = DEFAULT_RUN_DATE) -> DataFra
     )
 
 
-def page_stats(docs: DataFrame, generated_at: str = DEFAULT_RUN_DATE) -> DataFrame:
+def page_stats(docs: DataFrame, generated_at: str) -> DataFrame:
     """Per-page size statistics of the Markdown document. Title is the page
     title (the first line of the document is always the source tag)."""
     md = F.col("markdown")

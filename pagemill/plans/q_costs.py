@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagemill.operators import costs as C
+from pagemill.operators.ordering import position_within
 from pagemill.plans.catalog import register
 from pagemill.plans.q_registry import f6
 from pagemill.sources.derived import api_usage
@@ -91,6 +92,33 @@ def cost_rollup(t):
     return C.cost_rollup(_priced(t))
 
 
+@register(
+    "run_cost_report",
+    f"""WITH {PRICED},
+r AS (SELECT page_id, sum(prompt_tokens) AS pt, sum(completion_tokens) AS ct, sum(seconds) AS audio_seconds,
+             sum(CASE WHEN media_type = 'image' THEN cost_nano ELSE 0 END) AS img_nano,
+             sum(CASE WHEN media_type = 'audio' THEN cost_nano ELSE 0 END) AS aud_nano, sum(cost_nano) AS cost_nano FROM pr GROUP BY page_id),
+o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders)
+SELECT 'orders' AS site, i::BIGINT AS i, 'https://orders.example.com/' || o_orderkey::VARCHAR AS url,
+       chr(10) || '=== URL ' || i::VARCHAR || ': https://orders.example.com/' || o_orderkey::VARCHAR || ' ===' || chr(10) ||
+       chr(10) || 'OpenAI API Usage Summary:' || chr(10) || '------------------------' || chr(10) ||
+       CASE WHEN pt + ct > 0 THEN chr(10) || 'Image Processing:' || chr(10) || '  Prompt Tokens: ' || pt::BIGINT::VARCHAR ||
+         chr(10) || '  Completion Tokens: ' || ct::BIGINT::VARCHAR || chr(10) || '  Total Tokens: ' || (pt + ct)::BIGINT::VARCHAR ||
+         chr(10) || '  Cost: $' || {usd4('img_nano')} || chr(10) ELSE '' END ||
+       CASE WHEN audio_seconds > 0 THEN chr(10) || 'Audio Processing:' || chr(10) || '  Duration: ' || {_js_number('audio_seconds')} ||
+         ' seconds' || chr(10) || '  Cost: $' || {usd4('aud_nano')} || chr(10) ELSE '' END ||
+       chr(10) || 'Total Cost: $' || {usd4('cost_nano')} || chr(10) || chr(10) AS text
+FROM r JOIN o ON o_orderkey = page_id""",
+    "RPT2",
+)
+def run_cost_report(t):
+    run = t.orders.select(F.lit("orders").alias("site"), F.col("o_orderkey").alias("page_id"),
+                          F.concat(F.lit("https://orders.example.com/"), F.col("o_orderkey").cast("string")).alias("url"))
+    k = F.col("page_id")
+    run = position_within(run, ["site"], ["page_id"], levels=[F.floor(k / 1_000_000), F.floor(k / 10_000), F.floor(k / 100)])
+    return C.run_report(run, _priced(t))
+
+
 @register(
     "cost_guard",
     f"""WITH {PRICED},

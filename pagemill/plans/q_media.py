@@ -8,7 +8,7 @@ from pagemill.functions import media as M
 from pagemill.operators import media as MO
 from pagemill.plans import duck as D
 from pagemill.plans.catalog import register
-from pagemill.sources.derived import content_cache, known_contents, media_pages
+from pagemill.sources.derived import content_cache, known_contents, media_bytes, media_pages
 
 Q = D.q
 NL2 = "chr(10) || chr(10)"
@@ -26,13 +26,26 @@ F5 = f"""f5 AS (
               {_hx('doc_id', 89)} || '%2Fphoto.png&w=640)' || {NL2} ELSE '' END AS markdown
   FROM (SELECT *, '![figure ' || doc_id::VARCHAR || '](/img/uuid-' || {_hx('doc_id', 97)} || '.png)' || {NL2} AS img FROM documents))"""
 
+CLIP = "'media:clip' || n::VARCHAR || CASE WHEN n % 2 = 0 THEN '-' || lang ELSE '' END"
+
+MEDIA_BYTES = f"""mb AS (
+  SELECT 'https://docs.example.com/img/uuid-' || {_hx('k', 97)} || '.png' AS url, 'media:img' || (k % 60)::VARCHAR AS bytes, 'image/png' AS content_type
+  FROM (SELECT DISTINCT doc_id % 97 AS k FROM documents)
+  UNION ALL
+  SELECT 'https://docs.example.com/' || lang || '/audio/clip' || n::VARCHAR || '.MP3', {CLIP}, 'audio/mpeg'
+  FROM (SELECT DISTINCT doc_id % 13 AS n, lang FROM documents)
+  UNION ALL
+  SELECT 'https://cdn.example.com/assets/uuid-' || {_hx('w', 89)} || '/photo.png', 'media:photo' || w::VARCHAR, 'image/png'
+  FROM (SELECT DISTINCT doc_id % 89 AS w FROM documents) WHERE w % 11 <> 0)"""
+
 KNOWN = f"""known AS (
-  SELECT sha256('media:' || lower('uuid-' || {_hx('k', 1000)})) AS hash, 'image' AS type,
-         'A figure labelled uuid-' || {_hx('k', 1000)} || CASE WHEN k % 2 = 0 THEN ' (costs $1, path C:\\tmp)' ELSE '' END AS content
-  FROM (SELECT DISTINCT doc_id % 97 AS k FROM documents) WHERE k % 3 <> 0
+  SELECT sha256('media:img' || j::VARCHAR) AS hash, 'image' AS type,
+         'A figure labelled img' || j::VARCHAR || CASE WHEN j % 2 = 0 THEN ' (costs $1, path C:\\tmp)' ELSE '' END ||
+         CASE WHEN j % 10 = 1 THEN ' [hear it](./audio/clip1.MP3)' ELSE '' END AS content
+  FROM (SELECT DISTINCT doc_id % 97 % 60 AS j FROM documents) WHERE j % 3 <> 0
   UNION ALL
-  SELECT sha256('media:' || lower('clip' || n::VARCHAR || '.MP3')), 'audio', 'Transcript of clip ' || n::VARCHAR
-  FROM (SELECT DISTINCT doc_id % 13 AS n FROM documents) WHERE n % 3 <> 0)"""
+  SELECT DISTINCT sha256({CLIP}), 'audio', 'Transcript of ' || substr({CLIP}, 7)
+  FROM (SELECT DISTINCT doc_id % 13 AS n, lang FROM documents) WHERE n % 3 <> 0)"""
 
 
 _fold = D.fold_dot_segments
@@ -47,49 +60,64 @@ def _resolve(u: str, origin: str, base_path: str) -> str:
     )
 
 
-def _unnest(kind: str, pat: str) -> str:
-    arr = f"regexp_extract_all(markdown, {Q(pat)}, 0)"
+def _unnest(kind: str, pat: str, src: str = "f5", md: str = "markdown") -> str:
+    arr = f"regexp_extract_all({md}, {Q(pat)}, 0)"
     return (
         f"SELECT page_id, url, '{kind}' AS kind, (generate_subscripts({arr}, 1) - 1)::BIGINT AS pos, "
-        f"unnest(regexp_extract_all(markdown, {Q(pat)}, 1)) AS alt, unnest(regexp_extract_all(markdown, {Q(pat)}, 2)) AS raw_url, "
-        f"unnest({arr}) AS ref FROM f5"
+        f"unnest(regexp_extract_all({md}, {Q(pat)}, 1)) AS alt, unnest(regexp_extract_all({md}, {Q(pat)}, 2)) AS raw_url, "
+        f"unnest({arr}) AS ref FROM {src}"
     )
 
 
 BASENAME = "regexp_extract(regexp_replace({u}, '\\?.*$', ''), '([^/]*)/*$', 1)"
 PATH_OF = "regexp_extract({u}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 
-REFS = f"""{F5},
-raw AS ({_unnest('image', M.IMAGE_REF)}
-        UNION ALL
-        SELECT * FROM ({_unnest('audio', M.LINK_REF)}) WHERE regexp_matches(raw_url, {Q(M.AUDIO_EXT)})),
-rs AS (SELECT *, lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1)) AS origin,
+
+def _audio(src: str, md: str = "markdown") -> str:
+    return f"SELECT * FROM ({_unnest('audio', M.LINK_REF, src, md)}) WHERE regexp_matches(raw_url, {Q(M.AUDIO_EXT)})"
+
+
+def _refs_ctes(raw: str, x: str) -> str:
+    """CTEs from references (`raw`) to `refs<x>`: resolved URLs, content hashes, keys."""
+    return f"""raw{x} AS ({raw}),
+rs{x} AS (SELECT *, lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1)) AS origin,
               regexp_extract(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^(.*/)', 1),
-                             '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/.*)$', 1) AS base_path FROM raw),
-rv AS (SELECT *, {_resolve('raw_url', 'origin', 'base_path')} AS resolved_url FROM rs),
-rw AS (SELECT *, CASE WHEN kind = 'image' AND contains(resolved_url, '/_next/image?url=')
+                             '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/.*)$', 1) AS base_path FROM raw{x}),
+rv{x} AS (SELECT *, {_resolve('raw_url', 'origin', 'base_path')} AS resolved_url FROM rs{x}),
+rw{x} AS (SELECT *, CASE WHEN kind = 'image' AND contains(resolved_url, '/_next/image?url=')
                        AND regexp_extract(resolved_url, '[?&]url=([^&#]*)', 1) <> ''
                       THEN url_decode(replace(regexp_extract(resolved_url, '[?&]url=([^&#]*)', 1), '+', '%20')) END AS decoded
-       FROM rv),
-ru AS (SELECT * EXCLUDE (decoded), CASE WHEN decoded IS NOT NULL THEN {_resolve('decoded', 'origin', 'base_path')}
-                                         ELSE resolved_url END AS source_url FROM rw),
-rk AS (SELECT *, lower(CASE WHEN regexp_extract(source_url, {Q(M.UUID_RE)}, 0) <> '' THEN regexp_extract(source_url, {Q(M.UUID_RE)}, 0)
-                            ELSE {BASENAME.replace('{u}', 'source_url')} END) AS media_key FROM ru),
-rh AS (SELECT *, sha256('media:' || media_key) AS hash FROM rk),
-rn AS (SELECT *, CASE WHEN regexp_extract(source_url, {Q(M.UUID_RE)}, 0) <> '' THEN regexp_extract(source_url, {Q(M.UUID_RE)}, 0)
+       FROM rv{x}),
+ru{x} AS (SELECT * EXCLUDE (decoded), CASE WHEN decoded IS NOT NULL THEN {_resolve('decoded', 'origin', 'base_path')}
+                                         ELSE resolved_url END AS source_url FROM rw{x}),
+rh{x} AS (SELECT ru{x}.*, lower(CASE WHEN regexp_extract(source_url, {Q(M.UUID_RE)}, 0) <> '' THEN regexp_extract(source_url, {Q(M.UUID_RE)}, 0)
+                            ELSE {BASENAME.replace('{u}', 'source_url')} END) AS media_key, sha256(mb.bytes) AS hash
+       FROM ru{x} LEFT JOIN mb ON mb.url = source_url),
+rn{x} AS (SELECT *, CASE WHEN regexp_extract(source_url, {Q(M.UUID_RE)}, 0) <> '' THEN regexp_extract(source_url, {Q(M.UUID_RE)}, 0)
                       ELSE kind || '-' || substr(hash, 1, 12) END ||
                  CASE WHEN kind = 'image' THEN '.png'
                       ELSE regexp_extract(regexp_extract(regexp_replace(raw_url, '[?#].*$', ''), '[^/]*$', 0), '^.+(\\.[^.]*)$', 1) END
-                 AS stored_name FROM rh),
-refs AS (SELECT *, CASE WHEN kind = 'image'
+                 AS stored_name FROM rh{x}),
+refs{x} AS (SELECT *, CASE WHEN kind = 'image'
                         THEN coalesce(list_filter(string_split({PATH_OF.replace('{u}', 'source_url')}, '/'), lambda s: contains(s, 'uuid-'))[1],
                                       {BASENAME.replace('{u}', 'source_url')}) || '.json'
                         ELSE stored_name || '.json' END AS cache_key,
                    regexp_replace({D.path_key('url')}, '/[^/]+$', '') AS page_dir,
                    CASE WHEN kind = 'image' THEN '{M.IMAGE_MODEL}' ELSE '{M.AUDIO_MODEL}' END AS model
-         FROM rn)"""
+         FROM rn{x})"""
+
+
+def _resolved_cte(x: str) -> str:
+    return f"""res{x} AS (SELECT refs{x}.*, cache.content AS cache_content, known.content AS registry_content,
+               CASE WHEN cache.content IS NOT NULL THEN 'cache' WHEN known.content IS NOT NULL THEN 'registry'
+                    WHEN refs{x}.hash IS NULL THEN 'failed' ELSE 'new' END AS content_source,
+               coalesce(cache.content, known.content) AS content
+        FROM refs{x} LEFT JOIN cache USING (page_dir, cache_key, model) LEFT JOIN known USING (hash))"""
 
-CACHE = f"""cd AS (SELECT doc_id, regexp_replace({D.path_key("'https://docs.example.com/' || lang || '/doc-' || doc_id::VARCHAR")}, '/[^/]+$', '') AS pd
+
+REFS = f"{F5}, {MEDIA_BYTES}, " + _refs_ctes(f"{_unnest('image', M.IMAGE_REF)} UNION ALL {_audio('f5')}", "")
+
+CACHE = f"""cd AS (SELECT doc_id, lang, regexp_replace({D.path_key("'https://docs.example.com/' || lang || '/doc-' || doc_id::VARCHAR")}, '/[^/]+$', '') AS pd
        FROM documents WHERE doc_id % 7 = 0),
 cache AS (
   SELECT page_dir, cache_key, media_type, 'Cached ' || media_type || ' for doc ' || doc_id::VARCHAR AS content,
@@ -97,18 +125,14 @@ cache AS (
   FROM (
     SELECT doc_id, pd AS page_dir, 'uuid-' || {_hx('doc_id', 97)} || '.png.json' AS cache_key, 'image' AS media_type FROM cd
     UNION ALL SELECT doc_id, pd, 'uuid-' || {_hx('doc_id', 89)} || '.json', 'image' FROM cd WHERE doc_id % 9 = 0
-    UNION ALL SELECT doc_id, pd, 'audio-' || substr(sha256('media:clip' || (doc_id % 13)::VARCHAR || '.mp3'), 1, 12) || '.MP3.json', 'audio'
+    UNION ALL SELECT doc_id, pd, 'audio-' || substr(sha256('media:clip' || (doc_id % 13)::VARCHAR || CASE WHEN doc_id % 13 % 2 = 0 THEN '-' || lang ELSE '' END), 1, 12) || '.MP3.json', 'audio'
       FROM cd WHERE doc_id % 4 = 0))"""
 
-RESOLVED = f"""{REFS}, {KNOWN}, {CACHE},
-res AS (SELECT refs.*, cache.content AS cache_content, known.content AS registry_content,
-               CASE WHEN cache.content IS NOT NULL THEN 'cache' WHEN known.content IS NOT NULL THEN 'registry' ELSE 'new' END AS content_source,
-               coalesce(cache.content, known.content) AS content
-        FROM refs LEFT JOIN cache USING (page_dir, cache_key, model) LEFT JOIN known USING (hash))"""
+RESOLVED = f"{REFS}, {KNOWN}, {CACHE}, " + _resolved_cte("")
 
 
 def _refs(t):
-    return MO.resolve_refs(MO.media_refs(media_pages(t)))
+    return MO.resolve_refs(MO.media_refs(media_pages(t)), media_bytes(t))
 
 
 def _resolved(t):
@@ -159,9 +183,19 @@ def media_cache_key(t):
     return _refs(t).select("page_id", "kind", "pos", "media_key", "cache_key", "stored_name", "page_dir")
 
 
-@register("media_hash", f"WITH {REFS} SELECT page_id, kind, pos, media_key, hash FROM refs", "MED3")
+# Built from the rows, with no reference parsing: which bytes each reference stands for.
+HASH_ROWS = f"""WITH b AS (
+  SELECT doc_id AS page_id, 'image' AS kind, 0 AS pos, 'media:img' || (doc_id % 97 % 60)::VARCHAR AS bytes FROM documents
+  UNION ALL SELECT doc_id, 'image', 1, 'media:img' || (doc_id % 97 % 60)::VARCHAR FROM documents WHERE doc_id % 5 = 0
+  UNION ALL SELECT doc_id, 'image', CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END,
+                   CASE WHEN doc_id % 89 % 11 <> 0 THEN 'media:photo' || (doc_id % 89)::VARCHAR END FROM documents WHERE doc_id % 9 = 0
+  UNION ALL SELECT page_id, 'audio', CASE WHEN page_id % 5 = 0 THEN 2 ELSE 1 END, {CLIP} FROM (SELECT doc_id AS page_id, doc_id % 13 AS n, lang FROM documents WHERE doc_id % 4 = 0))
+SELECT page_id, kind, pos::BIGINT AS pos, sha256(bytes) AS hash, bytes IS NULL AS failed FROM b"""
+
+
+@register("media_hash", HASH_ROWS, "MED3 SRC10")
 def media_hash(t):
-    return _refs(t).select("page_id", "kind", "pos", "media_key", "hash")
+    return _refs(t).select("page_id", "kind", "pos", "hash", F.col("hash").isNull().alias("failed"))
 
 
 @register(
@@ -195,24 +229,21 @@ _PRE, _POST = MO.IMAGE_PROMPT.split("{altText}", 1)
     f"""WITH {RESOLVED},
 f AS (SELECT hash, arg_min(kind, (page_id, kind, pos)) AS kind, arg_min(alt, (page_id, kind, pos)) AS alt,
              arg_min(source_url, (page_id, kind, pos)) AS source_url, min(page_id) AS first_page_id,
-             arg_min(media_key, (page_id, kind, pos)) AS media_key, count(*)::BIGINT AS n_refs
+             count(*)::BIGINT AS n_refs
       FROM res WHERE content_source = 'new' GROUP BY hash),
-x AS (SELECT *, lower(regexp_extract(regexp_extract(regexp_replace(source_url, '[?#].*$', ''), '[^/]*$', 0), '^.+(\\.[^.]*)$', 1)) AS ext FROM f)
+x AS (SELECT f.*, mb.bytes, mb.content_type FROM f JOIN mb ON mb.url = source_url)
 SELECT hash, kind AS media_type, CASE WHEN kind = 'image' THEN '{M.IMAGE_MODEL}' ELSE '{M.AUDIO_MODEL}' END AS model,
        CASE WHEN kind = 'image' THEN {Q(_PRE)} || alt || {Q(_POST)} END AS prompt,
        CASE WHEN kind = 'image' THEN {MO.IMAGE_MAX_TOKENS} END::INT AS max_tokens,
        CASE WHEN kind = 'audio' THEN '{MO.AUDIO_LANGUAGE}' END AS language,
        CASE WHEN kind = 'audio' THEN '{MO.AUDIO_FORMAT}' END AS response_format,
-       'data:' || CASE WHEN kind = 'audio' THEN (CASE WHEN ext = '.wav' THEN 'audio/wav' WHEN ext = '.ogg' THEN 'audio/ogg' ELSE 'audio/mpeg' END)
-                       WHEN ext IN ('.jpg', '.jpeg') THEN 'image/jpeg' WHEN ext = '.gif' THEN 'image/gif'
-                       WHEN ext = '.webp' THEN 'image/webp' WHEN ext = '.svg' THEN 'image/svg+xml' ELSE 'image/png' END ||
-       ';base64,' || to_base64(encode('media:' || media_key)) AS data_url,
+       'data:' || content_type || ';base64,' || to_base64(encode(bytes)) AS data_url,
        first_page_id, source_url, n_refs
 FROM x""",
     "MED7 AGG3 UDF2 SCF15",
 )
 def enrichment_requests(t):
-    return MO.enrichment_requests(_resolved(t))
+    return MO.enrichment_requests(_resolved(t), media_bytes(t))
 
 
 def _enrich_sql() -> str:
@@ -228,14 +259,15 @@ def _enrich_sql() -> str:
     return f"""{RESOLVED},
 iv AS (SELECT page_id, raw_url, arg_min(resolved_url, pos) AS resolved_url, arg_min(content, pos) AS content
        FROM res WHERE kind = 'image' AND content IS NOT NULL GROUP BY page_id, raw_url),
-av AS (SELECT page_id, raw_url, arg_min(resolved_url, pos) AS resolved_url, arg_min(content, pos) AS content
-       FROM res WHERE kind = 'audio' AND content IS NOT NULL GROUP BY page_id, raw_url),
 s1 AS (SELECT page_id, url, string_split(regexp_replace(markdown, '(' || {img} || ')', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS segs FROM f5),
 e1 AS (SELECT page_id, url, unnest(segs) AS seg, generate_subscripts(segs, 1) AS i FROM s1),
 j1 AS (SELECT e1.page_id, e1.url, e1.i,
               CASE WHEN e1.i % 2 = 0 AND v.content IS NOT NULL THEN e1.seg || {tag('image', M.IMAGE_TAG)} ELSE e1.seg END AS seg
        FROM e1 LEFT JOIN iv v ON v.page_id = e1.page_id AND e1.i % 2 = 0 AND v.raw_url = regexp_extract(e1.seg, {img}, 2)),
 p1 AS (SELECT page_id, url, string_agg(seg, '' ORDER BY i) AS md FROM j1 GROUP BY page_id, url),
+{_refs_ctes(_audio('p1', 'md'), '2')}, {_resolved_cte('2')},
+av AS (SELECT page_id, raw_url, arg_min(resolved_url, pos) AS resolved_url, arg_min(content, pos) AS content
+       FROM res2 WHERE content IS NOT NULL GROUP BY page_id, raw_url),
 s2 AS (SELECT page_id, url, string_split(regexp_replace(md, '(' || {link} || ')', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS segs FROM p1),
 e2 AS (SELECT page_id, url, unnest(segs) AS seg, generate_subscripts(segs, 1) AS i FROM s2),
 j2 AS (SELECT e2.page_id, e2.url, e2.i,
@@ -248,9 +280,13 @@ enr AS (SELECT page_id, url, string_agg(seg, '' ORDER BY i) AS processed FROM j2
 ENRICHED = _enrich_sql()
 
 
+def enriched(t):
+    return MO.enrich_markdown(media_pages(t), media_bytes(t), content_cache(t), known_contents(t))
+
+
 @register("enrich_markdown", f"WITH {ENRICHED} SELECT page_id, url, processed FROM enr", "MED4 MED6 MED8 X9")
 def enrich_markdown(t):
-    return MO.enrich_markdown(media_pages(t), _resolved(t))
+    return enriched(t).select("page_id", "url", "processed")
 
 
 @register(

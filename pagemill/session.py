@@ -7,6 +7,9 @@ query catalog.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Settings every query of this library assumes. Timestamps are UTC; AQE
@@ -60,11 +63,20 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint dir. There is no machine-local fallback: executors
-    could not read each other's files there."""
+    """The cluster's checkpoint dir. Where none is named, a session in one local process
+    (`local[…]`, as in tests) gets a temporary one; on a cluster that is an error, since
+    executors could not read each other's files in a machine-local folder."""
     d = checkpoint_dir(spark)
     if not d:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="pagemill-local-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for tables written during a run, below the checkpoint dir."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"

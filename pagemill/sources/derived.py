@@ -119,6 +119,33 @@ def captures(t: Tables) -> DataFrame:
     )
 
 
+def page_captures(t: Tables) -> DataFrame:
+    """capture attempts of the supplied pages, for a site run over their sitemaps: page_id % 10 = 0
+    never captured, 1 a server error, 2 a challenge page, 3 an error and then the page, else the page."""
+    k = F.col("page_id") % 10
+    page = F.struct(F.lit(200).alias("status"), F.lit("nginx").alias("server"), F.col("html").alias("html"))
+    down = F.struct(F.lit(503).alias("status"), F.lit("nginx").alias("server"), F.lit("<html><body>down</body></html>").alias("html"))
+    wall = F.struct(F.lit(200).alias("status"), F.lit("nginx").alias("server"), F.lit("<html><head><title>Just a moment...</title></head></html>").alias("html"))
+    tries = F.when(k == 1, F.array(down)).when(k == 2, F.array(wall)).when(k == 3, F.array(down, page)).when(k != 0, F.array(page))
+    return t.pages.select("url", F.posexplode(tries).alias("n", "c")).select(
+        "url", F.lit("2024-05-01 00:00:00").cast("timestamp_ntz").alias("fetched_at"), F.col("n").cast("bigint").alias("attempt"), "c.*"
+    )
+
+
+def repeated_sitemap(t: Tables) -> DataFrame:
+    """the F4 documents under a new root that lists the top index and one more urlset, which holds
+    the pages with page_id % 5 = 4 again (at most SITEMAP_CHUNK, as the protocol has it)."""
+    again = t.pages.filter(F.col("page_id") % 5 == 4).select("page_id", "url")
+    chunk = F.floor(F.col("page_id") / SITEMAP_CHUNK).cast("bigint")
+    loc = lambda c: F.concat(F.lit(f"{INDEX_HOST}/again-"), c.cast("string"), F.lit(".xml"))
+    extra = again.groupBy(chunk.alias("c")).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("page_id", F.concat(F.lit("<url><loc>"), _xml_escape(F.col("url")), F.lit("</loc></url>")).alias("x")))), lambda s: s["x"]), "").alias("b"))
+    extra = extra.select(loc(F.col("c")).alias("loc"), F.concat(F.lit("<urlset>"), F.col("b"), F.lit("</urlset>")).alias("xml"), "c")
+    names = extra.agg(F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: F.concat(F.lit("<sitemap><loc>"), loc(c), F.lit("</loc></sitemap>"))), "").alias("b"))
+    root = names.select(F.lit(RUN_ROOT).alias("loc"), F.concat(F.lit(f"<sitemapindex><sitemap><loc>{INDEX_HOST}/sitemap.xml</loc></sitemap>"), F.col("b"), F.lit("</sitemapindex>")).alias("xml"))
+    return sitemap_docs(t).unionByName(extra.select("loc", "xml")).unionByName(root)
+
+
 def _hx(c, m: int):
     return F.lpad(F.lower(F.hex(c % m)), 2, "0")
 
@@ -148,29 +175,52 @@ def media_pages(t: Tables) -> DataFrame:
     )
 
 
+def _clip_bytes(n, lang):
+    """Bytes of clip `n`: clips with an even number differ by language."""
+    return F.concat(F.lit("media:clip"), n.cast("string"), F.when(n % 2 == 0, F.concat(F.lit("-"), lang)).otherwise(F.lit("")))
+
+
+def media_bytes(t: Tables) -> DataFrame:
+    """F5 media_bytes(url, content, content_type): what was fetched. Figures k and k + 60 hold the same
+    bytes under two names; a clip's name is the same in every language, its bytes are not
+    when its number is even; wrapped photos with w % 11 = 0 were never fetched."""
+    d = F.col("doc_id")
+    k, n, w = (d % 97).alias("k"), (d % 13).alias("n"), (d % 89).alias("w")
+    img = t.documents.select(k).distinct().select(
+        F.concat(F.lit("https://docs.example.com/img/uuid-"), _hx(F.col("k"), 97), F.lit(".png")).alias("url"),
+        F.concat(F.lit("media:img"), (F.col("k") % 60).cast("string")).alias("b"), F.lit("image/png").alias("content_type"))
+    clips = t.documents.select(n, "lang").distinct().select(
+        F.concat(F.lit("https://docs.example.com/"), F.col("lang"), F.lit("/audio/clip"), F.col("n").cast("string"), F.lit(".MP3")).alias("url"),
+        _clip_bytes(F.col("n"), F.col("lang")).alias("b"), F.lit("audio/mpeg").alias("content_type"))
+    photos = t.documents.select(w).distinct().filter(F.col("w") % 11 != 0).select(
+        F.concat(F.lit("https://cdn.example.com/assets/uuid-"), _hx(F.col("w"), 89), F.lit("/photo.png")).alias("url"),
+        F.concat(F.lit("media:photo"), F.col("w").cast("string")).alias("b"), F.lit("image/png").alias("content_type"))
+    return img.unionByName(clips).unionByName(photos).select("url", F.encode("b", "UTF-8").alias("content"), "content_type")
+
+
 def known_contents(t: Tables) -> DataFrame:
-    """F5 registry: media whose key number k has k % 3 <> 0 were described
-    before. Some descriptions hold a literal `$1` and a backslash."""
-    k = F.col("doc_id") % 97
-    imgs = t.documents.select(k.alias("k")).distinct().filter(F.col("k") % 3 != 0).select(
-        F.concat(F.lit("uuid-"), _hx(F.col("k"), 1000)).alias("media_key"),
+    """F5 registry: figures whose bytes have a number j with j % 3 <> 0, and clips with n % 3 <> 0, were
+    described before. Some descriptions hold a literal `$1` and a backslash, some an audio link."""
+    j = F.col("j")
+    imgs = t.documents.select((F.col("doc_id") % 97 % 60).alias("j")).distinct().filter(j % 3 != 0).select(
+        F.concat(F.lit("media:img"), j.cast("string")).alias("b"),
         F.lit("image").alias("type"),
-        F.concat(F.lit("A figure labelled uuid-"), _hx(F.col("k"), 1000),
-                 F.when(F.col("k") % 2 == 0, F.lit(" (costs $1, path C:\\tmp)")).otherwise(F.lit(""))).alias("content"),
+        F.concat(F.lit("A figure labelled img"), j.cast("string"),
+                 F.when(j % 2 == 0, F.lit(" (costs $1, path C:\\tmp)")).otherwise(F.lit("")),
+                 F.when(j % 10 == 1, F.lit(" [hear it](./audio/clip1.MP3)")).otherwise(F.lit(""))).alias("content"),
     )
-    n = F.col("doc_id") % 13
-    clips = t.documents.select(n.alias("n")).distinct().filter(F.col("n") % 3 != 0).select(
-        F.concat(F.lit("clip"), F.col("n").cast("string"), F.lit(".MP3")).alias("media_key"),
+    n = F.col("n")
+    clips = t.documents.select((F.col("doc_id") % 13).alias("n"), "lang").distinct().filter(n % 3 != 0).select(
+        _clip_bytes(n, F.col("lang")).alias("b"),
         F.lit("audio").alias("type"),
-        F.concat(F.lit("Transcript of clip "), F.col("n").cast("string")).alias("content"),
-    )
-    return imgs.unionByName(clips).select(
-        F.sha2(F.concat(F.lit("media:"), F.lower(F.col("media_key"))), 256).alias("hash"), "type", "content"
-    )
+        F.concat(F.lit("Transcript of "), F.substring(_clip_bytes(n, F.col("lang")), 7, 100)).alias("content"),
+    ).distinct()
+    return imgs.unionByName(clips).select(F.sha2(F.col("b"), 256).alias("hash"), "type", "content")
 
 
 SITEMAP_CHUNK = 50000  # URLs per urlset and sitemaps per index (protocol limits)
 INDEX_HOST = "https://index.example.com"
+RUN_ROOT = f"{INDEX_HOST}/run.xml"
 
 
 def _xml_escape(c):
@@ -308,10 +358,10 @@ def content_cache(t: Tables) -> DataFrame:
 
     d = F.col("doc_id")
     docs = t.documents.filter(d % 7 == 0).select(
-        "doc_id",
+        "doc_id", "lang",
         dir_key(F.concat(F.lit("https://docs.example.com/"), F.col("lang"), F.lit("/doc-"), d.cast("string"))).alias("page_dir"),
     )
-    audio_hash = F.sha2(F.concat(F.lit("media:clip"), (d % 13).cast("string"), F.lit(".mp3")), 256)
+    audio_hash = F.sha2(_clip_bytes(d % 13, F.col("lang")), 256)
     entries = F.array(
         F.struct(F.concat(F.lit("uuid-"), _hx(d, 97), F.lit(".png.json")).alias("cache_key"), F.lit("image").alias("media_type")),
         F.when(d % 9 == 0, F.struct(F.concat(F.lit("uuid-"), _hx(d, 89), F.lit(".json")).alias("cache_key"),

@@ -31,7 +31,7 @@ def _batch_writer(out: str):
     return write
 
 
-def start_page_stream(spark: SparkSession, captures_dir: str, out: str, checkpoint: str, run_date: str = P.DEFAULT_RUN_DATE,
+def start_page_stream(spark: SparkSession, captures_dir: str, out: str, checkpoint: str, run_date: str,
                       available_now: bool = True):
     src = spark.readStream.schema(CAPTURES).parquet(captures_dir)
 

@@ -117,7 +117,7 @@ def test_breadcrumbs_priority_and_rendering(spark):
 def test_page_stats(spark):
     df = spark.createDataFrame([(1, "https://e.org/", "<html><body><article><p>one two three</p></article></body></html>")],
                                "page_id bigint, url string, html string")
-    st = P.page_stats(P.page_document(df, "2024-06-01")).first()
+    st = P.page_stats(P.page_document(df, "2024-06-01"), "2024-06-01").first()
     doc = P.page_document(df, "2024-06-01").first().markdown
     assert st.char_count == len(doc)
     assert st.line_count == len(doc.split("\n"))

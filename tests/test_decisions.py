@@ -20,6 +20,10 @@ def one(spark, col, **vals):
     return df.select(col.alias("x")).first().x
 
 
+def _both(pages, resolved):
+    return MO.annotate(MO.annotate(pages, resolved, "image"), resolved, "audio", "processed")
+
+
 def test_x1_description_tags_with_attributes_are_counted(spark):
     df = spark.createDataFrame([(1, 'a <md_image-description src="u">d</md_image-description> b <md_image-description>e')],
                                "page_id bigint, processed string")
@@ -34,7 +38,7 @@ def test_x9_each_identical_ref_annotated_and_dollar_literal(spark):
         [(1, "image", 0, "/i/uuid-1.png", "https://s.org/i/uuid-1.png", "cost $1 \\ ok")],
         "page_id bigint, kind string, pos bigint, raw_url string, resolved_url string, content string",
     )
-    out = MO.enrich_markdown(pages, resolved).first().processed
+    out = _both(pages, resolved).first().processed
     tag = '\n\n<md_image-description src="https://s.org/i/uuid-1.png">cost $1 \\ ok</md_image-description>\n\n'
     assert out == "![a](/i/uuid-1.png)" + tag + " text ![a](/i/uuid-1.png)" + tag
 
@@ -42,7 +46,7 @@ def test_x9_each_identical_ref_annotated_and_dollar_literal(spark):
 def test_mediated_failure_keeps_text(spark):
     pages = spark.createDataFrame([(1, "https://s.org/p", "![a](/x.png) [s](/a.mp3)")], "page_id bigint, url string, markdown string")
     resolved = spark.createDataFrame([], "page_id bigint, kind string, pos bigint, raw_url string, resolved_url string, content string")
-    assert MO.enrich_markdown(pages, resolved).first().processed == "![a](/x.png) [s](/a.mp3)"
+    assert _both(pages, resolved).first().processed == "![a](/x.png) [s](/a.mp3)"
 
 
 def test_x10_query_dropped_from_path_key(spark):

@@ -49,7 +49,7 @@ def test_page_document_scored_fallback_matches_oracle(spark):
         "page_id", "url",
         F.replace(F.replace("html", F.lit("<article>"), F.lit('<div class="post">')), F.lit("</article>"), F.lit("</div>")).alias("html"),
     )
-    sp = P.page_document(src)
+    sp = P.page_document(src, "2024-06-01")
     a = canonical(sp.columns, [tuple(r) for r in sp.collect()])
     con = duckdb.connect()
     con.execute(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import json
 
 from pyspark.sql import functions as F
@@ -42,12 +43,12 @@ def test_page_stream_equals_batch(spark, tables, tmp_path):
     src = tmp_path / "captures"
     for k in range(2):
         cap.filter(F.pmod(F.col("attempt"), F.lit(2)) == k).write.parquet(str(src / f"b{k}"))
-    q = S.start_page_stream(spark, str(src / "*"), str(tmp_path / "pages"), str(tmp_path / "ckpt"))
+    q = S.start_page_stream(spark, str(src / "*"), str(tmp_path / "pages"), str(tmp_path / "ckpt"), "2024-06-01")
     q.awaitTermination()
     cur = S.current_pages(spark, str(tmp_path / "pages")).select("url", "markdown")
     usable = cap.filter(F.col("status").between(200, 299) & ~F.col("html").contains("Just a moment"))
     latest = usable.groupBy("url").agg(F.max_by("html", F.struct("fetched_at", "attempt")).alias("html"))
-    batch = P.page_document(latest.select(F.xxhash64("url").alias("page_id"), "url", "html")).select("url", "markdown")
+    batch = P.page_document(latest.select(F.xxhash64("url").alias("page_id"), "url", "html"), "2024-06-01").select("url", "markdown")
     assert _rows(cur) == _rows(batch)
 
 
@@ -95,11 +96,11 @@ def test_registry_json_and_cache_json(spark, tmp_path):
 
 
 def test_writers(spark, tables, tmp_path):
-    docs = P.page_document(tables.pages.limit(20))
+    docs = P.page_document(tables.pages.limit(20), "2024-06-01")
     W.write_markdown_pages(docs, str(tmp_path / "md"))
     back = spark.read.parquet(str(tmp_path / "md"))
     assert back.count() == 20 and "domain" in back.columns
-    W.write_page_stats(P.page_stats(docs), str(tmp_path / "stats"))
+    W.write_page_stats(P.page_stats(docs, "2024-06-01"), str(tmp_path / "stats"))
     assert spark.read.json(str(tmp_path / "stats")).count() == 20
     parts = spark.createDataFrame([("en", 0, "a"), ("en", 1, "b")], "site string, part bigint, body string")
     W.write_merged(parts, str(tmp_path / "merged"))
@@ -123,15 +124,18 @@ def test_site_run_end_to_end(spark):
     ).withColumn("fetched_at", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
     reg = spark.createDataFrame([], "hash string, type string, content string")
     cache = spark.createDataFrame([], "page_dir string, cache_key string, media_type string, content string, model string")
-    run = site_run(docs, "root", cap, reg, cache)
+    data = spark.createDataFrame([("https://a.org/img/uuid-9.png", bytearray(b"png bytes"), "image/png")], "url string, content binary, content_type string")
+    run = site_run(docs, "root", cap, data, reg, cache, "2024-06-01")
     assert run.pages.count() == 2
     assert [r.url for r in run.failures.collect()] == ["https://a.org/two"]
     s = run.summary.first()
     assert (s.succeeded, s.failed, s.total) == (2, 1, 3)
-    body = run.merged.first().body
-    assert body.index("## one") < body.index("## three")
+    body = "".join(r.text for r in run.merged.orderBy("block", "part").collect())
+    assert body.startswith("# Merged Documentation from Sitemap\n\nSource: root\n\n") and "1. https://a.org/one\n2. https://a.org/three\n\n---\n\n## one\n\n" in body
+    assert body.index("## one") < body.index("\n\n---\n\n## three")
     req = run.requests.collect()
     assert len(req) == 1 and req[0].source_url == "https://a.org/img/uuid-9.png" and req[0].prompt.endswith("Alt text: x")
+    assert req[0].data_url == "data:image/png;base64," + base64.b64encode(b"png bytes").decode()
 
 
 def test_sinks_append(spark, tables, tmp_path):

@@ -10,7 +10,8 @@ ATX headings, fenced code (whitespace inside <pre> kept), `**` for b/strong,
 `_` for i/em, inline links and images, `*   ` bullets and `1.  ` items of
 ordered lists, `> ` quotes, `  \\n` for <br>, `* * *` for <hr>, one blank line
 between blocks, unknown tags dropped with their text kept, entities decoded
-last (`&amp;` after the others). Nested lists are flattened.
+last (`&amp;` after the others). Nested items are indented by four spaces, ordered
+ones numbered; a table within a table gives its rows to the outer one.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ from pagemill.functions.text import (
     col_,
     collapse_ws,
     decode_entities,
+    decode_other_entities,
     inner_text,
+    interleave,
     js_trim,
+    let,
     strip_tags,
 )
 
@@ -62,8 +66,8 @@ MARKDOWN_RULES: list[tuple[str, str, str]] = [
     ("hr", f"(?i)<hr{_OPEN}", "\n\n* * *\n\n"),
     ("li_open", f"(?i)<li{_OPEN}", "\n*   "),
     ("li_close", f"(?i)</li{_CLOSE}", ""),
-    ("quote", f"(?i)<blockquote{_OPEN}", "\n\n\ue010"),
-    ("quote_close", f"(?i)</blockquote{_CLOSE}", "\ue011\n\n"),
+    ("quote", f"(?i)<blockquote{_OPEN}", "\n\n\ufdd5"),
+    ("quote_close", f"(?i)</blockquote{_CLOSE}", "\ufdd6\n\n"),
     ("blocks", f"(?i)</?(?:{BLOCK_TAGS}){_OPEN}", "\n\n"),
     ("tags", "<[^>]*>", ""),
 ] + [
@@ -82,27 +86,101 @@ def _apply(out: Column, pattern: str, repl: str) -> Column:
     return F.replace(out, F.lit(pattern), F.lit(repl))  # plain literal: cheaper than a regex
 
 
+#: Rules that run before anything else, and the one that collapses white space; by name, so a caller's
+#: list may be longer, shorter or in another order. All other rules run after tables and lists.
+CLEAN_RULES = ("comments", "script", "style", "noscript")
+WHITESPACE_RULES = ("whitespace",)
 PRE_CLEAN = 5  # the first rules (comments, script, style, noscript, whitespace) run before tables
 
-TABLE_MARK = "\u0001"
+# Marks are Unicode noncharacters, which no text may hold; a page that holds them loses them on entry.
+TABLE_MARK = "\ufdd0"
+
+
+def _pieces(html: Column, pattern: Column | str) -> Column:
+    """STRUCT<found, parts>: the matches of a pattern and the text around them."""
+    p = F.lit(pattern) if isinstance(pattern, str) else pattern
+    return F.struct(F.regexp_extract_all(html, p, F.lit(0)).alias("found"), F.split(html, p).alias("parts"))
+
+
+def balanced_inner(rest: Column, tag: Column) -> Column:
+    """`rest` (what follows an opening `tag`) up to the end tag that closes it: the first at which the end
+    tags of that name outnumber the opening ones; all of `rest` when there is none."""
+    pattern = F.concat(F.lit("(?i)</?"), tag, F.lit("(?:[ \\t\\n\\r\\f][^>]*)?/?>"))
+
+    def step(acc: Column, t: Column) -> Column:
+        depth = acc["depth"] + F.when(t.startswith("</"), -1).otherwise(1)
+        return F.struct(depth.alias("depth"), (acc["i"] + 1).alias("i"), F.when((acc["end"] < 0) & (depth == 0), acc["i"]).otherwise(acc["end"]).alias("end"))
+
+    def cut(x: Column) -> Column:
+        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("i"), F.lit(-1).alias("end"))
+        end = F.aggregate(x["found"], start, step)["end"]
+        return let(end, lambda n: F.when(n < 0, interleave(x["parts"], x["found"])).otherwise(
+            interleave(F.slice(x["parts"], F.lit(1), n + 1), F.slice(x["found"], F.lit(1), n))))
+
+    return let(_pieces(rest, pattern), cut)
+
+
+def elements(html: Column, opening: str, tag: str | None = None) -> Column:
+    """Inner HTML of every element whose opening tag matches `opening`, nested ones included, in document
+    order."""
+    def each(x: Column) -> Column:
+        n = F.size(x["found"])
+
+        def one(t: Column, i: Column) -> Column:
+            rest = interleave(F.slice(x["parts"], i + 2, n - i), F.slice(x["found"], i + 2, n - i - 1))
+            return balanced_inner(rest, F.lit(tag) if tag else F.regexp_extract(t, "<([a-zA-Z0-9-]+)", 1))
+
+        return F.transform(x["found"], one)
+
+    return let(_pieces(html, opening), each)
+
+
+TABLE_IN_TABLE = f"(?is)<table{_OPEN}(?:(?!</table).)*?<table{_OPEN}"
+
+
+def nested_tables(html: Column) -> Column:
+    """A table within a table gives its rows to the outer one, whose cells keep its text: outer tables that
+    hold others are rewritten as one flat table. Pages without such tables skip the work."""
+    def step(acc: Column, t: Column) -> Column:
+        close = t.startswith("</")
+        # inner tables lose their tags; their rows are the outer table's
+        keep = F.when(close, acc["depth"] == 1).otherwise(acc["depth"] == 0)
+        depth = F.greatest(acc["depth"] + F.when(close, -1).otherwise(1), F.lit(0))
+        return F.struct(depth.alias("depth"), F.concat(acc["out"], F.array(F.when(keep, t).otherwise(F.lit("")))).alias("out"))
+
+    def rows(table: Column) -> Column:
+        cell = lambda x: F.concat(F.lit("<td>"), strip_tags(x), F.lit("</td>"))
+        row = lambda r: F.concat(F.lit("<tr>"), F.array_join(F.transform(elements(r, f"(?i)<t[dh]{_OPEN}"), cell), ""), F.lit("</tr>"))
+        return F.concat(F.lit("<table>"), F.array_join(F.transform(elements(table, f"(?i)<tr{_OPEN}", "tr"), row), ""), F.lit("</table>"))
+
+    def flat(x: Column) -> Column:
+        start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"))
+        outer = interleave(x["parts"], F.aggregate(x["found"], start, step)["out"])
+        segs = F.split(F.regexp_replace(outer, f"(?is)(<table{_OPEN}.*?</table{_CLOSE})", f"{TABLE_MARK}$1{TABLE_MARK}"), TABLE_MARK)
+        return F.array_join(F.transform(segs, lambda s, i: F.when(i % 2 == 1, rows(s)).otherwise(s)), "")
+
+    return let(html, lambda h: F.when(h.rlike(TABLE_IN_TABLE), let(_pieces(h, f"(?i)</?table(?:{_OPEN}|>)"), flat)).otherwise(h))
 
 
 def tables_to_markdown(html) -> Column:
     """Replace every `<table>…</table>` by its pipe table. Tables are cut out with
     a sentinel split (odd segments are tables), so nothing else is touched; pages
     without tables skip the array work entirely."""
-    h = col_(html)
+    return let(nested_tables(col_(html)), _flat_tables)
+
+
+def _flat_tables(h: Column) -> Column:
     marked = F.regexp_replace(h, f"(?is)(<table{_OPEN}.*?</table{_CLOSE})", f"{TABLE_MARK}$1{TABLE_MARK}")
     segs = F.split(marked, TABLE_MARK)
     conv = F.transform(segs, lambda s, i: F.when(i % 2 == 1, html_table_markdown(s)).otherwise(s))
-    return F.when(h.contains("<table"), F.array_join(conv, "")).otherwise(h)
+    return F.when(h.rlike("(?i)<table"), F.array_join(conv, "")).otherwise(h)
 
 
 # Whitespace inside <pre> is kept: before whitespace collapsing, the text of
 # every <pre> block (tags stripped, as its textContent) has its spaces, newlines
-# and tabs swapped for private-use placeholders, swapped back at the very end.
+# and tabs swapped for noncharacters, swapped back at the very end.
 PRE_WS_FROM = " \n\t\r"
-PRE_WS_TO = "\ue001\ue000\ue002"  # '\r' is dropped
+PRE_WS_TO = "\ufdd2\ufdd3\ufdd4"  # '\r' is dropped
 PRE_BLOCK = f"(?is)(<pre{_OPEN})(.*?)(</pre{_CLOSE})"
 OL_BLOCK = f"(?is)(<ol{_OPEN})(.*?)(</ol{_CLOSE})"
 OL_ITEM = f"(?i)<li{_OPEN}"
@@ -124,17 +202,46 @@ def protect_pre(out: Column) -> Column:
 
 
 def restore_pre(out: Column) -> Column:
-    return F.translate(out, PRE_WS_TO, PRE_WS_FROM[:3])
-
+    return F.translate(out, PRE_WS_TO + INDENT_MARK, PRE_WS_FROM[:3] + " ")
+
+
+INDENT_MARK = "\ufdd7"  # one space of a nested item's indent
+LIST_TAG = f"(?i)</?(?:ul|ol|li)(?:{_OPEN}|>)"
+NEEDS_LISTS = f"(?is)<ol{_OPEN}|<ul{_OPEN}(?:(?!</ul).)*?<ul{_OPEN}"
+
+
+def list_items(out: Column) -> Column:
+    """Items get their marker: `*   `, or the item's number in an ordered list (from `start`, on from a
+    `value`), indented by four spaces per enclosing item. One pass over the page's list tags
+    keeps the stack of open lists; flat bulleted lists are left to the `li` rule."""
+    # stack: next numbers of the open lists (0: bullets), innermost first
+    start = F.struct(F.array().cast("array<int>").alias("stack"), F.array().cast("array<string>").alias("out"))
+    number = lambda t, attr: F.coalesce(F.nullif(F.regexp_extract(t, f"(?i){HTML_WS}{attr}{HTML_WS}*={HTML_WS}*[\"']?([0-9]{{1,9}})", 1), F.lit("")).cast("int"))
+
+    def step(acc: Column, t: Column) -> Column:
+        stack = acc["stack"]
+        opens, ordered, item = t.rlike("(?i)^<[uo]l"), t.rlike("(?i)^<ol"), t.rlike("(?i)^<li")
+        closes = t.rlike("(?i)^</[uo]l")
+        top = F.coalesce(F.get(stack, 0), F.lit(0))
+        mine = F.when(top > 0, F.coalesce(number(t, "value"), top)).otherwise(F.lit(0))
+        indent = F.repeat(F.lit(INDENT_MARK), (F.greatest(F.size(stack), F.lit(1)) - 1) * 4)
+        mark = F.when(mine > 0, F.concat(mine.cast("string"), F.lit(".  "))).otherwise(F.lit("*   "))
+        rest = F.slice(stack, F.lit(2), F.greatest(F.size(stack) - 1, F.lit(0)))
+        new = (
+            F.when(opens, F.concat(F.array(F.when(ordered, F.coalesce(number(t, "start"), F.lit(1))).otherwise(F.lit(0))), stack))
+            .when(closes, rest)
+            .when(item & (F.size(stack) > 0) & (mine > 0), F.concat(F.array(mine + 1), rest))
+            .otherwise(stack)
+        )
+        # a list inside an item does not begin a new block
+        text = F.when(item, F.concat(F.lit("\n"), indent, mark)).when((opens | closes) & (F.size(F.when(opens, stack).otherwise(rest)) > 0), F.lit("")).when(opens | closes, t).otherwise(F.lit(""))
+        return F.struct(new.alias("stack"), F.concat(acc["out"], F.array(text)).alias("out"))
 
-def ordered_lists(out: Column) -> Column:
-    """Items of `<ol>` lists become `1.  ` items (Markdown renumbers them)."""
-    return F.when(out.rlike("(?i)<ol"), _inner_segments(
-        out, OL_BLOCK, lambda s: F.regexp_replace(s, OL_ITEM, "\n1.  ")
-    )).otherwise(out)
+    render = lambda x: interleave(x["parts"], F.aggregate(x["found"], start, step)["out"])
+    return F.when(out.rlike(NEEDS_LISTS), let(_pieces(out, LIST_TAG), render)).otherwise(out)
 
 
-QUOTE_OPEN, QUOTE_CLOSE = "\ue010", "\ue011"
+QUOTE_OPEN, QUOTE_CLOSE = "\ufdd5", "\ufdd6"
 QUOTE_BLOCK = f"{QUOTE_OPEN}([^{QUOTE_CLOSE}]*){QUOTE_CLOSE}"
 
 
@@ -178,7 +285,7 @@ TEXT_ESCAPES = [
 UNESCAPED_BLOCK = (
     f"(?is)(<table{_OPEN}.*?</table{_CLOSE}|<code{_OPEN}.*?</code{_CLOSE}|<pre{_OPEN}.*?</pre{_CLOSE})"
 )
-TAG_MARK = "\u0002"
+TAG_MARK = "\ufdd1"
 
 
 def escape_text(t: Column) -> Column:
@@ -199,42 +306,45 @@ def escape_text_nodes(out: Column) -> Column:
     return F.array_join(F.transform(segs, lambda s, i: F.when(i % 2 == 0, region(s)).otherwise(s)), "")
 
 
+#: Every mark used here, dropped from a page on entry.
+ALL_MARKS = "".join(chr(c) for c in range(0xFDD0, 0xFDD8))
+
+
+def _stages(rules: list[tuple[str, str, str]]) -> tuple[list, list, list, list]:
+    clean = [r for r in rules if r[0] in CLEAN_RULES]
+    space = [r for r in rules if r[0] in WHITESPACE_RULES]
+    rest = [r for r in rules if r[0] not in CLEAN_RULES + WHITESPACE_RULES]
+    k = next((i for i, r in enumerate(rest) if r[0].startswith("entity_")), len(rest))
+    return clean, space, rest[:k], rest[k:]
+
+
+def _apply_all(e: Column, rules: list[tuple[str, str, str]]) -> Column:
+    for _name, pattern, repl in rules:
+        e = _apply(e, pattern, repl)
+    return e
+
+
 def add_markdown(df, html, out: str, rules: list[tuple[str, str, str]] | None = None):
     """DataFrame form of `html_to_markdown`: adds column `out`. The steps that
     look at their input more than once (guards around segment splits) get
     their own projection, so they read a column instead of re-deriving the rule
     chain (and the higher-order segment functions never pull the regex chain
     out of whole-stage codegen)."""
-    rules = rules or MARKDOWN_RULES
-    e = col_(html)
-    for _name, pattern, repl in rules[: PRE_CLEAN - 1]:
-        e = _apply(e, pattern, repl)
-    df = df.withColumn(out, e).withColumn(out, protect_pre(F.col(out)))
-    e = F.col(out)
-    for _name, pattern, repl in rules[PRE_CLEAN - 1 : PRE_CLEAN]:
-        e = _apply(e, pattern, repl)
-    df = df.withColumn(out, e).withColumn(out, escape_text_nodes(F.col(out)))
-    df = df.withColumn(out, tables_to_markdown(F.col(out))).withColumn(out, ordered_lists(F.col(out)))
-    e = F.col(out)
-    for _name, pattern, repl in rules[PRE_CLEAN:]:
-        e = _apply(e, pattern, repl)
-    return df.withColumn(out, e).withColumn(out, restore_pre(quote_lines(F.col(out))))
+    clean, space, rest, last = _stages(rules or MARKDOWN_RULES)
+    df = df.withColumn(out, _apply_all(F.translate(col_(html), ALL_MARKS, ""), clean)).withColumn(out, protect_pre(F.col(out)))
+    df = df.withColumn(out, _apply_all(F.col(out), space)).withColumn(out, escape_text_nodes(F.col(out)))
+    df = df.withColumn(out, tables_to_markdown(F.col(out))).withColumn(out, list_items(F.col(out)))
+    df = df.withColumn(out, _apply_all(F.col(out), rest)).withColumn(out, decode_other_entities(F.col(out)))
+    return df.withColumn(out, _apply_all(F.col(out), last)).withColumn(out, restore_pre(quote_lines(F.col(out))))
 
 
 def html_to_markdown(html, rules: list[tuple[str, str, str]] | None = None) -> Column:
     """Column form (ad-hoc use); operators use `add_markdown`, which evaluates
     the same steps with one projection per guarded step."""
-    rules = rules or MARKDOWN_RULES
-    out = col_(html)
-    for _name, pattern, repl in rules[: PRE_CLEAN - 1]:
-        out = _apply(out, pattern, repl)
-    out = protect_pre(out)
-    for _name, pattern, repl in rules[PRE_CLEAN - 1 : PRE_CLEAN]:
-        out = _apply(out, pattern, repl)
-    out = ordered_lists(tables_to_markdown(escape_text_nodes(out)))
-    for _name, pattern, repl in rules[PRE_CLEAN:]:
-        out = _apply(out, pattern, repl)
-    return restore_pre(quote_lines(out))
+    clean, space, rest, last = _stages(rules or MARKDOWN_RULES)
+    out = protect_pre(_apply_all(F.translate(col_(html), ALL_MARKS, ""), clean))
+    out = list_items(tables_to_markdown(escape_text_nodes(_apply_all(out, space))))
+    return restore_pre(quote_lines(_apply_all(decode_other_entities(_apply_all(out, rest)), last)))
 
 
 # ---------------------------------------------------------------- fields
@@ -247,9 +357,17 @@ def page_title(html) -> Column:
     return F.when(t != "", t).otherwise(h1)
 
 
+#: An attribute's value: in double quotes, in single quotes, or bare.
+ATTR_VALUE = "(\"[^\"]*\"|'[^']*'|[^ \\t\\n\\r\\f\"'=<>`]+)"
+
+
+def unquoted(value: Column) -> Column:
+    return decode_entities(F.regexp_replace(value, "\\A[\"'](.*)[\"']\\z", "$1"))
+
+
 def _attr_of_first(html, attr: str) -> Column:
     """Value of `attr` on the first element carrying it ('' when absent)."""
-    return F.regexp_extract(col_(html), f"(?is)<[a-z][^>]*?{HTML_WS}{attr}{HTML_WS}*={HTML_WS}*\"([^\"]*)\"", 1)
+    return unquoted(F.regexp_extract(col_(html), f"(?is)<[a-z][^>]*?{HTML_WS}{attr}{HTML_WS}*={HTML_WS}*{ATTR_VALUE}", 1))
 
 
 def last_modified(html, run_date) -> Column:
@@ -263,27 +381,19 @@ def last_modified(html, run_date) -> Column:
     )
 
 
-def shortcut_html(html) -> Column:
-    """Reader-mode shortcut: inner HTML of the first `<article>`, else of the
-    first `<main>`, else '' (then the scored container decides)."""
-    h = col_(html)
-    article = F.regexp_extract(h, f"(?is)<article{_OPEN}(.*?)</article{_CLOSE}", 1)
-    main = F.regexp_extract(h, f"(?is)<main{_OPEN}(.*?)</main{_CLOSE}", 1)
-    return F.when(article != "", article).otherwise(main)
+SHORTCUT = "(?i)<(?:article|main)(?:[ \\t\\n\\r\\f/][^>]*)?>"
 
 
-def main_content_html(html) -> Column:
-    """Reader-mode shortcut: the first `<article>`, else `<main>`, else the
-    `<body>` (or whole page) without nav/header/footer/aside blocks.
-    The scored, block-level variant is `operators.tokens.main_content`."""
+def shortcut_html(html) -> Column:
+    """Reader-mode shortcut: inner HTML of the page's `<article>` or `<main>` when it has exactly one
+    of them (up to its last end tag, or to the end of the page), else '' (then the
+    scored container decides). Comments and scripts must be gone already."""
     h = col_(html)
-    article = F.regexp_extract(h, f"(?is)<article{_OPEN}(.*?)</article{_CLOSE}", 1)
-    main = F.regexp_extract(h, f"(?is)<main{_OPEN}(.*?)</main{_CLOSE}", 1)
-    body = F.regexp_extract(h, f"(?is)<body{_OPEN}(.*)", 1)
-    body = F.when(body != "", body).otherwise(h)
-    for tag in ("nav", "header", "footer", "aside"):
-        body = F.regexp_replace(body, f"(?is)<{tag}{_OPEN}.*?</{tag}{_CLOSE}", "")
-    return F.when(article != "", article).when(main != "", main).otherwise(body)
+    article = F.regexp_extract(h, f"(?is)<article{_OPEN}(.*)</article{_CLOSE}", 1)
+    main = F.regexp_extract(h, f"(?is)<main{_OPEN}(.*)</main{_CLOSE}", 1)
+    open_end = F.regexp_extract(h, "(?is)<(?:article|main)(?:[ \\t\\n\\r\\f/][^>]*)?>(.*)", 1)
+    inner = F.when(article != "", article).when(main != "", main).otherwise(open_end)
+    return F.when(F.size(F.regexp_extract_all(h, F.lit(SHORTCUT), F.lit(0))) == 1, inner).otherwise(F.lit(""))
 
 
 # ----------------------------------------------------------- breadcrumbs
@@ -300,54 +410,72 @@ BREADCRUMB_SELECTORS = [
     "#breadcrumbs",
 ]
 
-_CONTAINER_TAGS = "ul|ol|nav|div|p|section|span|header|aside|main"
+_ATTRS = "(?:[ \\t\\n\\r\\f]+[^ \\t\\n\\r\\f\"'>/=]+(?:[ \\t\\n\\r\\f]*=[ \\t\\n\\r\\f]*(?:\"[^\"]*\"|'[^']*'|[^ \\t\\n\\r\\f\"'>]+))?)*"
+
+
+def _attr_is(name: str, value: str, word: bool = False, part: bool = False) -> str:
+    """Pattern of an attribute with this value, with this word among others, or with this part; any quotes."""
+    ws = HTML_WS
+    if part:
+        dq, sq, bare = f"\"[^\"]*{value}[^\"]*\"", f"'[^']*{value}[^']*'", f"[^ \\t\\n\"'>]*{value}[^ \\t\\n\"'>]*"
+    elif word:
+        dq, sq, bare = f"\"(?:[^\"]*{ws})?{value}(?:{ws}[^\"]*)?\"", f"'(?:[^']*{ws})?{value}(?:{ws}[^']*)?'", value
+    else:
+        dq, sq, bare = f"\"{value}\"", f"'{value}'", value
+    return f"{ws}{name}{ws}*={ws}*(?:{dq}|{sq}|{bare}(?=[ \\t\\n\\r\\f>/]))"
 
 
 def _selector_regex(sel: str) -> str:
-    """Regex for the opening tag matched by one selector, capturing the
-    container's inner HTML up to the first closing container-like tag."""
+    """Pattern of the opening tag that one selector matches, capturing its name and what follows it."""
     if sel.startswith("."):
-        attr = f"class{HTML_WS}*={HTML_WS}*\"(?:[^\"]*{HTML_WS})?{sel[1:]}(?:{HTML_WS}[^\"]*)?\""
-        tags = _CONTAINER_TAGS
+        tag, attr = "[a-zA-Z][a-zA-Z0-9-]*", _attr_is("class", sel[1:], word=True)
     elif sel.startswith("#"):
-        attr = f"id{HTML_WS}*={HTML_WS}*\"{sel[1:]}\""
-        tags = _CONTAINER_TAGS
+        tag, attr = "[a-zA-Z][a-zA-Z0-9-]*", _attr_is("id", sel[1:])
     else:
-        tag, _, rest = sel.partition("[")
+        name, _, rest = sel.partition("[")
         k, _, v = rest.rstrip("]").partition("=")
-        attr = f"{k}{HTML_WS}*={HTML_WS}*{v}"
-        tags = tag or _CONTAINER_TAGS
-    return (
-        f"(?is)<(?:{tags})(?:{HTML_WS}[^>]*)?{HTML_WS}{attr}[^>]*>(.*?)</(?:{_CONTAINER_TAGS}){_CLOSE}"
-    )
+        tag, attr = name or "[a-zA-Z][a-zA-Z0-9-]*", _attr_is(k, v.strip('"'))
+    return f"(?s)<({tag})(?=[ \\t\\n\\r\\f]){_ATTRS}?{attr}{_ATTRS}{HTML_WS}*/?>(.*)"
 
 
 BREADCRUMB_PATTERNS = [_selector_regex(s) for s in BREADCRUMB_SELECTORS]
+#: Opening tags of the items inside a container.
+BREADCRUMB_ITEM = (
+    f"(?:<[lL][iI]{_OPEN}|<[sS][pP][aA][nN](?=[ \\t\\n\\r\\f]){_ATTRS}?{_attr_is('itemprop', 'name')}{_ATTRS}{HTML_WS}*>|"
+    f"<[a-zA-Z][a-zA-Z0-9-]*(?=[ \\t\\n\\r\\f]){_ATTRS}?{_attr_is('class', 'breadcrumb-', part=True)}{_ATTRS}{HTML_WS}*/?>)"
+)
 
 
 def breadcrumb_container(html) -> Column:
-    """Inner HTML of the first container found by selector priority (NULL if none)."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(col_(html), p, 1), F.lit("")) for p in BREADCRUMB_PATTERNS])
+    """Inner HTML of the first container found by selector priority (NULL if none), up to its own end tag."""
+    h = col_(html)
+    # the opening tag's pattern, chosen once; its element is cut out once
+    pattern = F.lit(None).cast("string")
+    for p in reversed(BREADCRUMB_PATTERNS):
+        pattern = F.when(h.rlike(p), F.lit(p)).otherwise(pattern)
+    group = lambda p, k: F.call_function("regexp_extract", h, p, F.lit(k))
+    cut = lambda p: balanced_inner(group(p, 2), group(p, 1))
+    return let(pattern, lambda p: F.when(p.isNotNull(), cut(p)))
 
 
 def breadcrumb_items(html) -> Column:
-    """ARRAY<STRUCT<text, url>> of the items (`li`) of the breadcrumb container:
-    link text and href when the item has a link, else its non-empty text."""
+    """ARRAY<STRUCT<text, url>> of the items of the breadcrumb container (`li`, `span` with itemprop
+    name, any element with a class containing `breadcrumb-`), in document order: text and href of
+    the item's first link, else its non-empty text."""
     cont = breadcrumb_container(html)
-    segs = F.split(cont, f"(?i)<li{_OPEN}")
-    items = F.slice(segs, 2, F.greatest(F.size(segs) - 1, F.lit(0)))
-    items = F.transform(items, lambda s: F.regexp_replace(s, f"(?is)</li{_CLOSE}.*", ""))
+    # an item that is not closed ends where the next one begins
+    found = elements(F.regexp_replace(cont, f"(?i)(<li{_OPEN}(?:(?!</?li).)*)(?=<li{_OPEN})", "$1</li>"), BREADCRUMB_ITEM)
 
     def one(s: Column) -> Column:
-        has_link = s.rlike("(?i)<a[ >\t\n]")
-        link_text = inner_text(F.regexp_extract(s, f"(?is)<a{_OPEN}(.*?)</a", 1))
-        href = F.nullif(F.regexp_extract(s, f"(?is)<a{HTML_WS}[^>]*?href{HTML_WS}*={HTML_WS}*\"([^\"]*)\"", 1), F.lit(""))
-        return F.when(has_link, F.struct(link_text.alias("text"), href.alias("url"))).otherwise(
-            F.struct(inner_text(s).alias("text"), F.lit(None).cast("string").alias("url"))
-        )
+        return let(F.regexp_extract(s, f"(?is)<a(?:{HTML_WS}[^>]*)?>.*", 0), lambda link: item(s, link))
+
+    def item(s: Column, link: Column) -> Column:
+        text = inner_text(F.regexp_extract(link, "(?is)^<a[^>]*>(.*?)(?:</a|$)", 1))
+        href = F.nullif(unquoted(F.regexp_extract(link, f"(?is)^<a{HTML_WS}[^>]*?href{HTML_WS}*={HTML_WS}*{ATTR_VALUE}", 1)), F.lit(""))
+        linked = link != ""
+        return F.struct(F.when(linked, text).otherwise(inner_text(s)).alias("text"), F.when(linked, href).alias("url"))
 
-    structs = F.transform(items, one)
-    return F.filter(structs, lambda b: b["url"].isNotNull() | (b["text"] != ""))
+    return F.filter(F.transform(found, one), lambda b: b["url"].isNotNull() | (b["text"] != ""))
 
 
 def breadcrumbs_markdown(items) -> Column:

@@ -7,6 +7,12 @@ back-references, explicit whitespace classes, `\\A`/`\\z` anchors.
 
 from __future__ import annotations
 
+import functools
+
+import functools
+
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,12 +39,56 @@ ENTITIES = [
 ]
 
 
+ENTITY = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+@functools.cache
+def _named() -> str:
+    """The public named character references (Python's table of the HTML standard), without those of
+    ENTITIES, as text for `str_to_map`: one literal, folded once."""
+    from html.entities import html5
+
+    own = {e for e, _ in ENTITIES}
+    return "\x02".join(f"&{k}\x01{v}" for k, v in html5.items() if k.endswith(";") and f"&{k}" not in own and v not in "\x01\x02")
+
+
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` evaluated once, however often the body looks at it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _one_entity(e: Column) -> Column:
+    """Text of one character reference; what is no reference, and those of ENTITIES, stay as they are."""
+    digits = F.regexp_extract(e, "#[xX]?([0-9a-fA-F]+)", 1)
+    n = F.when(e.rlike("&#[xX]"), F.conv(digits, 16, 10)).when(e.startswith("&#"), digits).cast("bigint")
+    ok = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    named = F.str_to_map(F.lit(_named()), F.lit("\x02"), F.lit("\x01"))
+    return F.when(e.startswith("&#"), F.when(ok, char).otherwise(F.lit("\ufffd"))).otherwise(F.coalesce(F.element_at(named, e), e))
+
+
+def interleave(parts: Column, between: Column) -> Column:
+    """parts[0] + between[0] + parts[1] + …"""
+    z = F.arrays_zip(parts.alias("p"), between.alias("b"))
+    return F.array_join(F.transform(z, lambda x: F.concat(F.coalesce(x["p"], F.lit("")), F.coalesce(x["b"], F.lit("")))), "")
+
+
+def decode_other_entities(c) -> Column:
+    """Decode every numeric and named character reference but those of ENTITIES, once. Texts without
+    one skip the work."""
+    def body(t: Column) -> Column:
+        joined = interleave(F.split(t, ENTITY), F.transform(F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0)), _one_entity))
+        return F.when(t.contains("&"), joined).otherwise(t)
+
+    return let(col_(c), body)
+
+
 def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def decode_entities(c) -> Column:
-    out = col_(c)
+    out = decode_other_entities(c)
     for ent, ch in ENTITIES:
         out = F.replace(out, F.lit(ent), F.lit(ch))
     return out

@@ -25,11 +25,13 @@ def page_markdown(pages: DataFrame, html_col: str = "html") -> DataFrame:
     )
 
 
-def page_document(pages: DataFrame, run_date: str) -> DataFrame:
+def page_document(pages: DataFrame, run_date: str, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """The converter: source tag, title tag, last-modified tag, breadcrumb line, body. `run_date` dates
     the pages that carry no date.
 
-    Main content: the `<article>` / `<main>` shortcut where a page has one (a
+    `rules`: the caller's Markdown rules instead of the default ones.
+
+    Main content: the `<article>` / `<main>` shortcut where a page has exactly one (a
     narrow projection); otherwise the scored container of the token table
     (`operators.tokens.scored_main_html`), computed only for those pages, which
     are read a second time instead of shuffling every page. A page where
@@ -38,17 +40,20 @@ def page_document(pages: DataFrame, run_date: str) -> DataFrame:
     meta = [
         H.page_title("html").alias("title"),
         H.last_modified("html", run_date).alias("last_modified"),
-        F.when(F.col("html").rlike("(?i)breadcrumb|navigation-path|class=\"[^\"]*path"), H.breadcrumbs_markdown(crumbs))
+        F.when(F.col("html").rlike("breadcrumb|Breadcrumb|navigation-path|class[^>]*path"), H.breadcrumbs_markdown(crumbs))
         .otherwise(F.lit(""))
         .alias("breadcrumb_md"),
     ]
-    short = H.shortcut_html(F.col("html"))
+    cleaned = F.col("html")
+    for _name, pattern, repl in (r for r in H.MARKDOWN_RULES if r[0] in H.CLEAN_RULES):
+        cleaned = F.regexp_replace(cleaned, pattern, repl)
+    short = H.shortcut_html(cleaned)
     with_short = pages.select("page_id", "url", "html", *meta, short.alias("main_html")).filter(F.col("main_html") != "")
     rest = pages.filter(short == "").select("page_id", "url", "html", *meta)
     scored = T.scored_main_html(rest.select("page_id", "html"))
     rest = rest.join(scored, "page_id", "left").withColumn("main_html", F.coalesce("main_html", F.lit("")))
     base = with_short.unionByName(rest.select(*with_short.columns))
-    df = H.add_markdown(base, F.col("main_html"), "body_md").drop("html", "main_html")
+    df = H.add_markdown(base, F.col("main_html"), "body_md", rules).drop("html", "main_html")
     # A page without main content is a failed row, not a failed task.
     df = df.withColumn("status", F.when(F.col("body_md") == "", F.lit("no_content")).otherwise(F.lit("ok")))
     return df.withColumn(

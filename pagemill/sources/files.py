@@ -16,10 +16,11 @@ CACHE_RECORD = "description STRING, transcription STRING, model STRING, timestam
 
 def read_local_html(spark: SparkSession, path: str) -> DataFrame:
     """Local `.html`/`.htm` files as pages: url = `file://` + absolute path."""
-    df = spark.read.option("pathGlobFilter", "*.htm*").text(path, wholetext=True)
+    df = spark.read.option("pathGlobFilter", "*.[hH][tT][mM]*").text(path, wholetext=True)
     fp = F.col("_metadata.file_path")
+    df = df.filter(F.lower(fp).rlike("\\.html?\\z"))
     url = F.when(fp.startswith("file:"), F.regexp_replace(fp, "\\Afile:/*", "file:///")).otherwise(F.concat(F.lit("file://"), fp))
-    return df.select(F.xxhash64(url).alias("page_id"), url.alias("url"), F.col("value").alias("html"))
+    return df.select(F.md5(url).alias("page_id"), url.alias("url"), F.col("value").alias("html"))
 
 
 def read_media_files(spark: SparkSession, path: str) -> DataFrame:
@@ -39,6 +40,12 @@ def read_media_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def media_bytes_of(files: DataFrame, fetched: DataFrame) -> DataFrame:
+    """media_bytes(url, content, content_type) for `operators.media`: files on storage joined to the list of
+    what was fetched, fetched(url, path)."""
+    return fetched.select("url", "path").join(files.select("path", "content", "content_type"), "path").select("url", "content", "content_type")
+
+
 def read_registry_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A registry JSON file (`{entries: {hash: entry}, stats}`) → (media_contents,
     occurrences). A missing file gives two empty tables (start empty)."""
@@ -63,14 +70,19 @@ def read_registry_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     return contents, occ
 
 
-def read_cache_json(spark: SparkSession, path: str) -> DataFrame:
-    """Per-item cache files (`<page_dir>/<key>.json`) → content_cache rows.
-    Unreadable JSON gives NULL content (the reference treats it as a miss)."""
+def read_cache_json(spark: SparkSession, path: str, root: str, base_dir: str = "tmp") -> DataFrame:
+    """Per-item cache files (`<root>/<host>/…/<key>.json`) → content_cache rows. `page_dir` is relative to
+    `root` under `base_dir`, the form in which references carry it, so that the rows join
+    (`media.resolve_contents`). Unreadable JSON gives NULL content (a miss).
+    The legacy format has one file per item; a file is read by one task."""
     df = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
     rec = F.from_json("value", CACHE_RECORD, {"mode": "PERMISSIVE"})
     fp = F.col("_metadata.file_path")
+    folder = F.regexp_replace(F.regexp_extract(fp, "\\A(.*)/[^/]+\\z", 1), "\\A[a-z0-9]+:/*", "/")
+    top = "/" + root.split(":", 1)[-1].strip("/") if "://" in root or root.startswith("file:") else "/" + root.strip("/")
+    page_dir = F.concat(F.lit(base_dir), F.substr(folder, F.lit(len(top) + 1)))
     return df.select(
-        F.regexp_replace(F.regexp_extract(fp, "\\A(.*)/[^/]+\\z", 1), "\\Afile:", "").alias("page_dir"),
+        page_dir.alias("page_dir"),
         F.regexp_extract(fp, "[^/]+\\z", 0).alias("cache_key"),
         F.when(rec["transcription"].isNotNull(), "audio").otherwise("image").alias("media_type"),
         F.coalesce(rec["description"], rec["transcription"]).alias("content"),

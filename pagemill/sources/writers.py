@@ -6,15 +6,26 @@ output passes through the driver.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import host
 
 
-def write_markdown_pages(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
+#: Files that one domain may be split into.
+DOMAIN_FILES = 16
+
+
+def by_domain(df: DataFrame, files: int = DOMAIN_FILES) -> DataFrame:
+    """Rows dealt by (domain, one of `files` hash buckets of the URL): a domain's rows end up in at most
+    that many files, however many tasks wrote them, and a hot domain is still split."""
+    return df.withColumn("domain", host("url")).repartition("domain", F.pmod(F.xxhash64("url"), F.lit(files)))
+
+
+def write_markdown_pages(docs: DataFrame, path: str, mode: str = "overwrite", files: int = DOMAIN_FILES) -> None:
     """markdown_pages partitioned by domain (the documented output layout)."""
-    docs.withColumn("domain", host("url")).write.mode(mode).partitionBy("domain").parquet(path)
+    by_domain(docs, files).write.mode(mode).partitionBy("domain").parquet(path)
 
 
 def write_page_stats(stats: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -22,41 +33,77 @@ def write_page_stats(stats: DataFrame, path: str, mode: str = "overwrite") -> No
     stats.write.mode(mode).json(path)
 
 
-def write_merged(parts: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Merged site documents as text, one folder per site and part; reading a
-    site's parts in `part` order (joined by the page separator) gives the file."""
-    parts.select("site", "part", F.col("body").alias("value")).write.mode(mode).partitionBy("site", "part").text(path)
+def write_merged(pieces: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Merged documents as text: `pieces(site, block, part, text)` as `merge.merged_document` gives them.
+    Each site's folder holds its pieces in order: reading the files of a site by name and
+    concatenating them gives the document (heading, page list, rule, sections and the
+    separators between them)."""
+    n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    order = ["site", "block", "part"]
+    rows = pieces.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # no line separator: a piece ends exactly where its text ends
+    rows.select("site", F.col("text").alias("value")).write.mode(mode).option("lineSep", LINE_SEP).partitionBy("site").text(path)
+
 
+#: Ends a piece in the text files of a merged document; a character that no text may hold.
+LINE_SEP = "\ufdd8"
 
-def append_captures(captures: DataFrame, path: str) -> None:
-    captures.withColumn("domain", host("url")).write.mode("append").partitionBy("domain").parquet(path)
+
+def append_captures(captures: DataFrame, path: str, files: int = DOMAIN_FILES) -> None:
+    by_domain(captures, files).write.mode("append").partitionBy("domain").parquet(path)
 
 
 def append_content_cache(cache: DataFrame, path: str) -> None:
     cache.write.mode("append").parquet(path)
 
 
-def latest_registry_version(spark, base: str) -> int:
-    """Current registry version from the `_latest` pointer (0 when none)."""
+def _is_missing(error: Exception) -> bool:
+    return isinstance(error, AnalysisException) and error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
+def registry_versions(spark, base: str) -> list[int]:
+    """Committed registry versions: those with a marker, which is written after their data. Only a missing
+    folder means "none"; any other read error is raised."""
     try:
-        rows = spark.read.text(f"{base}/_latest").collect()  # one tiny pointer line
-        return int(rows[0][0]) if rows else 0
-    except Exception:  # no registry yet
-        return 0
+        rows = spark.read.schema("value string, v int").text(f"{base}/_committed").select("v").distinct().collect()  # one row per version
+    except AnalysisException as e:
+        if _is_missing(e):
+            return []
+        raise
+    return sorted(r["v"] for r in rows)
 
 
-def save_registry_version(contents: DataFrame, occurrences: DataFrame, base: str, delta: DataFrame | None = None) -> int:
-    """Versioned registry save: write `v=N+1` next to the kept `v=N` (the
-    backup), then move the pointer. Nothing is written when the delta of this
-    run is empty. Returns the version in force."""
+def latest_registry_version(spark, base: str) -> int:
+    """Current registry version (0 when none)."""
+    return max(registry_versions(spark, base), default=0)
+
+
+def commit_registry_version(spark, base: str, v: int) -> None:
+    """The last step of a save; a marker is a folder of its own, so no pointer is ever rewritten."""
+    spark.createDataFrame([(str(v),)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/_committed/v={v}")
+
+
+def read_registry(spark, base: str, v: int | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """(media_contents, occurrences) of the latest or a given committed version."""
+    v = latest_registry_version(spark, base) if v is None else v
+    return (spark.read.parquet(f"{base}/v={v}/media_contents"), spark.read.parquet(f"{base}/v={v}/occurrences")) if v else None
+
+
+def save_registry_version(contents: DataFrame, occurrences: DataFrame, base: str, delta: DataFrame | None = None, version: int | None = None) -> int:
+    """Versioned registry save: write `v=N+1` next to the kept `v=N` (the backup), then commit it.
+    Nothing is written when the delta of this run is empty. A committed version is never
+    overwritten; what a failed save left uncommitted is. Returns the version in force."""
     spark = contents.sparkSession
-    v = latest_registry_version(spark, base)
+    known = registry_versions(spark, base)
+    v = max(known, default=0)
     if delta is not None and delta.isEmpty():
         return v
-    nxt = v + 1
+    nxt = v + 1 if version is None else version
+    if nxt in known:
+        return v
     contents.write.mode("overwrite").parquet(f"{base}/v={nxt}/media_contents")
     occurrences.write.mode("overwrite").parquet(f"{base}/v={nxt}/occurrences")
-    spark.createDataFrame([(str(nxt),)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/_latest")
+    commit_registry_version(spark, base, nxt)
     return nxt
 
 

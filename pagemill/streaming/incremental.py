@@ -4,10 +4,11 @@
   capture per URL in each micro-batch → converted pages, written per batch id.
   A batch id always writes the same folder (overwrite), so a replayed batch is
   idempotent; `current_pages` reads the newest version of every URL.
-* `start_registry_stream` (INC3): media occurrences arriving as files → the
-  occurrence log (idempotent per batch) plus a first-seen stream of content
-  hashes (`dropDuplicatesWithinWatermark`), i.e. the items to describe. The
-  registry itself is `registry_build` over the log, so batch ≡ stream.
+* `start_registry_stream` (INC3): media occurrences arriving as files → the registry,
+  upserted per micro-batch: a batch's distinct (item, page) pairs are merged into the
+  current version and written as the next one, whose number is the batch's. A replayed
+  batch finds its version committed and changes nothing. The state is the registry itself
+  (one row per item and per pair), not stream state, so nothing expires and batch ≡ stream.
 
 Checkpoints go to the caller's folder, which on a cluster must be the shared
 checkpoint location (see `pagemill.session.checkpoint_dir`).
@@ -22,13 +23,7 @@ from pagemill.operators import crawl as C
 from pagemill.operators import pages as P
 from pagemill.operators import registry as R
 from pagemill.schemas import CAPTURES
-
-
-def _batch_writer(out: str):
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
-    return write
+from pagemill.sources import writers as W
 
 
 def start_page_stream(spark: SparkSession, captures_dir: str, out: str, checkpoint: str, run_date: str,
@@ -36,11 +31,13 @@ def start_page_stream(spark: SparkSession, captures_dir: str, out: str, checkpoi
     src = spark.readStream.schema(CAPTURES).parquet(captures_dir)
 
     def convert(batch: DataFrame, batch_id: int) -> None:
-        latest = batch.filter(F.col("status").between(200, 299) & ~C.is_challenge("html")).groupBy("url").agg(
-            F.max_by(F.struct("fetched_at", "attempt", "html"), F.struct("fetched_at", "attempt")).alias("c")
-        ).select(F.xxhash64("url").alias("page_id"), "url", F.col("c.fetched_at").alias("fetched_at"), F.col("c.html").alias("html"))
-        docs = P.page_document(latest, run_date).join(latest.select("page_id", "fetched_at"), "page_id")
-        docs.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        batch = batch.persist()  # the batch's files are read once
+        try:
+            latest = C.latest_capture(batch).select(F.md5("url").alias("page_id"), "url", "fetched_at", "html")
+            docs = P.page_document(latest, run_date).join(latest.select("url", "fetched_at"), "url")
+            docs.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     w = src.writeStream.foreachBatch(convert).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
@@ -48,27 +45,42 @@ def start_page_stream(spark: SparkSession, captures_dir: str, out: str, checkpoi
 
 
 def current_pages(spark: SparkSession, out: str) -> DataFrame:
-    """Newest converted version of every URL across all batches."""
+    """Newest converted version of every URL across all batches: the newest version is picked from its time
+    and batch alone, then its row is fetched, so old versions' texts are not shuffled."""
     df = spark.read.parquet(out)
-    return df.groupBy("url").agg(F.max_by(F.struct(*[c for c in df.columns if c != "url"]), "fetched_at").alias("p")).select(
-        "url", "p.*"
-    )
-
-
-def start_registry_stream(spark: SparkSession, occ_dir: str, schema: str, log_out: str, new_out: str, checkpoint: str,
-                          watermark: str = "3650 days", available_now: bool = True):
-    """Two queries over the same source: the occurrence log and the first-seen
-    hashes. Returns both StreamingQuery handles."""
+    best = df.groupBy("url").agg(F.max(F.struct("fetched_at", "batch_id")).alias("b")).select("url", "b.*")
+    return df.join(best, ["url", "fetched_at", "batch_id"])
+
+
+def upsert_registry(known: tuple[DataFrame, DataFrame] | None, occ: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(media_contents, distinct occurrences) after merging the occurrences of one batch: of a pair seen
+    before, the earlier use stays and the last use moves on."""
+    payload = R.PAYLOAD
+    new = R.distinct_occurrences(occ, payload=payload)
+    if known is not None:
+        # order columns and payload are kept with the pairs, so that merging is the same aggregate again
+        order = [c for c in R.ORDER if c in new.columns]
+        fields = [c for c in new.columns if c not in ("hash", "page_path", "last_ts")]
+        both = known[1].select(*new.columns).unionByName(new)
+        new = both.groupBy("hash", "page_path").agg(F.min_by(F.struct(*fields), F.struct(*order)).alias("f"), F.max("last_ts").alias("last_ts")).select(
+            "hash", "page_path", "f.*", "last_ts")
+    return R.contents_of(new), new
+
+
+def start_registry_stream(spark: SparkSession, occ_dir: str, schema: str, base: str, checkpoint: str, available_now: bool = True):
+    """Upsert the registry under `base` (`sources.writers.read_registry` reads it) for every micro-batch."""
     src = spark.readStream.schema(schema).parquet(occ_dir)
-    t = (lambda w: w.trigger(availableNow=True)) if available_now else (lambda w: w.trigger(processingTime="30 seconds"))
-    log_q = t(src.writeStream.foreachBatch(_batch_writer(log_out)).option("checkpointLocation", f"{checkpoint}/log")).start()
-    # Watermarks need a TIMESTAMP (with time zone) event time; `ts` is UTC wall time.
-    first = (src.withColumn("event_ts", F.col("ts").cast("timestamp")).withWatermark("event_ts", watermark)
-             .dropDuplicatesWithinWatermark(["hash"]).drop("event_ts"))
-    new_q = t(first.writeStream.format("parquet").option("path", new_out)
-              .option("checkpointLocation", f"{checkpoint}/new").outputMode("append")).start()
-    return log_q, new_q
-
-
-def registry_from_log(spark: SparkSession, log_out: str) -> DataFrame:
-    return R.registry_build(spark.read.parquet(log_out).drop("batch_id"))
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        s = batch.sparkSession
+        version = batch_id + 1
+        done = W.registry_versions(s, base)
+        if version in done:
+            return  # a replay
+        before = [v for v in done if v < version]
+        contents, pairs = upsert_registry(W.read_registry(s, base, max(before)) if before else None, batch)
+        W.save_registry_version(contents, pairs, base, version=version)
+
+    w = src.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()

@@ -28,14 +28,67 @@ def test_registry_stream_equals_batch(spark, tables, tmp_path):
     for k in range(3):
         occ.filter(F.pmod(F.xxhash64("page_path", "tie1"), F.lit(3)) == k).write.parquet(str(src / f"part{k}"))
     schema = occ.schema.simpleString()[len("struct<"):-1].replace(":", " ")
-    log_q, new_q = S.start_registry_stream(spark, str(src / "*"), schema, str(tmp_path / "log"), str(tmp_path / "new"),
-                                           str(tmp_path / "ckpt"))
-    log_q.awaitTermination()
-    new_q.awaitTermination()
-    streamed = S.registry_from_log(spark, str(tmp_path / "log"))
-    assert _rows(streamed) == _rows(R.registry_build(occ))
-    first_seen = spark.read.parquet(str(tmp_path / "new")).select("hash").distinct().count()
-    assert first_seen == occ.select("hash").distinct().count()
+    base = str(tmp_path / "registry")
+    S.start_registry_stream(spark, str(src / "part[01]"), schema, base, str(tmp_path / "ckpt")).awaitTermination()
+    half = W.latest_registry_version(spark, base)
+    S.start_registry_stream(spark, str(src / "*"), schema, base, str(tmp_path / "ckpt")).awaitTermination()
+    assert W.latest_registry_version(spark, base) > half >= 1
+    contents, pairs = W.read_registry(spark, base)
+    assert _rows(contents) == _rows(R.registry_build(occ))
+    assert pairs.count() == occ.select("hash", "page_path").distinct().count()
+    # a replayed batch changes nothing
+    assert W.save_registry_version(contents.limit(1), pairs.limit(1), base, version=half) == W.latest_registry_version(spark, base)
+    assert _rows(W.read_registry(spark, base)[0]) == _rows(R.registry_build(occ))
+
+
+def test_registry_save_survives_failures(spark, tmp_path):
+    import pytest
+
+    base = str(tmp_path / "reg")
+    one = spark.createDataFrame([("h1", "d1")], "hash string, content string")
+    two = spark.createDataFrame([("h1", "d1"), ("h2", "d2")], "hash string, content string")
+    assert W.latest_registry_version(spark, base) == 0
+    assert W.save_registry_version(one, one, base) == 1
+    # a save that dies before its commit leaves version 1 in force, and the next save takes its place
+    two.write.parquet(f"{base}/v=2/media_contents")
+    assert W.latest_registry_version(spark, base) == 1 and W.read_registry(spark, base)[0].count() == 1
+    assert W.save_registry_version(two, two, base) == 2 and W.read_registry(spark, base)[0].count() == 2
+    assert W.read_registry(spark, base, 1)[0].count() == 1  # the backup
+    assert W.save_registry_version(one, one, base, delta=one.limit(0)) == 2
+    # an unreadable marker folder is an error, not "no registry"
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "_committed").write_text("x")
+    with pytest.raises(Exception):
+        W.save_registry_version(one, one, str(tmp_path / "bad" / "_committed"))
+
+
+def test_cache_files_join_references(spark, tmp_path):
+    from pagemill.operators import media as MO
+
+    d = tmp_path / "tmp" / "a.org" / "docs" / "page"
+    d.mkdir(parents=True)
+    (d / "uuid-9.json").write_text(json.dumps({"description": "cached", "timestamp": 1700000000000, "model": "gpt-4o-mini"}))
+    cache = FS.read_cache_json(spark, str(d), str(tmp_path / "tmp"))
+    refs = MO.media_refs(spark.createDataFrame([(1, "https://a.org/docs/page", "![x](/img/uuid-9/pic.png)")], "page_id bigint, url string, markdown string"))
+    data = spark.createDataFrame([], "url string, content binary, content_type string")
+    reg = spark.createDataFrame([], "hash string, content string")
+    r = MO.resolve_contents(MO.resolve_refs(refs, data), cache, reg).first()
+    assert (r.content_source, r.content) == ("cache", "cached")
+
+
+def test_equal_names_and_equal_bytes(spark):
+    from pagemill.operators import media as MO
+
+    pages = spark.createDataFrame([(1, "https://a.org/x/p", "![l](/x/logo.png)"), (2, "https://b.org/y/p", "![l](/y/logo.png) ![m](/same.png) ![n](/gone.png)")], "page_id bigint, url string, markdown string")
+    data = spark.createDataFrame([("https://a.org/x/logo.png", bytearray(b"A"), "image/png"), ("https://b.org/y/logo.png", bytearray(b"B"), "image/png"),
+                                  ("https://b.org/same.png", bytearray(b"A"), "image/png")], "url string, content binary, content_type string")
+    none = spark.createDataFrame([], "page_dir string, cache_key string, model string, content string")
+    reg = spark.createDataFrame([], "hash string, content string")
+    r = MO.resolve_contents(MO.resolve_refs(MO.media_refs(pages), data), none, reg)
+    by = {(x.page_id, x.raw_url): x for x in r.collect()}
+    assert by[1, "/x/logo.png"].hash != by[2, "/y/logo.png"].hash and by[1, "/x/logo.png"].hash == by[2, "/same.png"].hash
+    assert by[2, "/gone.png"].content_source == "failed" and by[2, "/gone.png"].hash is None
+    assert sorted(x.n_refs for x in MO.enrichment_requests(r, data).collect()) == [1, 2]
 
 
 def test_page_stream_equals_batch(spark, tables, tmp_path):
@@ -56,6 +109,7 @@ def test_local_html_and_media_files(spark, tmp_path):
     (tmp_path / "site").mkdir()
     (tmp_path / "site" / "a.html").write_text("<html><head><title>A</title></head><body><article>x</article></body></html>")
     (tmp_path / "site" / "note.txt").write_text("not html")
+    (tmp_path / "site" / "old.html.bak").write_text("not html")
     pages = FS.read_local_html(spark, str(tmp_path / "site")).collect()
     assert len(pages) == 1 and pages[0].url.startswith("file:///") and pages[0].url.endswith("/site/a.html")
     (tmp_path / "media").mkdir()
@@ -90,7 +144,7 @@ def test_registry_json_and_cache_json(spark, tmp_path):
     (d / "uuid-1.png.json").write_text(json.dumps({"description": "desc", "timestamp": 1700000000000, "model": "gpt-4o-mini"}))
     (d / "clip.mp3.json").write_text(json.dumps({"transcription": "words", "timestamp": 1700000000000, "model": "whisper-1"}))
     (d / "broken.json").write_text("{not json")
-    rows = {r.cache_key: r for r in FS.read_cache_json(spark, str(tmp_path / "cache" / "*")).collect()}
+    rows = {r.cache_key: r for r in FS.read_cache_json(spark, str(tmp_path / "cache" / "*"), str(tmp_path / "cache")).collect()}
     assert rows["uuid-1.png.json"].content == "desc" and rows["clip.mp3.json"].media_type == "audio"
     assert rows["broken.json"].content is None
 
@@ -102,9 +156,10 @@ def test_writers(spark, tables, tmp_path):
     assert back.count() == 20 and "domain" in back.columns
     W.write_page_stats(P.page_stats(docs, "2024-06-01"), str(tmp_path / "stats"))
     assert spark.read.json(str(tmp_path / "stats")).count() == 20
-    parts = spark.createDataFrame([("en", 0, "a"), ("en", 1, "b")], "site string, part bigint, body string")
-    W.write_merged(parts, str(tmp_path / "merged"))
-    assert sorted(r.value for r in spark.read.text(str(tmp_path / "merged")).collect()) == ["a", "b"]
+    pieces = [("en", 0, 0, "# H\n"), ("en", 1, 0, "1. u\n"), ("en", 1, 1, "2. v\n"), ("en", 2, 0, "\n---\n\n"), ("en", 3, 0, "## u\n\nx"), ("en", 3, 1, "\n\n---\n\n## v\n\ny"), ("de", 0, 0, "# D\n")]
+    W.write_merged(spark.createDataFrame(pieces[::-1], "site string, block int, part bigint, text string"), str(tmp_path / "merged"))
+    files = sorted((tmp_path / "merged" / "site=en").glob("part-*"))
+    assert "".join(f.read_text() for f in files).replace(W.LINE_SEP, "") == "".join(p[3] for p in pieces[:6])
 
 
 def test_site_run_end_to_end(spark):

@@ -94,7 +94,7 @@ def media_duplicates(occ: DataFrame, order: list[str] = ORDER) -> DataFrame:
     d = distinct_occurrences(occ, order, ["original_url"])
     # the counted side has the same columns as the joined one, so both read one shuffle; the sizes are
     # joined by a shuffle join, whose hot partitions AQE splits
-    n = d.groupBy("hash").agg(F.count(F.lit(1)).alias("n_occurrences"), F.max("original_url").alias("_u"), F.max("ts").alias("_t"))
+    n = d.groupBy("hash").agg(F.count(F.lit(1)).alias("n_occurrences"), F.max("ts").alias("_t"))
     n = n.filter((F.col("n_occurrences") > 1) & F.col("_t").isNotNull()).select("hash", "n_occurrences")
     return d.join(n, "hash").select("hash", "page_path", "original_url", F.col("ts").alias("first_ts"), "n_occurrences")
 

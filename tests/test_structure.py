@@ -74,7 +74,7 @@ def test_entities_like_python(spark):
     texts = ["it&#8217;s &rsquo; &eacute;&#xE9; &amp;lt; &amp;#65; &unknown; &#0; &#x110000; &notin; &lt;b&gt; a & b &copy;&nbsp;x", "none", "&#128512;&hellip;", "&CounterClockwiseContourIntegral;"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r[0] for r in df.orderBy("i").select(decode_entities("t")).collect()]
-    assert got == [pyhtml.unescape(t).replace(" ", " ") for t in texts]
+    assert got == [pyhtml.unescape(t) for t in texts]
     r = body(spark, "<title>It&#8217;s &eacute;t&eacute;</title><article><p>&rsquo;quoted&#8221; &amp;amp; &Omega;</p></article>")
     assert r.title == "It’s été" and r.body_md == "’quoted” &amp; Ω"
 

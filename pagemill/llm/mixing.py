@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 SOURCE_WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3.0
 BUCKETS = 4096
+#: Buckets of a run; a task that searches a source's sums sees at most BUCKETS / COARSE or COARSE of them.
+COARSE = 64
 
 
 def word_count(text: Column) -> Column:
@@ -54,6 +56,14 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = SOURCE_WEIGHTS, share
     return s.select("source", "source_size", F.coalesce(F.least("_cap", F.col("_level") * F.col("_w")), F.col("_cap")).alias("target"))
 
 
+def _crossing(sums: DataFrame, slot: str, base: Column) -> DataFrame:
+    """Per source the slot in which the prefix sums of `_sum` (on top of `base`) reach `_rest`, with the sum `_before` it."""
+    before = Window.partitionBy("_skey").orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
+    s = sums.withColumn("_before", base + F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    s = s.where((F.col("_before") < F.col("_rest")) & (F.col("_rest") <= F.col("_before") + F.col("_sum")))
+    return s.groupBy("_skey").agg(F.min(slot).alias(slot), F.min_by("_before", slot).alias("_before"))
+
+
 def mix(docs: DataFrame, size: str = "size", source: str = "source", doc_id: str = "doc_id", weight: str | None = None,
         seed: int = 42, weights: tuple[float, ...] = SOURCE_WEIGHTS, cap: float = MAX_EPOCHS, buckets: int = BUCKETS) -> DataFrame:
     """`docs` with `_source_size`, `_target` and `_copies` (how often the mix takes the row)."""
@@ -69,10 +79,11 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", doc_id: str
     goal = goal.withColumn("_skey", _source_key(F.col("source"))).withColumn(
         "_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1)).cast("int"))
     goal = goal.withColumn("_rest", F.when(F.col("source_size") > 0, F.col("target") - F.col("_epochs") * F.col("source_size")).otherwise(F.lit(0.0)))
-    before = Window.partitionBy("_skey").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cut = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-    cut = cut.join(goal.select("_skey", "_rest"), "_skey").where((F.col("_before") < F.col("_rest")) & (F.col("_rest") <= F.col("_before") + F.col("_sum")))
-    cut = cut.groupBy("_skey").agg(F.min("_bucket").alias("_cut"), F.min_by("_before", "_bucket").alias("_before"))
+    # the bucket in which a source's remainder ends: first among runs of COARSE buckets, then within one run
+    fine = sums.join(goal.select("_skey", "_rest"), "_skey").withColumn("_run", F.floor(F.col("_bucket") / COARSE).cast("int"))
+    runs = fine.groupBy("_skey", "_rest", "_run").agg(F.sum("_sum").alias("_sum"))
+    run = _crossing(runs, "_run", F.lit(0)).select("_skey", "_run", F.col("_before").alias("_base"))
+    cut = _crossing(fine.join(run, ["_skey", "_run"]), "_bucket", F.col("_base")).select("_skey", F.col("_bucket").alias("_cut"), "_before")
     plan = goal.join(cut, "_skey", "left").select(
         "_skey", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_epochs", "_rest",
         F.coalesce("_cut", F.lit(-1)).alias("_cut"), F.coalesce("_before", F.lit(0)).alias("_before"))

@@ -184,11 +184,12 @@ def hex16(fp) -> F.Column:
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of `docs` that represent their component: one row each, with the columns of `docs`."""
     kept = near_duplicates(docs, shingle, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("_id")).distinct()
+    # a struct is never null, so rows without an id join too, and the window below needs no second shuffle
+    kept = kept.select(F.struct("doc_id").alias("_key")).distinct()
 
     def pick(d: DataFrame) -> DataFrame:
-        rows = d.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
-        one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.length("text"))
-        return rows.withColumn("_one", F.row_number().over(one)).where("_one = 1").drop("_one")
+        rows = d.withColumn("_key", F.struct(F.col("doc_id").cast("bigint").alias("doc_id"))).join(kept, "_key", "left_semi")
+        one = Window.partitionBy("_key").orderBy(F.xxhash64("text"), F.length("text"))
+        return rows.withColumn("_one", F.row_number().over(one)).where("_one = 1").drop("_one", "_key")
 
     return guarded(docs, ("doc_id", "text"), pick)

@@ -40,12 +40,16 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (none to three times)."""
+    """Each document as often as the mix takes it (none to three times). The mix is decided on rows
+    without their texts, identical rows together; the decisions are joined to the documents."""
 
     def mix(d: DataFrame) -> DataFrame:
-        sized = weighted(d.withColumn("_size", mixing.word_count(F.col("text"))), table(spark, sf_dir, "labels"))
-        taken = mixing.mix(sized, size="_size", weight="_weight").where("_copies > 0")
-        return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*d.columns)
+        keyed = d.withColumn("_row", F.struct("doc_id", "source", F.xxhash64("text").alias("h")))
+        light = keyed.groupBy("_row").agg(F.sum(mixing.word_count(F.col("text"))).alias("_size"))
+        light = light.withColumns({"doc_id": F.col("_row.doc_id"), "source": F.col("_row.source")})
+        taken = mixing.mix(weighted(light, table(spark, sf_dir, "labels")), size="_size", weight="_weight")
+        taken = taken.where("_copies > 0").select("_row", "_copies")
+        return keyed.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*d.columns)
 
     return guarded(docs, KNOWN, mix)
 

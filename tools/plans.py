@@ -20,14 +20,14 @@ KINDS = ["Exchange", "HashAggregate", "SortAggregate", "ObjectHashAggregate", "W
 
 
 def main(sf_dir: str = "/root/testdata/sf0.01") -> None:
-    import __spark_entry__ as E
+    from pagemill.plans.catalog import load_all, runner
 
     spark = local_session()
     lines = ["# Physical plans (initial AQE plans at sf0.01, `tools/plans.py`)", "",
              "| query | " + " | ".join(k.replace("Aggregate", "Agg") for k in KINDS) + " | scans (columns read) |",
              "| --- | " + " | ".join("---" for _ in KINDS) + " | --- |"]
-    for name, fn in sorted(E.queries().items()):
-        plan = fn(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    for name in sorted(load_all()):
+        plan = runner(name)(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         counts = [str(len(re.findall(rf"\b{k}\b", plan))) for k in KINDS]
         scans = sorted(set(re.findall(r"FileScan parquet \[([^\]]*)\]", plan)))
         lines.append(f"| {name} | " + " | ".join(counts) + " | " + "; ".join(s.replace("#", "") for s in scans)[:300] + " |")

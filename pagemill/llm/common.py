@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 MASK = (1 << 64) - 1
 
 #: A-Z to a-z, every other byte to itself.

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def prefix_levels(col: str, lengths: tuple[int, ...] = (12, 20, 28, 36)) -> list[Column]:
+def prefix_levels(col: str, lengths: tuple[int, ...] = (20, 36)) -> list[Column]:
     """Ever longer prefixes of a string; string order is monotone in each."""
     return [F.substring(col, 1, n) for n in lengths]
 

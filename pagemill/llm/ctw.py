@@ -8,10 +8,11 @@ children, so the prediction for a bit mixes the estimates of all depths on its p
 
 All that a byte's probability depends on is its gram: the `depth` bytes before it and itself.
 
-1. Tasks count the distinct grams of the training texts; a shuffle by gram sums them.
-2. Grams meet by their last two context bytes. A task builds every subtree below such a
-   context bottom-up and leaves, per gram, the mixture from depth 2 on; depths 0 and 1 (at
-   most 256 * 255 nodes) are aggregated and finished on the driver.
+1. Tasks count the distinct grams of the training texts.
+2. One shuffle brings them together by their last two context bytes. A task sums them, builds
+   every subtree below such a context bottom-up, a piece of its contexts at a time, and writes,
+   per gram, the mixture from depth 2 on as columns; depths 0 and 1 (at most 256 * 255 nodes)
+   are aggregated and finished on the driver.
 3. Documents are dealt into blocks. A block asks for its distinct grams and distinct words
    once each, by number; one shuffle takes the questions to the values and one brings the
    answers back, which the block sums up.
@@ -35,13 +36,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import LOWER, NOT_SPACE, checkpointed, shuffle_partitions, slices, spans, texts
+from pagemill.llm.common import LOWER, NOT_SPACE, shared_folder, shuffle_partitions, slices, spans, texts
 
-DEPTH = 4
+DEPTH = 5
 END = 0x0A
 SLICE = 1 << 20
 #: Distinct grams held by a task before they are sent on.
 FLUSH = 1 << 20
+#: Distinct grams whose subtrees are built at a time, about; a context's subtree is never cut.
+PIECE = 1 << 18
+#: Rows of an Arrow batch.
+ROWS = 1 << 16
 
 
 def held_out(doc_id) -> F.Column:
@@ -86,14 +91,19 @@ def _skip(key: np.ndarray, first: np.ndarray, depth: int) -> np.ndarray:
     return key[content]
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    n = np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
-    return pa.record_batch([pa.array(key.view(np.int64)), pa.array(n)], names=["gram", "n"])
+    return key, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
+
+
+def _gram_rows(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(key), ROWS):
+        yield pa.record_batch([pa.array(key[lo : lo + ROWS].view(np.int64)), pa.array(n[lo : lo + ROWS])], names=["gram", "n"])
 
 
 def _gram_counts(docs: DataFrame, depth: int) -> DataFrame:
-    """(gram, n): every distinct gram of all texts with its count in the training texts."""
+    """(gram, n): the distinct grams of all texts with their counts in the training texts, summed within
+    the tasks only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
@@ -106,12 +116,15 @@ def _gram_counts(docs: DataFrame, depth: int) -> DataFrame:
                 counts.append(c * (u & np.uint64(1)).astype(np.int64))
                 held += len(u)
                 if held > FLUSH:
-                    yield _summed(keys, counts)
-                    keys, counts, held = [], [], 0
+                    key, n = _summed(keys, counts)
+                    keys, counts, held = [key], [n], len(key)
+                    if 2 * held > FLUSH:
+                        yield from _gram_rows(key, n)
+                        keys, counts, held = [], [], 0
         if keys:
-            yield _summed(keys, counts)
+            yield from _gram_rows(*_summed(keys, counts))
 
-    return docs.select("held", "text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select("held", "text").mapInArrow(run, "gram bigint, n bigint")
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -148,57 +161,93 @@ def _subtrees(gram: np.ndarray, n: np.ndarray, depth: int, top: int = 2) -> tupl
     context = np.zeros(len(gram), np.int64)  # nearest byte first, so that a prefix is a shorter context
     for k in range(depth):
         context |= ((gram >> np.uint64(8 * (k + 1))) & np.uint64(255)).astype(np.int64) << (8 * (depth - 1 - k))
-    p = np.empty((len(gram), 8))
+    # per depth, deepest first: the grams by context and symbol, an order in which each node's grams are neighbours
+    levels = []
+    for d in range(depth, top - 1, -1):
+        key = context >> (8 * (depth - d)) << 8 | symbol
+        order = np.argsort(key)
+        levels.append((order, key[order]))
+    p = np.empty((len(gram), 8), np.float32)
     tops: list[list[np.ndarray]] = [[], [], [], []]
     for k in range(8):
-        node = (1 << k) | (symbol >> (8 - k))
         bit = (symbol >> (7 - k)) & 1
-        keys, at = np.unique(context << 8 | node, return_inverse=True)
-        a, b = np.bincount(at, n * (1 - bit)), np.bincount(at, n * bit)
-        log_w = kt_block(a, b)
-        one = (b + 0.5) / (a + b + 1.0)  # per leaf
-        leaf = np.arange(len(keys))  # each leaf's node at the present depth
-        for _ in range(depth - top):
-            keys, up = np.unique((keys >> 16 << 8) | (keys & 255), return_inverse=True)
-            a, b, log_w = np.bincount(up, a), np.bincount(up, b), np.bincount(up, log_w)
-            log_w, own = _weighted(a, b, log_w)
-            leaf = up[leaf]
-            one = own[leaf] * ((b + 0.5) / (a + b + 1.0))[leaf] + (1 - own[leaf]) * one
-        mine = one[at]
+        ones = n * bit
+        for order, key in levels:
+            node = key >> (8 - k)  # context and the bits before
+            new = np.ones(len(node), bool)
+            new[1:] = node[1:] != node[:-1]
+            at = np.empty(len(node), np.int64)  # per gram
+            at[order] = np.cumsum(new) - 1
+            if key is levels[0][1]:
+                leaves = at
+                a, b = np.bincount(at, n - ones), np.bincount(at, ones)
+                log_w = kt_block(a, b)
+                one = (b + 0.5) / (a + b + 1.0)  # per leaf
+                first = some = order[new]  # a gram of each leaf, of each node below
+            else:
+                up = at[some]
+                a, b, log_w = np.bincount(up, a), np.bincount(up, b), np.bincount(up, log_w)
+                log_w, own = _weighted(a, b, log_w)
+                leaf = at[first]  # each leaf's node at the present depth
+                one = own[leaf] * ((b + 0.5) / (a + b + 1.0))[leaf] + (1 - own[leaf]) * one
+                some = order[new]
+        mine = one[leaves]
         p[:, k] = np.where(bit == 1, mine, 1 - mine)
-        for out, v in zip(tops, (keys, a, b, log_w)):
+        last = key[new]
+        for out, v in zip(tops, (last >> 8 << 8 | (1 << k) | ((last & 255) >> (8 - k)), a, b, log_w)):
             out.append(v)
     return p, [np.concatenate(x) for x in tops]
 
 
-def model(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def model(docs: DataFrame, depth: int = DEPTH, piece: int = PIECE) -> DataFrame:
     """(gram, lp): log10 probability of each gram's last byte given the others, for all grams of `docs`
     (held, text), learned from the rows that aren't held."""
     parts = shuffle_partitions(docs.sparkSession)
     counted = _gram_counts(docs, depth).repartition(parts, F.shiftright("gram", 8).bitwiseAND(0xFFFF))
+    mixed = [f"p{k}" for k in range(8)]
+    names = ["k", *mixed, "a", "b", "w"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
+        keys, counts, held, limit = [], [], 0, FLUSH
+        for batch in batches:
+            keys.append(batch.column("gram").to_numpy().view(np.uint64))
+            counts.append(batch.column("n").to_numpy())
+            held += batch.num_rows
+            if held > limit:
+                keys, counts = ([x] for x in _summed(keys, counts))
+                held = len(keys[0])
+                limit = max(FLUSH, 2 * held)
+        if not held:
             return
-        g = np.concatenate([b.column("gram").to_numpy() for b in got])
-        n = np.concatenate([b.column("n").to_numpy() for b in got])
-        p, (key, a, b, w) = _subtrees(g.view(np.uint64), n, depth)
-        # depth-2 nodes summed to their depth-1 parents: nearest byte and decision node
-        up = (key >> 16 << 8) | (key & 255)
-        u, at = np.unique(up, return_inverse=True)
-        none = pa.nulls(len(u), pa.list_(pa.float32()))
-        yield pa.record_batch([pa.array(u), none, pa.array(np.bincount(at, a)), pa.array(np.bincount(at, b)), pa.array(np.bincount(at, w))], names=["k", "p", "a", "b", "w"])
-        step = 1 << 16
-        for lo in range(0, len(g), step):
-            q = p[lo : lo + step].astype(np.float32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * len(q) + 1, 8), pa.int32()), pa.array(q.ravel()))
-            zero = pa.array(np.zeros(len(q)))
-            yield pa.record_batch([pa.array(g[lo : lo + step]), lists, zero, zero, zero], names=["k", "p", "a", "b", "w"])
-
-    built = checkpointed(counted.mapInArrow(build, "k bigint, p array<float>, a double, b double, w double"))
+        g, n = _summed(keys, counts)
+        del keys, counts
+        near = ((g >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.uint16)
+        order = np.argsort(near, kind="stable")
+        g, n, near = g[order], n[order], near[order]
+        total = np.zeros((3, 1 << 16))
+        lo = 0
+        while lo < len(g):
+            hi = int(np.searchsorted(near, near[min(lo + piece, len(g)) - 1], "right"))
+            p, (key, a, b, w) = _subtrees(g[lo:hi], n[lo:hi], depth)
+            # depth-2 nodes summed to their depth-1 parents: nearest byte and decision node
+            up = (key >> 16 << 8) | (key & 255)
+            for mine, x in zip(total, (a, b, w)):
+                mine += np.bincount(up, x, 1 << 16)
+            for at in range(lo, hi, ROWS):
+                end = min(at + ROWS, hi)
+                none = pa.nulls(end - at, pa.float64())
+                yield pa.record_batch([pa.array(g[at:end].view(np.int64)), *(pa.array(np.ascontiguousarray(p[at - lo : end - lo, k])) for k in range(8)), none, none, none], names=names)
+            lo = hi
+        u = np.flatnonzero(total[0] + total[1] + (total[2] != 0))
+        none = pa.nulls(len(u), pa.float32())
+        yield pa.record_batch([pa.array(u), *([none] * 8), *(pa.array(x[u]) for x in total)], names=names)
+
+    folder = f"{shared_folder(docs.sparkSession)}/grams"
+    kinds = ", ".join(["k bigint", *(f"{c} float" for c in mixed), "a double", "b double", "w double"])
+    counted.mapInArrow(build, kinds).write.parquet(folder)
+    built = docs.sparkSession.read.schema(kinds).parquet(folder)
     # at most 256 * 255 rows
-    top = built.where("p is null").groupBy("k").agg(*(F.sum(c).alias(c) for c in "abw")).collect()
+    top = built.where("p0 is null").groupBy("k").agg(*(F.sum(c).alias(c) for c in "abw")).collect()
     a, b, w = np.zeros(1 << 16), np.zeros(1 << 16), np.zeros(1 << 16)
     for r in top:
         a[r["k"]], b[r["k"]], w[r["k"]] = r["a"], r["b"], r["w"]
@@ -212,7 +261,7 @@ def model(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         own0, kt0, own1, kt1 = levels.value
         for batch in batches:
             g = batch.column("k").to_numpy().view(np.uint64)
-            p = batch.column("p").flatten().to_numpy().astype(float).reshape(-1, 8)
+            p = [batch.column(c).to_numpy().astype(float) for c in mixed]
             symbol, near = (g & np.uint64(255)).astype(np.int64), ((g >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
             total = np.zeros(len(g))
             for k in range(8):
@@ -220,10 +269,10 @@ def model(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 one = near << 8 | node
                 q1 = np.where(bit == 1, kt1[one], 1 - kt1[one])
                 q0 = np.where(bit == 1, kt0[node], 1 - kt0[node])
-                total += np.log10(own0[node] * q0 + (1 - own0[node]) * (own1[one] * q1 + (1 - own1[one]) * p[:, k]))
+                total += np.log10(own0[node] * q0 + (1 - own0[node]) * (own1[one] * q1 + (1 - own1[one]) * p[k]))
             yield pa.record_batch([batch.column("k"), pa.array(total)], names=["gram", "lp"])
 
-    return built.where("p is not null").select("k", "p").mapInArrow(finish, "gram bigint, lp double")
+    return built.where("p0 is not null").select("k", *mixed).mapInArrow(finish, "gram bigint, lp double")
 
 
 def _in_order(t: pa.Table) -> pa.RecordBatch:
@@ -256,12 +305,12 @@ ASK = "route bigint, kind int, place bigint, word binary, v double"
 ANSWER = "block int, kind int, number int, v double, tokens bigint, distinct bigint"
 
 
-def score(docs: DataFrame, depth: int = DEPTH, blocks: int | None = None) -> DataFrame:
+def score(docs: DataFrame, depth: int = DEPTH, blocks: int | None = None, piece: int = PIECE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row."""
     parts = shuffle_partitions(docs.sparkSession)
     blocks = blocks or parts
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out("doc_id").alias("held"), "text")
-    table = model(d, depth)
+    table = model(d, depth, piece)
     d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)).cast("int"))
 
     def ask(key: tuple, t: pa.Table) -> pa.Table:

@@ -133,3 +133,25 @@ def test_edges(spark, make_docs):
 def test_log_gamma():
     x = np.array([0.5, 1.0, 1.5, 7.5, 100.5, 1e7])
     assert ctw._log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-10, abs=1e-10)
+
+
+def test_default_depth_and_pieces(spark, make_docs):
+    """The query learns contexts of 5 bytes, also where a task's contexts are built a few at a time."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefg", k=rng.randrange(4, 9))) for _ in range(10)]
+    rows = [(i, " ".join(rng.choices(words, k=20))) for i in range(30)]
+    tree = Tree(5)
+    for d, t in rows:
+        if not held(d):
+            tree.add(stream(t, 5))
+    tree.finish()
+    want = [tree.score(stream(t, 5)) for _, t in rows]
+    for piece in (ctw.PIECE, 50):
+        got = {r["doc_id"]: r["score"] for r in ctw.score(make_docs(rows), piece=piece).collect()}
+        assert [got[d] for d, _ in rows] == pytest.approx(want, rel=1e-5)
+    grams = np.unique(np.random.default_rng(3).integers(0, 1 << 48, 500).astype(np.uint64) & np.uint64(0x030303030303))
+    n = np.arange(len(grams)) % 3
+    whole, _ = ctw._subtrees(grams, n, 5)
+    near = (grams >> np.uint64(8)) & np.uint64(0xFFFF)
+    for c in np.unique(near):
+        assert ctw._subtrees(grams[near == c], n[near == c], 5)[0] == pytest.approx(whole[near == c], rel=1e-6)

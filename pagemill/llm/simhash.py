@@ -67,15 +67,17 @@ def _fingerprints(buf: np.ndarray, off: np.ndarray, shingle: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp bigint): the 64-bit SimHash of the text's word shingles, repeats included."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp bigint): the 64-bit SimHash of the text's word shingles, repeats included; and the
+    bigint columns `carried`."""
+    names = ["doc_id", *carried, "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, buf, off in slices(batch, "text"):
-                yield pa.record_batch([rows.column("doc_id"), pa.array(_fingerprints(buf, off, shingle).view(np.int64))], names=["doc_id", "fp"])
+                yield pa.record_batch([*(rows.column(c) for c in names[:-1]), pa.array(_fingerprints(buf, off, shingle).view(np.int64))], names=names)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *carried, "text").mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -181,15 +183,39 @@ def hex16(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _thinned(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The rows without most that repeat the keys of another row in the same task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for b in batches:
+            first = []
+            for i, key in enumerate(zip(*(b.column(c).to_pylist() for c in keys))):
+                if key not in seen:
+                    seen.add(key)
+                    first.append(i)
+            yield b if len(first) == b.num_rows else b.take(pa.array(first, pa.int64()))
+            if len(seen) > 1 << 18:
+                seen.clear()
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of `docs` that represent their component: one row each, with the columns of `docs`."""
-    kept = near_duplicates(docs, shingle, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # a struct is never null, so rows without an id join too, and the window below needs no second shuffle
-    kept = kept.select(F.struct("doc_id").alias("_key")).distinct()
+    """The rows of `docs` that represent their component: one row of each component, with the columns of
+    `docs`. It is the one with the smallest doc_id, null last, and of those with the smallest text hash."""
+    hashes = ("_h1", "_h2")  # 128 bits of the text
 
     def pick(d: DataFrame) -> DataFrame:
-        rows = d.withColumn("_key", F.struct(F.col("doc_id").cast("bigint").alias("doc_id"))).join(kept, "_key", "left_semi")
-        one = Window.partitionBy("_key").orderBy(F.xxhash64("text"), F.length("text"))
-        return rows.withColumn("_one", F.row_number().over(one)).where("_one = 1").drop("_one", "_key")
+        rows = d.withColumns({"_id": F.col("doc_id").cast("bigint"), "_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), "text")})
+        fps = checkpointed(fingerprints(rows, shingle, hashes))
+        nodes = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *hashes)).alias("least"))
+        label = components(links(nodes, max_bits)).withColumnRenamed("node", "fp")
+        kept = nodes.join(label, "fp", "left").groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("least").alias("least"))
+        # a struct is never null, so rows without an id join too, and the window below needs no second shuffle
+        kept = kept.select(F.struct("least.doc_id", "least._h1", "least._h2").alias("_key"))
+        rows = _thinned(rows, ("_id", *hashes)).withColumn("_key", F.struct(F.col("_id").alias("doc_id"), *hashes)).join(kept, "_key", "left_semi")
+        one = Window.partitionBy("_key").orderBy("_h1")  # rows with the same id and text
+        return rows.withColumn("_one", F.row_number().over(one)).where("_one = 1").drop("_one", "_key", "_id", *hashes)
 
     return guarded(docs, ("doc_id", "text"), pick)

@@ -82,3 +82,23 @@ def test_long_chain(spark):
     edges = spark.range(300).selectExpr("id u", "id + 1 v").unionByName(spark.range(1000, 1100).selectExpr("1000L u", "id v"))
     label = {r["node"]: r["label"] for r in components(edges).collect()}
     assert label == {i: 0 for i in range(1, 301)} | {i: 1000 for i in range(1001, 1100)}
+
+
+def test_keep_one_keeps_one_row_of_each_component(spark, make_docs):
+    """Several documents without an id, several texts under one id, and a component whose smallest id stands
+    under an unlike text too."""
+    rng = random.Random(9)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(60))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(None, a), (None, b), (None, b), (None, c.upper()), (7, c), (4, d), (4, e), (4, e), (9, d.upper()), (5, f), (None, f), (None, None), (None, " ")]
+    docs = make_docs(rows).repartition(5)
+    labels = {}
+    for i, t in rows:
+        labels.setdefault(brute_fp(t), []).append((i is None, i or 0, t or ""))
+    fps = sorted(labels)
+    assert all((x ^ y).bit_count() > 3 for x in fps for y in fps if x < y) and len(fps) == 7
+    got = [(r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()]
+    assert sorted(brute_fp(t) for _, t in got) == fps
+    for i, t in got:
+        assert (i is None, i or 0) == min(labels[brute_fp(t)])[:2] and (i, t) in rows
+    assert simhash.keep_one(docs).exceptAll(docs).count() == 0

@@ -197,12 +197,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """vectors, queries: (vec_id, v) as from `quantized`. query_id, rank, vec_id, score of each query's k
     greatest inner products with other rows' vectors, ties to the smaller vec_id."""
     data = checkpointed(_thin(vectors, k + 1))
-    asked = queries.groupBy("v").agg(F.min("vec_id").alias("q"))  # equal queries once
+    named = F.concat_ws("-", F.xxhash64("v"), F.xxhash64(F.lit(1), "v"))  # a class of equal queries
+    own = vectors.select("vec_id", named.alias("q")).distinct().groupBy("vec_id").agg(F.count(F.lit(1)).cast("int").alias("own"))
+    # equal queries once; rows of a query's own id are left out at the end, so as many more hits are needed
+    asked = queries.join(own, "vec_id", "left").groupBy("v").agg((k + F.coalesce(F.max("own"), F.lit(1))).cast("int").alias("need")).withColumn("q", named)
     trees = -(-data.count() // TREE_ROWS) or 1
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(trees)).cast("int")
     data = data.withColumn("tree", shard)
     asked = checkpointed(asked.withColumn("home", F.pmod(F.xxhash64("q"), F.lit(trees)).cast("int")))
-    found = "q bigint, vec_id bigint, score bigint"
+    found = "q string, vec_id bigint, score bigint"
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
@@ -213,27 +216,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         ids = left.column("vec_id").to_numpy()
         forest = {n: (ids[at], MTree(np.array([vs[i] for i in at]).reshape(len(at), n))) for n, at in by_size.items()}
         if right.num_rows:
-            for q, v, floor in zip(right.column("q").to_pylist(), _matrix(right.column("v").combine_chunks()), right.column("floor").to_pylist()):
+            for q, v, need, floor in zip(right.column("q").to_pylist(), _matrix(right.column("v").combine_chunks()), right.column("need").to_pylist(), right.column("floor").to_pylist()):
                 if len(v) in forest:
                     mine, tree = forest[len(v)]
-                    at, s = tree.search(v.astype(float), k + 1, -np.inf if floor is None else float(floor))
-                    if len(at) > k + 1:  # ties: the smaller ids
-                        o = np.lexsort((mine[at], -s))[: k + 1]
+                    at, s = tree.search(v.astype(float), need, -np.inf if floor is None else float(floor))
+                    if len(at) > need:  # ties: the smaller ids
+                        o = np.lexsort((mine[at], -s))[:need]
                         at, s = at[o], s[o]
                     out[0].extend([q] * len(at))
                     out[1].extend(mine[at].tolist())
                     out[2].extend(np.rint(s).astype(np.int64).tolist())
-        return pa.table({"q": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64())})
+        return pa.table({"q": pa.array(out[0], pa.string()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64())})
 
     tree_rows = data.groupBy("tree")
     none = F.lit(None).cast("bigint").alias("floor")
-    first = tree_rows.cogroup(asked.select("q", "v", F.col("home").alias("tree"), none).groupBy("tree")).applyInArrow(search, found)
+    first = tree_rows.cogroup(asked.select("q", "v", "need", F.col("home").alias("tree"), none).groupBy("tree")).applyInArrow(search, found)
     first = checkpointed(first)
-    floor = first.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s")).select("q", F.when(F.col("n") > k, F.col("s")).alias("floor"))
+    floor = first.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s")).join(asked.select("q", "need"), "q").select("q", F.when(F.col("n") >= F.col("need"), F.col("s")).alias("floor"))
     rest = asked.join(floor, "q", "left").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).where("tree <> home")
-    more = tree_rows.cogroup(rest.select("q", "v", "tree", "floor").groupBy("tree")).applyInArrow(search, found)
+    more = tree_rows.cogroup(rest.select("q", "v", "need", "tree", "floor").groupBy("tree")).applyInArrow(search, found)
     best = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
-    best = first.unionByName(more).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
+    best = first.unionByName(more).withColumn("rank", F.row_number().over(best)).join(asked.select("q", "need"), "q").where("rank <= need").drop("need")
     # every query with this vector, without its own row
     back = asked.select("q", "v").join(queries.select(F.col("vec_id").alias("query_id"), "v").distinct(), "v").select("q", "query_id")
     own = best.join(back, "q").where("vec_id <> query_id")

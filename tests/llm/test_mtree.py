@@ -54,3 +54,15 @@ def test_tree_is_exact_and_prunes():
         assert sorted(s.tolist(), reverse=True)[19] == before and set(np.flatnonzero(x @ q >= before)) == set(at.tolist())
         seen += 1
     assert seen == 20
+
+
+def test_one_id_under_several_vectors(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(-3, 4, 3).astype(float).tolist(), 1) for i in range(1, 120)]
+    rows += [(20, [5.0, 5.0, float(j)], 1) for j in range(6)] + [(40, [-4.0, 5.0, 1.0], 1)]
+    v = mtree.quantized(spark.createDataFrame(rows, VECTORS))
+    got = [tuple(r) for r in mtree.top_k(v, v.where("vec_id % 20 = 0")).collect()]
+    want = brute(rows)
+    assert set(got) == want and len({r for r in want if r[0] == 20}) > 100
+    ranks = [r for r in got if r[0] == 20]
+    assert len(ranks) == 20 * 7

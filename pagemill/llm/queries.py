@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import ctw, html_text, license_scan, mixing, mtree, near_vectors, packing, simhash, suffix_dedup, toxicity
+from pagemill.llm import conversations, ctw, html_text, language_id, license_scan, mixing, mtree, near_vectors, packing, simhash, spelling, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,6 +98,25 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audit(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.select("doc_id", "text", "lang"))
+    p = language_id.predict(docs.select("doc_id", "text"), model)
+    return p.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return v.select(F.col("w").alias("word"), "form", "root", "n", "n_near", "form_n")
+
+
 GOOD = "embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"
 
 ORACLES["op9_topk"] = f"""

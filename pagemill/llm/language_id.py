@@ -7,8 +7,8 @@ features K_mm^(-1/2) k(x); one ridge regression a language, against the rest, is
 Scoring multiplies a block of texts by the landmarks, and the block's kernel rows by the solved
 coefficients.
 
-Bounds, all parameters: the classifier is fitted on at most `max_rows` training rows, of each
-language those with the smallest hash of their id, languages in turn; at most `landmarks` of them are
+Bounds, all parameters: the classifier is fitted on at most `max_rows` different training rows, of each
+language those with the smallest hash, languages in turn; at most `landmarks` of them are
 landmarks (2^16 bits each, so the broadcast model has at most `landmarks` times 8 KB and one
 coefficient a landmark and language). Every text is read and scored whole.
 
@@ -96,15 +96,16 @@ def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def solve(flags: np.ndarray, y: np.ndarray, n_classes: int, landmarks: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
-    """Coefficients (landmarks x classes) of the ridge regressions on the Nyström features."""
+def solve(flags: np.ndarray, y: np.ndarray, times: np.ndarray, n_classes: int, landmarks: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """Coefficients (landmarks x classes) of the ridge regressions on the Nyström features of the
+    rows, each of which stands `times` times."""
     k = _kernel(flags, flags[landmarks])
     w, v = np.linalg.eigh(k[landmarks])
     good = w > w.max() * 1e-8
     root = v[:, good] / np.sqrt(w[good])  # K_mm^(-1/2), in the eigenvectors' frame
     phi = k @ root
     target = np.where(y[:, None] == np.arange(n_classes), 1.0, -1.0)
-    weight = 1.0 / np.maximum(np.bincount(y, minlength=n_classes), 1)[y]  # languages count alike
+    weight = times / np.maximum(np.bincount(y, times, minlength=n_classes), 1)[y]  # languages count alike
     gram = (phi * weight[:, None]).T @ phi
     return root @ np.linalg.solve(gram + ridge * np.eye(gram.shape[0]), (phi * weight[:, None]).T @ target)
 
@@ -112,10 +113,14 @@ def solve(flags: np.ndarray, y: np.ndarray, n_classes: int, landmarks: np.ndarra
 def train(docs: DataFrame, max_rows: int = MAX_ROWS, landmarks: int = LANDMARKS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, packed landmark sets, coefficients), learned from text and lang of rows that aren't held out."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), F.col("doc_id"))
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), "doc_id", F.xxhash64("text").alias("t"))
     # the sample is drawn on ids and hashes alone; its texts are fetched after
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("r") <= max_rows)
-    sample = ranked.orderBy("r", "h", "t", "lang").limit(max_rows).groupBy("lang", "doc_id", "t").agg(F.min("r").alias("r"), F.count(F.lit(1)).alias("n"))
+    rows = rows.groupBy("lang", "doc_id", "t").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64("doc_id", "t"))
+    share = rows.groupBy("lang").agg((F.lit(2.0 * max_rows) / F.count(F.lit(1))).alias("share"))
+    # of a common language only about 2 * max_rows rows of smallest hash are ranked
+    few = rows.join(share, "lang").where(F.col("h") / 2.0**64 + 0.5 <= F.col("share"))
+    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "t"))).where(F.col("r") <= max_rows)
+    sample = ranked.orderBy("r", "h", "t", "lang").limit(max_rows).select("lang", "doc_id", "t", "r", "n")
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("t"))
     # at most max_rows rows of ids; equal rows of the table are one here, with their number beside them
     chosen = texts.join(F.broadcast(sample), ["lang", "doc_id", "t"]).dropDuplicates(["lang", "doc_id", "t"])
@@ -132,13 +137,12 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS, landmarks: int = LANDMARKS)
         if not got:
             return
         langs = sorted({g[1] for g in got})
-        y = np.repeat([langs.index(g[1]) for g in got], [g[2] for g in got])
+        y, times = np.array([langs.index(g[1]) for g in got]), np.array([float(g[2]) for g in got])
         flags = np.unpackbits(np.frombuffer(b"".join(g[3] for g in got), np.uint8).reshape(len(got), -1), axis=1)
-        at = np.repeat(np.arange(len(got)), [g[2] for g in got])
-        first = np.flatnonzero(np.diff(at, prepend=-1))[:landmarks]  # ranks in turn: every language has its share
-        coef = solve(flags[at], y, len(langs), first)
-        for i, a in enumerate(first):
-            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([got[at[a]][3]], pa.binary()), pa.array([coef[i].tolist()], pa.list_(pa.float64())), pa.array([langs], pa.list_(pa.string()))], names=["i", "bits", "coef", "langs"])
+        first = np.arange(min(landmarks, len(got)))  # ranks in turn: every language has its share
+        coef = solve(flags, y, times, len(langs), first)
+        for i in first.tolist():
+            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([got[i][3]], pa.binary()), pa.array([coef[i].tolist()], pa.list_(pa.float64())), pa.array([langs], pa.list_(pa.string()))], names=["i", "bits", "coef", "langs"])
 
     # one task by design: the sample is bounded by max_rows
     fitted = chosen.mapInArrow(extract, "lang string, r int, n bigint, bits binary").repartition(1).mapInArrow(fit, "i int, bits binary, coef array<double>, langs array<string>").collect()

@@ -45,7 +45,7 @@ def test_kernel_and_regression_by_plain_arithmetic():
     # with every row a landmark, Nyström features are exact: the same fit as weighted kernel ridge regression
     y = np.array([0, 1, 2] * 3)
     k = np.array(k) + 0.0
-    coef = L.solve(flags[:3], y[:3], 3, np.arange(3), ridge=0.1)
+    coef = L.solve(flags[:3], y[:3], np.ones(3), 3, np.arange(3), ridge=0.1)
     kk = k[:3, :3]
     dual = np.linalg.solve(kk + 0.1 * np.eye(3), np.where(y[:3, None] == np.arange(3), 1.0, -1.0))
     assert np.allclose(kk @ coef, kk @ dual)

@@ -25,7 +25,6 @@ from pagemill.functions.text import (
     col_,
     collapse_ws,
     decode_entities,
-    decode_other_entities,
     inner_text,
     interleave,
     js_trim,
@@ -315,7 +314,8 @@ def _stages(rules: list[tuple[str, str, str]]) -> tuple[list, list, list, list]:
     space = [r for r in rules if r[0] in WHITESPACE_RULES]
     rest = [r for r in rules if r[0] not in CLEAN_RULES + WHITESPACE_RULES]
     k = next((i for i, r in enumerate(rest) if r[0].startswith("entity_")), len(rest))
-    return clean, space, rest[:k], rest[k:]
+    # references are decoded once, all in one pass, where the list names its first one
+    return clean, space, rest[:k], [r for r in rest[k:] if not r[0].startswith("entity_")]
 
 
 def _apply_all(e: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -334,7 +334,7 @@ def add_markdown(df, html, out: str, rules: list[tuple[str, str, str]] | None =
     df = df.withColumn(out, _apply_all(F.translate(col_(html), ALL_MARKS, ""), clean)).withColumn(out, protect_pre(F.col(out)))
     df = df.withColumn(out, _apply_all(F.col(out), space)).withColumn(out, escape_text_nodes(F.col(out)))
     df = df.withColumn(out, tables_to_markdown(F.col(out))).withColumn(out, list_items(F.col(out)))
-    df = df.withColumn(out, _apply_all(F.col(out), rest)).withColumn(out, decode_other_entities(F.col(out)))
+    df = df.withColumn(out, _apply_all(F.col(out), rest)).withColumn(out, decode_entities(F.col(out)))
     return df.withColumn(out, _apply_all(F.col(out), last)).withColumn(out, restore_pre(quote_lines(F.col(out))))
 
 
@@ -344,7 +344,7 @@ def html_to_markdown(html, rules: list[tuple[str, str, str]] | None = None) -> C
     clean, space, rest, last = _stages(rules or MARKDOWN_RULES)
     out = protect_pre(_apply_all(F.translate(col_(html), ALL_MARKS, ""), clean))
     out = list_items(tables_to_markdown(escape_text_nodes(_apply_all(out, space))))
-    return restore_pre(quote_lines(_apply_all(decode_other_entities(_apply_all(out, rest)), last)))
+    return restore_pre(quote_lines(_apply_all(decode_entities(_apply_all(out, rest)), last)))
 
 
 # ---------------------------------------------------------------- fields
@@ -537,7 +537,6 @@ __all__ = [
     "html_to_markdown",
     "page_title",
     "last_modified",
-    "main_content_html",
     "breadcrumb_items",
     "breadcrumbs_markdown",
     "html_table_markdown",

@@ -9,10 +9,6 @@ from __future__ import annotations
 
 import functools
 
-import functools
-
-import functools
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,17 +35,27 @@ ENTITIES = [
 ]
 
 
-ENTITY = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
-
-
 @functools.cache
-def _named() -> str:
-    """The public named character references (Python's table of the HTML standard), without those of
-    ENTITIES, as text for `str_to_map`: one literal, folded once."""
+def _references() -> tuple[str, str, str]:
+    """(pattern of a character reference, pattern of the old names, `name → text` as text for `str_to_map`), from Python's
+    table of the HTML standard: names with their semicolon, the old ones also without it."""
     from html.entities import html5
 
-    own = {e for e, _ in ENTITIES}
-    return "\x02".join(f"&{k}\x01{v}" for k, v in html5.items() if k.endswith(";") and f"&{k}" not in own and v not in "\x01\x02")
+    old = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+    names = "|".join(old)
+    pattern = f"&(?:#[0-9]{{1,7}};?|#[xX][0-9a-fA-F]{{1,6}};?|[A-Za-z][A-Za-z0-9]*;|{names})"
+    return pattern, f"&(?:{names})", "\x02".join(f"&{k}\x01{v}" for k, v in html5.items() if v not in "\x01\x02")
+
+
+def _windows_1252() -> dict[int, int]:
+    """The standard reads references to 128..159 as Windows-1252 where that has a character."""
+    out = {}
+    for n in range(0x80, 0xA0):
+        try:
+            out[n] = ord(bytes([n]).decode("cp1252"))
+        except UnicodeDecodeError:
+            pass
+    return out
 
 
 def let(value: Column, body) -> Column:
@@ -58,13 +64,18 @@ def let(value: Column, body) -> Column:
 
 
 def _one_entity(e: Column) -> Column:
-    """Text of one character reference; what is no reference, and those of ENTITIES, stay as they are."""
+    """Text of one character reference; what is no reference stays as it is."""
     digits = F.regexp_extract(e, "#[xX]?([0-9a-fA-F]+)", 1)
     n = F.when(e.rlike("&#[xX]"), F.conv(digits, 16, 10)).when(e.startswith("&#"), digits).cast("bigint")
+    moved = F.element_at(F.create_map(*(F.lit(x) for pair in _windows_1252().items() for x in pair)), n.cast("int"))
+    n = F.coalesce(moved.cast("bigint"), n)
     ok = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-    named = F.str_to_map(F.lit(_named()), F.lit("\x02"), F.lit("\x01"))
-    return F.when(e.startswith("&#"), F.when(ok, char).otherwise(F.lit("\ufffd"))).otherwise(F.coalesce(F.element_at(named, e), e))
+    named = F.str_to_map(F.lit(_references()[2]), F.lit("\x02"), F.lit("\x01"))
+    # a name that is none may begin with an old one: `&notit;` is `¬it;`
+    begin = F.regexp_extract(e, "\\A" + _references()[1], 0)
+    known = F.coalesce(F.element_at(named, e), F.concat(F.element_at(named, F.nullif(begin, F.lit(""))), F.substr(e, F.length(begin) + 1)), e)
+    return F.when(e.startswith("&#"), F.when(ok, char).otherwise(F.lit("\ufffd"))).otherwise(known)
 
 
 def interleave(parts: Column, between: Column) -> Column:
@@ -73,11 +84,12 @@ def interleave(parts: Column, between: Column) -> Column:
     return F.array_join(F.transform(z, lambda x: F.concat(F.coalesce(x["p"], F.lit("")), F.coalesce(x["b"], F.lit("")))), "")
 
 
-def decode_other_entities(c) -> Column:
-    """Decode every numeric and named character reference but those of ENTITIES, once. Texts without
-    one skip the work."""
+def decode_entities(c) -> Column:
+    """Decode every character reference once, in one pass. Texts without an ampersand skip the work."""
+    pattern = _references()[0]
+
     def body(t: Column) -> Column:
-        joined = interleave(F.split(t, ENTITY), F.transform(F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0)), _one_entity))
+        joined = interleave(F.split(t, pattern), F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), _one_entity))
         return F.when(t.contains("&"), joined).otherwise(t)
 
     return let(col_(c), body)
@@ -87,13 +99,6 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def decode_entities(c) -> Column:
-    out = decode_other_entities(c)
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
-
-
 def js_trim(c) -> Column:
     """`String.prototype.trim` for the whitespace we meet (Spark `trim` strips spaces only)."""
     return F.regexp_replace(col_(c), f"\\A{WS}+|{WS}+\\z", "")

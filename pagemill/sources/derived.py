@@ -307,23 +307,40 @@ def discovery_pages(t: Tables) -> DataFrame:
     return t.pages.select("page_id", "url", html.alias("html"))
 
 
-def region_table_pages(t: Tables) -> DataFrame:
-    """one page per region holding one `<table>`: header Nation | Note, a
-    row per nation ordered by key; the note is `Key <k>`, and for even keys
-    `Key <k> Example: a|b`."""
-    n = t.nation
-    note = F.concat(F.lit("Key "), F.col("n_nationkey").cast("string"),
-                    F.when(F.col("n_nationkey") % 2 == 0, F.lit(" Example: a|b")).otherwise(F.lit("")))
-    row = F.concat(F.lit("<tr><td>"), F.col("n_name"), F.lit("</td><td>"), note, F.lit("</td></tr>"))
-    rows = n.groupBy("n_regionkey").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r")))), lambda s: s["r"]), "\n")
-        .alias("rows")
-    )
-    html = F.concat(F.lit("<p>Nations of region "), F.col("r_name"), F.lit("</p>\n<table class=\"nations\">\n"
-                    "<tr><th>Nation</th><th>Note</th></tr>\n"), F.col("rows"), F.lit("\n</table>"))
-    return rows.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.col("r_regionkey").alias("region_key"), "r_name", html.alias("html")
-    )
+def _order_lines(t: Tables, each) -> DataFrame:
+    """(order_key, priority, status, lines): `each` line item's HTML, joined in order."""
+    key = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")]
+    li = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*key))).alias("items"))
+    lines = F.array_join(F.transform("items", each), "")
+    return li.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_orderkey").alias("order_key"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), lines.alias("lines"))
+
+
+def order_table_pages(t: Tables) -> DataFrame:
+    """one page per order holding one `<table>`: header Part | Note, a row per line item; the note is
+    `Key <supplier>`, and for even suppliers `Key <supplier> Example: a|b`."""
+    def row(i):
+        note = F.concat(F.lit("Key "), i["l_suppkey"].cast("string"), F.when(i["l_suppkey"] % 2 == 0, " Example: a|b").otherwise(""))
+        return F.concat(F.lit("<tr><td>"), i["l_partkey"].cast("string"), F.lit("</td><td>"), note, F.lit("</td></tr>\n"))
+
+    html = F.concat(F.lit("<p>Lines of the order, priority "), F.col("priority"), F.lit('</p>\n<table class="lines">\n<tr><th>Part</th><th>Note</th></tr>\n'), F.col("lines"), F.lit("</table>"))
+    return _order_lines(t, row).select("order_key", "priority", html.alias("html"))
+
+
+def order_pages(t: Tables) -> DataFrame:
+    """one page per order whose markup is of the kind that trips a page converter: a teaser article beside the
+    body, a sidebar longer than the body's paragraphs, `>` in attributes, a bare `<`, references without semicolon, unclosed
+    paragraphs and items, paragraphs in items, nested lists and quotes, a named code block, bare and
+    single-quoted attributes, link titles."""
+    k, s = F.col("order_key").cast("string"), lambda c: c.cast("string")
+    li = lambda i: F.concat(F.lit("<li><p>Part "), s(i["l_partkey"]), F.lit("</p><p>Quantity "), s(i["l_quantity"].cast("bigint")), F.lit("<ul><li>Supplier "), s(i["l_suppkey"]), F.lit("</ul>"))
+    html = F.concat(
+        F.lit("<!DOCTYPE html><html><head><title>Order "), k, F.lit(" &amp co</title><script>if (a < b) document.write('<p>no')</script></head><body><nav><a href='/'>Home</a></nav>"
+              "<article class=card><p>Teaser "), k, F.lit(".</p></article><div class='a>b'><h2 title=\"x>y\">Order "), k, F.lit(": 1 < 2 &copy 3</h2><p>Priority "), F.col("priority"), F.lit(", status "),
+        F.col("status"), F.lit(", and a text that is long enough to count as content.<ul>"), F.col("lines"), F.lit("</ul><blockquote>outer<blockquote>inner "), k,
+        F.lit("</blockquote>tail</blockquote><pre><code class=\"language-js\">a  "), k, F.lit("\n  b</code></pre><p>See <a href=/o/"), k, F.lit(" title=\"ti\"><b>order</b></a> and <img src='/i/"), k,
+        F.lit(".png' alt=pic><br></div><div class=\"my-sidebar\"><p>More of this, and of that, and of others, in a text, with commas, that is much longer than what the page is about.</div></body></html>"))
+    return _order_lines(t, li).select(F.col("order_key").alias("page_id"), F.concat(F.lit("https://shop.example/o/"), k).alias("url"), html.alias("html"))
 
 
 def breadcrumb_pages(t: Tables) -> DataFrame:

@@ -73,12 +73,16 @@ _TITLE = re.compile(r"""(?is)<title(?:[^=>]|=\s*(?:"[^"]*"?|'[^']*'?)?)*>(.*?)(?
 #: Noncharacters that other parts of the library use as marks: dropped from a page on entry.
 MARKS = "".join(chr(c) for c in range(0xFDD0, 0xFDD8))
 
+#: Pages without any of these hold no breadcrumb container (`hinted` is false).
+HINT = "breadcrumb|Breadcrumb|navigation-path|path|&#"
+_HINTED = re.compile(HINT.removesuffix("|&#"))
 _ITEM = "array<struct<pos:int,mark:string>>"
 _MARK = "array<struct<pos:int,kind:string,href:string,title:string>>"
-#: kind: text, image (text: alt, href: src), open or close of an inline element; `end` as in the table.
-_RUN = f"array<struct<pos:int,kind:string,text:string,space:boolean,breaks:int,href:string,title:string,marks:{_MARK},tag:string,attrs:map<string,string>,`end`:int>>"
+#: kind: text, image (text: alt, href: src), open or close of an inline element; `end` as in the table. `space`: white space
+#: since the last text or image, `lead`: since the last run of any kind.
+_RUN = f"array<struct<pos:int,kind:string,text:string,space:boolean,lead:boolean,breaks:int,href:string,title:string,marks:{_MARK},tag:string,attrs:map<string,string>,`end`:int>>"
 SCHEMA = (
-    "page_id bigint, url string, pos int, `end` int, parent int, kind string, tag string, attrs map<string,string>, text string, "
+    "page_id bigint, url string, hinted boolean, pos int, `end` int, parent int, kind string, tag string, attrs map<string,string>, text string, "
     f"depth int, feeds int, block string, items {_ITEM}, runs {_RUN}, grid array<array<struct<head:boolean,text:string>>>"
 )
 
@@ -109,7 +113,7 @@ class Tree:
         self.depth = 0
         self.feeds = 2
         self.line: dict | None = None
-        self.space, self.breaks = False, 0
+        self.space, self.lead, self.breaks = False, False, 0
         self.pending: list[dict] = []  # inline elements opened in front of a line's first text
         self.items: list[dict] = []
         self.items_before: list[list[dict]] = []
@@ -136,23 +140,25 @@ class Tree:
     def boundary(self, feeds: int) -> None:
         if not self.tables:  # a table is one line
             self.feeds = max(self.feeds, feeds)
-            self.line, self.space, self.breaks = None, False, 0
+            self.line, self.space, self.lead, self.breaks = None, False, False, 0
             for opened in self.pending:  # they hold blocks: rows of their own
-                opened["row"] = self.row("open", tag=opened["tag"], attrs=opened["attrs"], pos=opened["pos"])
+                if "row" not in opened:
+                    opened["row"] = self.row("open", tag=opened["tag"], attrs=opened["attrs"], pos=opened["pos"])
             self.pending = []
 
     def begin(self, kind: str = "line", **more) -> None:
         if self.line is None:
             self.line = self.row(kind, feeds=self.feeds, block=self.block, items=self.items, runs=[], **more)
-            self.feeds, self.space, self.breaks = 0, False, 0
+            self.feeds, self.space, self.lead, self.breaks = 0, False, False, 0
 
     def run(self, kind: str, text: str | None = None, **more) -> dict:
         self.begin()
         self.line["runs"] += self.pending
         self.pending = []
-        r = {"pos": self.number(), "kind": kind, "text": text, "space": self.space, "breaks": self.breaks, "href": None, "title": None, "marks": self.marks, "tag": None,
+        r = {"pos": self.number(), "kind": kind, "text": text, "space": self.space, "lead": self.lead, "breaks": self.breaks, "href": None, "title": None, "marks": self.marks, "tag": None,
              "attrs": None, "end": None, **more}
         self.line["runs"].append(r)
+        self.lead = False
         if kind in ("text", "image"):
             self.space, self.breaks = False, 0
         return r
@@ -212,7 +218,7 @@ class Tree:
             if "marks" in opened:  # inline: a run of its line
                 if "row" in opened:
                     opened["row"]["end"] = self.next
-                elif self.pending and self.pending[-1] is opened:
+                if self.pending and self.pending[-1] is opened:
                     self.pending.pop()
                 elif self.line is not None:
                     self.run("close", tag=tag, attrs=opened["attrs"], end=opened["pos"])
@@ -263,7 +269,7 @@ class Tree:
             return
         if tag == "a":
             self.unformat("a")
-        opened = self.row("open", tag=tag, attrs=attrs) if tag == "a" else {"pos": self.number()}
+        opened = self.row("open", tag=tag, attrs=attrs) if tag == "a" or attrs else {"pos": self.number()}
         mark = {"pos": opened["pos"], "kind": FORMATTING[tag], "href": None, "title": None}
         if tag == "a":
             if "href" not in attrs:
@@ -307,9 +313,11 @@ class Tree:
         if self.line is not None:
             self.push(self.run("open", tag=tag, attrs=attrs))
         else:
-            self.pending.append({"pos": self.number(), "kind": "open", "text": None, "space": False, "breaks": 0, "href": None, "title": None, "marks": self.marks, "tag": tag,
+            self.pending.append({"pos": self.number(), "kind": "open", "text": None, "space": False, "lead": False, "breaks": 0, "href": None, "title": None, "marks": self.marks, "tag": tag,
                                  "attrs": attrs, "end": None})
             self.push(self.pending[-1])
+        if any(k.startswith("data-") or k in ("class", "id", "aria-label") and _HINTED.search(v) for k, v in attrs.items()):
+            self.stack[-1]["row"] = self.row("open", tag=tag, attrs=attrs)  # a page's fields look at rows
 
     def push(self, opened: dict) -> None:
         self.stack.append(opened)
@@ -395,12 +403,12 @@ class Tree:
         core = _WHITE.sub(" ", text)
         bare = core.strip(" ")
         if not bare:
-            self.space = self.space or bool(core)
+            self.space, self.lead = self.space or bool(core), self.lead or bool(core)
             return
         self.begin()
-        self.space = self.space or core[0] == " "
+        self.space, self.lead = self.space or core[0] == " ", self.lead or core[0] == " "
         self.run("text", bare)
-        self.space = core[-1] == " "
+        self.space = self.lead = core[-1] == " "
 
     def feed(self, tokens: list[str]) -> None:
         self.open("html", "<html>", 5)  # one root holds all; the page's own tag adds its attributes
@@ -449,7 +457,7 @@ def html_nodes(pages: DataFrame) -> DataFrame:
         for batch in batches:
             held: list[dict] = []
             for i in range(batch.num_rows):
-                page = {"page_id": batch.column("page_id")[i].as_py(), "url": batch.column("url")[i].as_py()}
+                page = {c: batch.column(c)[i].as_py() for c in ("page_id", "url", "hinted")}
                 tree = Tree()
                 tree.feed(batch.column("tokens")[i].as_py())
                 for r in tree.rows:
@@ -462,4 +470,5 @@ def html_nodes(pages: DataFrame) -> DataFrame:
             if held:
                 yield _batch(held, arrow)
 
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", page_tokens("html").alias("tokens")).mapInArrow(run, SCHEMA)
+    hinted = F.coalesce(F.col("html").rlike(HINT), F.lit(False)).alias("hinted")
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", hinted, page_tokens("html").alias("tokens")).mapInArrow(run, SCHEMA)

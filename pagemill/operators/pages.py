@@ -13,8 +13,8 @@ from pagemill.functions import html as H
 from pagemill.functions.text import WS, line_count, word_count
 from pagemill.operators import tokens as T
 from pagemill.operators.nodes import html_nodes
-from pagemill.operators.reader import TEXTS, with_content
-from pagemill.operators.render import ElementRule, with_markdown
+from pagemill.operators.reader import TEXTS, measures, with_content
+from pagemill.operators.render import ElementRule, dropped, line_text, with_pieces
 from pagemill.operators.selectors import first_match, let, matching, quoted
 
 def tag_block(tag: str, value) -> "F.Column":
@@ -43,17 +43,22 @@ def page_document(
     A page without main content gets an empty body and status `no_content`."""
     if rules is not None:
         return _assembled(_by_patterns(pages, run_date, rules))
-    nodes = html_nodes(pages.where(F.col("page_id").isNotNull())).repartition("page_id")
-    d = with_content(nodes, page_fields())
-    d = with_markdown(d.withColumn("_crumbs", F.expr(f"CASE WHEN pos > _box.pos AND pos < _box.`end` THEN {crumb_rows()} END")), element_rules)
-    spaced = "if(r.space, concat(' ', r.text), r.text)"
-    page = d.where("pos = 0 OR piece IS NOT NULL OR _crumbs IS NOT NULL OR pos = _h1").groupBy("page_id").agg(*map(F.expr, (
-        "max(url) AS url", "max(_title.text) AS _title", "max(_changed.value) AS _changed", "max(_published.value) AS _published",
-        f"max(CASE WHEN pos = _h1 THEN array_join(transform({TEXTS}, r -> {spaced}), '') END) AS _heading",
-        "array_sort(flatten(collect_list(_crumbs))) AS _crumbs", "array_sort(collect_list(CASE WHEN piece IS NOT NULL THEN named_struct('pos', pos, 'piece', piece) END)) AS _pieces",
+    nodes = html_nodes(pages.where(F.col("page_id").isNotNull()))
+    if any(r.drop for r in element_rules or []):
+        nodes = dropped(nodes.repartition("page_id"), element_rules)
+    # all that a row says by itself, before the exchange; rows that say nothing stay behind
+    columns = {"md": line_text(element_rules), **measures(), **page_fields()}
+    rows = nodes.select("page_id", F.expr("CASE WHEN pos = 0 THEN url END").alias("url"), "pos", "end", "parent", "depth", "feeds", "items", *(F.expr(e).alias(c) for c, e in columns.items()))
+    rows = rows.where("edge > 0 OR md <> '' OR coalesce(title, changed, published, h1) IS NOT NULL OR box IS NOT NULL OR crumbs IS NOT NULL").repartition("page_id")
+    first = lambda c: f"min(CASE WHEN {c} IS NOT NULL THEN named_struct('pos', pos, 'v', {c}) END)"
+    d = with_pieces(with_content(rows, {"_box": "min(CASE WHEN box IS NOT NULL THEN named_struct('rank', box, 'pos', pos, 'end', `end`) END) OVER (PARTITION BY page_id)"}))
+    page = d.groupBy("page_id").agg(*map(F.expr, (
+        "max(url) AS url", *(f"{first(c)}.v AS _{c}" for c in ("title", "changed", "published", "h1")),
+        "array_sort(flatten(collect_list(CASE WHEN pos > _box.pos AND pos < _box.`end` THEN crumbs END))) AS _crumbs",
+        "array_sort(collect_list(CASE WHEN piece IS NOT NULL THEN named_struct('pos', pos, 'piece', piece) END)) AS _pieces",
     )))
     return _assembled(page.select(
-        "page_id", "url", F.expr(f"coalesce(nullif({_clean('_title')}, ''), {_clean('_heading')}, '')").alias("title"),
+        "page_id", "url", F.expr(f"coalesce(nullif({_clean('_title')}, ''), {_clean('_h1')}, '')").alias("title"),
         F.coalesce(F.nullif("_changed", F.lit("")), F.nullif("_published", F.lit("")), F.lit(run_date)).alias("last_modified"),
         H.breadcrumbs_markdown(F.expr(crumb_items("_crumbs"))).alias("breadcrumb_md"),
         F.expr("array_join(transform(_pieces, x -> x.piece), '')").alias("body_md"),
@@ -69,28 +74,22 @@ def _clean(text: str) -> str:
 
 
 def page_fields() -> dict[str, str]:
-    """SQL of what a page's fields are made of: its title, the first elements with a date, the first heading, and the
-    breadcrumb container (the first by selector priority)."""
-    page = "OVER (PARTITION BY page_id)"
-    dated = lambda a: f"min(CASE WHEN kind = 'open' AND attrs['{a}'] IS NOT NULL THEN named_struct('pos', pos, 'value', attrs['{a}']) END) {page}"
-    rank = first_match(H.BREADCRUMB_SELECTORS)
-    return {
-        "_title": f"min(CASE WHEN kind = 'title' AND text RLIKE {quoted('[^ \\t\\n\\r\\f]')} THEN named_struct('pos', pos, 'text', text) END) {page}",
-        "_changed": dated("data-timemodified"), "_published": dated("data-publicationdate"),
-        "_h1": f"min(CASE WHEN block = 'h1' AND size({TEXTS}) > 0 THEN pos END) {page}",
-        "_box": f"min({let(f'CASE WHEN kind = {quoted("open")} THEN {rank} END', 'k', "CASE WHEN k IS NOT NULL THEN named_struct('rank', k, 'pos', pos, 'end', `end`) END")}) {page}",
-    }
-
-
-def crumb_rows() -> str:
-    """SQL: ARRAY<STRUCT<pos, end, text, link, item>> of what a row brings to a breadcrumb container: elements, which may be
-    items or links, and texts under their link."""
+    """SQL of what a row brings to its page's fields: `title`, dates, `h1`, the rank of a breadcrumb container (`box`) and, on
+    pages that have one, `crumbs`: ARRAY<STRUCT<pos, end, text, link, item>> of elements, which may be items or
+    links, and texts under their link."""
+    opened = "kind = 'open'"
     element = f"array(named_struct('pos', pos, 'end', `end`, 'text', CAST(NULL AS string), 'link', CASE WHEN tag = 'a' THEN named_struct('pos', pos, 'href', attrs['href']) END, 'item', {matching(ITEM)}))"
     own = let("get(filter(r.marks, m -> m.kind = 'link'), 0)", "l", "CASE WHEN l IS NOT NULL THEN named_struct('pos', l.pos, 'href', l.href) END")
-    said = "CASE WHEN r.kind = 'text' THEN if(r.space, concat(' ', r.text), r.text) END"
+    spaced = "if(r.space, concat(' ', r.text), r.text)"
     item = f"r.kind = 'open' AND {matching(ITEM, 'r.tag', 'r.attrs')}"
-    run = f"named_struct('pos', r.pos, 'end', coalesce(r.`end`, r.pos + 1), 'text', {said}, 'link', {own}, 'item', {item})"
-    return f"CASE WHEN kind = 'open' THEN {element} WHEN runs IS NOT NULL THEN transform(filter(runs, r -> r.kind IN ('text', 'open')), r -> {run}) END"
+    run = f"named_struct('pos', r.pos, 'end', coalesce(r.`end`, r.pos + 1), 'text', CASE WHEN r.kind = 'text' THEN {spaced} END, 'link', {own}, 'item', {item})"
+    return {
+        "title": f"CASE WHEN kind = 'title' AND text RLIKE {quoted('[^ \\t\\n\\r\\f]')} THEN text END",
+        "changed": f"CASE WHEN {opened} THEN attrs['data-timemodified'] END", "published": f"CASE WHEN {opened} THEN attrs['data-publicationdate'] END",
+        "h1": f"CASE WHEN block = 'h1' AND size({TEXTS}) > 0 THEN array_join(transform({TEXTS}, r -> {spaced}), '') END",
+        "box": f"CASE WHEN {opened} THEN {first_match(H.BREADCRUMB_SELECTORS)} END",
+        "crumbs": f"CASE WHEN NOT hinted THEN NULL WHEN {opened} THEN {element} WHEN runs IS NOT NULL THEN transform(filter(runs, r -> r.kind IN ('text', 'open')), r -> {run}) END",
+    }
 
 
 def crumb_items(rows: str) -> str:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.operators.nodes import CONTAINERS
-from pagemill.operators.selectors import quoted
+from pagemill.operators.selectors import let, quoted
 
 MIN_CHARS = 25
 MAX_LEVEL = 40
@@ -51,36 +51,48 @@ def _columns(df: DataFrame, **sql: str) -> DataFrame:
     return df.withColumns({c: F.expr(e) for c, e in sql.items()})
 
 
-def with_scores(nodes: DataFrame) -> DataFrame:
-    """`nodes` with `unlikely` on every row and, on the close rows of containers, `shown` (visible rows inside), `score`
-    and `score_all` (of the second pass)."""
-    poor = f"{_ELEMENT} AND (tag IN ({', '.join(map(quoted, POOR_TAGS))}) OR tag NOT IN ('html', 'body', 'article', 'main') AND {_named(POOR_WORDS)})"
+def measures() -> dict[str, str]:
+    """SQL of what the windows need of a row, from the row alone: `edge` (1 and 2: a container opens and closes), `step` (in
+    and out of unlikely elements), `weight`, `lone` (an article or main), `part` (a line's credit at its level), `chars`,
+    `link_chars`, `shown`."""
+    poor = f"(tag IN ({', '.join(map(quoted, POOR_TAGS))}) OR tag NOT IN ('html', 'body', 'article', 'main') AND {_named(POOR_WORDS)})"
     linked = f"filter({TEXTS}, r -> exists(r.marks, m -> m.kind = 'link'))"
-    level = f"least(depth, {MAX_LEVEL})"
-    d = _columns(nodes, _poor=poor, _said=f"array_join(transform({TEXTS}, r -> r.text), '')", _link=f"coalesce(length(array_join(transform({linked}, r -> r.text), '')), 0)")
-    points = "1 + length(_said) - length(translate(_said, ',', '')) + least(floor((length(_said) - _link) / 100), 3)"
-    d = _columns(d, _part=f"CASE WHEN length(_said) - _link >= {MIN_CHARS} THEN ({points}) * power(0.5D, {level}) ELSE 0D END", _chars="coalesce(length(_said), 0)", shown=f"if({SHOWN}, 1, 0)",
-                 unlikely=f"sum(CASE WHEN NOT _poor THEN 0 WHEN kind = 'open' THEN 1 ELSE -1 END) {_RUNNING} > 0")
-    d = _columns(d, _s=f"sum(if(unlikely, 0D, _part)) {_RUNNING}", _a=f"sum(_part) {_RUNNING}", _chars=f"sum(_chars) {_RUNNING}", _link=f"sum(_link) {_RUNNING}", shown=f"sum(shown) {_RUNNING}")
+    length = lambda runs: f"coalesce(length(array_join(transform({runs}, r -> r.text), '')), 0)"
+    commas = f"length(array_join(transform({TEXTS}, r -> translate(r.text, translate(r.text, ',', ''), '')), ''))"
+    points = f"1 + {commas} + least(floor(n / 100), 3)"
+    part = let(f"{length(TEXTS)} - {length(linked)}", "n", f"CASE WHEN n >= {MIN_CHARS} THEN ({points}) * power(0.5D, least(depth, {MAX_LEVEL})) ELSE 0D END")
+    return {
+        "edge": f"CASE WHEN NOT {_ELEMENT} THEN 0 WHEN kind = 'open' THEN 1 ELSE 2 END",
+        "step": f"CASE WHEN {_ELEMENT} AND {poor} THEN if(kind = 'open', 1, -1) ELSE 0 END",
+        "weight": f"CASE WHEN tag IN ('article', 'main') OR {_named(GOOD_WORDS)} THEN {GOOD}D WHEN {poor} THEN {POOR}D ELSE 1D END",
+        "lone": f"{_ELEMENT} AND kind = 'close' AND tag IN ('article', 'main')",
+        "part": f"CASE WHEN runs IS NULL THEN 0D ELSE {part} END", "chars": f"if(runs IS NULL, 0, {length(TEXTS)})", "link_chars": f"if(runs IS NULL, 0, {length(linked)})",
+        "shown": f"if({SHOWN}, 1, 0)",
+    }
+
+
+def with_scores(rows: DataFrame) -> DataFrame:
+    """Rows with their `measures` → with `unlikely` on every row and, on the close rows of containers, `shown` (visible rows
+    inside), `score` and `score_all` (of the second pass)."""
+    d = _columns(rows, unlikely=f"sum(step) {_RUNNING} > 0")
+    d = _columns(d, _s=f"sum(if(unlikely, 0D, part)) {_RUNNING}", _a=f"sum(part) {_RUNNING}", _c=f"sum(chars) {_RUNNING}", _l=f"sum(link_chars) {_RUNNING}", shown=f"sum(shown) {_RUNNING}")
     # an element's sums: what has run up between its open and its close row
-    pair = f"OVER (PARTITION BY page_id, CASE WHEN NOT {_ELEMENT} THEN -1 WHEN kind = 'open' THEN pos ELSE `end` END ORDER BY pos)"
-    d = _columns(d, **{c: f"CASE WHEN {_ELEMENT} AND kind = 'close' THEN {c} - lag({c}) {pair} END" for c in ("_s", "_a", "_chars", "_link", "shown")})
-    weight = f"CASE WHEN tag IN ('article', 'main') OR {_named(GOOD_WORDS)} THEN {GOOD}D WHEN _poor THEN {POOR}D ELSE 1D END"
-    scale = f"power(2D, {level}) * {weight} * (1 - coalesce(try_divide(_link, _chars), 0D))"
-    return _columns(d, score=f"round(_s * {scale}, 6)", score_all=f"round(_a * {scale}, 6)").drop("_poor", "_said", "_chars", "_link", "_part", "_s", "_a")
+    pair = "OVER (PARTITION BY page_id, CASE edge WHEN 0 THEN -1 WHEN 1 THEN pos ELSE `end` END ORDER BY pos)"
+    d = _columns(d, **{c: f"CASE WHEN edge = 2 THEN {c} - lag({c}) {pair} END" for c in ("_s", "_a", "_c", "_l", "shown")})
+    scale = f"power(2D, least(depth, {MAX_LEVEL})) * weight * (1 - coalesce(try_divide(_l, _c), 0D))"
+    return _columns(d, score=f"round(_s * {scale}, 6)", score_all=f"round(_a * {scale}, 6)").drop("step", "weight", "part", "chars", "link_chars", "_s", "_a", "_c", "_l")
 
 
-def with_content(nodes: DataFrame, more: dict[str, str] | None = None) -> DataFrame:
-    """`nodes` with `in_content`: does the row lie in what reader mode keeps of its page? `more`: SQL of further
-    columns that look at the whole page, computed in the same pass."""
+def with_content(rows: DataFrame, more: dict[str, str] | None = None) -> DataFrame:
+    """Rows with their `measures` → with `in_content`: does the row lie in what reader mode keeps of its page? `more`: SQL of
+    further columns that look at the whole page, computed in the same pass."""
     span = "'open', `end`, 'close', pos, 'parent', parent"
     best = lambda s: f"max(CASE WHEN {s} > 0 THEN named_struct('score', {s}, 'inner', depth, 'first', -`end`, {span}) END) {_PAGE}"
-    lone = "tag IN ('article', 'main') AND kind = 'close'"
-    d = _columns(with_scores(nodes), _strict=best("score"), _loose=best("score_all"), _lones=f"count_if({lone}) {_PAGE}",
-                 _lone=f"max(CASE WHEN {lone} AND shown > 0 THEN named_struct('score', 0D, 'inner', 0, 'first', 0, {span}) END) {_PAGE}", **(more or {}))
+    d = _columns(with_scores(rows), _strict=best("score"), _loose=best("score_all"), _lones=f"count_if(lone) {_PAGE}",
+                 _lone=f"max(CASE WHEN lone AND shown > 0 THEN named_struct('score', 0D, 'inner', 0, 'first', 0, {span}) END) {_PAGE}", **(more or {}))
     d = _columns(d, _top="coalesce(_strict, CASE WHEN _lones = 1 THEN _lone END, _loose)")
     near = f"_strict IS NOT NULL AND parent = _top.parent AND score >= greatest({MIN_SIBLING}D, {SIBLING}D * _top.score)"
     # siblings that score a fifth of the best are few: their parent would outscore it
-    d = _columns(d, _spans=f"collect_list(CASE WHEN `end` = _top.open AND pos = _top.close OR {near} THEN named_struct('a', `end`, 'b', pos) END) {_PAGE}")
+    d = _columns(d, _spans=f"collect_list(CASE WHEN edge = 2 AND (`end` = _top.open OR {near}) THEN named_struct('a', `end`, 'b', pos) END) {_PAGE}")
     held = "exists(_spans, s -> pos > s.a AND pos < s.b) AND NOT (_strict IS NOT NULL AND unlikely)"
-    return _columns(d, in_content=held).drop("unlikely", "_strict", "_loose", "_lones", "_lone", "_top", "_spans", "shown", "score", "score_all")
+    return _columns(d, in_content=held).drop("unlikely", "_strict", "_loose", "_lones", "_lone", "_top", "_spans", "edge", "lone", "shown", "score", "score_all")

@@ -49,10 +49,13 @@ def _ruled(rules: list[ElementRule]) -> str:
     tests = [(r, matching(r.selector, "r.tag", "r.attrs")) for r in rules]
     said = "CASE " + " ".join(f"WHEN {t} THEN {'NULL' if r.drop else f'if(r.kind = {quoted('open')}, {quoted(r.before)}, {quoted(r.after)})'}" for r, t in tests) + " END"
     gone = "CASE " + " ".join(f"WHEN {t} THEN {str(r.drop).lower()}" for r, t in tests) + " ELSE false END"
-    literal = f"named_struct('pos', r.pos, 'kind', 'literal', 'text', {said}, 'space', r.space, 'breaks', r.breaks, 'href', r.href, 'title', r.title, 'marks', r.marks, 'tag', r.tag, 'attrs', r.attrs, 'end', r.`end`)"
+    literal = f"named_struct('pos', r.pos, 'kind', 'literal', 'text', {said}, 'space', r.space, 'lead', r.lead, 'breaks', r.breaks, 'href', r.href, 'title', r.title, 'marks', r.marks, 'tag', r.tag, 'attrs', r.attrs, 'end', r.`end`)"
     runs = f"transform(runs, r -> if(r.kind IN ('text', 'image'), r, {literal}))"
-    holes = f"transform(filter(runs, r -> r.kind = 'open' AND {gone}), r -> named_struct('a', r.pos, 'b', coalesce(get(filter(runs, x -> x.kind = 'close' AND x.`end` = r.pos), 0).pos, 2147483647)))"
-    return let(holes, "hs", f"filter({runs}, r -> r.text IS NOT NULL AND NOT exists(hs, h -> r.pos >= h.a AND r.pos < h.b))")
+    holes = f"transform(filter(runs, r -> r.kind = 'open' AND {gone}), r -> named_struct('s', r.space, 'a', r.pos, 'b', coalesce(get(filter(runs, x -> x.kind = 'close' AND x.`end` = r.pos), 0).pos, 2147483647)))"
+    kept = f"filter({runs}, r -> r.text IS NOT NULL AND NOT exists(hs, h -> r.pos >= h.a AND r.pos < h.b))"
+    # what follows a hole directly also stands behind the white space in front of it
+    spaced = "named_struct('pos', r.pos, 'kind', r.kind, 'text', r.text, 'space', r.space OR exists(hs, h -> h.s AND r.pos = h.b + 1), 'lead', r.lead, 'breaks', r.breaks, 'href', r.href, 'title', r.title, 'marks', r.marks)"
+    return let(holes, "hs", f"transform({kept}, r -> {spaced})")
 
 
 def _titled(of: str) -> str:
@@ -87,7 +90,7 @@ def _line(rules: list[ElementRule], breaks: str) -> str:
     """One line's runs as Markdown; `breaks`: SQL for the text of one break."""
     image = f"concat('![', r.text, '](', r.href, {_titled('r')}, ')')"
     shown = f"CASE WHEN r.kind = 'image' THEN {image} WHEN r.kind = 'literal' OR exists(r.marks, m -> m.kind = 'code') THEN r.text ELSE {_escaped('r.text')} END"
-    gap = f"CASE WHEN i = 0 THEN '' WHEN r.breaks > 0 THEN repeat({breaks}, r.breaks) WHEN r.space THEN ' ' ELSE '' END"
+    gap = f"CASE WHEN i = 0 THEN '' WHEN r.breaks > 0 THEN repeat({breaks}, r.breaks) WHEN if(get(rs, i - 1).kind = 'literal', r.lead, r.space) THEN ' ' ELSE '' END"
     common = f"if(r.breaks > 0, 0, {_shared('b', 'r.marks', '(r.space OR r.breaks > 0)')})"
     piece = let(common, "k", f"concat({_marks('b', 'k', True)}, {gap}, {_marks('r.marks', 'k', False)}, {shown})")
     before = f"if(i = 0, {_NO_MARKS}, get(rs, i - 1).marks)"
@@ -118,15 +121,20 @@ def line_markdown(rules: list[ElementRule]) -> str:
     return f"CASE WHEN kind = 'rule' THEN '* * *' WHEN kind = 'table' THEN {_table()} WHEN startswith(block, 'pre') THEN {fenced} ELSE {line} END"
 
 
-def with_markdown(nodes: DataFrame, rules: list[ElementRule] | None = None) -> DataFrame:
-    """`nodes` with `piece` on the lines in content that show something: the line under its prefix, with what joins it to
-    the line before. A page's body is its pieces in order of `pos`."""
-    d = dropped(nodes, rules or []).withColumn("_text", F.expr(f"CASE WHEN in_content AND kind IN ('line', 'table', 'rule') THEN {line_markdown(rules or [])} END"))
-    above = "last(CASE WHEN _text <> '' THEN items END, true) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+def line_text(rules: list[ElementRule] | None = None) -> str:
+    """SQL: a row's Markdown without its prefix; null on rows that are no line."""
+    return f"CASE WHEN kind IN ('line', 'table', 'rule') THEN {line_markdown(rules or [])} END"
+
+
+def with_pieces(rows: DataFrame) -> DataFrame:
+    """Rows with `line_text` as `md` and `in_content` → with `piece` on the lines in content that show something: the line
+    under its prefix, with what joins it to the line before. A page's body is its pieces in order of `pos`."""
+    d = rows.withColumn("md", F.expr("CASE WHEN in_content AND md <> '' THEN md END"))
+    above = "last(CASE WHEN md IS NOT NULL THEN items END, true) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     onward = "if(i.mark = '> ', '> ', repeat(' ', length(i.mark)))"
     known = f"exists(coalesce(_above, {_NO_ITEMS}), b -> b.pos = i.pos)"
     begin = f"array_join(transform(items, i -> if({known} OR i.mark = '> ', {onward}, i.mark)), '')"
     shared = f"array_join(transform(filter(items, i -> {known}), i -> {onward}), '')"
     gap = f"CASE WHEN _above IS NULL THEN '' WHEN feeds < 2 THEN '\\n' ELSE concat('\\n', {let(shared, 'x', 'if(contains(x, {}), x, {})'.format(quoted('>'), quoted('')))}, '\\n') END"
-    text = f"if(size(items) = 0, _text, replace(_text, '\\n', concat('\\n', array_join(transform(items, i -> {onward}), ''))))"
-    return d.withColumn("_above", F.expr(above)).withColumn("piece", F.expr(f"CASE WHEN _text <> '' THEN concat({gap}, {begin}, {text}) END")).drop("_text", "_above")
+    text = f"if(size(items) = 0, md, replace(md, '\\n', concat('\\n', array_join(transform(items, i -> {onward}), ''))))"
+    return d.withColumn("_above", F.expr(above)).withColumn("piece", F.expr(f"CASE WHEN md IS NOT NULL THEN concat({gap}, {begin}, {text}) END")).drop("md", "_above")

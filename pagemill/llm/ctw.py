@@ -14,8 +14,9 @@ All that a byte's probability depends on is its gram: the `depth` bytes before i
    per gram, the mixture from depth 2 on as columns; depths 0 and 1 (at most 256 * 255 nodes)
    are aggregated and finished on the driver.
 3. Documents are dealt into blocks. A block asks for its distinct grams and distinct words
-   once each, by number; one shuffle takes the questions to the values and one brings the
-   answers back, which the block sums up.
+   once each; one shuffle takes the questions to the values and one brings the answers back,
+   which the block sums up. Grams travel packed: what a block asks of one share of the grams is
+   one row of sorted numbers, and its answer one row of values in the same order.
    Word counts come back only where they differ from what the block counted itself.
 
 Nothing is broadcast but the two top levels. Counts cover all training texts.
@@ -36,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import LOWER, NOT_SPACE, shared_folder, shuffle_partitions, slices, spans, texts
+from pagemill.llm.common import LOWER, NOT_SPACE, mixed, shared_folder, shuffle_partitions, slices, spans, texts
 
 DEPTH = 5
 END = 0x0A
@@ -204,8 +205,8 @@ def model(docs: DataFrame, depth: int = DEPTH, piece: int = PIECE) -> DataFrame:
     (held, text), learned from the rows that aren't held."""
     parts = shuffle_partitions(docs.sparkSession)
     counted = _gram_counts(docs, depth).repartition(parts, F.shiftright("gram", 8).bitwiseAND(0xFFFF))
-    mixed = [f"p{k}" for k in range(8)]
-    names = ["k", *mixed, "a", "b", "w"]
+    bits = [f"p{k}" for k in range(8)]
+    names = ["k", *bits, "a", "b", "w"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held, limit = [], [], 0, FLUSH
@@ -243,7 +244,7 @@ def model(docs: DataFrame, depth: int = DEPTH, piece: int = PIECE) -> DataFrame:
         yield pa.record_batch([pa.array(u), *([none] * 8), *(pa.array(x[u]) for x in total)], names=names)
 
     folder = f"{shared_folder(docs.sparkSession)}/grams"
-    kinds = ", ".join(["k bigint", *(f"{c} float" for c in mixed), "a double", "b double", "w double"])
+    kinds = ", ".join(["k bigint", *(f"{c} float" for c in bits), "a double", "b double", "w double"])
     counted.mapInArrow(build, kinds).write.parquet(folder)
     built = docs.sparkSession.read.schema(kinds).parquet(folder)
     # at most 256 * 255 rows
@@ -261,7 +262,7 @@ def model(docs: DataFrame, depth: int = DEPTH, piece: int = PIECE) -> DataFrame:
         own0, kt0, own1, kt1 = levels.value
         for batch in batches:
             g = batch.column("k").to_numpy().view(np.uint64)
-            p = [batch.column(c).to_numpy().astype(float) for c in mixed]
+            p = [batch.column(c).to_numpy().astype(float) for c in bits]
             symbol, near = (g & np.uint64(255)).astype(np.int64), ((g >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
             total = np.zeros(len(g))
             for k in range(8):
@@ -272,11 +273,12 @@ def model(docs: DataFrame, depth: int = DEPTH, piece: int = PIECE) -> DataFrame:
                 total += np.log10(own0[node] * q0 + (1 - own0[node]) * (own1[one] * q1 + (1 - own1[one]) * p[k]))
             yield pa.record_batch([batch.column("k"), pa.array(total)], names=["gram", "lp"])
 
-    return built.where("p0 is not null").select("k", *mixed).mapInArrow(finish, "gram bigint, lp double")
+    return built.where("p0 is not null").select("k", *bits).mapInArrow(finish, "gram bigint, lp double")
 
 
 def _in_order(t: pa.Table) -> pa.RecordBatch:
     """A block's rows in an order that does not depend on how they arrived."""
+    t = t.set_column(t.schema.get_field_index("text"), "text", t["text"].cast(pa.large_string()))  # a block may hold over 2 GB
     t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
     return t.to_batches()[0]
 
@@ -299,16 +301,36 @@ def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, p
     return words, number + 1, np.concatenate(([int(learn.sum())], n)), pa.concat_arrays([pa.array([bytes([END])], pa.binary()), tokens])
 
 
-#: Rows that meet by `route`. kind 0: a block asks for a gram (the route); 1: for a word that it counted
-#: v times (the route is its hash); 2: a gram's value v. place packs block and number.
-ASK = "route bigint, kind int, place bigint, word binary, v double"
-ANSWER = "block int, kind int, number int, v double, tokens bigint, distinct bigint"
+#: Rows that meet by `share`. kind 0: a block asks for the sorted `grams`; 1: for a word, its number `number`, that it
+#: counted `v` times; 2: values of `grams`.
+ASK = "share int, kind int, block int, number int, word binary, v bigint, grams binary, `values` binary"
+#: kind 0: values of a block's grams of a share, in order; 1: a word's count; 3: sums over a task's words.
+ANSWER = "block int, kind int, number int, v bigint, `values` binary, tokens bigint, distinct bigint"
+SHARES = 8
+
+
+def _shares(gram: np.ndarray, shares: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(share, where its grams stand) for each share that has some; positions ascend."""
+    share = ((mixed(gram) >> np.uint64(32)) % np.uint64(shares)).astype(np.int64)
+    order = np.argsort(share, kind="stable")
+    at = share[order]
+    cut = np.flatnonzero(np.diff(at, prepend=-1))
+    for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(at)]):
+        yield int(at[lo]), order[lo:hi]
+
+
+def _packed(gram: np.ndarray, shares: int, kind: int, block: int, values: np.ndarray | None = None) -> pa.Table:
+    rows = [(s, gram[at].tobytes(), None if values is None else values[at].astype(np.float32).tobytes()) for s, at in _shares(gram, shares)]
+    n = len(rows)
+    return pa.table({"share": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array(np.full(n, kind, np.int32)), "block": pa.array(np.full(n, block, np.int32)), "number": pa.nulls(n, pa.int32()),
+                     "word": pa.nulls(n, pa.binary()), "v": pa.nulls(n, pa.int64()), "grams": pa.array([r[1] for r in rows], pa.binary()), "values": pa.array([r[2] for r in rows], pa.binary())})
 
 
 def score(docs: DataFrame, depth: int = DEPTH, blocks: int | None = None, piece: int = PIECE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row."""
     parts = shuffle_partitions(docs.sparkSession)
     blocks = blocks or parts
+    shares = SHARES * parts  # of the grams: more than partitions, so that these are even
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out("doc_id").alias("held"), "text")
     table = model(d, depth, piece)
     d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)).cast("int"))
@@ -322,60 +344,68 @@ def score(docs: DataFrame, depth: int = DEPTH, blocks: int | None = None, piece:
             u.append(np.unique(_skip(g, first, depth)))
         u = np.unique(np.concatenate(u))
         _, _, n, tokens = _words(batch)
-        out = []
-        for kind, size in ((0, len(u)), (1, len(n))):
-            out.append(pa.table({
-                "route": pa.array(u.view(np.int64)) if kind == 0 else pa.array(np.zeros(size, np.int64)), "kind": pa.array(np.full(size, kind, np.int32)), "place": pa.array(block << 32 | np.arange(size)),
-                "word": pa.nulls(size, pa.binary()) if kind == 0 else tokens, "v": pa.array(np.zeros(size) if kind == 0 else n.astype(float))}))
-        return pa.concat_tables(out)
+        size = len(n)
+        words = pa.table({"share": pa.nulls(size, pa.int32()), "kind": pa.array(np.full(size, 1, np.int32)), "block": pa.array(np.full(size, block, np.int32)), "number": pa.array(np.arange(size, dtype=np.int32)),
+                          "word": tokens, "v": pa.array(n), "grams": pa.nulls(size, pa.binary()), "values": pa.nulls(size, pa.binary())})
+        return pa.concat_tables([_packed(u, shares, 0, block), words])
 
-    asked = d.groupBy("block").applyInArrow(ask, ASK).withColumn("route", F.when(F.col("kind") == 1, F.xxhash64("word")).otherwise(F.col("route")))
-    known = table.select(F.col("gram").alias("route"), F.lit(2).alias("kind"), F.lit(0).cast("bigint").alias("place"), F.lit(None).cast("binary").alias("word"), F.col("lp").alias("v"))
+    asked = d.groupBy("block").applyInArrow(ask, ASK).withColumn("share", F.coalesce("share", F.pmod(F.xxhash64("word"), F.lit(shares)).cast("int")))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from _packed(b.column("gram").to_numpy().view(np.uint64), shares, 2, -1, b.column("lp").to_numpy()).combine_chunks().to_batches()
+
+    known = table.mapInArrow(pack, ASK)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a word stands in at most one row per block, a gram too: a task's share is even
-        grams_, places, values, lps, words, word_places, counts = [], [], [], [], [], [], []
+        names = ["block", "kind", "number", "v", "values", "tokens", "distinct"]
+        questions, lps, values, words, word_places, counts = [], [], [], [], [], []
         for b in batches:
             kind = b.column("kind").to_numpy()
-            route, place, v = (b.column(c).to_numpy() for c in ("route", "place", "v"))
-            grams_.append(route[kind == 0])
-            places.append(place[kind == 0])
-            lps.append(route[kind == 2])
-            values.append(v[kind == 2])
-            mine = np.flatnonzero(kind == 1)
-            words.append(b.column("word").take(pa.array(mine)))
-            word_places.append(place[mine])
-            counts.append(v[mine])
-        if not grams_:
+            grams_, found = b.column("grams"), b.column("values")
+            for i in np.flatnonzero(kind == 0).tolist():
+                questions.append((b.column("block")[i].as_py(), b.column("share")[i].as_py(), np.frombuffer(grams_[i].as_buffer(), np.uint64)))
+            for i in np.flatnonzero(kind == 2).tolist():
+                lps.append(np.frombuffer(grams_[i].as_buffer(), np.uint64))
+                values.append(np.frombuffer(found[i].as_buffer(), np.float32))
+            mine = pa.array(np.flatnonzero(kind == 1))
+            words.append(b.column("word").take(mine))
+            word_places.append(np.stack([b.column(c).take(mine).to_numpy() for c in ("block", "number")]))
+            counts.append(b.column("v").take(mine).to_numpy())
+        if not words:
             return
-
-        def rows(place: np.ndarray, kind: int, v: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for lo in range(0, len(place), 1 << 17):
-                p = place[lo : lo + (1 << 17)]
-                none = pa.nulls(len(p), pa.int64())
-                yield pa.record_batch([pa.array((p >> 32).astype(np.int32)), pa.array(np.full(len(p), kind, np.int32)), pa.array((p & ((1 << 32) - 1)).astype(np.int32)), pa.array(v[lo : lo + (1 << 17)]), none, none],
-                                      names=["block", "kind", "number", "v", "tokens", "distinct"])
-
-        lp, value = np.concatenate(lps), np.concatenate(values)
-        order = np.argsort(lp)
-        lp, value = lp[order], value[order]
-        asked_ = np.concatenate(grams_)
-        if len(asked_):
-            yield from rows(np.concatenate(places), 0, value[np.searchsorted(lp, asked_)].astype(np.float32).astype(float))
+        if lps:
+            lp, value = np.concatenate(lps), np.concatenate(values)
+            order = np.argsort(lp)
+            lp, value = lp[order], value[order]
+        for lo in range(0, len(questions), 256):
+            some = questions[lo : lo + 256]
+            n = len(some)
+            none = pa.nulls(n, pa.int64())
+            yield pa.record_batch([pa.array([q[0] for q in some], pa.int32()), pa.array(np.zeros(n, np.int32)), pa.array([q[1] for q in some], pa.int32()), none,
+                                   pa.array([value[np.searchsorted(lp, g)].tobytes() for _, _, g in some], pa.binary()), none, none], names=names)
         coded = pa.chunked_array(words).combine_chunks()
         coded = pc.dictionary_encode(coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded)
         at, n = coded.indices.to_numpy(), np.concatenate(counts)
-        c = np.bincount(at, n, len(coded.dictionary))
+        c = np.bincount(at, n, len(coded.dictionary)).astype(np.int64)
         differs = np.flatnonzero(c[at] != n)
-        yield from rows(np.concatenate(word_places)[differs], 1, c[at][differs])
-        yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([3], pa.int32()), pa.array([0], pa.int32()), pa.array([0.0]), pa.array([int(c.sum())]), pa.array([int((c > 0).sum())])],
-                              names=["block", "kind", "number", "v", "tokens", "distinct"])
-
-    answered = asked.unionByName(known).repartition(parts, "route").mapInArrow(answer, ANSWER)
+        block, number = np.concatenate(word_places, axis=1)[:, differs]
+        for lo in range(0, len(differs), 1 << 17):
+            size = len(block[lo : lo + (1 << 17)])
+            none = pa.nulls(size, pa.int64())
+            yield pa.record_batch([pa.array(block[lo : lo + size], pa.int32()), pa.array(np.ones(size, np.int32)), pa.array(number[lo : lo + size], pa.int32()), pa.array(c[at][differs[lo : lo + size]]),
+                                   pa.nulls(size, pa.binary()), none, none], names=names)
+        yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([3], pa.int32()), pa.array([0], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([int(c.sum())]), pa.array([int((c > 0).sum())])],
+                              names=names)
+
+    answered = asked.unionByName(known).repartition(parts, "share").mapInArrow(answer, ANSWER)
     totals = answered.where("kind = 3").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("_distinct")).withColumn("_one", F.lit(1))
 
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        kind, number, v = (right.column(c).to_numpy() for c in ("kind", "number", "v"))
+        kind, number = (right.column(c).to_numpy() for c in ("kind", "number"))
+        counted = right.column("v").fill_null(0).to_numpy()
+        answers = {int(number[i]): right.column("values")[i] for i in np.flatnonzero(kind == 0).tolist()}
         batch = _in_order(left)
         found = []
         for _, buf, off in slices(batch, "text", SLICE):
@@ -384,11 +414,12 @@ def score(docs: DataFrame, depth: int = DEPTH, blocks: int | None = None, piece:
             found.append((coded.indices.to_numpy(), coded.dictionary.to_numpy(), size))
         u = np.unique(np.concatenate([own for _, own, _ in found]))
         lp = np.zeros(len(u))
-        lp[number[kind == 0]] = v[kind == 0]
+        for share, at in _shares(u.view(np.uint64), shares):
+            lp[at] = np.frombuffer(answers[share].as_buffer(), np.float32)
         total = np.concatenate([np.add.reduceat(lp[np.searchsorted(u, own)][at], np.cumsum(size) - size) for at, own, size in found])
         size = np.concatenate([size for *_, size in found])
         words, token, c, _ = _words(batch)
-        c[number[kind == 1]] = v[kind == 1].astype(np.int64)
+        c[number[kind == 1]] = counted[kind == 1]
         cum = np.concatenate(([0.0], np.cumsum(np.log10(c + 1.0)[token])))
         seen = np.concatenate(([0], np.cumsum((c > 0)[token])))
         end = np.cumsum(words)
@@ -396,7 +427,7 @@ def score(docs: DataFrame, depth: int = DEPTH, blocks: int | None = None, piece:
             "doc_id": batch.column("doc_id"), "held_out": batch.column("held"), "n_tokens": pa.array(words + 1), "n_known": pa.array(seen[end] - seen[end - words] + int(c[0] > 0)),
             "_log": pa.array(cum[end] - cum[end - words] + np.log10(c[0] + 1.0)), "score": pa.array(total), "bits_per_byte": pa.array(-total * np.log2(10.0) / size)})
 
-    done = d.groupBy("block").cogroup(answered.where("kind < 2").select("block", "kind", "number", "v").groupBy("block")).applyInArrow(
+    done = d.groupBy("block").cogroup(answered.where("kind < 2").select("block", "kind", "number", "v", "values").groupBy("block")).applyInArrow(
         finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, _log double, score double, bits_per_byte double")
     done = done.withColumn("_one", F.lit(1)).join(F.broadcast(totals), "_one")  # one row
     base = F.col("_log") - F.col("n_tokens") * F.log10((F.col("train_tokens") + F.col("_distinct") + 1).cast("double"))

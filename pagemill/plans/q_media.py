@@ -227,10 +227,9 @@ _PRE, _POST = MO.IMAGE_PROMPT.split("{altText}", 1)
 @register(
     "enrichment_requests",
     f"""WITH {RESOLVED},
-f AS (SELECT hash, arg_min(kind, (page_id, kind, pos)) AS kind, arg_min(alt, (page_id, kind, pos)) AS alt,
-             arg_min(source_url, (page_id, kind, pos)) AS source_url, min(page_id) AS first_page_id,
-             count(*)::BIGINT AS n_refs
-      FROM res WHERE content_source = 'new' GROUP BY hash),
+r AS MATERIALIZED (SELECT hash, kind, alt, source_url, page_id, row_number() OVER (PARTITION BY hash ORDER BY page_id, kind, pos) AS rn,
+             count(*) OVER (PARTITION BY hash)::BIGINT AS n_refs FROM res WHERE content_source = 'new'),
+f AS MATERIALIZED (SELECT hash, kind, alt, source_url, page_id AS first_page_id, n_refs FROM r WHERE rn = 1),
 x AS (SELECT f.*, mb.bytes, mb.content_type FROM f JOIN mb ON mb.url = source_url)
 SELECT hash, kind AS media_type, CASE WHEN kind = 'image' THEN '{M.IMAGE_MODEL}' ELSE '{M.AUDIO_MODEL}' END AS model,
        CASE WHEN kind = 'image' THEN {Q(_PRE)} || alt || {Q(_POST)} END AS prompt,

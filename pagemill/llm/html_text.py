@@ -4,23 +4,29 @@ A page's tags build a tree with the end tags that HTML implies; the tree is walk
 what a browser would show is written to text: blocks on lines of their own, blank lines
 around paragraphs and the like, list markers with nesting, preformatted text as it is, and
 table cells in aligned columns. Hidden are head, script, style, template and similar elements, the
-hidden attribute, inline `display: none` and `visibility: hidden`, and what a closed details
-or dialog holds. No element is chosen over another: all visible text comes out.
+hidden attribute, inline `display: none`, and what a closed details or dialog holds, with all in
+them; inline `visibility` is inherited, so that a visible element shows inside a hidden one. No element is
+chosen over another: all visible text comes out. Columns are as wide as a terminal shows their text.
+
+The tokenizer looks at every character once, however broken the markup is; at most `MAX_OPEN` elements are
+open at a time (deeper ones are children of the last), as in browsers.
 
 A page is the unit of work; pages are independent, so the plan is one narrow pass over the
-table. Walks use explicit stacks, so nesting depth is bounded by memory, not by recursion.
+table. Walks use explicit stacks.
 
 Defined results: null or empty html gives an empty text; broken markup is read as far as it
-goes; repeated rows are rendered alike; an empty table gives an empty result. Other columns
-are carried through.
+goes (a tag that the end of the page cuts off is dropped); repeated rows are rendered alike; an empty table
+gives an empty result. Other columns are carried through; input columns named text, n_chars or n_lines give
+way to the result's.
 """
 
 from __future__ import annotations
 
+import html as charrefs
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,7 +54,22 @@ IMPLIED = {
     "body": ({"head"}, set()),
 }
 SCOPE = set("table td th caption html body button object template".split())
-HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+GONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\b", re.I)
+#: Elements whose content is text up to their end tag; in the second group references are decoded.
+RAW = ("script", "style", "xmp", "iframe", "noembed", "noframes", "title", "textarea")
+DECODED = ("title", "textarea")
+MAX_OPEN = 512
+_REST = r"""(?:[^=>]++|=[ \t\n\r\f]*+(?:"[^"]*+"?|'[^']*+'?)?+)*+>?"""
+TOKEN = re.compile(
+    r"<!--.*?(?:--!?>|\Z)"
+    rf"|<(?P<raw>{'|'.join(RAW)})(?=[ \t\n\r\f/>])(?P<open>{_REST})(?P<text>.*?)(?:</(?P=raw)(?=[ \t\n\r\f/>])[^>]*+>?|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-z][^ \t\n\r\f/>]*+)(?P<rest>{_REST})"
+    r"|<[!?/][^>]*+>?"
+    r"|(?P<data>(?:[^<]++|<(?![a-z!?/]))++)",
+    re.I | re.S,
+)
+ATTRIBUTE = re.compile(r"""([^ \t\n\r\f"'<>/=][^ \t\n\r\f/>=]*)(?:[ \t\n\r\f]*=[ \t\n\r\f]*(?:"([^"]*)"?|'([^']*)'?|([^ \t\n\r\f>]*)))?""")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -59,9 +80,15 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs, []
 
 
-class Tree(HTMLParser):
+def attributes(rest: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for name, dq, sq, bare in ATTRIBUTE.findall(rest):
+        out.setdefault(name.lower(), charrefs.unescape(dq or sq or bare))
+    return out
+
+
+class Tree:
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
         self.open = [self.root]
         self.count: Counter[str] = Counter()  # of open elements, so that most searches need no walk
@@ -82,7 +109,24 @@ class Tree(HTMLParser):
             if self.open[k].tag in stop:
                 return
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def feed(self, page: str) -> None:
+        for m in TOKEN.finditer(page):
+            if m["data"] is not None:
+                self.open[-1].kids.append(charrefs.unescape(m["data"]))
+            elif m["raw"]:
+                if m["open"].endswith(">"):
+                    tag = m["raw"].lower()
+                    self.start(tag, attributes(m["open"][:-1]))
+                    if self.open[-1].tag == tag:
+                        self.open[-1].kids.append(charrefs.unescape(m["text"]) if tag in DECODED else m["text"])
+                        self._close(len(self.open) - 1)
+            elif m["tag"] and m["rest"].endswith(">"):  # a tag that the end of the page cuts off is dropped
+                if m["end"]:
+                    self.end(m["tag"].lower())
+                else:
+                    self.start(m["tag"].lower(), attributes(m["rest"][:-1]))
+
+    def start(self, tag: str, attrs: dict[str, str]) -> None:
         if tag in CLOSES_P:
             self._end({"p"}, SCOPE)
         if tag in IMPLIED:
@@ -97,28 +141,23 @@ class Tree(HTMLParser):
                 k -= 1
             if self.open[k].tag == "table":
                 self._push("tr", {})
-        self._push(tag, dict((k, v or "") for k, v in attrs))
-        if tag in VOID:
+        self._push(tag, attrs)
+        if tag in VOID and self.open[-1].tag == tag:
             self._close(len(self.open) - 1)
 
     def _push(self, tag: str, attrs: dict[str, str]) -> None:
         node = Node(tag, attrs)
         self.open[-1].kids.append(node)
-        self.open.append(node)
-        self.count[tag] += 1
+        if len(self.open) < MAX_OPEN or tag in VOID or tag in RAW:
+            self.open.append(node)
+            self.count[tag] += 1
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)  # a slash on other elements than void ones means nothing
-
-    def handle_endtag(self, tag: str) -> None:
+    def end(self, tag: str) -> None:
         if tag == "br":
-            self.handle_starttag("br", [])
+            self.start("br", {})
         elif tag not in VOID:
             self._end({tag}, SCOPE - {tag} if tag not in ("table", "html", "body") else set())
 
-    def handle_data(self, data: str) -> None:
-        self.open[-1].kids.append(data)
-
 
 class Canvas:
     """Lines under construction; `gap` blank lines are due before the next one."""
@@ -179,12 +218,26 @@ def _hidden(n: Node, parent: Node | None) -> bool:
         return True
     if parent is not None and parent.tag == "details" and "open" not in parent.attrs and n.tag != "summary":
         return True
-    return "style" in n.attrs and HIDING.search(n.attrs["style"]) is not None
+    return "style" in n.attrs and GONE.search(n.attrs["style"]) is not None
+
+
+def _visible(n: Node, inherited: bool) -> bool:
+    """Is the element's own text drawn? The last `visibility` of its style counts, else its parent's."""
+    said = VISIBILITY.findall(n.attrs["style"]) if "style" in n.attrs else []
+    return said[-1].lower() == "visible" if said else inherited
 
 
 def _number(s: str, least: int, most: int) -> int:
-    m = re.match(r"\s*\+?(\d{1,6})", s)
-    return min(max(int(m[1]), least), most) if m else 1
+    """An integer as HTML reads it, held within bounds; 1 where there is none."""
+    m = re.match(r"\s*([+-]?)0*(\d{1,18})", s)
+    return min(max(int(m[1] + m[2]), least), most) if m else 1
+
+
+def _width(s: str) -> int:
+    """Columns that a terminal gives a text."""
+    if s.isascii():
+        return len(s)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
 
 
 def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
@@ -200,23 +253,28 @@ def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
                 col += 1
             line[col] = lines
             if cols == 1:
-                width[col] = max(width.get(col, 0), max(map(len, lines), default=0))
+                width[col] = max(width.get(col, 0), max(map(_width, lines), default=0))
             for c in range(col, col + cols):
                 taken[c] = max(taken.get(c, 0), down)
             col += cols
         taken = {c: k - 1 for c, k in taken.items() if k > 1}
         grid.append(line)
+    starts, at = {}, 0
+    for c in range(max((max(line, default=-1) for line in grid), default=-1) + 1):
+        starts[c] = at
+        at += width[c] + 2 if c in width else 0
     out = []
     for line in grid:
         used = sorted(line)
         for k in range(max((len(line[c]) for c in used), default=0)):
-            at, text = 0, ""
+            text, wide = [], 0
             for c in used:
-                start = sum(width.get(x, 0) + 2 for x in range(c) if x in width)
                 cell = line[c][k] if k < len(line[c]) else ""
                 if cell:
-                    text = text.ljust(start) if len(text) <= max(start - 2, 0) or not text else text + "  "
-                    text += cell
+                    pad = starts[c] - wide if wide <= max(starts[c] - 2, 0) or not wide else 2
+                    text.append(" " * pad + cell)
+                    wide += pad + _width(cell)
+            text = "".join(text)
             out.append(text.rstrip())
     return [x for x in out if x]
 
@@ -225,17 +283,18 @@ def render(html: str) -> list[str]:
     """The visible text's lines."""
     tree = Tree()
     tree.feed(html)
-    tree.close()
     canvas = Canvas()
     # canvases of the tables and cells being walked: (table's rows, canvas around it)
     tables: list[tuple[list, Canvas]] = []
     cells: list[Canvas] = []
     lists: list[list] = []  # [ordered, next number]
     pre = 0
-    work: list[tuple[str, Node | str, Node | None]] = [("in", tree.root, None)]
+    work: list[tuple[str, Node | str, Node | None, bool]] = [("in", tree.root, None, True)]
     while work:
-        step, n, parent = work.pop()
+        step, n, parent, shown = work.pop()
         if isinstance(n, str):
+            if not shown:
+                continue
             if parent is not None and parent.tag == "details" and "open" not in parent.attrs:
                 continue
             if parent is not None and parent.tag in ("table", "tr", "tbody", "thead", "tfoot") and not n.strip():
@@ -246,6 +305,7 @@ def render(html: str) -> list[str]:
         if step == "in":
             if _hidden(n, parent):
                 continue
+            shown = _visible(n, shown)
             if tag == "br":
                 canvas.end(keep_empty=not canvas.now and not pre and bool(canvas.lines) and canvas.gap == 0)
                 continue
@@ -262,16 +322,16 @@ def render(html: str) -> list[str]:
                 if n.kids and isinstance(n.kids[0], str) and n.kids[0].startswith("\n"):
                     n.kids[0] = n.kids[0][1:]
             elif tag in ("ul", "ol", "menu"):
-                lists.append([tag == "ol", _number(n.attrs["start"], 0, 999999) if "start" in n.attrs else 1])
+                lists.append([tag == "ol", _number(n.attrs["start"], -(1 << 31), (1 << 31) - 1) if "start" in n.attrs else 1])
             elif tag == "li":
                 mark = "- "
                 if lists and lists[-1][0]:
                     if "value" in n.attrs:
-                        lists[-1][1] = _number(n.attrs["value"], 0, 999999)
+                        lists[-1][1] = _number(n.attrs["value"], -(1 << 31), (1 << 31) - 1)
                     mark = f"{lists[-1][1]}. "
                     lists[-1][1] += 1
                 canvas.indent.append(" " * len(mark))
-                canvas.marker = mark
+                canvas.marker = mark if shown else ""
             elif tag == "dd":
                 canvas.indent.append("  ")
             elif tag == "blockquote":
@@ -285,8 +345,8 @@ def render(html: str) -> list[str]:
                 canvas = Canvas()
             elif tag in ("td", "th"):
                 canvas.block(0)
-            work.append(("out", n, parent))
-            work.extend(("in", k, n) for k in reversed(n.kids))
+            work.append(("out", n, parent, shown))
+            work.extend(("in", k, n, shown) for k in reversed(n.kids))
         else:
             if tag in ("td", "th") and tables and tables[-1][0] and cells:
                 lines = canvas.done()

@@ -3,6 +3,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import time
 
 import pytest
 
@@ -52,6 +53,12 @@ def test_query_keeps_all_visible_words(spark, sf):
         ("<select><option>a<option>b</select>", "a\nb"),
         ("</p></div>x<td>y", "x\ny"),
         ("<p>a<!-- c --> b", "a b"),
+        ('<div style="visibility:hidden">a<span style="visibility:visible">b</span><li>c</li></div>d', "b\nd"),
+        ('<div style="visibility:hidden;display:none">a<span style="visibility:visible">b</span></div>d', "d"),
+        ("<ol start=1234567><li>x<li value=-3>y<li>z</ol>", "1234567. x\n-3. y\n-2. z"),
+        ("<table><tr><td>漢字<td>a<tr><td>xyz<td>b</table>", "漢字  a\nxyz   b"),
+        ("1 < 2 <b title='a>b'>x</b> <3 &copy 4", "1 < 2 x <3 © 4"),
+        ("<textarea>a &amp; <b></textarea><title>t</title>c<p", "a & <b>c"),
     ],
 )
 def test_rendering(page, want):
@@ -89,6 +96,13 @@ def test_made_up_pages():
         assert html_text.render("".join(page)) == want
 
 
+@pytest.mark.parametrize("part, times", [("<a ", 400000), ("<!--", 300000), ('<p x="', 200000), ("<div>x", 100000), ("<ul><li>x", 50000), ("<p><button><div>", 30000), ("<table><td>x", 20000), ("<td>x", 50000), ("</p>x", 200000)])
+def test_broken_pages_of_a_megabyte_take_seconds(part, times):
+    began = time.process_time()
+    html_text.render(part * times)
+    assert time.process_time() - began < 20
+
+
 def test_nulls_depth_and_length(spark):
     deep = "<div>" * 100000 + "x" + "<table><tr><td>" * 300 + "y"
     rows = [(1, None, "u"), (2, "", "u"), (3, deep, "u"), (4, "<p>w " * 50000, "u"), (4, "<p>w " * 50000, "u"), (None, "<li>a", None)]

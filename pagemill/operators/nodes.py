@@ -82,7 +82,7 @@ _MARK = "array<struct<pos:int,kind:string,href:string,title:string>>"
 #: since the last text or image, `lead`: since the last run of any kind.
 _RUN = f"array<struct<pos:int,kind:string,text:string,space:boolean,lead:boolean,breaks:int,href:string,title:string,marks:{_MARK},tag:string,attrs:map<string,string>,`end`:int>>"
 SCHEMA = (
-    "page_id bigint, url string, hinted boolean, pos int, `end` int, parent int, kind string, tag string, attrs map<string,string>, text string, "
+    "url string, hinted boolean, pos int, `end` int, parent int, kind string, tag string, attrs map<string,string>, text string, "
     f"depth int, feeds int, block string, items {_ITEM}, runs {_RUN}, grid array<array<struct<head:boolean,text:string>>>"
 )
 
@@ -446,12 +446,13 @@ def _batch(rows: list[dict], arrow: pa.Schema) -> pa.RecordBatch:
 
 
 def html_nodes(pages: DataFrame) -> DataFrame:
-    """The node table (SCHEMA) of pages(page_id, url, html): rows of a page in order of `pos`. A page without
+    """The node table (page_id and SCHEMA) of pages(page_id, url, html): rows of a page in order of `pos`. A page without
     any token has its root alone."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(SCHEMA))
+    schema = f"page_id {dict(pages.dtypes)['page_id']}, {SCHEMA}"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -471,4 +472,4 @@ def html_nodes(pages: DataFrame) -> DataFrame:
                 yield _batch(held, arrow)
 
     hinted = F.coalesce(F.col("html").rlike(HINT), F.lit(False)).alias("hinted")
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", hinted, page_tokens("html").alias("tokens")).mapInArrow(run, SCHEMA)
+    return pages.select("page_id", "url", hinted, page_tokens("html").alias("tokens")).mapInArrow(run, schema)

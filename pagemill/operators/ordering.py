@@ -1,14 +1,14 @@
 """Order-dependent numbering without putting a whole group into one task.
 
 A plain `row_number()` / running `sum()` window moves every row of a group (or,
-without PARTITION BY, of the whole table) into a single task. Here the caller
-names `levels`: columns, coarse to fine, that are monotone in the order (a date
-and then the timestamp, ever longer prefixes of a URL). Rows are counted per
-level with a map-side phase, prefix sums over those counts give where each
-finest slice begins, and only the rows of one slice are ordered in one task.
-
-Slices are functions of the key alone, so nothing is sampled, collected or
-checkpointed: the plan is lazy, and a recomputed task numbers its rows alike.
+without PARTITION BY, of the whole table) into a single task. Here the rows are cut into
+slices that follow the order, counted per slice with a map-side phase, offset by prefix
+sums over those counts, and only the rows of one slice are ordered in one task.
+
+Slices are either `levels` named by the caller (columns, coarse to fine, that are
+monotone in the order: a date and then the timestamp), functions of the key alone, so that
+the plan is lazy; or runs: range partitions of the rows, written once, which hold about as many
+rows each whatever the keys look like.
 The result equals the global window (tests/test_skew.py).
 """
 
@@ -17,10 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def prefix_levels(col: str, lengths: tuple[int, ...] = (20, 36)) -> list[Column]:
-    """Ever longer prefixes of a string; string order is monotone in each."""
-    return [F.substring(col, 1, n) for n in lengths]
+from pagemill.session import ensure_checkpoint_dir
 
 
 def _offsets(df: DataFrame, group: list[str], names: list[str], value: Column, out: str) -> DataFrame:
@@ -53,15 +50,23 @@ def _sliced(df: DataFrame, levels: list[Column]) -> tuple[DataFrame, list[str]]:
 
 def position_within(df: DataFrame, group: list[str], order: list[str], out: str = "i", total: str | None = None,
                     levels: list[Column] | None = None) -> DataFrame:
-    """Adds `out` = 1-based position of the row within `group` by `order`
-    (and the group size as `total` when asked). Without `levels` the first
-    order column, a string, is cut by its prefixes."""
-    d, names = _sliced(df, levels or prefix_levels(order[0]))
+    """Adds `out` = 1-based position of the row within `group` by `order` (and the group size as `total` when asked).
+
+    Without `levels` the rows are cut into runs: range partitions by group and order, written to the shared checkpoint
+    folder so that all uses see the same runs. A run's rows are ordered in one task, whatever prefixes the keys share;
+    positions are offset by the counts of the group's earlier runs, of which there are at most as many as partitions."""
+    if levels is None:
+        ensure_checkpoint_dir(df.sparkSession)
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        d = df.repartitionByRange(parts, *group, *order).withColumn("_run", F.spark_partition_id()).checkpoint()
+        names = ["_run"]
+    else:
+        d, names = _sliced(df, levels)
     d = _join(d, _offsets(d, group, names, F.lit(1), "_off"), group + names)
     w = Window.partitionBy(*group, *names).orderBy(*order)
     d = d.withColumn(out, (F.col("_off") + F.row_number().over(w)).cast("bigint"))
     if total:
-        d = _join(d, df.groupBy(*group).agg(F.count(F.lit(1)).alias(total)), group)
+        d = _join(d, d.groupBy(*group).agg(F.count(F.lit(1)).alias(total)), group)
     return d.drop("_off", *names)
 
 

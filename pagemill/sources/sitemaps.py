@@ -2,21 +2,20 @@
 recursive expansion of index documents.
 
 `sitemap_docs(loc, xml)` holds fetched documents (fetching stays outside).
-Parsing is per row (narrow); the expansion recurses over *documents only*
-(edges index → child) with a recursive CTE, then joins the URL entries once.
+Parsing is per row (narrow); the expansion goes over *documents only*
+(edges index → child), a level at a time, then joins the URL entries once.
 """
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.session import ensure_checkpoint_dir
+
 URLSET_SCHEMA = "url array<struct<loc:string,lastmod:string,changefreq:string,priority:string>>"
 INDEX_SCHEMA = "sitemap array<struct<loc:string,lastmod:string>>"
 ORDER_DIGITS = 10
-_ids = itertools.count()
 
 
 def read_sitemap_files(spark, path: str) -> DataFrame:
@@ -48,31 +47,22 @@ def expand(docs: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
     concatenated in index order without dedup. `order_key` orders the result
     the way the reference's depth-first concatenation does. Cycles are cut
     (a document already on the path is not entered again). Nesting beyond
-    `max_depth` index levels raises: a partial list is never returned. The
-    recursion runs over index documents only (a URL set is never parsed for it),
-    and the session's cap on recursive rows is lifted for it."""
-    spark = docs.sparkSession
-    n = next(_ids)
-    edges_v, roots_v = f"pm_sitemap_edges_{n}", f"pm_sitemap_roots_{n}"
-    index_edges(docs).createOrReplaceTempView(edges_v)
-    roots.select("root").createOrReplaceTempView(roots_v)
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max(max_depth + 2, int(spark.conf.get("spark.sql.cteRecursionLevelLimit", "100")))))
-    reach = spark.sql(
-        f"""
-        WITH RECURSIVE r(root, doc, depth, order_key, path) AS (
-          SELECT root, root, 0, '', array(root) FROM {roots_v}
-          UNION ALL
-          SELECT r.root, e.child,
-                 IF(r.depth >= {int(max_depth)}, CAST(raise_error('sitemap indexes are nested deeper than {int(max_depth)} levels') AS INT), r.depth + 1),
-                 concat(r.order_key, lpad(CAST(e.pos AS STRING), {ORDER_DIGITS}, '0'), '.'),
-                 array_append(r.path, e.child)
-          FROM r JOIN {edges_v} e ON e.parent = r.doc
-          WHERE NOT array_contains(r.path, e.child)
-        )
-        SELECT root, doc, depth, order_key FROM r
-        """
-    )
+    `max_depth` index levels raises: a partial list is never returned.
+
+    One join a level over the index documents' edges alone (a URL set is never parsed for it); each level's
+    documents are written to the shared checkpoint folder and are the next level's frontier."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    edges = index_edges(docs).checkpoint()
+    step = F.concat("order_key", F.lpad(F.col("pos").cast("string"), ORDER_DIGITS, "0"), F.lit("."))
+    reach = frontier = roots.select("root", F.col("root").alias("doc"), F.lit(0).alias("depth"), F.lit("").alias("order_key"), F.array("root").alias("path"))
+    for depth in range(1, max_depth + 2):
+        found = frontier.join(edges, frontier["doc"] == edges["parent"]).where(~F.array_contains("path", F.col("child")))
+        frontier = found.select("root", F.col("child").alias("doc"), F.lit(depth).alias("depth"), step.alias("order_key"), F.array_append("path", F.col("child")).alias("path")).checkpoint()
+        if frontier.isEmpty():
+            break
+        if depth > max_depth:
+            raise ValueError(f"sitemap indexes are nested deeper than {max_depth} levels")
+        reach = reach.unionAll(frontier)
     entries = urlset_entries(docs)
     return reach.join(entries, reach["doc"] == entries["sitemap"]).select(
         "root",

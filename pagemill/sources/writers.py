@@ -57,7 +57,7 @@ def append_content_cache(cache: DataFrame, path: str) -> None:
     cache.write.mode("append").parquet(path)
 
 
-def _is_missing(error: Exception) -> bool:
+def is_missing(error: Exception) -> bool:
     return isinstance(error, AnalysisException) and error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
@@ -67,7 +67,7 @@ def registry_versions(spark, base: str) -> list[int]:
     try:
         rows = spark.read.schema("value string, v int").text(f"{base}/_committed").select("v").distinct().collect()  # one row per version
     except AnalysisException as e:
-        if _is_missing(e):
+        if is_missing(e):
             return []
         raise
     return sorted(r["v"] for r in rows)

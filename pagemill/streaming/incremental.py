@@ -1,16 +1,13 @@
 """Structured Streaming forms of the re-run behaviour.
 
-* `start_page_stream` (INC1): captures arriving as files → newest usable
-  capture per URL in each micro-batch → converted pages, written per batch id.
-  A batch id always writes the same folder (overwrite), so a replayed batch is
-  idempotent; `current_pages` reads the newest version of every URL.
-* `start_registry_stream` (INC3): media occurrences arriving as files → the registry,
-  upserted per micro-batch: a batch's distinct (item, page) pairs are merged into the
-  current version and written as the next one, whose number is the batch's. A replayed
-  batch finds its version committed and changes nothing. The state is the registry itself
-  (one row per item and per pair), not stream state, so nothing expires and batch ≡ stream.
-
-Checkpoints go to the caller's folder, which on a cluster must be the shared
+* `start_page_stream` (INC1): captures arriving as files → newest usable capture per URL in each micro-batch →
+  converted pages, kept as runs (`streaming.runs`); merging keeps the newest capture of each URL, however late it
+  came, so `current_pages` reads a bounded number of versions of a URL.
+* `start_registry_stream` (INC3): media occurrences arriving as files → a batch's distinct (item, page) pairs, kept as
+  runs: a batch writes rows in proportion to itself, not to the registry. Merging is the aggregate that made
+  them. The state is the table itself, not stream state, so nothing expires and batch ≡ stream.
+
+A batch that is run again changes nothing. Checkpoints go to the caller's folder, which on a cluster must be the shared
 checkpoint location (see `pagemill.session.checkpoint_dir`).
 """
 
@@ -23,11 +20,11 @@ from pagemill.operators import crawl as C
 from pagemill.operators import pages as P
 from pagemill.operators import registry as R
 from pagemill.schemas import CAPTURES
-from pagemill.sources import writers as W
+from pagemill.streaming import runs
 
 
 def start_page_stream(spark: SparkSession, captures_dir: str, out: str, checkpoint: str, run_date: str,
-                      available_now: bool = True):
+                      available_now: bool = True, fanout: int = runs.FANOUT):
     src = spark.readStream.schema(CAPTURES).parquet(captures_dir)
 
     def convert(batch: DataFrame, batch_id: int) -> None:
@@ -35,7 +32,7 @@ def start_page_stream(spark: SparkSession, captures_dir: str, out: str, checkpoi
         try:
             latest = C.latest_capture(batch).select(F.md5("url").alias("page_id"), "url", "fetched_at", "html")
             docs = P.page_document(latest, run_date).join(latest.select("url", "fetched_at"), "url")
-            docs.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+            runs.add(docs.withColumn("batch_id", F.lit(batch_id).cast("bigint")), out, batch_id + 1, newest_pages, fanout)
         finally:
             batch.unpersist()
 
@@ -44,43 +41,41 @@ def start_page_stream(spark: SparkSession, captures_dir: str, out: str, checkpoi
     return w.start()
 
 
-def current_pages(spark: SparkSession, out: str) -> DataFrame:
-    """Newest converted version of every URL across all batches: the newest version is picked from its time
-    and batch alone, then its row is fetched, so old versions' texts are not shuffled."""
-    df = spark.read.parquet(out)
-    best = df.groupBy("url").agg(F.max(F.struct("fetched_at", "batch_id")).alias("b")).select("url", "b.*")
-    return df.join(best, ["url", "fetched_at", "batch_id"])
+def newest_pages(versions: DataFrame) -> DataFrame:
+    """The newest version of every URL: picked from its time and batch alone, then its row is fetched, so old versions'
+    texts are not shuffled."""
+    best = versions.groupBy("url").agg(F.max(F.struct("fetched_at", "batch_id")).alias("b")).select("url", "b.*")
+    return versions.join(best, ["url", "fetched_at", "batch_id"])
 
 
-def upsert_registry(known: tuple[DataFrame, DataFrame] | None, occ: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(media_contents, distinct occurrences) after merging the occurrences of one batch: of a pair seen
-    before, the earlier use stays and the last use moves on."""
-    payload = R.PAYLOAD
-    new = R.distinct_occurrences(occ, payload=payload)
-    if known is not None:
-        # order columns and payload are kept with the pairs, so that merging is the same aggregate again
-        order = [c for c in R.ORDER if c in new.columns]
-        fields = [c for c in new.columns if c not in ("hash", "page_path", "last_ts")]
-        both = known[1].select(*new.columns).unionByName(new)
-        new = both.groupBy("hash", "page_path").agg(F.min_by(F.struct(*fields), F.struct(*order)).alias("f"), F.max("last_ts").alias("last_ts")).select(
-            "hash", "page_path", "f.*", "last_ts")
-    return R.contents_of(new), new
+def current_pages(spark: SparkSession, out: str) -> DataFrame | None:
+    """Newest converted version of every URL across all batches."""
+    return runs.read(spark, out, newest_pages)
 
 
-def start_registry_stream(spark: SparkSession, occ_dir: str, schema: str, base: str, checkpoint: str, available_now: bool = True):
-    """Upsert the registry under `base` (`sources.writers.read_registry` reads it) for every micro-batch."""
+def merged_pairs(pairs: DataFrame) -> DataFrame:
+    """Distinct occurrences of several batches as one: of a pair the earlier use stays and the last use moves on."""
+    # order columns and payload are kept with the pairs, so that merging is the same aggregate again
+    order = [c for c in R.ORDER if c in pairs.columns]
+    fields = [c for c in pairs.columns if c not in ("hash", "page_path", "last_ts")]
+    both = pairs.groupBy("hash", "page_path").agg(F.min_by(F.struct(*fields), F.struct(*order)).alias("f"), F.max("last_ts").alias("last_ts"))
+    return both.select("hash", "page_path", "f.*", "last_ts")
+
+
+def start_registry_stream(spark: SparkSession, occ_dir: str, schema: str, base: str, checkpoint: str, available_now: bool = True, fanout: int = runs.FANOUT):
+    """Keep the registry's pairs under `base` as runs, one for every micro-batch (`streamed_registry` reads them)."""
     src = spark.readStream.schema(schema).parquet(occ_dir)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        version = batch_id + 1
-        done = W.registry_versions(s, base)
-        if version in done:
-            return  # a replay
-        before = [v for v in done if v < version]
-        contents, pairs = upsert_registry(W.read_registry(s, base, max(before)) if before else None, batch)
-        W.save_registry_version(contents, pairs, base, version=version)
+        runs.add(R.distinct_occurrences(batch), base, batch_id + 1, merged_pairs, fanout)
 
     w = src.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
+
+
+def streamed_registry(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame] | None:
+    """(media_contents, distinct occurrences) of what the stream has brought so far; `writers.save_registry_version`
+    keeps a copy of it as a version."""
+    pairs = runs.read(spark, base, merged_pairs)
+    return None if pairs is None else (R.contents_of(pairs), pairs)

@@ -21,17 +21,25 @@ def _hot(spark, n=6000):
 
 
 def test_position_within_splits_a_hot_group(spark):
-    df = _hot(spark)
-    levels = O.prefix_levels("url", (4, 6))
-    slices = df.filter("site = 'hot'").select(levels[-1].alias("s")).groupBy("s").count().collect()
-    assert len(slices) > 10 and max(r["count"] for r in slices) < 400  # the hot site is ordered in many tasks
-    got = O.position_within(df, ["site"], ["url"], out="i", total="n", levels=levels)
-    assert "LocalTableScan" not in got._jdf.queryExecution().executedPlan().toString()  # lazy: still reads its input
+    """Production settings; the hot site's URLs share 200 characters."""
+    df = _hot(spark).withColumn("url", F.concat(F.lit("https://hot.example/" + "a" * 180), "url"))
+    got = O.position_within(df, ["site"], ["url"], out="i", total="n")
     want = df.withColumn("i", F.row_number().over(Window.partitionBy("site").orderBy("url")).cast("bigint"))
     a = sorted((r.site, r.url, r.i) for r in got.collect())
     b = sorted((r.site, r.url, r.i) for r in want.collect())
     assert a == b
     assert got.filter("site = 'hot'").select("n").distinct().first().n == 4000
+    runs = df.repartitionByRange(8, "site", "url").withColumn("p", F.spark_partition_id()).filter("site = 'hot'").groupBy("p").count().collect()
+    assert len(runs) > 4 and max(r["count"] for r in runs) < 1500  # the hot site is ordered in many tasks
+
+
+def test_position_within_levels_is_lazy(spark):
+    df = _hot(spark)
+    levels = [F.substring("url", 1, n) for n in (4, 6)]
+    got = O.position_within(df, ["site"], ["url"], levels=levels)
+    assert "Range (0, 6000" in got._jdf.queryExecution().executedPlan().toString()  # still reads its input
+    want = df.withColumn("i", F.row_number().over(Window.partitionBy("site").orderBy("url")).cast("bigint"))
+    assert sorted((r.site, r.url, r.i) for r in got.collect()) == sorted((r.site, r.url, r.i) for r in want.collect())
 
 
 def test_position_within_null_group_and_ties(spark):

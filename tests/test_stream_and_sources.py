@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import datetime as dt
 import json
+import shutil
 
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from pagemill.sources import files as FS
 from pagemill.sources import writers as W
 from pagemill.sources.derived import captures, media_occurrences
 from pagemill.streaming import incremental as S
+from pagemill.streaming import runs
 
 
 def _rows(df):
@@ -30,15 +33,41 @@ def test_registry_stream_equals_batch(spark, tables, tmp_path):
     schema = occ.schema.simpleString()[len("struct<"):-1].replace(":", " ")
     base = str(tmp_path / "registry")
     S.start_registry_stream(spark, str(src / "part[01]"), schema, base, str(tmp_path / "ckpt")).awaitTermination()
-    half = W.latest_registry_version(spark, base)
+    half = runs.committed(spark, base)
     S.start_registry_stream(spark, str(src / "*"), schema, base, str(tmp_path / "ckpt")).awaitTermination()
-    assert W.latest_registry_version(spark, base) > half >= 1
-    contents, pairs = W.read_registry(spark, base)
+    assert len(runs.committed(spark, base)) > len(half) >= 1
+    contents, pairs = S.streamed_registry(spark, base)
     assert _rows(contents) == _rows(R.registry_build(occ))
     assert pairs.count() == occ.select("hash", "page_path").distinct().count()
     # a replayed batch changes nothing
-    assert W.save_registry_version(contents.limit(1), pairs.limit(1), base, version=half) == W.latest_registry_version(spark, base)
-    assert _rows(W.read_registry(spark, base)[0]) == _rows(R.registry_build(occ))
+    runs.add(R.distinct_occurrences(occ.limit(1)), base, 1, S.merged_pairs)
+    assert _rows(S.streamed_registry(spark, base)[0]) == _rows(R.registry_build(occ))
+    assert W.save_registry_version(contents, pairs, str(tmp_path / "saved")) == 1
+
+
+def test_runs_merge_in_levels_and_survive_failures(spark, tables, tmp_path):
+    occ = media_occurrences(tables).limit(900).withColumn("_b", F.pmod(F.xxhash64("page_path", "tie1"), F.lit(9)) + 1).persist()
+    base, sizes = str(tmp_path / "reg"), []
+    assert S.streamed_registry(spark, base) is None
+    for v in range(1, 10):
+        batch = R.distinct_occurrences(occ.where(F.col("_b") == v).drop("_b"))
+        runs.add(batch, base, v, S.merged_pairs, fanout=2)
+        sizes.append((batch.count(), spark.read.parquet(f"{base}/runs/{v}-{v}").count()))
+        if v == 4:  # a merge that died before its commit is made again
+            shutil.rmtree(f"{base}/_runs/1-4")
+            runs.add(batch, base, v, S.merged_pairs, fanout=2)
+    assert all(a == b for a, b in sizes)  # a batch writes its own rows, however large the registry is
+    assert runs.cover(runs.committed(spark, base)) == [(1, 8), (9, 9)] and len(runs.obsolete(spark, base)) == 14
+    contents, _ = S.streamed_registry(spark, base)
+    assert _rows(contents) == _rows(R.registry_build(occ.drop("_b")))
+
+
+def test_late_captures_do_not_win(spark, tmp_path):
+    row = lambda v, url, day: (url, dt.datetime(2024, 1, day), v, f"v{v}")
+    for v, rows in enumerate([[row(0, "a", 2), row(0, "b", 1)], [row(1, "a", 1), row(1, "b", 2)], [row(2, "c", 1)]]):
+        df = spark.createDataFrame(rows, "url string, fetched_at timestamp_ntz, batch_id bigint, markdown string")
+        runs.add(df, str(tmp_path / "p"), v + 1, S.newest_pages, fanout=2)
+    assert {(r.url, r.markdown) for r in S.current_pages(spark, str(tmp_path / "p")).collect()} == {("a", "v0"), ("b", "v1"), ("c", "v2")}
 
 
 def test_registry_save_survives_failures(spark, tmp_path):

@@ -159,6 +159,19 @@ def cost_guard(priced: DataFrame, order: list[str] = ("ts", "media_hash"), warn_
     )
 
 
+def admitted_requests(requests: DataFrame, budget_usd: float = STOP_USD) -> DataFrame:
+    """Which of the pending model requests (media_hash, n_pages, cost_nano) may be issued under a budget: those most pages
+    wait for first (ties by hash), as long as their running cost stays within it. A request without a price adds
+    nothing and is not issued. The running cost is a prefix sum over range runs, so no task orders them all."""
+    d = requests.withColumns({"_last": -F.col("n_pages"), "_cost": F.coalesce("cost_nano", F.lit(0).cast(NANO))})
+    d = running_total(d, ["_last", "media_hash"], "_cost", "_cum")
+    within = F.col("_cum") <= F.lit(int(round(budget_usd * 1e9)))
+    return d.select(
+        "media_hash", "n_pages", usd(F.col("cost_nano")).alias("cost"), usd(F.col("_cum")).alias("cumulative_cost"),
+        F.when(F.col("cost_nano").isNull(), "unpriced").when(within, "admit").otherwise("hold").alias("decision"),
+    )
+
+
 def audio_duration_estimate(media: DataFrame, bytes_col: str = "length") -> DataFrame:
     """Duration estimate of 1 MB per minute: seconds = bytes / 1048576 × 60."""
     return media.withColumn("est_seconds", F.col(bytes_col) / F.lit(1048576.0) * F.lit(60.0))

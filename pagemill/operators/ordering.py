@@ -55,13 +55,7 @@ def position_within(df: DataFrame, group: list[str], order: list[str], out: str
     Without `levels` the rows are cut into runs: range partitions by group and order, written to the shared checkpoint
     folder so that all uses see the same runs. A run's rows are ordered in one task, whatever prefixes the keys share;
     positions are offset by the counts of the group's earlier runs, of which there are at most as many as partitions."""
-    if levels is None:
-        ensure_checkpoint_dir(df.sparkSession)
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-        d = df.repartitionByRange(parts, *group, *order).withColumn("_run", F.spark_partition_id()).checkpoint()
-        names = ["_run"]
-    else:
-        d, names = _sliced(df, levels)
+    d, names = _sliced(df, levels) if levels is not None else _runs(df, group + order)
     d = _join(d, _offsets(d, group, names, F.lit(1), "_off"), group + names)
     w = Window.partitionBy(*group, *names).orderBy(*order)
     d = d.withColumn(out, (F.col("_off") + F.row_number().over(w)).cast("bigint"))
@@ -70,9 +64,18 @@ def position_within(df: DataFrame, group: list[str], order: list[str], out: str
     return d.drop("_off", *names)
 
 
-def running_total(df: DataFrame, order: list[str], value: str, out: str, levels: list[Column]) -> DataFrame:
-    """Adds `out` = running sum of `value` over the whole table in `order`."""
-    d, names = _sliced(df, levels)
-    d = _join(d, _offsets(d, [], names, F.col(value), "_off"), names)
-    w = Window.partitionBy(*names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+def _runs(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """Rows cut into range partitions by `keys`, written once."""
+    ensure_checkpoint_dir(df.sparkSession)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartitionByRange(parts, *keys).withColumn("_run", F.spark_partition_id()).checkpoint(), ["_run"]
+
+
+def running_total(df: DataFrame, order: list[str], value: str, out: str, levels: list[Column] | None = None, group: list[str] | None = None) -> DataFrame:
+    """Adds `out` = running sum of `value` within `group` (the whole table without one) in `order`; slices as in
+    `position_within`."""
+    group = group or []
+    d, names = _sliced(df, levels) if levels is not None else _runs(df, group + order)
+    d = _join(d, _offsets(d, group, names, F.col(value), "_off"), group + names)
+    w = Window.partitionBy(*group, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return d.withColumn(out, F.col("_off") + F.sum(value).over(w)).drop("_off", *names)

@@ -8,7 +8,7 @@ from pagemill.operators import costs as C
 from pagemill.operators.ordering import position_within
 from pagemill.plans.catalog import register
 from pagemill.plans.q_registry import f6
-from pagemill.sources.derived import api_usage
+from pagemill.sources.derived import api_usage, media_occurrences
 
 
 def _prices_values() -> str:
@@ -132,6 +132,23 @@ def cost_guard(t):
     return C.cost_guard(_priced(t))
 
 
+@register(
+    "requests_admitted",
+    f"""WITH {PRICED},
+n AS (SELECT hash AS media_hash, count(DISTINCT page_path)::BIGINT AS n_pages FROM f6 GROUP BY hash),
+c AS (SELECT media_hash, n_pages, cost_nano, sum(coalesce(cost_nano, 0)) OVER (ORDER BY n_pages DESC, media_hash ROWS UNBOUNDED PRECEDING) AS cum
+      FROM pr JOIN n USING (media_hash))
+SELECT media_hash, n_pages, {usd('cost_nano')} AS cost, {usd('cum')} AS cumulative_cost,
+       CASE WHEN cost_nano IS NULL THEN 'unpriced' WHEN cum <= {int(C.STOP_USD * 1e9)} THEN 'admit' ELSE 'hold' END AS decision
+FROM c""",
+    "AGG10 MED7",
+)
+def requests_admitted(t):
+    waiting = media_occurrences(t).groupBy("hash").agg(F.count_distinct("page_path").cast("bigint").alias("n_pages"))
+    priced = _priced(t).select("media_hash", "cost_nano")
+    return C.admitted_requests(priced.join(waiting, priced["media_hash"] == waiting["hash"]).select("media_hash", "n_pages", "cost_nano"))
+
+
 @register(
     "audio_cost_estimate",
     f"""SELECT doc_id, octet_length(encode(text))::BIGINT AS bytes,

@@ -7,10 +7,11 @@ output passes through the driver.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import host
+from pagemill.operators.ordering import running_total
 
 
 #: Files that one domain may be split into.
@@ -49,6 +50,31 @@ def write_merged(pieces: DataFrame, path: str, mode: str = "overwrite") -> None:
 LINE_SEP = "\ufdd8"
 
 
+def write_merged_parts(pieces: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Merged documents as parts with a manifest: `parts` holds each piece with the byte offset at which its site's one
+    document has it, partitioned by site and in order; `manifest` the offsets, lengths and checksums. Offsets are a
+    prefix sum over range runs, so a site of any size is written by many tasks. `merged_faults` checks a folder."""
+    sized = pieces.select("site", "block", "part", F.encode("text", "UTF-8").alias("data")).withColumn("length", F.octet_length("data").cast("bigint"))
+    placed = running_total(sized, ["block", "part"], "length", "_end", group=["site"]).withColumn("offset", F.col("_end") - F.col("length"))
+    n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = placed.select("site", "offset", "length", F.sha2("data", 256).alias("sha256"), "data").repartitionByRange(n, "site", "offset").sortWithinPartitions("site", "offset")
+    rows.write.mode(mode).partitionBy("site").parquet(f"{path}/parts")
+    # read back, so that the manifest tells what was written
+    back = pieces.sparkSession.read.parquet(f"{path}/parts")
+    back.select("site", "offset", "length", "sha256", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")).write.mode(mode).parquet(f"{path}/manifest")
+
+
+def merged_faults(spark, path: str) -> DataFrame:
+    """(site, offset, fault) of parts that are missing, altered or do not join the part before; no row if a reader that
+    concatenates a site's parts by offset gets its document."""
+    w = Window.partitionBy("site").orderBy("offset", "length")
+    m = spark.read.parquet(f"{path}/manifest").withColumn("due", F.coalesce(F.lag(F.col("offset") + F.col("length")).over(w), F.lit(0)))
+    p = spark.read.parquet(f"{path}/parts").select("site", "offset", F.octet_length("data").cast("bigint").alias("_n"), F.sha2("data", 256).alias("_sha"))
+    both = m.join(p, ["site", "offset"], "left")
+    fault = F.when(F.col("_n").isNull(), "missing").when((F.col("_n") != F.col("length")) | (F.col("_sha") != F.col("sha256")), "altered").when(F.col("offset") != F.col("due"), "gap")
+    return both.select("site", "offset", fault.alias("fault")).where("fault IS NOT NULL")
+
+
 def append_captures(captures: DataFrame, path: str, files: int = DOMAIN_FILES) -> None:
     by_domain(captures, files).write.mode("append").partitionBy("domain").parquet(path)
 

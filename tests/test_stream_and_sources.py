@@ -191,6 +191,26 @@ def test_writers(spark, tables, tmp_path):
     assert "".join(f.read_text() for f in files).replace(W.LINE_SEP, "") == "".join(p[3] for p in pieces[:6])
 
 
+def test_merged_parts_read_back_byte_for_byte(spark, tmp_path):
+    pieces = [(site, b, p, f"{site} {b}.{p} é漢\n" * (1 + (b * 7 + p) % 5)) for site in ("en", "de") for b in range(4) for p in range(30)] + [("en", 4, 0, "")]
+    df = spark.createDataFrame(pieces[::-1], "site string, block int, part bigint, text string").repartition(5)
+    path = str(tmp_path / "merged")
+    W.write_merged_parts(df, path)
+    for site in ("en", "de"):
+        rows = spark.read.parquet(f"{path}/parts").where(F.col("site") == site).orderBy("offset", "length").collect()
+        got = b""
+        for r in rows:
+            assert r["offset"] == len(got)
+            got += bytes(r["data"])
+        assert got.decode() == "".join(t for s, _, _, t in sorted(pieces, key=lambda x: x[:3]) if s == site)
+    assert W.merged_faults(spark, path).collect() == []
+    bad = spark.read.parquet(f"{path}/parts").where("offset > 0 AND site = 'de'").withColumn("data", F.when(F.col("offset") < 100, F.lit(b"x")).otherwise(F.col("data")))
+    bad.write.partitionBy("site").parquet(str(tmp_path / "bad" / "parts"))
+    spark.read.parquet(f"{path}/manifest").write.parquet(str(tmp_path / "bad" / "manifest"))
+    faults = W.merged_faults(spark, str(tmp_path / "bad")).where("site = 'de'").collect()
+    assert {r["fault"] for r in faults} == {"missing", "altered"} and min(r["offset"] for r in faults) == 0
+
+
 def test_site_run_end_to_end(spark):
     from pagemill.plans.site_run import site_run
 

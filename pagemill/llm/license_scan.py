@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import ALNUM, LOWER, run_hashes, slices, spans
+from pagemill.llm.common import ALNUM, LOWER, guarded, run_hashes, slices, spans
 
 
 @dataclass(frozen=True)
@@ -80,11 +80,24 @@ TEMPLATES = BASE + (
              ("free of charge to any person obtaining a copy",)),
     Template("mit", "released under the mit license", ("the mit license",)),
     Template("mpl", "mozilla public license"),
+    Template("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of "
+             "the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed "
+             "on an as is basis without warranties or conditions of any kind either express or implied",
+             ("you may not use this file except in compliance with the license", "without warranties or conditions of any kind")),
+    Template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must "
+             "reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+             ("redistributions of source code must retain the above copyright notice", "redistributions in binary form must reproduce the above copyright notice")),
+    Template("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without "
+             "specific prior written permission", ("names of its contributors may be used", "to endorse or promote products derived from this software")),
+    *(Template(f"gpl-{v}.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software "
+               f"foundation either version {v} of the license or at your option any later version", ("you can redistribute it and or modify it", f"either version {v} of the license")) for v in (2, 3)),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software "
+             "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+             ("free of charge to any person obtaining a copy", "to deal in the software without restriction", "modify merge publish distribute sublicense")),
+    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one",
+             ("subject to the terms of the mozilla public license v 2 0", "if a copy of the mpl was not distributed with this file")),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
 )
-#: Words that a template is indexed under, at most; the share of them that must agree on a position.
-INDEXED = 4
-AGREE = 0.5
 #: Share of a template's IDF that must be aligned for its label.
 THRESHOLD = 0.6
 
@@ -133,18 +146,24 @@ def document_frequencies(docs: DataFrame, templates: tuple[Template, ...] = TEMP
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` with n_words, n_base, first_word, last_word, base_labels, labels, score, best_label."""
+    """`docs` with n_words, n_base, first_word, last_word, base_labels, labels, score, best_label. Columns of the same names
+    are kept beside them."""
+    return guarded(docs, ("doc_id", "text"), lambda d: _scan(d, templates, threshold))
+
+
+def _scan(docs: DataFrame, templates: tuple[Template, ...], threshold: float) -> DataFrame:
     df, n_docs = document_frequencies(docs, templates)
     words, hashes, order = _vocabulary(templates)
     number_of = {w: i for i, w in enumerate(words)}
     idf = np.log((n_docs + 1) / (df + 0.5))
     spelled = [np.array([number_of[w] for w in t.words]) for t in templates]
-    # word number -> (template, position): each template under its rarest words, a phrase under the rarest only
+    # word number -> (template, position): each template under the rarest word of each mandatory phrase; all of
+    # them must agree on a position, which loses nothing, as the phrases must stand there anyway
     postings: dict[int, list[tuple[int, int]]] = {}
     indexed = []
     for k, (t, s) in enumerate(zip(templates, spelled)):
-        exact = len(t.fixed) == len(t.words)
-        rare = sorted(range(len(s)), key=lambda i: (-idf[s[i]], i))[: 1 if exact else INDEXED]
+        cuts = [0, *(i for i in range(1, len(t.fixed)) if t.fixed[i] != t.fixed[i - 1] + 1), len(t.fixed)]
+        rare = [min(t.fixed[lo:hi], key=lambda i: (-idf[s[i]], i)) for lo, hi in zip(cuts, cuts[1:])]
         indexed.append(len(rare))
         for i in rare:
             postings.setdefault(int(s[i]), []).append((k, i))
@@ -178,7 +197,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold
                 for k, lists in cand.items():
                     t, s = templates[k], spelled[k]
                     start, agree = np.unique(np.concatenate(lists), return_counts=True)
-                    start = start[agree >= AGREE * indexed[k]]
+                    start = start[agree == indexed[k]]
                     for i in t.fixed:
                         start = start[number[start + i] == s[i]]
                     if not len(start):

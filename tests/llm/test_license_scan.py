@@ -56,6 +56,43 @@ def test_templates_and_edges(spark, make_docs):
     assert license_scan.scan(docs.limit(0)).collect() == []
 
 
+def test_notices_need_all_their_phrases_and_nothing_rarer(spark, make_docs):
+    bsd = next(t for t in license_scan.TEMPLATES if t.label == "bsd" and len(t.words) > 30)
+    full = " ".join(bsd.words)
+    fixed = set(bsd.fixed)
+    # every word outside the phrases altered but as many as the threshold wants
+    loose = [i for i in range(len(bsd.words)) if i not in fixed]
+    altered = " ".join(w if i not in loose[:6] else "zzz" for i, w in enumerate(bsd.words))
+    broken = full.replace("must reproduce", "may reproduce")
+    docs = make_docs([(1, full), (2, altered), (3, broken)] + [(10 + i, "other words of the text and conditions") for i in range(30)]).withColumnRenamed("lang", "n_words").withColumnRenamed("source", "score")
+    out = license_scan.scan(docs)
+    got = {r[0]: r[out.columns.index("labels")] for r in out.collect()}  # columns of the same names stand in front
+    assert (got[1], got[2], got[3], got[10]) == ("bsd", "bsd", "", "")
+
+
+def test_index_loses_nothing(spark, sf, documents):
+    """Every template at every place, checked word by word."""
+    import re
+
+    import numpy as np
+
+    df, n = license_scan.document_frequencies(spark.read.parquet(f"{sf}/documents.parquet"), license_scan.TEMPLATES)
+    words, _, _ = license_scan._vocabulary(license_scan.TEMPLATES)
+    idf = dict(zip(words, np.log((n + 1) / (df + 0.5))))
+    rows = {r["doc_id"]: r["labels"] for r in QUERIES["op3_license"](spark, sf).collect()}
+    for d, text in zip(documents.doc_id.tolist(), documents.text.tolist()):
+        own = re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        want = set()
+        for t in license_scan.TEMPLATES:
+            places = [i for i, w in enumerate(own) if w == t.words[t.fixed[0]]]
+            for i in places:
+                at = i - t.fixed[0]
+                if at >= 0 and at + len(t.words) <= len(own) and all(own[at + k] == t.words[k] for k in t.fixed):
+                    if sum(idf[w] for k, w in enumerate(t.words) if own[at + k] == w) / sum(idf[w] for w in t.words) >= license_scan.THRESHOLD:
+                        want.add(t.label)
+        assert rows[d] == ",".join(sorted(want))
+
+
 def test_rows_do_not_join(spark, make_docs):
     docs = make_docs([(1, "gnu general"), (2, "public license"), (3, "apache"), (4, "license")])
     assert all(r["n_base"] == 0 for r in license_scan.scan(docs).collect())

@@ -8,8 +8,8 @@ Plan shape at scale:
   shuffle join on hash (AQE splits a hot hash such as a site logo);
 * the request table groups by hash with partial aggregation (pay once per
   distinct content);
-* annotation brings one small per-page map of contents back to the page text
-  (one shuffle by page), so page texts are never exploded into segments.
+* annotation brings one small map of contents a page and kind back to the page text
+  (one shuffle of text), so page texts are never exploded into segments.
 """
 
 from __future__ import annotations
@@ -187,14 +187,34 @@ def annotate(pages: DataFrame, resolved: DataFrame, kind: str, md_col: str = "ma
     return p.withColumn(out, _annotate(F.col(md_col), pattern, kind, F.col("_contents"))).drop("_contents")
 
 
+def description_links(resolved: DataFrame) -> DataFrame:
+    """The audio links inside the descriptions of `resolved` images, as rows of `media_refs`; they are
+    relative to the page."""
+    tag = M.enrichment_tag(F.lit("image"), F.col("resolved_url"), F.col("content"))
+    held = resolved.filter((F.col("kind") == "image") & F.col("content").isNotNull() & tag.contains("]("))
+    return media_refs(held.select("page_id", "url", tag.alias("_tag")), "_tag", ("audio",))
+
+
 def enrich_markdown(pages: DataFrame, media_bytes: DataFrame, cache: DataFrame, registry: DataFrame, md_col: str = "markdown") -> DataFrame:
     """(page_id, url, <md_col>, processed): images first, then the audio links of the image-enriched
     text, so that a link inside a description is transcribed as well. The raw text stays beside the
-    processed one, so consumers need not read the pages again."""
-    images = resolve_contents(resolve_refs(media_refs(pages, md_col, ("image",)), media_bytes), cache, registry)
-    p = annotate(pages, images, "image", md_col, "_img")
-    audio = resolve_contents(resolve_refs(media_refs(p, "_img", ("audio",)), media_bytes), cache, registry)
-    return annotate(p, audio, "audio", "_img", "processed").drop("_img")
+    processed one, so consumers need not read the pages again.
+
+    A description stands on lines of its own and a reference never crosses a line, so the references of the
+    enriched text are those of the raw text and those inside descriptions. Both are resolved
+    as rows (the images' lookups stand twice in the plan), and the text itself travels once, to meet
+    all contents of its page."""
+    outer = resolve_contents(resolve_refs(media_refs(pages, md_col), media_bytes), cache, registry)
+    inner = resolve_contents(resolve_refs(description_links(outer), media_bytes), cache, registry)
+    found = ("page_id", "kind", "raw_url", "pos", "resolved_url", "content")
+    known = outer.select(*found).unionByName(inner.select(*found)).filter(F.col("content").isNotNull())
+    # one exchange: the references of a page are few enough for a task, as its text is
+    per_url = known.repartition("page_id").groupBy("page_id", "kind", "raw_url").agg(F.min(F.struct("pos", "resolved_url", "content")).alias("v"))
+    entry = F.struct("raw_url", F.struct("v.resolved_url", "v.content").alias("v"))
+    maps = {k: F.map_from_entries(F.collect_list(F.when(F.col("kind") == k, entry))).alias(f"_{k}s") for k in KINDS}
+    p = pages.join(per_url.groupBy("page_id").agg(*maps.values()), "page_id", "left")
+    p = p.withColumn("_img", _annotate(F.col(md_col), M.IMAGE_REF, "image", F.col("_images")))
+    return p.withColumn("processed", _annotate(F.col("_img"), M.LINK_REF, "audio", F.col("_audios"))).drop("_img", "_images", "_audios")
 
 
 def sidecar_notes(resolved: DataFrame) -> DataFrame:

@@ -185,37 +185,36 @@ def media_bytes(t: Tables) -> DataFrame:
     bytes under two names; a clip's name is the same in every language, its bytes are not
     when its number is even; wrapped photos with w % 11 = 0 were never fetched."""
     d = F.col("doc_id")
-    k, n, w = (d % 97).alias("k"), (d % 13).alias("n"), (d % 89).alias("w")
-    img = t.documents.select(k).distinct().select(
-        F.concat(F.lit("https://docs.example.com/img/uuid-"), _hx(F.col("k"), 97), F.lit(".png")).alias("url"),
-        F.concat(F.lit("media:img"), (F.col("k") % 60).cast("string")).alias("b"), F.lit("image/png").alias("content_type"))
-    clips = t.documents.select(n, "lang").distinct().select(
-        F.concat(F.lit("https://docs.example.com/"), F.col("lang"), F.lit("/audio/clip"), F.col("n").cast("string"), F.lit(".MP3")).alias("url"),
-        _clip_bytes(F.col("n"), F.col("lang")).alias("b"), F.lit("audio/mpeg").alias("content_type"))
-    photos = t.documents.select(w).distinct().filter(F.col("w") % 11 != 0).select(
-        F.concat(F.lit("https://cdn.example.com/assets/uuid-"), _hx(F.col("w"), 89), F.lit("/photo.png")).alias("url"),
-        F.concat(F.lit("media:photo"), F.col("w").cast("string")).alias("b"), F.lit("image/png").alias("content_type"))
-    return img.unionByName(clips).unionByName(photos).select("url", F.encode("b", "UTF-8").alias("content"), "content_type")
+    k, n, w = d % 97, d % 13, d % 89
+
+    def item(url, b, content_type: str):
+        return F.struct(F.concat(*url).alias("url"), b.alias("b"), F.lit(content_type).alias("content_type"))
+
+    img = item((F.lit("https://docs.example.com/img/uuid-"), _hx(d, 97), F.lit(".png")),
+               F.concat(F.lit("media:img"), (k % 60).cast("string")), "image/png")
+    clip = item((F.lit("https://docs.example.com/"), F.col("lang"), F.lit("/audio/clip"), n.cast("string"), F.lit(".MP3")),
+                _clip_bytes(n, F.col("lang")), "audio/mpeg")
+    photo = item((F.lit("https://cdn.example.com/assets/uuid-"), _hx(d, 89), F.lit("/photo.png")),
+                 F.concat(F.lit("media:photo"), w.cast("string")), "image/png")
+    items = t.documents.select(F.explode(F.array(img, clip, F.when(w % 11 != 0, photo))).alias("x"))
+    return items.filter("x is not null").select("x.*").distinct().select("url", F.encode("b", "UTF-8").alias("content"), "content_type")
 
 
 def known_contents(t: Tables) -> DataFrame:
     """F5 registry: figures whose bytes have a number j with j % 3 <> 0, and clips with n % 3 <> 0, were
     described before. Some descriptions hold a literal `$1` and a backslash, some an audio link."""
-    j = F.col("j")
-    imgs = t.documents.select((F.col("doc_id") % 97 % 60).alias("j")).distinct().filter(j % 3 != 0).select(
+    j, n = F.col("doc_id") % 97 % 60, F.col("doc_id") % 13
+    clip = _clip_bytes(n, F.col("lang"))
+    img = F.struct(
         F.concat(F.lit("media:img"), j.cast("string")).alias("b"),
         F.lit("image").alias("type"),
         F.concat(F.lit("A figure labelled img"), j.cast("string"),
                  F.when(j % 2 == 0, F.lit(" (costs $1, path C:\\tmp)")).otherwise(F.lit("")),
                  F.when(j % 10 == 1, F.lit(" [hear it](./audio/clip1.MP3)")).otherwise(F.lit(""))).alias("content"),
     )
-    n = F.col("n")
-    clips = t.documents.select((F.col("doc_id") % 13).alias("n"), "lang").distinct().filter(n % 3 != 0).select(
-        _clip_bytes(n, F.col("lang")).alias("b"),
-        F.lit("audio").alias("type"),
-        F.concat(F.lit("Transcript of "), F.substring(_clip_bytes(n, F.col("lang")), 7, 100)).alias("content"),
-    ).distinct()
-    return imgs.unionByName(clips).select(F.sha2(F.col("b"), 256).alias("hash"), "type", "content")
+    transcript = F.struct(clip.alias("b"), F.lit("audio").alias("type"), F.concat(F.lit("Transcript of "), F.substring(clip, 7, 100)).alias("content"))
+    known = t.documents.select(F.explode(F.array(F.when(j % 3 != 0, img), F.when(n % 3 != 0, transcript))).alias("x"))
+    return known.filter("x is not null").select("x.*").distinct().select(F.sha2(F.col("b"), 256).alias("hash"), "type", "content")
 
 
 SITEMAP_CHUNK = 50000  # URLs per urlset and sitemaps per index (protocol limits)

@@ -10,15 +10,15 @@ from pagemill.llm.queries import QUERIES
 VECTORS = "vec_id bigint, embedding array<float>, label int"
 
 
-def brute(rows, k=20, step=20):
+def brute(rows, k=20, step=20, single=lambda x: float(np.float32(x))):
     good = {}
     for i, v, *_ in rows:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            good[i, tuple(math.floor(64 * float(np.float32(x))) for x in v)] = None
+            good[i, tuple(math.floor(64 * single(x)) for x in v)] = None
     out = set()
     for q, x in good:
         if q % step == 0:
-            s = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in good if i != q and len(x) == len(y))[:k]
+            s = sorted((-min(max(sum(a * b for a, b in zip(x, y)), -(2**63)), 2**63 - 1), i) for i, y in good if i != q and len(x) == len(y))[:k]
             out |= {(q, r + 1, i, -d) for r, (d, i) in enumerate(s)}
     return out
 
@@ -66,3 +66,37 @@ def test_one_id_under_several_vectors(spark):
     assert set(got) == want and len({r for r in want if r[0] == 20}) > 100
     ranks = [r for r in got if r[0] == 20]
     assert len(ranks) == 20 * 7
+
+
+def test_most_trees_are_never_asked(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8)) * 4
+    rows = [(i, (centres[i % 12] + rng.normal(size=8) * 0.2).astype(np.float32).tolist(), 1) for i in range(2400)]
+    rows += [(5000 + i, rows[0][1], 1) for i in range(900)]  # one vector in over a quarter of the rows
+    v = mtree.quantized(spark.createDataFrame(rows, VECTORS))
+    asked = []
+    real = mtree.search_trees
+
+    def counted(data, sent):
+        asked.append((sent.select("q", "tree").distinct().count(), data.select("tree").distinct().count(), sent.select("q").distinct().count()))
+        assert sent.groupBy("tree", "block").count().agg({"count": "max"}).first()[0] <= 60
+        return real(data, sent)
+
+    monkeypatch.setattr(mtree, "search_trees", counted)
+    got = [tuple(r) for r in mtree.top_k(v, v.where("vec_id % 20 = 0"), tree_rows=100, query_rows=30).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+    (one, trees, queries), (rest, _, _) = asked
+    assert one == queries and trees >= 12 and rest < 0.4 * queries * (trees - 1)
+
+
+def test_components_of_any_size(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=4) * 10.0 ** rng.integers(-2, 16)).tolist(), 1) for i in range(300)]
+    rows += [(1000 + i, [(-1.0) ** i * 1e80, 1.0, -1e80, float(i)], 1) for i in range(60)] + [(2000, [1e99, 0.0, 0.0, 1.0], 1), (2020, [-1e99, 1e30, 0.0, 1.0], 1)]
+    rows += [(4000 + i, (rng.normal(size=3) * 1e7).tolist(), 1) for i in range(60)]  # scores beyond 2^53 that fit a long
+    df = spark.createDataFrame(rows + [(3000, [1e300, 1.0, 1.0, 1.0], 1)], "vec_id bigint, embedding array<double>, label int")
+    v = mtree.quantized(df)
+    got = [tuple(r) for r in mtree.top_k(v, v.where("vec_id % 20 = 0"), tree_rows=50).collect()]
+    want = brute(rows, single=lambda x: x)
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {s for _, _, _, s in want} >= {2**63 - 1} and any(2**53 < s < 2**62 for _, _, _, s in want)

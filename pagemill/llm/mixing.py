@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.llm.common import guarded
+
 #: Relative weights dealt to the sources in code-point order, repeating.
 SOURCE_WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3.0
@@ -66,7 +68,13 @@ def _crossing(sums: DataFrame, slot: str, base: Column) -> DataFrame:
 
 def mix(docs: DataFrame, size: str = "size", source: str = "source", doc_id: str = "doc_id", weight: str | None = None,
         seed: int = 42, weights: tuple[float, ...] = SOURCE_WEIGHTS, cap: float = MAX_EPOCHS, buckets: int = BUCKETS) -> DataFrame:
-    """`docs` with `_source_size`, `_target` and `_copies` (how often the mix takes the row)."""
+    """`docs` with `_source_size`, `_target` and `_copies` (how often the mix takes the row). Columns of these names are
+    kept beside them."""
+    known = (size, source, doc_id, *([weight] if weight else []))
+    return guarded(docs, known, lambda d: _mix(d, size, source, doc_id, weight, seed, weights, cap, buckets))
+
+
+def _mix(docs: DataFrame, size: str, source: str, doc_id: str, weight: str | None, seed: int, weights: tuple[float, ...], cap: float, buckets: int) -> DataFrame:
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     w = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(1.0)), F.lit(1e-300)) if weight else F.lit(1.0)
     d = docs.withColumn("_key", -F.log(u) / w)

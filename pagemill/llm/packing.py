@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import checkpointed, shuffle_partitions
+from pagemill.llm.common import checkpointed, guarded, shuffle_partitions
 
 CAPACITY = 1024
 END_ID = 2
@@ -186,10 +186,15 @@ def intervals(groups: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, salts: int | None = None) -> DataFrame:
-    """Adds `sequence_id` and `offset` to a table of pieces (any further columns are kept).
+    """Adds `sequence_id` and `offset` to a table of pieces. Any further columns are kept, those of these names
+    beside the new ones.
     The pieces are written to the shared checkpoint folder first: they are read twice, and
     encoding again could not be reconciled with ranks already dealt."""
     salts = salts or max(16, shuffle_partitions(cut.sparkSession))
+    return guarded(cut, ("doc_id", "piece", "length", "ids_crc32"), lambda c: _pack(c, capacity, salts))
+
+
+def _pack(cut: DataFrame, capacity: int, salts: int) -> DataFrame:
     c = checkpointed(cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")))
     counts = c.groupBy("length", "_salt").count()
     # at most `capacity` rows reach the driver

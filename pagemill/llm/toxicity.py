@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import ALNUM, LOWER, mixed, run_hashes, slices, spans
+from pagemill.llm.common import ALNUM, LOWER, guarded, mixed, run_hashes, slices, spans
 
 BITS = 20
 MAX_ROWS = 16000
@@ -111,7 +111,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BITS) -> DataFrame:
-    """`docs` with `_score`, the probability of label 1; only the text is looked at."""
+    """`docs` with `_score`, the probability of label 1; only the text is looked at. A column of that name is
+    kept beside it."""
+    return guarded(docs, ("text",), lambda d: _scored(d, model, bits))
+
+
+def _scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # at most 2^bits + 1 weights
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", _score double"

@@ -68,3 +68,14 @@ def test_heavier_documents_come_first(spark):
     got = mixing.mix(docs, weight="w").where("source = 's'").groupBy("w").agg(F.avg("_copies").alias("c")).collect()
     c = {float(r["w"]): r["c"] for r in got}
     assert c[4.0] >= c[0.25]
+
+
+def test_clashing_columns_are_kept(spark):
+    docs = spark.range(300).selectExpr("id doc_id", "if(id % 3 = 0, 's', 't') source", "id % 5 size")
+    plain = sorted(tuple(r) for r in mixing.mix(docs).collect())
+    names = ["_key", "_bucket", "_skey", "_sum", "_target", "_source_size", "_copies", "_epochs", "_rest", "_cut", "_before", "_run", "_base", "target", "source_size"]
+    wide = docs.select("*", *(F.lit(n).alias(n) for n in names))
+    got = mixing.mix(wide)
+    assert got.columns == [*wide.columns, "_source_size", "_target", "_copies"]
+    rows = [tuple(r) for r in got.collect()]
+    assert all(list(r[3:-3]) == names for r in rows) and sorted(r[:3] + r[-3:] for r in rows) == plain

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -89,3 +90,14 @@ def test_salts_only_renumber(spark, salts):
     rows = packing.pack(cut, salts=salts).collect()
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == 5000
     assert len({r["sequence_id"] for r in rows}) <= 1.01 * sum(r["length"] for r in rows) / 1024 + 1
+
+
+def test_clashing_columns_are_kept(spark):
+    names = ["_salt", "_rank", "_shift", "sequence_id", "offset", "count", "n"]
+    cut = spark.range(200).selectExpr("id doc_id", "0 piece", "0L start", "1 + id * 37 % 1024 length", "id ids_crc32")
+    plain = sorted(tuple(r) for r in packing.pack(cut).collect())
+    wide = cut.select("*", *(F.lit(n).alias(n) for n in names))
+    got = packing.pack(wide)
+    assert got.columns == [*wide.columns, "sequence_id", "offset"]
+    rows = [tuple(r) for r in got.collect()]
+    assert all(list(r[5:-2]) == names for r in rows) and sorted(r[:5] + r[-2:] for r in rows) == plain

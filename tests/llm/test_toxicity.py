@@ -47,3 +47,12 @@ def test_features_do_not_cross_rows():
 
     a, b = feats("one two Three", "four five")
     assert feats("ONE two three")[0] == a and feats("four five")[0] == b and len(a) == 6 and len(b) == 3
+
+
+def test_clashing_columns_are_kept(spark, make_docs):
+    docs = make_docs([(1, "vile thing", "a"), (2, "kind thing", None)]).withColumnRenamed("lang", "_score").withColumnRenamed("source", "m")
+    model = (np.array([1 << toxicity.BITS]), np.array([1.0]))
+    got = toxicity.score(docs, model)
+    assert got.columns == [*docs.columns, "_score"]
+    assert sorted(r[:-1] for r in got.collect()) == sorted(tuple(r) for r in docs.collect())
+    assert {round(r[-1], 6) for r in got.collect()} == {0.731059}

@@ -17,7 +17,7 @@ it gives the same result.
 
 Defined results: a null label, a null or zero vector, or one with a null or non-finite component
 links with nothing (n_links 0, its own component); vectors of different length never link; rows
-that repeat a vec_id are separate rows that share a node; a null vec_id names no component unless
+that repeat a vec_id are separate rows, linked or not as their vectors are; a null vec_id names no component unless
 it is alone, then component_id is null and kept true; an empty table gives an empty result.
 """
 
@@ -175,7 +175,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "v
     alone = rows.where("x is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     rows = rows.where("x is not null")
     classes = rows.groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"), F.any_value("x").alias("x"), F.any_value("label").alias("label"))
-    classes = checkpointed(classes.withColumn("node", F.coalesce("least", "k1")).withColumn("dim", F.size("x")))
+    # numbers that the checkpoint fixes: one vec_id may stand in several classes
+    classes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("x")))
     found = checkpointed(links(classes.select("label", "dim", "node", "n", "x"), cosine, **how))
     label_of = components(found.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v")))
     count = found.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("others"))

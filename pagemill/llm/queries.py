@@ -126,15 +126,17 @@ p AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT
 r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
+# Every row is a vector of its own, also where a vec_id repeats; rows are numbered for that.
 ORACLES["op10_near_vectors"] = f"""
-WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda c: c::DOUBLE) AS x FROM embeddings
-           WHERE label IS NOT NULL AND {GOOD} AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+WITH RECURSIVE e AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, embedding, label FROM embeddings),
+v AS (SELECT rid, label, list_transform(embedding, lambda c: c::DOUBLE) AS x FROM e
+      WHERE label IS NOT NULL AND {GOOD} AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
 n AS (SELECT *, sqrt(list_dot_product(x, x)) AS norm FROM v),
-l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+l AS (SELECT a.rid AS a, b.rid AS b FROM n a JOIN n b ON a.label = b.label AND a.rid <> b.rid AND len(a.x) = len(b.x)
       WHERE list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.98),
 r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
-c AS (SELECT a, min(b) AS least FROM r GROUP BY a),
+c AS (SELECT r.a, min(e.vec_id) AS least FROM r JOIN e ON e.rid = r.b GROUP BY r.a),
 k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
-SELECT e.vec_id, coalesce(k.n_links, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(c.least, e.vec_id)) AS component_id,
-       least(e.vec_id, coalesce(c.least, e.vec_id)) = e.vec_id AS kept
-FROM embeddings e LEFT JOIN k ON k.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id"""
+SELECT e.vec_id, coalesce(k.n_links, 0)::BIGINT AS n_links, least(e.vec_id, c.least) AS component_id,
+       least(e.vec_id, c.least) = e.vec_id AS kept
+FROM e LEFT JOIN k ON k.a = e.rid LEFT JOIN c ON c.a = e.rid"""

@@ -2,11 +2,12 @@ from __future__ import annotations
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 
 from pagemill.llm import near_vectors
-from pagemill.llm.queries import QUERIES
+from pagemill.llm.queries import ORACLES, QUERIES
 
 VECTORS = "vec_id bigint, embedding array<float>, label int"
 
@@ -63,3 +64,15 @@ def test_clusters_copies_and_bad_vectors(spark, how):
 def test_repeated_row(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (2, [2.0, 1.0], 1)], VECTORS)
     assert got(near_vectors.near_duplicates(df)) == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
+
+
+def test_repeated_rows_as_in_sql(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(i % 40, (rng.integers(1, 4, 3) * 1.0).tolist(), int(i % 2)) for i in range(120)]
+    rows += [(1, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (2, [2.0, 1.0], 1), (3, None, 1), (4, [1.0, 2.0], None)]
+    df = spark.createDataFrame(rows, VECTORS)
+    df.write.parquet(f"{tmp_path}/e")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+    sql = sorted(con.sql(ORACLES["op10_near_vectors"]).fetchall(), key=str)
+    assert sql == got(near_vectors.near_duplicates(df)) == brute(rows)

@@ -505,31 +505,36 @@ def table_cell_text(c) -> Column:
 def html_table_markdown(table_html) -> Column:
     """One `<table>` → pipe table. First row (th or td) is the header; later
     rows contribute their `td` cells only. Empty table → ''."""
-    rows = F.regexp_extract_all(col_(table_html), F.lit(f"(?is)<tr{_OPEN}(.*?)</tr{_CLOSE}"), 1)
-    header = F.transform(
+    found = F.regexp_extract_all(col_(table_html), F.lit(f"(?is)<tr{_OPEN}(.*?)</tr{_CLOSE}"), 1)
+    names = lambda rows: F.transform(
         F.regexp_extract_all(F.get(rows, 0), F.lit(f"(?is)<t[hd]{_OPEN}(.*?)</t[hd]{_CLOSE}"), 1),
         lambda c: F.replace(inner_text(c), F.lit("|"), F.lit("\\|")),
     )
-    sep = F.array_join(F.transform(header, lambda _h: F.lit("---")), " | ")
-    body = F.transform(
-        F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))),
-        lambda r: F.concat(
-            F.lit("| "),
-            F.array_join(
-                F.transform(F.regexp_extract_all(r, F.lit(f"(?is)<td{_OPEN}(.*?)</td{_CLOSE}"), 1), table_cell_text),
-                " | ",
+
+    def table(rows: Column, header: Column) -> Column:
+        sep = F.array_join(F.transform(header, lambda _h: F.lit("---")), " | ")
+        body = F.transform(
+            F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))),
+            lambda r: F.concat(
+                F.lit("| "),
+                F.array_join(
+                    F.transform(F.regexp_extract_all(r, F.lit(f"(?is)<td{_OPEN}(.*?)</td{_CLOSE}"), 1), table_cell_text),
+                    " | ",
+                ),
+                F.lit(" |"),
             ),
-            F.lit(" |"),
-        ),
-    )
-    lines = F.concat(
-        F.array(
-            F.concat(F.lit("| "), F.array_join(header, " | "), F.lit(" |")),
-            F.concat(F.lit("| "), sep, F.lit(" |")),
-        ),
-        body,
-    )
-    return F.when(F.size(rows) == 0, F.lit("")).otherwise(F.concat(F.lit("\n\n"), F.array_join(lines, "\n"), F.lit("\n\n")))
+        )
+        lines = F.concat(
+            F.array(
+                F.concat(F.lit("| "), F.array_join(header, " | "), F.lit(" |")),
+                F.concat(F.lit("| "), sep, F.lit(" |")),
+            ),
+            body,
+        )
+        return F.when(F.size(rows) == 0, F.lit("")).otherwise(F.concat(F.lit("\n\n"), F.array_join(lines, "\n"), F.lit("\n\n")))
+
+    # the rows and the header are looked for once
+    return let(found, lambda rows: let(names(rows), lambda header: table(rows, header)))
 
 
 __all__ = [

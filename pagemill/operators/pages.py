@@ -43,13 +43,19 @@ def page_document(
     A page without main content gets an empty body and status `no_content`."""
     if rules is not None:
         return _assembled(_by_patterns(pages, run_date, rules))
-    nodes = html_nodes(pages.where(F.col("page_id").isNotNull()))
-    if any(r.drop for r in element_rules or []):
+    drops = any(r.drop for r in element_rules or [])
+    nodes = html_nodes(pages.where(F.col("page_id").isNotNull()), whole=drops)
+    if drops:
         nodes = dropped(nodes.repartition("page_id"), element_rules)
-    # all that a row says by itself, before the exchange; rows that say nothing stay behind
-    columns = {"md": line_text(element_rules), **measures(), **page_fields()}
-    rows = nodes.select("page_id", F.expr("CASE WHEN pos = 0 THEN url END").alias("url"), "pos", "end", "parent", "depth", "feeds", "items", *(F.expr(e).alias(c) for c, e in columns.items()))
-    rows = rows.where("edge > 0 OR md <> '' OR coalesce(title, changed, published, h1) IS NOT NULL OR box IS NOT NULL OR crumbs IS NOT NULL").repartition("page_id")
+    # all that a row says by itself, before the exchange; rows that say nothing stay behind. What they are chosen by is cheap:
+    # Spark filters below the projection, where the Markdown of a line would be made a second time
+    own, fields = measures(), page_fields()
+    says = f"kind IN ('line', 'table', 'rule') OR {own['edge']} > 0 OR hinted AND kind = 'open' OR coalesce({', '.join(fields[c] for c in ('title', 'changed', 'published'))}) IS NOT NULL OR {fields['box']} IS NOT NULL"
+    columns = {"md": line_text(element_rules), **own, **fields}
+    rows = nodes.where(says).select("page_id", F.expr("CASE WHEN pos = 0 THEN url END").alias("url"), "pos", "end", "parent", "depth", "feeds", "items", *(F.expr(e).alias(c) for c, e in columns.items()))
+    # a line that shows nothing counts for nothing
+    nothing = "md = '' AND h1 IS NULL AND crumbs IS NULL"
+    rows = rows.withColumns({c: F.expr(f"if({nothing}, {zero}, {c})") for c, zero in (("part", "0D"), ("chars", "0"), ("link_chars", "0"), ("shown", "0"))}).repartition("page_id")
     first = lambda c: f"min(CASE WHEN {c} IS NOT NULL THEN named_struct('pos', pos, 'v', {c}) END)"
     d = with_pieces(with_content(rows, {"_box": "min(CASE WHEN box IS NOT NULL THEN named_struct('rank', box, 'pos', pos, 'end', `end`) END) OVER (PARTITION BY page_id)"}))
     page = d.groupBy("page_id").agg(*map(F.expr, (

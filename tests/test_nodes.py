@@ -142,3 +142,21 @@ def test_dates_and_breadcrumbs_come_from_elements(spark):
 def test_one_scan_and_one_exchange(spark, tables):
     plan = P.page_document(tables.pages, "2024-06-01")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1 and plan.count("MapInArrow") == 1
+
+
+def test_rows_without_lines_stay_behind(spark):
+    table = "<p>x</p><table class=t>" + "<tr><td>1</td><td>2</td></tr>" * 200 + "</table>"
+    d = pages(spark, table, "<div><div class=path></div></div><p>y", "")
+    lean = {(r["page_id"], r["pos"]): r for r in N.html_nodes(d, whole=False).collect()}
+    whole = {(r["page_id"], r["pos"]): r for r in N.html_nodes(d).collect()}
+    assert sum(k[0] == 0 for k in lean) < 8 < 1000 < sum(k[0] == 0 for k in whole)
+    assert all(whole[k] == r for k, r in lean.items()) and {k for k in whole if k[0]} == {k for k in lean if k[0]}
+    # a page whose containers are all bare, an article in a cell, an unlikely element in a cell
+    got = bodies(spark, "<div><div></div></div>", f"<table><tr><td><article>{LONG}</article></td></tr></table><p>{LONG}</p>", f"<p>{LONG}</p><table><tr><td class=sidebar><div>s</div></td></tr></table><p>{LONG}</p>")
+    assert got == {0: "", 1: f"| {LONG} |\n| --- |\n\n{LONG}", 2: f"{LONG}\n\n| s |\n| --- |\n\n{LONG}"}
+
+
+def test_lines_are_made_once(spark):
+    plan = P.page_document(pages(spark, "<p>x"), "2024-06-01")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\\A( ?)~~~") == 1  # one of the patterns that escape a text
+    assert bodies(spark, "<article><p>- a_b</p><p>plain, text</p><p>1. x</p><p> # y</p></article>")[0] == "\\- a\\_b\n\nplain, text\n\n1\\. x\n\n\\# y"

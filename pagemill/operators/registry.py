@@ -8,12 +8,13 @@ of all rows); consumers read the occurrence table, keyed and ordered by ts.
 
 Skew: every aggregate below is an aggregate with a partial (map-side) phase, so
 a hot hash is pre-combined in every task before the shuffle; the only
-per-group ordering is `min_by`, which also combines partially.
+per-group ordering is a `min`, which also combines partially. `media_duplicates` deals the hashes that aren't hot
+to tasks whole, in one shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = ["ts", "tie1", "tie2", "tie3"]
@@ -23,6 +24,9 @@ def _order_key(df: DataFrame, order: list[str]):
     return F.struct(*[c for c in order if c in df.columns])
 
 
+#: A hash with more rows is hot: its rows are not brought to one task.
+HOT_ROWS = 100_000
+
 PAYLOAD = ["type", "original_url", "content", "api_cost"]
 
 
@@ -30,9 +34,10 @@ def distinct_occurrences(occ: DataFrame, order: list[str] = ORDER, payload: list
     """One occurrence per (hash, page_path): the first by `order`; `last_ts` keeps
     the latest use of that pair (registering again bumps `lastUsed`). Only the
     registry's own columns travel through the aggregation."""
-    payload = [c for c in order if c in occ.columns] + [c for c in payload if c in occ.columns]
+    # one struct that is ordered by its first fields: `min_by` would send these twice. Rows alike in them go by the payload
+    first = [c for c in order if c in occ.columns] + [c for c in payload if c in occ.columns]
     return occ.groupBy("hash", "page_path").agg(
-        F.min_by(F.struct(*payload), _order_key(occ, order)).alias("first"),
+        F.min(F.struct(*first)).alias("first"),
         F.max("ts").alias("last_ts"),
     ).select("hash", "page_path", "first.*", "last_ts")
 
@@ -87,16 +92,24 @@ def registry_stats(contents: DataFrame) -> DataFrame:
     )
 
 
-def media_duplicates(occ: DataFrame, order: list[str] = ORDER) -> DataFrame:
+def media_duplicates(occ: DataFrame, order: list[str] = ORDER, hot_rows: int = HOT_ROWS) -> DataFrame:
     """`findDuplicates` for every content at once: the distinct occurrences of each
     hash used on more than one page, with the group size. Rows, not pairs and
-    not lists: the consumer orders by (hash, ts)."""
-    d = distinct_occurrences(occ, order, ["original_url"])
-    # the counted side has the same columns as the joined one, so both read one shuffle; the sizes are
-    # joined by a shuffle join, whose hot partitions AQE splits
-    n = d.groupBy("hash").agg(F.count(F.lit(1)).alias("n_occurrences"), F.max("ts").alias("_t"))
-    n = n.filter((F.col("n_occurrences") > 1) & F.col("_t").isNotNull()).select("hash", "n_occurrences")
-    return d.join(n, "hash").select("hash", "page_path", "original_url", F.col("ts").alias("first_ts"), "n_occurrences")
+    not lists: the consumer orders by (hash, ts).
+
+    One shuffle by hash brings together all that a hash's rows and its size need. Hot hashes are counted beforehand
+    and go another way: by hash and page, with a map-side phase, and then to their sizes, of which there are few."""
+    occ = occ.select("hash", "page_path", *(c for c in order if c in occ.columns), "original_url").where(F.col("hash").isNotNull())
+    hot = F.broadcast(occ.groupBy("hash").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select("hash"))  # at most a row per `hot_rows`
+    size = F.count(F.lit(1)), F.max("ts")
+
+    w = Window.partitionBy("hash")
+    few = distinct_occurrences(occ.join(hot, "hash", "left_anti").repartition("hash"), order, ["original_url"])
+    few = few.select("*", size[0].over(w).alias("n_occurrences"), size[1].over(w).alias("_t"))
+    many = distinct_occurrences(occ.join(hot, "hash", "left_semi"), order, ["original_url"])
+    many = many.join(F.broadcast(many.groupBy("hash").agg(size[0].alias("n_occurrences"), size[1].alias("_t"))), "hash")
+    found = few.unionByName(many).where((F.col("n_occurrences") > 1) & F.col("_t").isNotNull())
+    return found.select("hash", "page_path", "original_url", F.col("ts").alias("first_ts"), "n_occurrences")
 
 
 def registry_lookup(refs: DataFrame, contents: DataFrame) -> DataFrame:

@@ -89,3 +89,16 @@ def test_versioned_save_keeps_backup(spark, tmp_path):
     assert spark.read.parquet(f"{base}/v=1/media_contents").count() == 1  # former version kept
     empty = df.limit(0)
     assert W.save_registry_version(c, df, base, delta=empty) == 2  # clean: nothing written
+
+
+def test_hot_hashes_are_the_same_as_others(spark):
+    rows = [("h1", "image", f"p{i % 7}", "d", 0.0) for i in range(30)] + [("h2", "image", "only", "e", 0.0)] * 2 + [("h3", "audio", f"q{i}", "f", 0.0) for i in range(3)] + [(None, "image", f"r{i}", "g", 0.0) for i in range(3)]
+    df = occ(spark, rows)
+    want = sorted(map(tuple, R.media_duplicates(df).collect()))
+    assert len(want) == 10 and want == sorted(map(tuple, R.media_duplicates(df, hot_rows=5).collect())) == sorted(map(tuple, R.media_duplicates(df, hot_rows=0).collect()))
+
+
+def test_duplicates_take_one_shuffle_of_the_rows(spark):
+    plan = R.media_duplicates(occ(spark, [("h1", "image", "p", "d", 0.0)]))._jdf.queryExecution().executedPlan().toString()
+    cold = plan[plan.index("Window") : plan.index("LeftAnti")]
+    assert cold.count("Exchange hashpartitioning(hash") == 1 and "min_by" not in plan

@@ -41,7 +41,7 @@ from pagemill.llm.common import LOWER, NOT_SPACE, mixed, shared_folder, shuffle_
 
 DEPTH = 5
 END = 0x0A
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Distinct grams held by a task before they are sent on.
 FLUSH = 1 << 20
 #: Distinct grams whose subtrees are built at a time, about; a context's subtree is never cut.
@@ -92,6 +92,35 @@ def _skip(key: np.ndarray, first: np.ndarray, depth: int) -> np.ndarray:
     return key[content]
 
 
+def _union(some: list[np.ndarray]) -> np.ndarray:
+    """The distinct values of arrays, in order: sorted in place, with one copy beside."""
+    a = np.concatenate(some)
+    some.clear()
+    a.sort()
+    new = np.ones(len(a), bool)
+    np.not_equal(a[1:], a[:-1], out=new[1:])
+    return a[new]
+
+
+class _Distinct:
+    """Distinct values of the arrays that are added, brought together whenever those not yet in order are as many as the others."""
+
+    def __init__(self) -> None:
+        self.some: list[np.ndarray] = []
+        self.held, self.limit = 0, FLUSH
+
+    def add(self, a: np.ndarray) -> None:
+        self.some.append(a)
+        self.held += len(a)
+        if self.held > self.limit:
+            u = self.all()
+            self.held, self.limit = len(u), max(FLUSH, 2 * len(u))
+
+    def all(self) -> np.ndarray:
+        self.some = [_union(self.some) if self.some else np.zeros(0, np.uint64)]
+        return self.some[0]
+
+
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     key, at = np.unique(np.concatenate(keys), return_inverse=True)
     return key, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
@@ -309,21 +338,29 @@ ANSWER = "block int, kind int, number int, v bigint, `values` binary, tokens big
 SHARES = 8
 
 
-def _shares(gram: np.ndarray, shares: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(share, where its grams stand) for each share that has some; positions ascend."""
-    share = ((mixed(gram) >> np.uint64(32)) % np.uint64(shares)).astype(np.int64)
+def _shares(gram: np.ndarray, shares: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The grams' places by share, in order within a share; the shares that have some; where each begins among the places,
+    and the end. Hashed a piece at a time, since a block may hold many."""
+    share = np.empty(len(gram), np.uint16 if shares <= 1 << 16 else np.uint32)
+    for lo in range(0, len(gram), PIECE):
+        share[lo : lo + PIECE] = (mixed(gram[lo : lo + PIECE]) >> np.uint64(32)) % np.uint64(shares)
+    n = np.bincount(share, minlength=shares) if len(share) < PIECE else sum(np.bincount(share[lo : lo + PIECE], minlength=shares) for lo in range(0, len(share), PIECE))
     order = np.argsort(share, kind="stable")
-    at = share[order]
-    cut = np.flatnonzero(np.diff(at, prepend=-1))
-    for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(at)]):
-        yield int(at[lo]), order[lo:hi]
+    some = np.flatnonzero(n)
+    return order, some, np.concatenate(([0], np.cumsum(n[some])))
+
+
+def _rows_of(a: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """The stretches of an array between the cuts, as bytes, without a copy."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int64) * a.itemsize), pa.py_buffer(a)]).cast(pa.binary())
 
 
 def _packed(gram: np.ndarray, shares: int, kind: int, block: int, values: np.ndarray | None = None) -> pa.Table:
-    rows = [(s, gram[at].tobytes(), None if values is None else values[at].astype(np.float32).tobytes()) for s, at in _shares(gram, shares)]
-    n = len(rows)
-    return pa.table({"share": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array(np.full(n, kind, np.int32)), "block": pa.array(np.full(n, block, np.int32)), "number": pa.nulls(n, pa.int32()),
-                     "word": pa.nulls(n, pa.binary()), "v": pa.nulls(n, pa.int64()), "grams": pa.array([r[1] for r in rows], pa.binary()), "values": pa.array([r[2] for r in rows], pa.binary())})
+    order, share, cut = _shares(gram, shares)
+    n = len(share)
+    return pa.table({"share": pa.array(share.astype(np.int32)), "kind": pa.array(np.full(n, kind, np.int32)), "block": pa.array(np.full(n, block, np.int32)), "number": pa.nulls(n, pa.int32()),
+                     "word": pa.nulls(n, pa.binary()), "v": pa.nulls(n, pa.int64()), "grams": _rows_of(gram[order], cut),
+                     "values": pa.nulls(n, pa.binary()) if values is None else _rows_of(values[order].astype(np.float32), cut)})
 
 
 def score(docs: DataFrame, depth: int = DEPTH, blocks: int | None = None, piece: int = PIECE) -> DataFrame:
@@ -338,16 +375,17 @@ def score(docs: DataFrame, depth: int = DEPTH, blocks: int | None = None, piece:
     def ask(key: tuple, t: pa.Table) -> pa.Table:
         block = key[0].as_py()
         batch = _in_order(t)
-        u = []
+        u = _Distinct()
         for _, buf, off in slices(batch, "text", SLICE):
             g, _, first = grams(buf, off, depth)
-            u.append(np.unique(_skip(g, first, depth)))
-        u = np.unique(np.concatenate(u))
+            u.add(_union([_skip(g, first, depth)]))
+        packed = _packed(u.all(), shares, 0, block)
+        del u
         _, _, n, tokens = _words(batch)
         size = len(n)
         words = pa.table({"share": pa.nulls(size, pa.int32()), "kind": pa.array(np.full(size, 1, np.int32)), "block": pa.array(np.full(size, block, np.int32)), "number": pa.array(np.arange(size, dtype=np.int32)),
                           "word": tokens, "v": pa.array(n), "grams": pa.nulls(size, pa.binary()), "values": pa.nulls(size, pa.binary())})
-        return pa.concat_tables([_packed(u, shares, 0, block), words])
+        return pa.concat_tables([packed, words])
 
     asked = d.groupBy("block").applyInArrow(ask, ASK).withColumn("share", F.coalesce("share", F.pmod(F.xxhash64("word"), F.lit(shares)).cast("int")))
 
@@ -408,16 +446,23 @@ def score(docs: DataFrame, depth: int = DEPTH, blocks: int | None = None, piece:
         answers = {int(number[i]): right.column("values")[i] for i in np.flatnonzero(kind == 0).tolist()}
         batch = _in_order(left)
         found = []
+        u = _Distinct()
         for _, buf, off in slices(batch, "text", SLICE):
             g, size, first = grams(buf, off, depth)
             coded = pc.dictionary_encode(pa.array(_skip(g, first, depth).view(np.int64)))
-            found.append((coded.indices.to_numpy(), coded.dictionary.to_numpy(), size))
-        u = np.unique(np.concatenate([own for _, own, _ in found]))
-        lp = np.zeros(len(u))
-        for share, at in _shares(u.view(np.uint64), shares):
-            lp[at] = np.frombuffer(answers[share].as_buffer(), np.float32)
-        total = np.concatenate([np.add.reduceat(lp[np.searchsorted(u, own)][at], np.cumsum(size) - size) for at, own, size in found])
+            own = coded.dictionary.to_numpy().view(np.uint64)
+            u.add(own)
+            found.append((coded.indices.to_numpy(), own, size))
+        u = u.all()
+        order, some, cut = _shares(u, shares)
+        lp = np.empty(len(u), np.float32)
+        for share, lo, hi in zip(some.tolist(), cut[:-1].tolist(), cut[1:].tolist()):
+            lp[order[lo:hi]] = np.frombuffer(answers[share].as_buffer(), np.float32)
+        del order
+        # a text's sum is kept in double precision
+        total = np.concatenate([np.add.reduceat(lp[np.searchsorted(u, own)].astype(float)[at], np.cumsum(size) - size) for at, own, size in found])
         size = np.concatenate([size for *_, size in found])
+        del u, lp, found
         words, token, c, _ = _words(batch)
         c[number[kind == 1]] = counted[kind == 1]
         cum = np.concatenate(([0.0], np.cumsum(np.log10(c + 1.0)[token])))

@@ -155,3 +155,31 @@ def test_default_depth_and_pieces(spark, make_docs):
     near = (grams >> np.uint64(8)) & np.uint64(0xFFFF)
     for c in np.unique(near):
         assert ctw._subtrees(grams[near == c], n[near == c], 5)[0] == pytest.approx(whole[near == c], rel=1e-6)
+
+
+def test_a_blocks_questions_are_packed_in_little_memory():
+    import tracemalloc
+
+    g = np.unique(np.random.default_rng(1).integers(0, 1 << 48, 1 << 21).astype(np.uint64))
+    tracemalloc.start()
+    ctw._packed(g, 256, 0, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4.2 * g.nbytes
+    t = ctw._packed(g, 256, 0, 1, (g & np.uint64(1023)).astype(float))
+    got = {s: (np.frombuffer(a, np.uint64), np.frombuffer(b, np.float32)) for s, a, b in zip(t["share"].to_pylist(), t["grams"].to_pylist(), t["values"].to_pylist())}
+    assert sum(len(a) for a, _ in got.values()) == len(g) and np.array_equal(np.sort(np.concatenate([a for a, _ in got.values()])), g)
+    for s, (a, b) in got.items():
+        assert (np.diff(a.astype(np.int64)) > 0).all() and np.array_equal(b, (a & np.uint64(1023)).astype(np.float32))
+        assert ((ctw.mixed(a) >> np.uint64(32)) % np.uint64(256) == s).all()
+
+
+def test_distinct_grams_are_brought_together_as_they_come(monkeypatch):
+    monkeypatch.setattr(ctw, "FLUSH", 100)
+    rng = np.random.default_rng(2)
+    some = [rng.integers(0, 300, 80).astype(np.uint64) for _ in range(20)]
+    u = ctw._Distinct()
+    for a in some:
+        u.add(a)
+        assert u.held <= max(100, 2 * 300) + 80
+    assert np.array_equal(u.all(), np.unique(np.concatenate(some))) and len(ctw._Distinct().all()) == 0

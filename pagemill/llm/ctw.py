@@ -9,15 +9,16 @@ children, so the prediction for a bit mixes the estimates of all depths on its p
 All that a byte's probability depends on is its gram: the `depth` bytes before it and itself.
 
 1. Tasks count the distinct grams of the training texts.
-2. One shuffle brings them together by their last two context bytes. A task sums them, builds
+2. One shuffle brings them together by their last two context bytes, packed as sorted numbers
+   and counts. A task sums them, builds
    every subtree below such a context bottom-up, a piece of its contexts at a time, and writes,
    per gram, the mixture from depth 2 on as columns; depths 0 and 1 (at most 256 * 255 nodes)
    are aggregated and finished on the driver.
 3. Documents are dealt into blocks. A block asks for its distinct grams and distinct words
    once each; one shuffle takes the questions to the values and one brings the answers back,
-   which the block sums up. Grams travel packed: what a block asks of one share of the grams is
-   one row of sorted numbers, and its answer one row of values in the same order.
-   Word counts come back only where they differ from what the block counted itself.
+   which the block sums up. Both travel packed: what a block asks of one share of the grams and
+   words is one row, and its answer one row of values in the same order. A task that answers
+   also sends each block the sums over its words.
 
 Nothing is broadcast but the two top levels. Counts cover all training texts.
 
@@ -28,6 +29,7 @@ base score is 0; repeated rows are scored alike; an empty table gives an empty r
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from math import lgamma
 
@@ -37,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import LOWER, NOT_SPACE, mixed, shared_folder, shuffle_partitions, slices, spans, texts
+from pagemill.llm.common import LOWER, MASK, NOT_SPACE, mixed, shared_folder, shuffle_partitions, slices, spans, texts
 
 DEPTH = 5
 END = 0x0A
@@ -121,19 +123,31 @@ class _Distinct:
         return self.some[0]
 
 
+def _distinct_grams(batch: pa.RecordBatch, depth: int) -> np.ndarray:
+    u = _Distinct()
+    for _, buf, off in slices(batch, "text", SLICE):
+        g, _, first = grams(buf, off, depth)
+        u.add(_union([_skip(g, first, depth)]))
+    return u.all()
+
+
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
+    key = np.concatenate(keys)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    return key[new], np.add.reduceat(np.concatenate(counts)[order], np.flatnonzero(new))
 
 
-def _gram_rows(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for lo in range(0, len(key), ROWS):
-        yield pa.record_batch([pa.array(key[lo : lo + ROWS].view(np.int64)), pa.array(n[lo : lo + ROWS])], names=["gram", "n"])
+def _context_rows(key: np.ndarray, n: np.ndarray, shares: int) -> Iterator[pa.RecordBatch]:
+    order, share, cut = _shares((key >> np.uint64(8)) & np.uint64(0xFFFF), shares)
+    yield pa.record_batch([pa.array(share.astype(np.int32)), _rows_of(key[order], cut), _rows_of(n[order], cut)], names=["share", "grams", "counts"])
 
 
-def _gram_counts(docs: DataFrame, depth: int) -> DataFrame:
-    """(gram, n): the distinct grams of all texts with their counts in the training texts, summed within
-    the tasks only."""
+def _gram_counts(docs: DataFrame, depth: int, shares: int) -> DataFrame:
+    """(share, grams, counts): the distinct grams of all texts with their counts in the training texts, summed
+    within the tasks only and packed by share, which the last two context bytes give."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
@@ -149,12 +163,12 @@ def _gram_counts(docs: DataFrame, depth: int) -> DataFrame:
                     key, n = _summed(keys, counts)
                     keys, counts, held = [key], [n], len(key)
                     if 2 * held > FLUSH:
-                        yield from _gram_rows(key, n)
+                        yield from _context_rows(key, n, shares)
                         keys, counts, held = [], [], 0
         if keys:
-            yield from _gram_rows(*_summed(keys, counts))
+            yield from _context_rows(*_summed(keys, counts), shares)
 
-    return docs.select("held", "text").mapInArrow(run, "gram bigint, n bigint")
+    return docs.select("held", "text").mapInArrow(run, "share int, grams binary, counts binary")
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -233,16 +247,16 @@ def model(docs: DataFrame, depth: int = DEPTH, piece: int = PIECE) -> DataFrame:
     """(gram, lp): log10 probability of each gram's last byte given the others, for all grams of `docs`
     (held, text), learned from the rows that aren't held."""
     parts = shuffle_partitions(docs.sparkSession)
-    counted = _gram_counts(docs, depth).repartition(parts, F.shiftright("gram", 8).bitwiseAND(0xFFFF))
+    counted = _gram_counts(docs, depth, SHARES * parts).repartition(parts, "share")
     bits = [f"p{k}" for k in range(8)]
     names = ["k", *bits, "a", "b", "w"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held, limit = [], [], 0, FLUSH
         for batch in batches:
-            keys.append(batch.column("gram").to_numpy().view(np.uint64))
-            counts.append(batch.column("n").to_numpy())
-            held += batch.num_rows
+            keys.append(_values(batch.column("grams"), np.uint64))
+            counts.append(_values(batch.column("counts"), np.int64))
+            held += len(keys[-1])
             if held > limit:
                 keys, counts = ([x] for x in _summed(keys, counts))
                 held = len(keys[0])
@@ -322,20 +336,33 @@ def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, p
         spelled.append(texts(low, starts, ends))
         count.append(n)
     words = np.concatenate(count)
-    coded = pa.chunked_array(spelled).dictionary_encode().unify_dictionaries()
-    number = np.concatenate([c.indices.to_numpy() for c in coded.chunks]) if len(coded) else np.zeros(0, np.int64)
+    coded = pa.chunked_array(spelled).dictionary_encode()  # its chunks share one dictionary
+    del spelled
+    number = np.concatenate([c.indices.to_numpy() for c in coded.chunks]) if len(coded) else np.zeros(0, np.int32)
     tokens = coded.chunk(coded.num_chunks - 1).dictionary if len(coded) else pa.array([], pa.binary())
     learn = ~batch.column("held").to_numpy(zero_copy_only=False)
     n = np.bincount(number, np.repeat(learn, words), len(tokens)).astype(np.int64)
     return words, number + 1, np.concatenate(([int(learn.sum())], n)), pa.concat_arrays([pa.array([bytes([END])], pa.binary()), tokens])
 
 
-#: Rows that meet by `share`. kind 0: a block asks for the sorted `grams`; 1: for a word, its number `number`, that it
-#: counted `v` times; 2: values of `grams`.
-ASK = "share int, kind int, block int, number int, word binary, v bigint, grams binary, `values` binary"
-#: kind 0: values of a block's grams of a share, in order; 1: a word's count; 3: sums over a task's words.
-ANSWER = "block int, kind int, number int, v bigint, `values` binary, tokens bigint, distinct bigint"
-SHARES = 8
+def _run_sums(x: np.ndarray, at: np.ndarray, end: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of x[at] over runs of `n` that stop before `end`; a run may be empty."""
+    cum = np.zeros(len(at) + 1, x.dtype)
+    np.cumsum(x[at], out=cum[1:])
+    return cum[end] - cum[end - n]
+
+
+#: Rows that meet by `share`. kind 0: a block asks for the sorted `grams` and for `words`, one after the other, of `sizes`
+#: bytes, that it counted `values` times; 1: values of `grams`.
+ASK = "share int, kind int, block int, grams binary, `values` binary, words binary, sizes binary"
+#: Values of a block's grams of a share and counts of its words, in order; without a share: sums over a task's words.
+ANSWER = "block int, share int, `values` binary, counts binary, tokens bigint, distinct bigint"
+DONE = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens", "_distinct")),
+                  *((c, pa.float64()) for c in ("_log", "score", "bits_per_byte"))])
+#: Bytes of a word that are hashed eight at a time.
+LONG = 256
+#: Shares a partition: some, so that partitions are even; few, since each block sends one row to each.
+SHARES = 4
 
 
 def _shares(gram: np.ndarray, shares: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -355,12 +382,66 @@ def _rows_of(a: np.ndarray, cut: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int64) * a.itemsize), pa.py_buffer(a)]).cast(pa.binary())
 
 
+def _values(a: pa.Array, kind: type) -> np.ndarray:
+    """The numbers packed in a binary column's rows, one after the other."""
+    if not len(a):
+        return np.zeros(0, kind)
+    wide = np.dtype(np.int64 if pa.types.is_large_binary(a.type) else np.int32)
+    off = np.frombuffer(a.buffers()[1], wide, len(a) + 1, a.offset * wide.itemsize)
+    lo, hi = int(off[0]), int(off[-1])
+    return np.frombuffer(a.buffers()[2], kind, (hi - lo) // np.dtype(kind).itemsize, lo) if hi > lo else np.zeros(0, kind)
+
+
+def _ask_rows(kind: int, block: int, share: np.ndarray, **packed: pa.Array) -> pa.Table:
+    n = len(share)
+    rows = {"share": pa.array(share.astype(np.int32)), "kind": pa.array(np.full(n, kind, np.int32)), "block": pa.array(np.full(n, block, np.int32))}
+    return pa.table(rows | {c: packed.get(c, pa.nulls(n, pa.binary())) for c in ("grams", "values", "words", "sizes")})
+
+
 def _packed(gram: np.ndarray, shares: int, kind: int, block: int, values: np.ndarray | None = None) -> pa.Table:
     order, share, cut = _shares(gram, shares)
-    n = len(share)
-    return pa.table({"share": pa.array(share.astype(np.int32)), "kind": pa.array(np.full(n, kind, np.int32)), "block": pa.array(np.full(n, block, np.int32)), "number": pa.nulls(n, pa.int32()),
-                     "word": pa.nulls(n, pa.binary()), "v": pa.nulls(n, pa.int64()), "grams": _rows_of(gram[order], cut),
-                     "values": pa.nulls(n, pa.binary()) if values is None else _rows_of(values[order].astype(np.float32), cut)})
+    some = {} if values is None else {"values": _rows_of(values[order].astype(np.float32), cut)}
+    return _ask_rows(kind, block, share, grams=_rows_of(gram[order], cut), **some)
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """A hash of each word, eight bytes at a time; of a long one by its first bytes and its CRC."""
+    data, size = _values(words, np.uint8), pc.binary_length(words).to_numpy().astype(np.int64)
+    start = np.cumsum(size) - size
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), 0, (1,))
+    h = mixed(size.astype(np.uint64))
+    live = np.arange(len(size))
+    for k in range(0, min(int(size.max(initial=0)), LONG), 8):
+        live = live[size[live] > k]
+        rest = np.minimum(size[live] - k, 8).astype(np.uint64)
+        h[live] = mixed(h[live] ^ (eight[start[live] + k] & (np.uint64(MASK) >> (np.uint64(64) - np.uint64(8) * rest))))
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] ^= np.uint64(zlib.crc32(data[start[i] : start[i] + size[i]])) << np.uint64(32)
+    return h
+
+
+def _asked(gram: np.ndarray, words: pa.Array, n: np.ndarray, shares: int, block: int) -> pa.Table:
+    g = _packed(gram, shares, 0, block)
+    order, share, cut = _shares(_hashes(words), shares)
+    words = words.take(pa.array(order))
+    size = pc.binary_length(words).to_numpy()
+    ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+    every = pa.array(np.union1d(g["share"].to_numpy(), share).astype(np.int32))
+    at = pc.index_in(every, value_set=pa.array(share.astype(np.int32)))
+    packed = {"words": _rows_of(_values(words, np.uint8), ends[cut]), "sizes": _rows_of(size, cut), "values": _rows_of(n[order], cut)}
+    return _ask_rows(0, block, every.to_numpy(), grams=g["grams"].take(pc.index_in(every, value_set=g["share"].combine_chunks())), **{c: x.take(at) for c, x in packed.items()})
+
+
+def _numbers(x: pa.Scalar, kind: type) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), kind) if x.is_valid else np.zeros(0, kind)
+
+
+def _places(u: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Where some of the sorted values `u` stand; looked up in order, which keeps to neighbouring memory."""
+    order = np.argsort(some)
+    at = np.empty(len(some), np.int64)
+    at[order] = np.searchsorted(u, some[order])
+    return at
 
 
 def score(docs: DataFrame, depth: int = DEPTH, blocks: int | None = None, piece: int = PIECE) -> DataFrame:
@@ -375,105 +456,97 @@ def score(docs: DataFrame, depth: int = DEPTH, blocks: int | None = None, piece:
     def ask(key: tuple, t: pa.Table) -> pa.Table:
         block = key[0].as_py()
         batch = _in_order(t)
-        u = _Distinct()
-        for _, buf, off in slices(batch, "text", SLICE):
-            g, _, first = grams(buf, off, depth)
-            u.add(_union([_skip(g, first, depth)]))
-        packed = _packed(u.all(), shares, 0, block)
-        del u
-        _, _, n, tokens = _words(batch)
-        size = len(n)
-        words = pa.table({"share": pa.nulls(size, pa.int32()), "kind": pa.array(np.full(size, 1, np.int32)), "block": pa.array(np.full(size, block, np.int32)), "number": pa.array(np.arange(size, dtype=np.int32)),
-                          "word": tokens, "v": pa.array(n), "grams": pa.nulls(size, pa.binary()), "values": pa.nulls(size, pa.binary())})
-        return pa.concat_tables([packed, words])
-
-    asked = d.groupBy("block").applyInArrow(ask, ASK).withColumn("share", F.coalesce("share", F.pmod(F.xxhash64("word"), F.lit(shares)).cast("int")))
+        _, _, n, words = _words(batch)
+        return _asked(_distinct_grams(batch, depth), words, n, shares, block)
+
+    asked = d.groupBy("block").applyInArrow(ask, ASK)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, held = [], 0
         for b in batches:
-            yield from _packed(b.column("gram").to_numpy().view(np.uint64), shares, 2, -1, b.column("lp").to_numpy()).combine_chunks().to_batches()
+            some.append(b)
+            held += b.num_rows
+            if held > PIECE:
+                yield packed_known(some)
+                some, held = [], 0
+        if held:
+            yield packed_known(some)
+
+    def packed_known(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+        gram, lp = (np.concatenate([b.column(c).to_numpy() for b in some]) for c in ("gram", "lp"))
+        return _packed(gram.view(np.uint64), shares, 1, -1, lp).combine_chunks().to_batches()[0]
 
     known = table.mapInArrow(pack, ASK)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a word stands in at most one row per block, a gram too: a task's share is even
-        names = ["block", "kind", "number", "v", "values", "tokens", "distinct"]
-        questions, lps, values, words, word_places, counts = [], [], [], [], [], []
+        # a word stands at most once in a block's questions, a gram too: a task's share is even
+        names = ["block", "share", "values", "counts", "tokens", "distinct"]
+        questions, words, sizes, counts, lps, values = [], [], [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)]
         for b in batches:
-            kind = b.column("kind").to_numpy()
-            grams_, found = b.column("grams"), b.column("values")
-            for i in np.flatnonzero(kind == 0).tolist():
-                questions.append((b.column("block")[i].as_py(), b.column("share")[i].as_py(), np.frombuffer(grams_[i].as_buffer(), np.uint64)))
-            for i in np.flatnonzero(kind == 2).tolist():
-                lps.append(np.frombuffer(grams_[i].as_buffer(), np.uint64))
-                values.append(np.frombuffer(found[i].as_buffer(), np.float32))
-            mine = pa.array(np.flatnonzero(kind == 1))
-            words.append(b.column("word").take(mine))
-            word_places.append(np.stack([b.column(c).take(mine).to_numpy() for c in ("block", "number")]))
-            counts.append(b.column("v").take(mine).to_numpy())
-        if not words:
+            for kind, share, block, g, v, spelled, size in zip(*(b.column(c) for c in ("kind", "share", "block", "grams", "values", "words", "sizes"))):
+                if kind.as_py():
+                    lps.append(_numbers(g, np.uint64))
+                    values.append(_numbers(v, np.float32))
+                else:
+                    questions.append((block.as_py(), share.as_py(), _numbers(g, np.uint64)))
+                    words.append(_numbers(spelled, np.uint8))
+                    sizes.append(_numbers(size, np.int32))
+                    counts.append(_numbers(v, np.int64))
+        if not questions:
             return
-        if lps:
-            lp, value = np.concatenate(lps), np.concatenate(values)
-            order = np.argsort(lp)
-            lp, value = lp[order], value[order]
+        lp, value = np.concatenate(lps), np.concatenate(values)
+        order = np.argsort(lp)
+        lp, value = lp[order], value[order]
+        cut = np.concatenate(([0], np.cumsum([len(x) for x in sizes])))
+        ends = np.concatenate(([0], np.cumsum(np.concatenate(sizes), dtype=np.int64)))
+        coded = pc.dictionary_encode(_rows_of(np.concatenate(words), ends))
+        at = coded.indices.to_numpy()
+        c = np.bincount(at, np.concatenate(counts), len(coded.dictionary)).astype(np.int64)
         for lo in range(0, len(questions), 256):
             some = questions[lo : lo + 256]
-            n = len(some)
-            none = pa.nulls(n, pa.int64())
-            yield pa.record_batch([pa.array([q[0] for q in some], pa.int32()), pa.array(np.zeros(n, np.int32)), pa.array([q[1] for q in some], pa.int32()), none,
-                                   pa.array([value[np.searchsorted(lp, g)].tobytes() for _, _, g in some], pa.binary()), none, none], names=names)
-        coded = pa.chunked_array(words).combine_chunks()
-        coded = pc.dictionary_encode(coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded)
-        at, n = coded.indices.to_numpy(), np.concatenate(counts)
-        c = np.bincount(at, n, len(coded.dictionary)).astype(np.int64)
-        differs = np.flatnonzero(c[at] != n)
-        block, number = np.concatenate(word_places, axis=1)[:, differs]
-        for lo in range(0, len(differs), 1 << 17):
-            size = len(block[lo : lo + (1 << 17)])
-            none = pa.nulls(size, pa.int64())
-            yield pa.record_batch([pa.array(block[lo : lo + size], pa.int32()), pa.array(np.ones(size, np.int32)), pa.array(number[lo : lo + size], pa.int32()), pa.array(c[at][differs[lo : lo + size]]),
-                                   pa.nulls(size, pa.binary()), none, none], names=names)
-        yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([3], pa.int32()), pa.array([0], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([int(c.sum())]), pa.array([int((c > 0).sum())])],
-                              names=names)
+            none = pa.nulls(len(some), pa.int64())
+            yield pa.record_batch([pa.array([q[0] for q in some], pa.int32()), pa.array([q[1] for q in some], pa.int32()), pa.array([value[np.searchsorted(lp, g)].tobytes() for _, _, g in some], pa.binary()),
+                                   pa.array([c[at[cut[i] : cut[i + 1]]].tobytes() for i in range(lo, lo + len(some))], pa.binary()), none, none], names=names)
+        none = pa.nulls(blocks, pa.binary())
+        yield pa.record_batch([pa.array(np.arange(blocks, dtype=np.int32)), pa.nulls(blocks, pa.int32()), none, none, pa.array(np.full(blocks, c.sum())), pa.array(np.full(blocks, (c > 0).sum()))], names=names)
 
     answered = asked.unionByName(known).repartition(parts, "share").mapInArrow(answer, ANSWER)
-    totals = answered.where("kind = 3").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("_distinct")).withColumn("_one", F.lit(1))
 
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        kind, number = (right.column(c).to_numpy() for c in ("kind", "number"))
-        counted = right.column("v").fill_null(0).to_numpy()
-        answers = {int(number[i]): right.column("values")[i] for i in np.flatnonzero(kind == 0).tolist()}
+        if not left.num_rows:  # a block without documents
+            return DONE.empty_table()
+        row = {share: i for i, share in enumerate(right.column("share").to_pylist())}
+        values, counts = (right.column(c).combine_chunks() for c in ("values", "counts"))
+        train, distinct = (pc.sum(right.column(c)).as_py() for c in ("tokens", "distinct"))
         batch = _in_order(left)
-        found = []
-        u = _Distinct()
-        for _, buf, off in slices(batch, "text", SLICE):
-            g, size, first = grams(buf, off, depth)
-            coded = pc.dictionary_encode(pa.array(_skip(g, first, depth).view(np.int64)))
-            own = coded.dictionary.to_numpy().view(np.uint64)
-            u.add(own)
-            found.append((coded.indices.to_numpy(), own, size))
-        u = u.all()
+        u = _distinct_grams(batch, depth)
         order, some, cut = _shares(u, shares)
         lp = np.empty(len(u), np.float32)
         for share, lo, hi in zip(some.tolist(), cut[:-1].tolist(), cut[1:].tolist()):
-            lp[order[lo:hi]] = np.frombuffer(answers[share].as_buffer(), np.float32)
+            lp[order[lo:hi]] = _numbers(values[row[share]], np.float32)
         del order
-        # a text's sum is kept in double precision
-        total = np.concatenate([np.add.reduceat(lp[np.searchsorted(u, own)].astype(float)[at], np.cumsum(size) - size) for at, own, size in found])
-        size = np.concatenate([size for *_, size in found])
-        del u, lp, found
-        words, token, c, _ = _words(batch)
-        c[number[kind == 1]] = counted[kind == 1]
-        cum = np.concatenate(([0.0], np.cumsum(np.log10(c + 1.0)[token])))
-        seen = np.concatenate(([0], np.cumsum((c > 0)[token])))
+        total, size = [], []
+        for _, buf, off in slices(batch, "text", SLICE):  # read again: the places of all bytes' grams would be many times the text
+            g, n, first = grams(buf, off, depth)
+            coded = pc.dictionary_encode(pa.array(_skip(g, first, depth).view(np.int64)))
+            own = lp[_places(u, coded.dictionary.to_numpy().view(np.uint64))].astype(float)  # a text's sum is kept in double precision
+            total.append(np.add.reduceat(own[coded.indices.to_numpy()], np.cumsum(n) - n))
+            size.append(n)
+        total, size = np.concatenate(total), np.concatenate(size)
+        del u, lp, coded
+        words, token, c, spelled = _words(batch)
+        order, some, cut = _shares(_hashes(spelled), shares)
+        for share, lo, hi in zip(some.tolist(), cut[:-1].tolist(), cut[1:].tolist()):
+            c[order[lo:hi]] = _numbers(counts[row[share]], np.int64)
+        n = len(words)
         end = np.cumsum(words)
+        log, seen = (_run_sums(x, token, end, words) for x in (np.log10(c + 1.0), (c > 0).astype(np.int64)))
         return pa.table({
-            "doc_id": batch.column("doc_id"), "held_out": batch.column("held"), "n_tokens": pa.array(words + 1), "n_known": pa.array(seen[end] - seen[end - words] + int(c[0] > 0)),
-            "_log": pa.array(cum[end] - cum[end - words] + np.log10(c[0] + 1.0)), "score": pa.array(total), "bits_per_byte": pa.array(-total * np.log2(10.0) / size)})
+            "doc_id": batch.column("doc_id"), "held_out": batch.column("held"), "n_tokens": pa.array(words + 1), "n_known": pa.array(seen + int(c[0] > 0)),
+            "train_tokens": pa.array(np.full(n, train)), "_distinct": pa.array(np.full(n, distinct)),
+            "_log": pa.array(log + np.log10(c[0] + 1.0)), "score": pa.array(total), "bits_per_byte": pa.array(-total * np.log2(10.0) / size)}, schema=DONE)
 
-    done = d.groupBy("block").cogroup(answered.where("kind < 2").select("block", "kind", "number", "v", "values").groupBy("block")).applyInArrow(
-        finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, _log double, score double, bits_per_byte double")
-    done = done.withColumn("_one", F.lit(1)).join(F.broadcast(totals), "_one")  # one row
+    done = d.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(
+        finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, _distinct bigint, _log double, score double, bits_per_byte double")
     base = F.col("_log") - F.col("n_tokens") * F.log10((F.col("train_tokens") + F.col("_distinct") + 1).cast("double"))
     return done.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score", "bits_per_byte")

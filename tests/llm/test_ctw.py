@@ -183,3 +183,51 @@ def test_distinct_grams_are_brought_together_as_they_come(monkeypatch):
         u.add(a)
         assert u.held <= max(100, 2 * 300) + 80
     assert np.array_equal(u.all(), np.unique(np.concatenate(some))) and len(ctw._Distinct().all()) == 0
+
+
+def test_questions_are_answered_once(spark, make_docs):
+    """One pass over the questions gives the answers and the totals, and one row holds what a block asks of a share."""
+    plan = ctw.score(make_docs([(1, "a b")]), blocks=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow answer(") == 1 and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_blocks_without_documents_and_long_words(spark, make_docs):
+    long = ["x" * 300, "x" * 299 + "y", "y" + "x" * 299, "é" * 200]
+    rows = [(i, " ".join((long[i % 4], long[(i + 1) % 4], "ab", f"w{i % 3}"))) for i in range(9)]
+    for blocks in (1, 40):
+        compare(ctw.score(make_docs(rows), depth=2, blocks=blocks).collect(), base(rows))
+
+
+def test_a_blocks_words_are_packed_by_share():
+    import pyarrow as pa
+
+    words = [b"\n", b"a", b"ab", b"abcdefgh", b"abcdefghi", b"x" * 256, b"x" * 257, b"x" * 256 + b"y", *(b"w%d" % i for i in range(500))]
+    n = np.arange(len(words))
+    h = ctw._hashes(pa.array(words, pa.binary()))
+    assert len(set(h.tolist())) == len(words) and (ctw._hashes(pa.array(words[::-1], pa.binary()))[::-1] == h).all()
+    assert (ctw._hashes(pa.array([b"", *words], pa.binary()).slice(1)) == h).all()
+    gram = np.arange(5, dtype=np.uint64)
+    t = ctw._asked(gram, pa.array(words, pa.binary()), n, 64, 3)
+    assert t.num_rows <= 64 and len(set(t["share"].to_pylist())) == t.num_rows and set(t["block"].to_pylist()) == {3}
+    got, grams = {}, []
+    for share, g, spelled, sizes, counts in zip(*(t[c].to_pylist() for c in ("share", "grams", "words", "sizes", "values"))):
+        grams += np.frombuffer(g or b"", np.uint64).tolist()
+        at = 0
+        for size, count in zip(np.frombuffer(sizes or b"", np.int32).tolist(), np.frombuffer(counts or b"", np.int64).tolist()):
+            word, at = spelled[at : at + size], at + size
+            got[word] = count
+            assert ctw._shares(h[[words.index(word)]], 64)[1].tolist() == [share]
+    assert got == dict(zip(words, n.tolist())) and sorted(grams) == gram.tolist()
+
+
+def test_counts_of_grams_are_summed():
+    rng = np.random.default_rng(5)
+    keys, counts = [rng.integers(0, 50, 40).astype(np.uint64) for _ in range(5)], [rng.integers(0, 9, 40) for _ in range(5)]
+    want = Counter()
+    for k, c in zip(keys, counts):
+        for x, y in zip(k.tolist(), c.tolist()):
+            want[x] += y
+    key, n = ctw._summed(keys, counts)
+    assert dict(zip(key.tolist(), n.tolist())) == want and (np.diff(key.astype(np.int64)) > 0).all()
+    (b,) = ctw._context_rows(key << np.uint64(8), n, 16)
+    assert sorted(ctw._values(b.column("grams"), np.uint64).tolist()) == (key << np.uint64(8)).tolist() and ctw._values(b.column("counts"), np.int64).sum() == n.sum()

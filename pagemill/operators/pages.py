@@ -1,21 +1,23 @@
 """Page conversion: pages(page_id, url, html) → tagged Markdown documents.
 
-Narrow plan: scan → project. No shuffle; each page is converted where it is
-read, so the job scales with the number of scan tasks.
+One exchange, by page, which pages that are dealt by `page_id` already do without; then each page is converted by itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
 from pagemill.functions.text import WS, line_count, word_count
 from pagemill.operators import tokens as T
-from pagemill.operators.nodes import html_nodes
-from pagemill.operators.reader import TEXTS, measures, with_content
-from pagemill.operators.render import ElementRule, dropped, line_text, with_pieces
-from pagemill.operators.selectors import first_match, let, matching, quoted
+from pagemill.operators.nodes import HINT, Row, page_rows, page_tokens
+from pagemill.operators.reader import content
+from pagemill.operators.render import ElementRule, dropped, escaped, joined, line_markdown
+from pagemill.operators.selectors import let, quoted, test
 
 def tag_block(tag: str, value) -> "F.Column":
     """`<tag>\\nvalue\\n</tag>\\n\\n`"""
@@ -35,69 +37,140 @@ def page_document(
     """The converter: source tag, title tag, last-modified tag, breadcrumb line, body. `run_date` dates
     the pages that carry no date; `page_id` names a page.
 
-    One scan and one exchange, by page: the node table (`operators.nodes`), then windows and aggregates
-    within a page for reader mode (`operators.reader`), fields and Markdown (`operators.render`).
+    One scan and one exchange, by page: tokens are cut in Spark, `converted` makes a page's rows (`operators.nodes`), reader
+    mode (`operators.reader`), fields and Markdown (`operators.render`) of them, Spark writes the Markdown escapes and the tags.
     `element_rules`: the caller's rules for elements. `rules`: a caller's list of patterns instead of the
     renderer; such pages are converted by `functions.html`.
 
     A page without main content gets an empty body and status `no_content`."""
     if rules is not None:
         return _assembled(_by_patterns(pages, run_date, rules))
-    drops = any(r.drop for r in element_rules or [])
-    nodes = html_nodes(pages.where(F.col("page_id").isNotNull()), whole=drops)
-    if drops:
-        nodes = dropped(nodes.repartition("page_id"), element_rules)
-    # all that a row says by itself, before the exchange; rows that say nothing stay behind. What they are chosen by is cheap:
-    # Spark filters below the projection, where the Markdown of a line would be made a second time
-    own, fields = measures(), page_fields()
-    says = f"kind IN ('line', 'table', 'rule') OR {own['edge']} > 0 OR hinted AND kind = 'open' OR coalesce({', '.join(fields[c] for c in ('title', 'changed', 'published'))}) IS NOT NULL OR {fields['box']} IS NOT NULL"
-    columns = {"md": line_text(element_rules), **own, **fields}
-    rows = nodes.where(says).select("page_id", F.expr("CASE WHEN pos = 0 THEN url END").alias("url"), "pos", "end", "parent", "depth", "feeds", "items", *(F.expr(e).alias(c) for c, e in columns.items()))
-    # a line that shows nothing counts for nothing
-    nothing = "md = '' AND h1 IS NULL AND crumbs IS NULL"
-    rows = rows.withColumns({c: F.expr(f"if({nothing}, {zero}, {c})") for c, zero in (("part", "0D"), ("chars", "0"), ("link_chars", "0"), ("shown", "0"))}).repartition("page_id")
-    first = lambda c: f"min(CASE WHEN {c} IS NOT NULL THEN named_struct('pos', pos, 'v', {c}) END)"
-    d = with_pieces(with_content(rows, {"_box": "min(CASE WHEN box IS NOT NULL THEN named_struct('rank', box, 'pos', pos, 'end', `end`) END) OVER (PARTITION BY page_id)"}))
-    page = d.groupBy("page_id").agg(*map(F.expr, (
-        "max(url) AS url", *(f"{first(c)}.v AS _{c}" for c in ("title", "changed", "published", "h1")),
-        "array_sort(flatten(collect_list(CASE WHEN pos > _box.pos AND pos < _box.`end` THEN crumbs END))) AS _crumbs",
-        "array_sort(collect_list(CASE WHEN piece IS NOT NULL THEN named_struct('pos', pos, 'piece', piece) END)) AS _pieces",
-    )))
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    # `copies`: rows of one id, which stand side by side. They are one page, as its rows say
+    pages = pages.where(F.col("page_id").isNotNull()).select(
+        "page_id", "url", "html", F.count(F.lit(1)).over(Window.partitionBy("page_id")).alias("copies"))
+    hinted = F.coalesce(F.col("html").rlike(HINT), F.lit(False)).alias("hinted")
+    schema = f"page_id {dict(pages.dtypes)['page_id']}, {CONVERTED}"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    page = pages.select("page_id", "url", "copies", hinted, page_tokens("html").alias("tokens")).mapInArrow(
+        lambda batches: _conversion(batches, arrow, element_rules or []), schema)
     return _assembled(page.select(
         "page_id", "url", F.expr(f"coalesce(nullif({_clean('_title')}, ''), {_clean('_h1')}, '')").alias("title"),
         F.coalesce(F.nullif("_changed", F.lit("")), F.nullif("_published", F.lit("")), F.lit(run_date)).alias("last_modified"),
         H.breadcrumbs_markdown(F.expr(crumb_items("_crumbs"))).alias("breadcrumb_md"),
-        F.expr("array_join(transform(_pieces, x -> x.piece), '')").alias("body_md"),
+        F.expr(escaped("_body")).alias("body_md"),
     ))
 
 
 ITEM = 'li, span[itemprop="name"], [class*="breadcrumb-"]'
 
+#: What a page's rows say: its fields, ARRAY<STRUCT<pos, end, text, link, item>> of the elements and texts in its breadcrumb
+#: container, and the body, whose texts that may need escapes are marked.
+CONVERTED = (
+    "url string, _title string, _changed string, _published string, _h1 string, "
+    "_crumbs array<struct<pos:int,`end`:int,text:string,link:struct<pos:int,href:string>,item:boolean>>, _body string"
+)
+#: Characters of Markdown that are sent at once.
+SENT = 1 << 22
+
+
+def _conversion(batches: Iterator[pa.RecordBatch], arrow: pa.Schema, rules: list[ElementRule]) -> Iterator[pa.RecordBatch]:
+    """Batches of pages (page_id, url, copies, hinted, tokens), copies of one id side by side → batches of CONVERTED."""
+    copies: list[tuple] = []  # of the page that is being read
+    for batch in batches:
+        tokens = batch.column("tokens")
+        cut, flat = tokens.offsets.to_pylist(), tokens.values.to_numpy(zero_copy_only=False).tolist()
+        out, at, size = [], [], 0
+
+        def made() -> pa.RecordBatch:
+            fields = zip(*out)
+            return pa.record_batch([batch.column("page_id").take(pa.array(at, pa.int32())), *(pa.array(v, f.type) for f, v in zip(list(arrow)[1:], fields))], schema=arrow)
+
+        for i, (url, n, hinted) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("url", "copies", "hinted")))):
+            copies.append((url, hinted, flat[cut[i] : cut[i + 1]]))
+            if len(copies) == n:
+                if (page := converted(copies, rules)) is not None:
+                    out.append(page)
+                    at.append(i)
+                    size += len(page[-1])
+                copies = []
+                if size >= SENT:
+                    yield made()
+                    out, at, size = [], [], 0
+        if out:
+            yield made()
+
+
+def converted(copies: list[tuple], rules: list[ElementRule]) -> tuple | None:
+    """The columns of CONVERTED of a page, given as its (url, hinted, tokens); several if rows share its id. None if a rule
+    drops the page itself."""
+    drops = any(r.drop for r in rules)
+    rows: list[Row] = []
+    for _, hinted, tokens in copies:
+        own = page_rows(tokens, drops or hinted)
+        if hinted:
+            for r in own:
+                r.hinted = True
+        rows = rows + own if rows else own
+    rows.sort(key=lambda r: r.pos)
+    if drops:
+        rows = dropped(rows, rules)
+        if not rows:
+            return None
+    title = changed = published = h1 = box = None
+    texts: dict[int, str] = {}
+    nothing: set[int] = set()
+    for i, r in enumerate(rows):
+        if r.runs is not None:
+            texts[i] = md = line_markdown(r, rules)
+            head = r.block == "h1" and [x for x in r.runs if x.kind == "text"]
+            if head:
+                h1 = _first(h1, r.pos, "".join([" " + x.text if x.space else x.text for x in head]))
+            elif not md and not r.hinted:
+                nothing.add(i)
+        elif r.kind == "open":
+            if r.attrs:
+                changed = _first(changed, r.pos, r.attrs.get("data-timemodified"))
+                published = _first(published, r.pos, r.attrs.get("data-publicationdate"))
+                if r.hinted:
+                    for rank, selector in enumerate(H.BREADCRUMB_SELECTORS):
+                        if test(selector)(r.tag, r.attrs):
+                            box = min(box or (rank, r.pos, r.end), (rank, r.pos, r.end))
+                            break
+        elif r.kind == "title" and r.text.strip(" \t\n\r\f"):
+            title = _first(title, r.pos, r.text)
+    crumbs = [c for r in rows if box[1] < r.pos < box[2] and r.hinted for c in _crumbs(r)] if box else []
+    crumbs.sort(key=lambda c: (c["pos"], c["end"], c["text"] or ""))
+    urls = [url for url, _, _ in copies if url is not None]
+    said = [x and x[1] for x in (title, changed, published, h1)]
+    return max(urls, default=None), *said, crumbs, joined(content(rows, texts, nothing))
+
+
+def _first(found: tuple | None, pos: int, value: str | None) -> tuple | None:
+    return found if value is None or found is not None and found <= (pos, value) else (pos, value)
+
+
+def _crumbs(r: Row) -> list[dict]:
+    """What a row brings to breadcrumbs: elements, which may be items or links, and texts under their link."""
+    if r.kind == "open":
+        link = {"pos": r.pos, "href": r.attrs.get("href")} if r.tag == "a" else None
+        return [{"pos": r.pos, "end": r.end, "text": None, "link": link, "item": test(ITEM)(r.tag, r.attrs)}]
+    out = []
+    for x in r.runs or []:
+        if x.kind in ("text", "open"):
+            link = next(({"pos": m["pos"], "href": m["href"]} for m in x.marks if m["kind"] == "link"), None)
+            text = None if x.kind == "open" else " " + x.text if x.space else x.text
+            out.append({"pos": x.pos, "end": x.pos + 1 if x.end is None else x.end, "text": text, "link": link, "item": x.kind == "open" and test(ITEM)(x.tag, x.attrs)})
+    return out
+
 
 def _clean(text: str) -> str:
     """SQL: white space collapsed and trimmed."""
     return f"regexp_replace(regexp_replace({text}, {quoted(H.HTML_WS + '+')}, ' '), {quoted('\\A' + WS + '+|' + WS + '+\\z')}, '')"
 
 
-def page_fields() -> dict[str, str]:
-    """SQL of what a row brings to its page's fields: `title`, dates, `h1`, the rank of a breadcrumb container (`box`) and, on
-    pages that have one, `crumbs`: ARRAY<STRUCT<pos, end, text, link, item>> of elements, which may be items or
-    links, and texts under their link."""
-    opened = "kind = 'open'"
-    element = f"array(named_struct('pos', pos, 'end', `end`, 'text', CAST(NULL AS string), 'link', CASE WHEN tag = 'a' THEN named_struct('pos', pos, 'href', attrs['href']) END, 'item', {matching(ITEM)}))"
-    own = let("get(filter(r.marks, m -> m.kind = 'link'), 0)", "l", "CASE WHEN l IS NOT NULL THEN named_struct('pos', l.pos, 'href', l.href) END")
-    spaced = "if(r.space, concat(' ', r.text), r.text)"
-    item = f"r.kind = 'open' AND {matching(ITEM, 'r.tag', 'r.attrs')}"
-    run = f"named_struct('pos', r.pos, 'end', coalesce(r.`end`, r.pos + 1), 'text', CASE WHEN r.kind = 'text' THEN {spaced} END, 'link', {own}, 'item', {item})"
-    return {
-        "title": f"CASE WHEN kind = 'title' AND text RLIKE {quoted('[^ \\t\\n\\r\\f]')} THEN text END",
-        "changed": f"CASE WHEN {opened} THEN attrs['data-timemodified'] END", "published": f"CASE WHEN {opened} THEN attrs['data-publicationdate'] END",
-        "h1": f"CASE WHEN block = 'h1' AND size({TEXTS}) > 0 THEN array_join(transform({TEXTS}, r -> {spaced}), '') END",
-        "box": f"CASE WHEN {opened} THEN {first_match(H.BREADCRUMB_SELECTORS)} END",
-        "crumbs": f"CASE WHEN NOT hinted THEN NULL WHEN {opened} THEN {element} WHEN runs IS NOT NULL THEN transform(filter(runs, r -> r.kind IN ('text', 'open')), r -> {run}) END",
-    }
-
-
 def crumb_items(rows: str) -> str:
     """SQL: ARRAY<STRUCT<text, url>> of the items among a container's rows in order: text and href of the item's first link,
     else its text where it has any."""

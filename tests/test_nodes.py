@@ -13,6 +13,7 @@ from pagemill.operators import nodes as N
 from pagemill.operators import pages as P
 from pagemill.operators.render import ElementRule
 from pagemill.operators.selectors import matches
+from pagemill.operators.selectors import test as selected
 
 
 def pages(spark, *htmls):
@@ -160,3 +161,26 @@ def test_lines_are_made_once(spark):
     plan = P.page_document(pages(spark, "<p>x"), "2024-06-01")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("\\A( ?)~~~") == 1  # one of the patterns that escape a text
     assert bodies(spark, "<article><p>- a_b</p><p>plain, text</p><p>1. x</p><p> # y</p></article>")[0] == "\\- a\\_b\n\nplain, text\n\n1\\. x\n\n\\# y"
+
+
+def test_pages_dealt_by_id_are_not_dealt_again(spark, tables):
+    from pagemill.sources.derived import order_pages
+
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    source = order_pages(tables)
+    converted = plan(P.page_document(source, "2024-06-01"))
+    assert converted.count("Exchange hashpartitioning") == plan(source).count("Exchange hashpartitioning")
+    assert converted.count("Window [") == 1 and converted.count("MapInArrow") == 1  # a page's rows never leave its converter
+
+
+def test_rows_of_one_id_are_one_page(spark):
+    """Their lines stand side by side, by text at one place, as they always did."""
+    page = f"<title>T</title><article><h1>H</h1><p>{LONG}</p><ul><li>a_b</ul></article>"
+    d = spark.createDataFrame([(1, "https://e.org/a", page), (1, "https://e.org/b", page), (None, "u", page), (2, None, None)], "page_id bigint, url string, html string")
+    got = {r["page_id"]: (r["url"], r["title"], r["body_md"], r["status"]) for r in P.page_document(d, "2024-06-01").collect()}
+    assert got == {1: ("https://e.org/b", "T", f"\n\n# H# H\n\n{LONG}\n\n{LONG}\n\n    a\\_b\n\n*   a\\_b", "ok"), 2: (None, "", "", "no_content")}
+
+
+def test_python_selectors_match_as_sql():
+    rows = [("div", {"class": "a b"}), ("div", {"id": "n"}), ("span", {"k": "v"}), ("p", {"class": "c-x"})]
+    assert [[i for i, r in enumerate(rows) if selected(s)(*r)] for s, _ in SELECTORS] == [want for _, want in SELECTORS]

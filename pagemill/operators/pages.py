@@ -6,6 +6,7 @@ One exchange, by page, which pages that are dealt by `page_id` already do withou
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import attrgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import html as H
 from pagemill.functions.text import WS, line_count, word_count
 from pagemill.operators import tokens as T
-from pagemill.operators.nodes import HINT, Row, page_rows, page_tokens
+from pagemill.operators.nodes import HINT, Row, Tree, page_tokens, parse
 from pagemill.operators.reader import content
 from pagemill.operators.render import ElementRule, dropped, escaped, joined, line_markdown
 from pagemill.operators.selectors import let, quoted, test
@@ -81,7 +82,9 @@ def _conversion(batches: Iterator[pa.RecordBatch], arrow: pa.Schema, rules: list
     copies: list[tuple] = []  # of the page that is being read
     for batch in batches:
         tokens = batch.column("tokens")
-        cut, flat = tokens.offsets.to_pylist(), tokens.values.to_numpy(zero_copy_only=False).tolist()
+        words = tokens.values.dictionary_encode()  # a token is parsed once for all its occurrences
+        parsed = [*map(parse, words.dictionary.to_numpy(zero_copy_only=False).tolist())]
+        cut, flat = tokens.offsets.to_numpy().tolist(), [*map(parsed.__getitem__, words.indices.to_numpy().tolist())]
         out, at, size = [], [], 0
 
         def made() -> pa.RecordBatch:
@@ -104,17 +107,19 @@ def _conversion(batches: Iterator[pa.RecordBatch], arrow: pa.Schema, rules: list
 
 
 def converted(copies: list[tuple], rules: list[ElementRule]) -> tuple | None:
-    """The columns of CONVERTED of a page, given as its (url, hinted, tokens); several if rows share its id. None if a rule
+    """The columns of CONVERTED of a page, given as its (url, hinted, parsed tokens); several if rows share its id. None if a rule
     drops the page itself."""
     drops = any(r.drop for r in rules)
     rows: list[Row] = []
     for _, hinted, tokens in copies:
-        own = page_rows(tokens, drops or hinted)
+        tree = Tree(drops or hinted)
+        tree.feed(tokens)
+        own = tree.rows
         if hinted:
             for r in own:
                 r.hinted = True
         rows = rows + own if rows else own
-    rows.sort(key=lambda r: r.pos)
+    rows.sort(key=attrgetter("pos"))
     if drops:
         rows = dropped(rows, rules)
         if not rows:

@@ -309,7 +309,9 @@ def discovery_pages(t: Tables) -> DataFrame:
 def _order_lines(t: Tables, each) -> DataFrame:
     """(order_key, priority, status, lines): `each` line item's HTML, joined in order."""
     key = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")]
-    li = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*key))).alias("items"))
+    # an order is small and its page long to convert: parts merged by size, as Spark does, would be too few for the cores
+    dealt = t.lineitem.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+    li = dealt.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*key))).alias("items"))
     lines = F.array_join(F.transform("items", each), "")
     return li.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_orderkey").alias("order_key"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), lines.alias("lines"))

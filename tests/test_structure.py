@@ -97,3 +97,13 @@ def test_rules_by_name_in_any_order(spark):
     short = [r for r in H.MARKDOWN_RULES if r[0] in ("whitespace", "tags", "trim")]
     df = spark.createDataFrame([("<p>x\n y</p>",)], "h string")
     assert H.add_markdown(df, F.col("h"), "m", short).first().m == "x y"
+
+
+def test_orders_are_dealt_to_as_many_parts_as_named(spark, tables):
+    from pagemill.sources.derived import order_pages, order_table_pages
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for pages in (order_pages(tables), order_table_pages(tables)):
+        parts = pages.select(F.spark_partition_id().alias("p")).distinct().count()
+        plan = pages._jdf.queryExecution().executedPlan().toString()
+        assert parts == n and f", {n}), REPARTITION_BY_NUM" in plan  # small parts are not merged

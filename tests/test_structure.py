@@ -107,3 +107,10 @@ def test_orders_are_dealt_to_as_many_parts_as_named(spark, tables):
         parts = pages.select(F.spark_partition_id().alias("p")).distinct().count()
         plan = pages._jdf.queryExecution().executedPlan().toString()
         assert parts == n and f", {n}), REPARTITION_BY_NUM" in plan  # small parts are not merged
+
+
+def test_html_tables_sorts_pages_not_their_rows(spark, tables):
+    from pagemill.plans.q_structure import html_tables
+
+    plan = html_tables(tables)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 1 and plan.count("MapInArrow") == 1 and plan.count("REPARTITION_BY_COL") == 0
